@@ -5,8 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontamination, pii, quality_rules
-from tessera.llm.common import once, table
+import uuid
+
+from tessera.llm import chat_format, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
+from tessera.llm.common import once, shared_root, table
+
+END_ID = 2
+#: host, path, action.
+RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+#: Hosts that are blocked where no rule says otherwise.
+LISTED = tuple((f"{name}.example.{end}", "/") for name in ("ads-track", "adult-x") for end in ("com", "net", "org"))
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def constants(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A small table of strings."""
+    each = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])
+    return spark.range(1).select(F.inline(each))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +48,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
+    token_binary.write(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), END_ID)
+    return token_binary.read_documents(spark, path)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -41,6 +74,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = once(table(spark, sf_dir, "documents").select("doc_id", "text"), "s", pii.all_spans(F.col("text")))
     base = [k.name for k in pii.KINDS if k.base]
@@ -59,6 +96,25 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc_revisits.resolve(warc_revisits.captures(table(spark, sf_dir, "pages")))
+    said = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return made.withColumn("headers", F.array_join(said, "\n"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, listed = constants(spark, RULES, "host", "path", "action"), constants(spark, LISTED, "host", "path")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.lit(quality_rules.mask(quality_rules.BASE))
@@ -76,9 +132,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_decontamination": op1_decontamination,
-    "op3_chat_format": op3_chat_format,
-    "op5_pii": op5_pii,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_token_binary,
+        op3_chat_format,
+        op4_packing,
+        op5_pii,
+        op6_warc_revisits,
+        op7_url_filter,
+        op8_ngram_join,
+        op9_token_counts,
+        op10_quality_rules,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
