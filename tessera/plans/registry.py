@@ -1,4 +1,557 @@
-"""Names of the queries, what runs them, and the SQL that must give the same rows."""
+"""Named queries of the library's own operators on the driver's tables, each with SQL that must give the same rows.
 
-QUERIES: dict = {}
+The tables stand in for a training run's: documents are the corpus, embeddings the activation vectors (64 wide, so
+the root of the width is 8), lineitem the rollouts (an order is a prompt), conversations the message lists.
+Doubles are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import training as R
+from tessera.functions import vectors as V
+from tessera.operators import evaluation, explanations, merging, rollouts, sampling
+from tessera.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SCALE, SEED = 8.0, 42
+
+
+def query(sql: str | None = None):
+    def named(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return named
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# Vectors
+
+_NORMED = """n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12) / 8.0)) AS v FROM embeddings)"""
+
+
+@query(f"""WITH {_NORMED}, e AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n),
+ m AS (SELECT dim, avg(x) AS mu FROM e GROUP BY dim), l AS (SELECT sqrt(sum(mu * mu)) AS len FROM m)
+ SELECT round(avg((x - mu) * (x - mu)), 6) AS raw_baseline, round(avg((x - mu * 8.0 / len) * (x - mu * 8.0 / len)), 6) AS meannorm_baseline
+ FROM e JOIN m USING (dim), l""")
+def fve_baselines(spark, sf_dir):
+    b = evaluation.baselines(table(spark, sf_dir, "embeddings"), "embedding", SCALE)
+    return b.select(*[r6(c).alias(c) for c in b.columns])
+
+
+def _pairs(spark, sf_dir):
+    """Each vector with the next one in place of a prediction."""
+    e = table(spark, sf_dir, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("pred"))
+    return e.join(nxt, "vec_id")
+
+
+_PAIRS = f"""{_NORMED}, p AS (SELECT a.vec_id, a.label, a.v AS g, b.v AS p FROM n a JOIN n b ON b.vec_id = a.vec_id + 1),
+ s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(g, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64 AS mse,
+  list_sum(list_transform(list_zip(g, p), lambda z: z[1] * z[2])) / 64 AS cosine FROM p)"""
+
+
+@query(f"WITH {_PAIRS} SELECT vec_id, round(mse, 6) AS mse, round(-mse, 6) AS reward, round(cosine, 6) AS cosine FROM s")
+def recon_mse(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("vec_id", V.reconstruction_mse(F.col("pred"), F.col("embedding"), SCALE).alias("m"), V.cosine(F.col("pred"), F.col("embedding")).alias("c"))
+    return p.select("vec_id", r6("m").alias("mse"), r6(R.reward(F.col("m"))).alias("reward"), r6("c").alias("cosine"))
+
+
+@query(f"""WITH {_PAIRS}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n),
+ b AS (SELECT avg(q) AS base FROM (SELECT dim, var_pop(x) AS q FROM e GROUP BY dim))
+ SELECT label, count(*) AS n_scored, round(avg(mse), 6) AS mse_mean, round(100 * (1 - avg(mse) / any_value(base)), 6) AS fve_pct FROM s, b GROUP BY label""")
+def fve_by_label(spark, sf_dir):
+    base = evaluation.baselines(table(spark, sf_dir, "embeddings"), "embedding", SCALE).first()[0]
+    m = _pairs(spark, sf_dir).select("label", V.reconstruction_mse(F.col("pred"), F.col("embedding"), SCALE).alias("m"))
+    return m.groupBy("label").agg(F.count("*").alias("n_scored"), r6(F.avg("m")).alias("mse_mean"), r6(100 * evaluation.variance_explained(F.avg("m"), F.lit(base))).alias("fve_pct"))
+
+
+@query(f"WITH {_NORMED} SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(v), 6) AS total FROM n")
+def normalize_activation(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").select("vec_id", V.normalize(V.width_checked(F.col("embedding"), 64), V.resolve_scale("sqrt_d_model", 64)).alias("v"))
+    return n.select("vec_id", r6(V.norm(F.col("v"))).alias("norm"), r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(63))).alias("last"), r6(V.total(F.col("v"))).alias("total"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS h, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+ q AS (SELECT vec_id, list_transform(list_zip(h, v), lambda z: z[1] + sqrt(list_sum(list_transform(h, lambda x: x * x))) * z[2] / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-9)) AS s FROM p)
+ SELECT vec_id, round(list_sum(s), 6) AS total, round(sqrt(list_sum(list_transform(s, lambda x: x * x))), 6) AS norm FROM q""")
+def norm_matched_add(spark, sf_dir):
+    s = _pairs(spark, sf_dir).select("vec_id", V.norm_matched_add(F.col("embedding"), F.col("pred")).alias("s"))
+    return s.select("vec_id", r6(V.total(F.col("s"))).alias("total"), r6(V.norm(F.col("s"))).alias("norm"))
+
+
+@query(f"WITH {_PAIRS}, d AS (SELECT avg(sqrt(list_sum(list_transform(g, lambda x: x * x)))) AS gold_norm, avg(sqrt(list_sum(list_transform(p, lambda x: x * x)))) AS pred_norm FROM p) SELECT count(*) AS n, round(any_value(gold_norm), 6) AS gold_norm, round(any_value(pred_norm), 6) AS pred_norm, round(avg(cosine), 6) AS cosine FROM s, d")
+def reconstruction_diagnostics(spark, sf_dir):
+    n = lambda c: V.norm(V.normalize(F.col(c), SCALE))
+    return _pairs(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg(n("embedding"))).alias("gold_norm"), r6(F.avg(n("pred"))).alias("pred_norm"), r6(F.avg(V.cosine(F.col("pred"), F.col("embedding")))).alias("cosine"))
+
+
+# Text
+
+
+def _responses(spark, sf_dir):
+    """Responses of all kinds around whole texts: a pair, two pairs, an open tag, an empty pair, no tag."""
+    kind, t = F.col("doc_id") % 5, F.col("text")
+    made = (
+        F.when(kind == 0, F.concat(F.lit("x <explanation> "), t, F.lit("\n</explanation> y")))
+        .when(kind == 1, F.concat(F.lit("<explanation>a</explanation>"), t, F.lit("<explanation>b</explanation>")))
+        .when(kind == 2, F.concat(F.lit("<explanation>"), t))
+        .when(kind == 3, F.concat(t, F.lit("<explanation></explanation>")))
+        .otherwise(t)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("response"))
+
+
+_RESPONSES = """r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x <explanation> ' || text || chr(10) || '</explanation> y' WHEN 1 THEN '<explanation>a</explanation>' || text || '<explanation>b</explanation>'
+ WHEN 2 THEN '<explanation>' || text WHEN 3 THEN text || '<explanation></explanation>' ELSE text END AS response FROM documents)"""
+
+
+@query(f"WITH {_RESPONSES} SELECT doc_id, CASE WHEN regexp_matches(response, '(?s)<explanation>(.*?)</explanation>') THEN regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') END AS explanation FROM r")
+def extract_explanation(spark, sf_dir):
+    return _responses(spark, sf_dir).select("doc_id", T.extract_explanation(F.col("response")).alias("explanation"))
+
+
+def _raw_answers(spark, sf_dir):
+    """Texts whose lines carry list markers and bold heads, in tags (every seventh without its end)."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(F.array(*[F.lit(m) for m in ("- ", "1. ", "(2) **Head:** ", "a) ", "  iv. ", "")]), i % 6 + 1), x, F.when(i % 4 == 3, "*").otherwise("")))
+    body = F.concat(F.lit("<analysis>\n"), F.array_join(lines, "\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 6, body).otherwise(F.concat(body, F.lit("\n</analysis>"))).alias("raw"))
+
+
+_RAW = """a AS (SELECT doc_id, '<analysis>' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: ['- ', '1. ', '(2) **Head:** ', 'a) ', '  iv. ', ''][(i - 1) % 6 + 1] || x || CASE WHEN (i - 1) % 4 = 3 THEN '*' ELSE '' END), chr(10))
+ || CASE WHEN doc_id % 7 = 6 THEN '' ELSE chr(10) || '</analysis>' END AS raw FROM documents)"""
+_CLEANED = f"""{_RAW}, c AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '(?s)<analysis>\\s*(.*?)\\s*</analysis>') THEN
+ array_to_string(list_filter(list_transform(string_split(regexp_extract(raw, '(?s)<analysis>\\s*(.*?)\\s*</analysis>', 1), chr(10)), lambda x:
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\\s*(?:[-*•+–—]|\\d+[.)]|\\(\\d+\\)|[a-zA-Z][.)]|\\([a-zA-Z]\\)|[ivxIVX]+[.)])\\s+', ''), '^\\*\\*(.+?)\\*\\*\\s*', '\\1 '), '^\\s+|\\s+$', '', 'g'), '^[*_]+|[*_]+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) END AS explanation FROM a)"""
+
+
+@query(f"WITH {_CLEANED} SELECT doc_id, explanation FROM c")
+def clean_explanation(spark, sf_dir):
+    return _raw_answers(spark, sf_dir).select("doc_id", T.clean_explanation(F.col("raw")).alias("explanation"))
+
+
+@query(f"WITH {_CLEANED} SELECT doc_id, len(string_split(explanation, chr(10) || chr(10)))::INT AS features FROM c WHERE explanation IS NOT NULL AND len(string_split(explanation, chr(10) || chr(10))) >= 2")
+def feature_filter(spark, sf_dir):
+    c = _raw_answers(spark, sf_dir).select("doc_id", T.clean_explanation(F.col("raw")).alias("explanation"))
+    return c.filter(explanations.enough_features("explanation")).select("doc_id", T.n_features(F.col("explanation")).alias("features"))
+
+
+@query("SELECT doc_id, '<explanation>' || chr(10) || text || chr(10) || '</explanation>' AS response FROM documents")
+def wrap_response(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.wrap_explanation(F.col("text")).alias("response"))
+
+
+_ANSWER = "CASE event_id % 6 WHEN 0 THEN 'Score: ' || (event_id % 13)::VARCHAR || '.' WHEN 1 THEN (event_id % 11)::VARCHAR WHEN 2 THEN 'ten' WHEN 3 THEN ' 10 ' WHEN 4 THEN '' END"
+_LETTER = "CASE event_id % 5 WHEN 0 THEN ' c ' WHEN 1 THEN 'Answer: ' || chr((65 + event_id % 8)::INT) WHEN 2 THEN chr((65 + event_id % 6)::INT) WHEN 3 THEN '' END"
+
+
+@query(f"SELECT event_id, TRY_CAST(nullif(regexp_extract(coalesce({_ANSWER}, ''), '\\b(10|[1-9])\\b', 1), '') AS INT) AS score FROM events")
+def parse_score(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.when(i % 6 == 0, F.concat(F.lit("Score: "), (i % 13).cast("string"), F.lit("."))).when(i % 6 == 1, (i % 11).cast("string")).when(i % 6 == 2, "ten").when(i % 6 == 3, " 10 ").when(i % 6 == 4, "")
+    return table(spark, sf_dir, "events").select("event_id", T.parse_score(said).alias("score"))
+
+
+@query(f"SELECT event_id, CASE WHEN x <> '' THEN (instr('ABCDEFGH', x) - 1)::INT END AS option FROM (SELECT event_id, regexp_extract(upper(trim(coalesce({_LETTER}, ''))), '\\b([ABCD])\\b', 1) AS x FROM events)")
+def parse_letter(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.when(i % 5 == 0, " c ").when(i % 5 == 1, F.concat(F.lit("Answer: "), F.char(65 + i % 8))).when(i % 5 == 2, F.char(65 + i % 6)).when(i % 5 == 3, "")
+    return table(spark, sf_dir, "events").select("event_id", T.parse_letter(said, 4).alias("option"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 700 THEN '... ' || right(text, 700) ELSE text END AS tail, nullif(left(text, 6000), '') AS judged, nullif(left(text, 500), '') AS shown FROM documents")
+def snippets(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.tail_snippet(t).alias("tail"), T.head(t, 6000).alias("judged"), T.head(t, 500).alias("shown"))
+
+
+_CJK_SQL = "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in T.CJK_RANGES.split()) + "]"
+
+
+@query(f"SELECT doc_id, round((length(t) - length(regexp_replace(t, '{_CJK_SQL}', '', 'g'))) / length(t), 6) AS cjk FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '漢字㊗、' ELSE '' END || text AS t FROM documents)")
+def cjk_fraction(spark, sf_dir):
+    t = F.concat(F.when(F.col("doc_id") % 3 == 0, "漢字㊗、").otherwise(""), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", r6(T.cjk_fraction(t)).alias("cjk"))
+
+
+@query("SELECT page_id, instr(url, '://') > 0 AS remote, sha256(url) AS key, left(sha256(url), 16) AS cache_name, 'pages:train:' || page_id::VARCHAR AS doc_key, string_split(url, '/')[-1] AS last FROM pages")
+def path_functions(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", T.is_remote(u).alias("remote"), F.sha2(u, 256).alias("key"), F.left(F.sha2(u, 256), F.lit(16)).alias("cache_name"), T.document_key("pages", "train", F.col("page_id")).alias("doc_key"), T.last_part(u).alias("last")
+    )
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id END AS first_row, CASE WHEN page_id % 2 = 0 THEN page_id + 5 END AS end_row, url AS path FROM pages")
+def path_slices(spark, sf_dir):
+    said = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("@["), F.col("page_id").cast("string"), F.lit(":"), (F.col("page_id") + 5).cast("string"), F.lit("]"))).otherwise(F.col("url"))
+    p = table(spark, sf_dir, "pages").select("page_id", T.slice_suffix(said).alias("s"))
+    return p.select("page_id", F.col("s.start").alias("first_row"), F.col("s.end").alias("end_row"), "s.path")
+
+
+# Scans, sampling and splits
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents QUALIFY row_idx BETWEEN 100 AND 399")
+def slice_scan(spark, sf_dir):
+    return corpus.row_range(corpus.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 100, 400).select("doc_id", "row_idx")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1000")
+def capped_scan(spark, sf_dir):
+    return corpus.first_kept(table(spark, sf_dir, "orders"), 1000, F.col("o_orderstatus") == "O", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+_TOKENS = "t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
+_ELIGIBLE = f"{_TOKENS}, e AS (SELECT doc_id, len(w)::INT AS n, list_filter(generate_series(50, len(w) - 1), lambda i: w[i + 1] NOT IN ('the', 'de')) AS p FROM t)"
+
+
+def _eligible(spark, sf_dir):
+    w = F.split("text", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), sampling.eligible_positions(w, ["the", "de"]).alias("p"))
+
+
+@query(f"WITH {_ELIGIBLE} SELECT doc_id, n, len(p)::INT AS n_eligible, len(p) = 0 AS skipped FROM e")
+def eligible_positions(spark, sf_dir):
+    return _eligible(spark, sf_dir).select("doc_id", "n", F.size("p").alias("n_eligible"), (F.size("p") == 0).alias("skipped"))
+
+
+@query(f"""WITH {_ELIGIBLE}, x AS (SELECT doc_id, unnest(p) AS pos FROM e), r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY sha256('42|' || 'documents:train:' || doc_id || '|' || pos)) AS r FROM x)
+ SELECT doc_id, pos::INT AS pos, pos + 1 AS n_raw_tokens, array_to_string(w[1:pos + 1], ' ') AS prefix FROM r JOIN t USING (doc_id) WHERE r <= 10""")
+def sample_positions(spark, sf_dir):
+    key = T.document_key("documents", "train", F.col("doc_id"))
+    p = _eligible(spark, sf_dir).select("doc_id", F.explode(sampling.sample_positions(F.col("p"), 10, SEED, key)).alias("pos"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    return p.join(docs, "doc_id").select("doc_id", "pos", (F.col("pos") + 1).cast("long").alias("n_raw_tokens"), F.array_join(F.slice("w", F.lit(1), F.col("pos") + 1), " ").alias("prefix"))
+
+
+_SPLIT = """d AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('42|' || o_custkey)) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)),
+ s AS (SELECT o_custkey, CASE WHEN r < trunc(n * 0.3::DOUBLE) THEN 'av_sft' WHEN r < trunc(n * 0.3::DOUBLE) + trunc(n * 0.29::DOUBLE) THEN 'ar_sft' ELSE 'rl' END AS split FROM d)"""
+_FRACTIONS = {"av_sft": 0.3, "ar_sft": 0.29, "rl": 0.41}
+
+
+@query(f"WITH {_SPLIT} SELECT o_orderkey, o_custkey, split FROM orders JOIN s USING (o_custkey)")
+def doc_split(spark, sf_dir):
+    return sampling.document_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _FRACTIONS, SEED, "o_custkey")
+
+
+@query(f"WITH {_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT o_custkey) AS docs FROM orders JOIN s USING (o_custkey) GROUP BY split")
+def split_counts(spark, sf_dir):
+    return doc_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("docs"))
+
+
+def _crc_table() -> str:
+    """The 256 remainders of the reflected polynomial 0xEDB88320, from its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return str(out)
+
+
+@query(f"""SELECT doc_id, bucket FROM (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+ lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]::BIGINT)), 4294967295::BIGINT) % 1000 AS bucket FROM documents) WHERE bucket < 200""")
+def val_docs_crc32(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.filter(sampling.is_held_out(F.col("doc_id"), 200)).select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000).alias("bucket"))
+
+
+@query("SELECT o_orderkey, greatest(1, least(500, round_even(1000.0::DOUBLE * (o_custkey % 700) / greatest(1, o_orderkey % 2000), 0)::BIGINT)) AS permille FROM orders")
+def val_permille(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.holdout_permille(F.col("o_custkey") % 700, F.col("o_orderkey") % 2000).alias("permille"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 1000)")
+def doc_disjoint_eval(spark, sf_dir):
+    return sampling.without_seen(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 1000, "o_custkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256('42|base|' || l_orderkey || '|' || l_linenumber) AS shuffle_key FROM lineitem")
+def shuffle_rows(spark, sf_dir):
+    row = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", row.alias("row"))
+    return sampling.permuted(rows, SEED, "base", "row").drop("row")
+
+
+@query("SELECT o_orderkey, o_orderkey // 64 AS step, o_orderkey % 64 AS slot, (o_orderkey % 64) // 16 AS rank, o_orderkey // 4096 AS chunk FROM orders")
+def rank_slice(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor(k / 64).alias("step"), (k % 64).alias("slot"), F.floor((k % 64) / 16).alias("rank"), F.floor(k / 4096).alias("chunk"))
+
+
+# Explanations and training tables
+
+_CACHE = "k AS (SELECT text, 'C' || doc_id || chr(10) || chr(10) || lang AS e, doc_id % 3 AS f, doc_id AS r FROM documents WHERE lang <> 'en'), c AS (SELECT sha256(text) AS h, arg_max(e, f * 1000000000 + r) AS e FROM k GROUP BY 1)"
+
+
+def _cache(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("lang <> 'en'")
+    said = F.concat(F.lit("C"), F.col("doc_id").cast("string"), F.lit("\n\n"), "lang")
+    return d.select("text", said.alias("api_explanation"), (F.col("doc_id") % 3).alias("file_ord"), F.col("doc_id").alias("row_ord"))
+
+
+@query(f"WITH {_CACHE} SELECT doc_id, c.e AS api_explanation FROM documents LEFT JOIN c ON sha256(text) = h")
+def cache_lookup(spark, sf_dir):
+    return explanations.cached(table(spark, sf_dir, "documents").select("doc_id", "text"), _cache(spark, sf_dir)).select("doc_id", "api_explanation")
+
+
+@query(f"WITH {_CACHE} SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT h FROM c)")
+def cache_misses(spark, sf_dir):
+    return explanations.misses(table(spark, sf_dir, "documents").select("doc_id", "text"), _cache(spark, sf_dir)).select("doc_id")
+
+
+def stand_in_provider(rows: DataFrame) -> DataFrame:
+    """A rule in place of a completion service: a digest and the first line; no model is asked."""
+    return rows.withColumn("api_explanation", F.concat(F.left(F.sha2("text", 256), F.lit(8)), F.when(F.col("doc_id") % 4 != 0, F.lit("\n\n")).otherwise(F.lit(" ")), F.get(F.split("text", "\n"), F.lit(0))))
+
+
+_EXPLAINED = f"""{_CACHE}, x AS (SELECT doc_id, text, coalesce(c.e, left(sha256(text), 8) || CASE WHEN doc_id % 4 <> 0 THEN chr(10) || chr(10) ELSE ' ' END || string_split(text, chr(10))[1]) AS e FROM documents LEFT JOIN c ON sha256(text) = h),
+ y AS (SELECT doc_id, text, e FROM x WHERE len(string_split(e, chr(10) || chr(10))) >= 2)"""
+
+
+def _explained(spark, sf_dir):
+    return explanations.explain(table(spark, sf_dir, "documents").select("doc_id", "text"), _cache(spark, sf_dir), stand_in_provider)
+
+
+@query(f"WITH {_EXPLAINED} SELECT doc_id, e AS api_explanation FROM y")
+def explain_rows(spark, sf_dir):
+    return _explained(spark, sf_dir).select("doc_id", "api_explanation")
+
+
+ACTOR, CRITIC = "Explain <INJECT> {as} text.", "<text>{explanation}</text> <summary>"
+
+
+def _training(spark, sf_dir, stage):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("activation_vector"))
+    n = v.count()
+    rows = _explained(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % n).join(v, "vec_id")
+    rows = rows.select("api_explanation", "activation_vector", F.length("text").cast("long").alias("n_raw_tokens"), F.lit(24).cast("long").alias("activation_layer"), T.document_key("documents", "train", F.col("doc_id")).alias("doc_id"))
+    return explanations.build(rows, stage, ACTOR, CRITIC)
+
+
+_VEC = "JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)"
+_PROV = "length(text)::BIGINT AS n_raw_tokens, 24::BIGINT AS activation_layer, 'documents:train:' || doc_id AS doc_id, round(embedding[1]::DOUBLE, 6) AS v1"
+
+
+def _shown(df, *columns):
+    return df.select(*columns, "n_raw_tokens", "activation_layer", "doc_id", r6(F.get("activation_vector", F.lit(0)).cast("double")).alias("v1"))
+
+
+@query(f"WITH {_EXPLAINED} SELECT 'user' AS role, '{ACTOR}' AS content, '<explanation>' || chr(10) || e || chr(10) || '</explanation>' AS response, {_PROV} FROM y {_VEC}")
+def build_av_sft(spark, sf_dir):
+    return _shown(_training(spark, sf_dir, "av_sft"), F.col("prompt")[0]["role"].alias("role"), F.col("prompt")[0]["content"].alias("content"), "response")
+
+
+@query(f"WITH {_EXPLAINED} SELECT '<text>' || e || '</text> <summary>' AS prompt, {_PROV} FROM y {_VEC}")
+def build_ar_sft(spark, sf_dir):
+    return _shown(_training(spark, sf_dir, "ar_sft"), "prompt")
+
+
+@query(f"WITH {_EXPLAINED} SELECT replace('{ACTOR}', '<INJECT>', '㊗') AS content, {_PROV} FROM y {_VEC}")
+def build_rl(spark, sf_dir):
+    return _shown(_training(spark, sf_dir, "rl"), T.inject_marker(F.col("prompt"), "㊗")[0]["content"].alias("content"))
+
+
+@query("SELECT conv_id, len(list(turn))::INT AS turns, sha256(string_agg(role || ':' || replace(text, ' the ', '㊗'), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id")
+def inject_marker(spark, sf_dir):
+    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.replace("text", F.lit(" the "), F.lit(T.INJECT)).alias("content")))).alias("m"))
+    said = F.array_join(F.transform(T.inject_marker(F.col("m"), "㊗"), lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
+    return m.select("conv_id", F.size("m").alias("turns"), F.sha2(said, 256).alias("digest"))
+
+
+@query("SELECT o_orderkey, o_totalprice, (o_orderkey * 7) % 3 AS shard FROM orders")
+def merge_shards(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", ((F.col("o_orderkey") * 7) % 3).alias("shard"))
+    return o.filter("shard = 2").unionByName(o.filter("shard = 0")).unionByName(o.filter("shard = 1"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS shard, min(c_custkey) AS start, max(c_custkey) - min(c_custkey) AS length FROM customer GROUP BY 1),
+ n AS (SELECT *, start + length AS expected, lead(start) OVER (ORDER BY start) AS actual FROM s) SELECT * FROM n WHERE actual <> expected""")
+def shard_contiguity(spark, sf_dir):
+    s = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("shard")).agg(F.min("c_custkey").alias("start"), (F.max("c_custkey") - F.min("c_custkey")).alias("length"))
+    return merging.gaps(s)
+
+
+# Rollouts
+
+_ROLL = """r AS (SELECT l_orderkey AS prompt_idx, l_linenumber AS i, (l_linestatus = 'F') AS truncated, (l_returnflag <> 'R') AS ok, l_quantity::BIGINT AS n_tokens,
+ CASE WHEN l_linestatus = 'F' THEN NULL ELSE -(l_discount * 20 + 0.25) END AS reward FROM lineitem)"""
+
+
+def _rollouts(spark, sf_dir):
+    cut = F.col("l_linestatus") == "F"
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("prompt_idx"), F.col("l_linenumber").alias("i"), cut.alias("truncated"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_quantity").cast("long").alias("n_tokens"),
+        R.reward(F.col("l_discount") * 20 + 0.25, cut).alias("reward"),
+    )
+
+
+@query(f"WITH {_ROLL} SELECT prompt_idx, i, round(coalesce(reward, -2e0), 6) AS plain, round(coalesce(-ln(least(greatest(-reward, 1e-3), 2e0)), -ln(2e0)), 6) AS logged, round(0.5e0 * greatest(0, n_tokens - 20), 6) AS penalty FROM r")
+def reward_fill(spark, sf_dir):
+    r = F.col("reward")
+    return _rollouts(spark, sf_dir).select("prompt_idx", "i", r6(R.filled_reward(r)).alias("plain"), r6(R.filled_reward(r, True)).alias("logged"), r6(R.length_penalty(F.col("n_tokens"), 0.5, 20)).alias("penalty"))
+
+
+_ADV = f"""{_ROLL}, f AS (SELECT *, coalesce(reward, -2e0) - 0.5e0 * greatest(0, n_tokens - 20) AS shaped FROM r), g AS (SELECT *, avg(shaped) FILTER (ok) OVER w AS m, coalesce(stddev_samp(shaped) FILTER (ok) OVER w, 1e0) AS s FROM f WINDOW w AS (PARTITION BY prompt_idx)),
+ a AS (SELECT *, CASE WHEN ok THEN (shaped - m) / (s + 1e-6) ELSE 0e0 END AS advantage FROM g)"""
+
+
+def _advantages(spark, sf_dir):
+    shaped = R.filled_reward(F.col("reward")) - R.length_penalty(F.col("n_tokens"), 0.5, 20)
+    return rollouts.group_advantage(_rollouts(spark, sf_dir).withColumn("shaped", shaped), "prompt_idx", "shaped", "ok")
+
+
+@query(f"WITH {_ADV} SELECT prompt_idx, i, ok, round(advantage, 4) + 0e0 AS advantage FROM a")
+def group_advantage(spark, sf_dir):
+    return _advantages(spark, sf_dir).select("prompt_idx", "i", "ok", (F.round("advantage", 4) + 0.0).alias("advantage"))
+
+
+@query(f"""WITH {_ADV} SELECT prompt_idx % 50 AS step, round(avg(reward), 6) AS reward_mean, round(stddev_pop(reward), 6) AS reward_std, round(min(reward), 6) AS reward_min, round(max(reward), 6) AS reward_max, round(avg(advantage), 4) + 0e0 AS advantage_mean,
+ round(stddev_samp(advantage), 4) AS advantage_std, round(avg((reward IS NOT NULL)::INT), 6) AS extraction_rate, round(avg(truncated::INT), 6) AS frac_cut_off, count(*) FILTER (NOT ok) AS masked_count, round(avg(n_tokens), 6) AS resp_len, round(avg(0.5e0 * greatest(0, n_tokens - 20)), 6) AS penalty_mean FROM a GROUP BY 1""")
+def step_metrics(spark, sf_dir):
+    rows = _advantages(spark, sf_dir).select((F.col("prompt_idx") % 50).alias("step"), "reward", "advantage", "ok", "truncated", "n_tokens", R.length_penalty(F.col("n_tokens"), 0.5, 20).alias("penalty"))
+    m = rollouts.step_metrics(rows)
+    places = {"advantage_mean": 4, "advantage_std": 4}
+    return m.select("step", "masked_count", *[(F.round(c, places.get(c, 6)) + 0.0).alias(c) for c in m.columns if c not in ("step", "masked_count")])
+
+
+@query("WITH p AS (SELECT l_orderkey, l_linenumber, -l_discount * 10 AS new, -l_tax * 10 AS ref FROM lineitem), d AS (SELECT *, least(ref - new, 12.0) AS delta FROM p) SELECT l_orderkey, l_linenumber, round(exp(delta) - delta - 1, 6) AS kl, round(-(0.5 * new - 0.01 * (exp(delta) - delta - 1)), 6) AS loss FROM d")
+def kl_k3(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (-F.col("l_discount") * 10).alias("new"), R.k3(-F.col("l_discount") * 10, -F.col("l_tax") * 10).alias("k"))
+    return p.select("l_orderkey", "l_linenumber", r6("k").alias("kl"), r6(R.token_loss(F.lit(0.5), F.col("new"), F.col("k"), R.kl_weight(None, "k3"))).alias("loss"))
+
+
+@query("SELECT l_orderkey % 20 AS step, round(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 6) AS loss, round(exp(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1)), 6) AS ppl, round(sum(l_discount) / 100000.0, 6) AS budget_loss FROM lineitem GROUP BY 1")
+def token_weighted_loss(spark, sf_dir):
+    loss = F.sum(F.col("l_discount") * F.col("l_quantity")) / F.greatest(F.sum("l_quantity"), F.lit(1))
+    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 20).alias("step")).agg(loss.alias("m"), F.sum("l_discount").alias("s"))
+    return g.select("step", r6("m").alias("loss"), r6(R.perplexity(F.col("m"))).alias("ppl"), r6(F.col("s") / 100000.0).alias("budget_loss"))
+
+
+_LOGITS = """x AS (SELECT vec_id AS token, unnest(embedding)::DOUBLE * 8 AS logit, generate_subscripts(embedding, 1)::INT - 1 AS entry FROM embeddings), y AS (SELECT a.token, a.entry, a.logit, b.logit AS rl FROM x a JOIN x b ON b.token = a.token + 1 AND a.entry = b.entry),
+ z AS (SELECT token, entry, logit, logit - max(logit) OVER w - ln(sum(exp(logit)) OVER w / exp(max(logit) OVER w)) AS lp, rl - max(rl) OVER w - ln(sum(exp(rl)) OVER w / exp(max(rl) OVER w)) AS lq FROM y WINDOW w AS (PARTITION BY token))"""
+
+
+def _logits(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select(F.col("vec_id").alias("token"), F.posexplode(F.arrays_zip("embedding", "pred")).alias("entry", "z"))
+    rows = p.select("token", "entry", (F.col("z.embedding").cast("double") * 8).alias("logit"), (F.col("z.pred").cast("double") * 8).alias("rl"))
+    return rollouts.log_softmax(rollouts.log_softmax(rows, ["token"], "logit", "lp"), ["token"], "rl", "lq")
+
+
+@query(f"WITH {_LOGITS} SELECT token, round(sum(exp(lp) * (lp - lq)), 6) AS kl, round(-sum(exp(lp) * lp), 6) AS entropy FROM z GROUP BY token")
+def kl_full_entropy(spark, sf_dir):
+    return rollouts.full_kl(_logits(spark, sf_dir), ["token"]).select("token", r6("kl").alias("kl"), r6("entropy").alias("entropy"))
+
+
+@query(f"""WITH {_LOGITS}, k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY logit DESC, entry) AS r FROM z), s AS (SELECT token, sum(exp(lp) * (lp - lq)) FILTER (r <= 8) AS head, greatest(1e-9, 1 - sum(exp(lp)) FILTER (r <= 8)) AS tp, greatest(1e-9, 1 - sum(exp(lq)) FILTER (r <= 8)) AS tq FROM k GROUP BY token)
+ SELECT token, round(head + tp * ln(tp / tq), 6) AS kl FROM s""")
+def kl_topk_tail(spark, sf_dir):
+    return rollouts.coarsened_kl(_logits(spark, sf_dir), ["token"], 8).select("token", r6("kl").alias("kl"))
+
+
+_IDS = "i AS (SELECT l_orderkey, list(l_partkey % 7 ORDER BY l_linenumber, l_partkey % 7) AS ids FROM lineitem GROUP BY 1)"
+
+
+def _ids(spark, sf_dir):
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 7).alias("t")))).alias("x"))
+    return lists.select("l_orderkey", F.transform("x", lambda y: y["t"]).alias("ids"))
+
+
+@query(f"""WITH {_IDS}, v AS (SELECT *, list_filter(generate_series(2, len(ids) - 1), lambda k: ids[k] = 3 AND ids[k - 1] = 2 AND ids[k + 1] = 4) AS p FROM i)
+ SELECT l_orderkey, len(list_filter(ids, lambda t: t = 3))::INT AS markers, len(p)::INT AS valid, len(list_filter(ids, lambda t: t = 3)) = 1 AND len(p) = 1 AS well_formed, (p[1] - 1)::INT AS position FROM v""")
+def marker_check(spark, sf_dir):
+    ids = F.col("ids")
+    p = rollouts.valid_markers(ids, 3, 2, 4)
+    return _ids(spark, sf_dir).select("l_orderkey", F.size(F.filter(ids, lambda t: t == 3)).alias("markers"), F.size(p).alias("valid"), rollouts.marker_well_formed(ids, 3, 2, 4).alias("well_formed"), F.get(p, F.lit(0)).alias("position"))
+
+
+@query(f"""WITH {_IDS}, s AS (SELECT *, least(coalesce(nullif(list_position(ids, 5), 0), 99), coalesce(nullif(list_position(ids, 6), 0), 99), len(ids)) AS k FROM i)
+ SELECT l_orderkey, array_to_string(ids[1:k], ',') AS trimmed, len(ids) >= 5 AND ids[-1] NOT IN (5, 6) AS truncated, array_to_string(ids[1:4], ',') AS cut FROM s""")
+def trim_at_stop(spark, sf_dir):
+    ids = F.col("ids")
+    said = lambda x: F.array_join(F.transform(x, lambda t: t.cast("string")), ",")
+    return _ids(spark, sf_dir).select("l_orderkey", said(rollouts.trimmed_at_stop(ids, [5, 6])).alias("trimmed"), rollouts.is_truncated(ids, 5, [5, 6]).alias("truncated"), said(F.slice(ids, 1, 4)).alias("cut"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, coalesce(o_orderpriority, '') AS priority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'O'")
+def rollout_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    return table(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "o_custkey", F.coalesce("o_orderpriority", F.lit("")).alias("priority"))
+
+
+@query("SELECT event_id, greatest(0, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta FROM events")
+def counter_delta(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.0), F.col("value") - F.lag("value").over(w)).alias("delta"))
+
+
+# Evaluation
+
+
+@query(f"WITH {_ROLL}, e AS (SELECT coalesce(reward, -2e0) AS reward FROM r) SELECT count(*) AS n, count(*) FILTER (reward > -2.0) AS n_valid, round(avg(reward), 6) AS reward_mean, round(avg(-reward) FILTER (reward > -2.0), 6) AS mse_valid FROM e")
+def eval_summary(spark, sf_dir):
+    s = evaluation.evaluation_summary(_rollouts(spark, sf_dir).select(R.filled_reward(F.col("reward")).alias("reward")))
+    return s.select("n", "n_valid", r6("reward_mean").alias("reward_mean"), r6("mse_valid").alias("mse_valid"))
+
+
+@query("""WITH s AS (SELECT item_id AS i, text FROM benchmark), p AS (SELECT a.i, b.i AS j FROM s a JOIN s b ON a.i <> b.i AND NOT starts_with(a.text, b.text) AND NOT starts_with(b.text, a.text)),
+ q AS (SELECT *, count(*) OVER (PARTITION BY i) AS n, row_number() OVER (PARTITION BY i ORDER BY sha256('42|' || i || '|' || j)) AS r FROM p) SELECT i, j, r::INT AS r FROM q WHERE r < 4 AND n >= 3""")
+def distractor_pairs(spark, sf_dir):
+    return evaluation.distractors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), "text"), 4, SEED)
+
+
+@query("""WITH j AS (SELECT event_id // 3 AS i, CASE event_id % 3 WHEN 0 THEN 'coherence' WHEN 1 THEN 'specificity' ELSE 'source_match' END AS dim, CASE WHEN event_type <> 'view' THEN (event_id % 10 + 1) END AS score, CASE WHEN user_id % 5 <> 0 THEN (event_id % 2) END AS hit FROM events)
+ SELECT round(avg(score) FILTER (dim = 'coherence'), 6) AS coherence_mean, round(avg(score) FILTER (dim = 'specificity'), 6) AS specificity_mean, round(avg(hit) FILTER (dim = 'source_match'), 6) AS source_match_acc,
+ round(avg((hit IS NOT NULL)::INT) FILTER (dim = 'source_match'), 6) AS match_answer_rate, round(avg(CASE WHEN dim = 'source_match' THEN hit IS NULL ELSE score IS NULL END::INT), 6) AS judge_fail_rate, count(DISTINCT i) AS n_judged FROM j""")
+def judge_summary(spark, sf_dir):
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.floor(i / 3).alias("i"), F.when(i % 3 == 0, "coherence").when(i % 3 == 1, "specificity").otherwise("source_match").alias("dim"),
+        F.when(F.col("event_type") != "view", i % 10 + 1).alias("score"), F.when(F.col("user_id") % 5 != 0, i % 2).alias("hit"),
+    )
+    s = evaluation.judge_summary(rows)
+    return s.select("n_judged", *[r6(c).alias(c) for c in s.columns if c != "n_judged"])
+
+
+@query("SELECT s_suppkey, round(CASE WHEN s_suppkey < 10 THEN 1e-4 * s_suppkey / 10.0 ELSE 1e-4 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s_suppkey - 10) / 80.0)))) END, 9) AS lr FROM supplier")
+def lr_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(R.learning_rate(F.col("s_suppkey"), 1e-4, 10, 90, 0.1), 9).alias("lr"))
+
+
+@query("SELECT n_nationkey, (n_nationkey * 2 // 3)::BIGINT AS layer FROM nation")
+def default_layer(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", R.default_layer(F.col("n_nationkey")).cast("long").alias("layer"))
+
+
+@query("SELECT o_custkey % 10 AS batch, round(avg((o_orderstatus = 'P')::INT), 6) AS rate, avg((o_orderstatus = 'P')::INT) > 0.2 AS broken FROM orders GROUP BY 1")
+def failure_breaker(spark, sf_dir):
+    rate = F.avg((F.col("o_orderstatus") == "P").cast("double"))
+    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 10).alias("batch")).agg(r6(rate).alias("rate"), (rate > 0.2).alias("broken"))
+
+
+@query("SELECT l_orderkey % 50 AS step, round(sum(l_quantity) / sum(l_tax + 0.01), 6) AS tokens_per_s, round(count(*) / sum(l_discount + 0.01), 6) AS rollouts_per_s FROM lineitem GROUP BY 1")
+def throughput(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("step"))
+    return g.agg(r6(F.sum("l_quantity") / F.sum(F.col("l_tax") + 0.01)).alias("tokens_per_s"), r6(F.count("*") / F.sum(F.col("l_discount") + 0.01)).alias("rollouts_per_s"))
+
+
+@query("SELECT count(DISTINCT sha256(text)) AS distinct_texts, count(*) AS rows FROM documents")
+def distinct_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"), F.count("*").alias("rows"))
