@@ -17,8 +17,10 @@ keys stays in proportion to the prefix. Which tokens are rare or frequent is kep
 in two bitmaps of bounded size; their false positives move tokens to a more
 frequent kind for all documents alike, which costs keys, but loses none.
 
-Verification. Of the sets that share a key, all are compared with one (the hub),
-not with each other. What links to the same set is one component already. Then
+Verification. A set also has 256 bits, each the parity of its tokens of one hash
+value; sets whose bits differ in more places than linked sets may differ in tokens
+can't link, and go before anything large is moved. Of the sets that share a key,
+all are compared with one (the hub), not with each other. What links to the same set is one component already. Then
 only pairs across components are left, of which those go whose bound by the
 known overlaps with the hub excludes a link; the rest are compared, too. So every
 pair that shares a key is linked, known to be in one component, excluded by a
@@ -28,7 +30,7 @@ Nothing about documents reaches the driver but the bitmaps. Hot keys meet in
 joins that split them. Tables between steps are in the shared folder.
 
 Null or empty texts have empty sets and link with nothing. Rows with one id stand
-each for itself, but share its id. Null ids are allowed and are greater than any.
+each for itself; deduplicate() takes them for one document. Null ids are allowed and are greater than any.
 Other columns are ignored.
 """
 
@@ -70,11 +72,40 @@ def _classes(level: int) -> int:
     return 1 << max(0, level - 1)
 
 
-def _prefix_length(n: Column, percent: int) -> Column:
+def _prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
     """The longest prefix that any level needs; 0 for sets too small to link with a different one."""
-    spare = n - F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
-    classes = F.when(spare < 2, F.lit(1)).otherwise(F.pow(F.lit(2), F.floor(F.log2(spare.cast("double")))).cast("int"))
-    return F.when(n * (100 - percent) >= percent, F.least(n, spare + 2 + classes)).otherwise(F.lit(0))
+    spare = sizes - -(-sizes * percent // 100)
+    classes = np.where(spare < 2, 1, 2 ** np.floor(np.log2(np.maximum(spare, 1))).astype(np.int64))
+    return np.where(sizes * (100 - percent) >= percent, np.minimum(sizes, spare + 2 + classes), 0)
+
+
+BITS = ("b0", "b1", "b2", "b3")
+PREFIXES = "doc_id {}, text_hash long, sid long, n int, prefix array<bigint>, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Each document's set id, size, longest prefix and parity bits."""
+    cut = once(docs.select("doc_id", "text"), "tokens", shingles(F.col("text"), words))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(3)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            sizes = np.diff(ends).astype(np.int64)
+            starts = (ends[:-1] - ends[0]).astype(np.int64)
+            lengths = _prefix_lengths(sizes, percent)
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[np.repeat(starts, lengths) + within], pa.int64()))
+            odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + (flat & 255), minlength=len(sizes) * 256) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view("<i8") if len(sizes) else np.empty((0, 4), "<i8")
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(bits[:, i]), pa.int64()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sid", "n", "prefix", *BITS])
+
+    keyed = cut.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("tokens").alias("sid"), "tokens")
+    return keyed.mapInArrow(run, PREFIXES.format(dict(docs.dtypes)["doc_id"]))
 
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -161,8 +192,11 @@ def _signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     return prefixes.filter(F.size("prefix") > 0).select("sid", "n", "prefix").mapInArrow(run, "key long, sid long, n int, single boolean")
 
 
-def _near(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether sets may link by their sizes and parity bits (columns with these prefixes)."""
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in BITS[1:]), F.bit_count(F.col(f"{x}{BITS[0]}").bitwiseXOR(F.col(f"{y}{BITS[0]}"))))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (differ * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,24 +206,23 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("link", F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
 
 
-def _across(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, compared: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets with a common key of frequent tokens, in different components so far, that no bound excludes."""
     hops = compared.filter("link").groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("label"))
     further = hops.join(hops.select(F.col("sid").alias("label"), F.col("label").alias("next")), "label", "left").select("sid", F.coalesce("next", "label").alias("label"))
+    labelled = members.filter(~F.col("single")).join(further, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
     rows = (
-        members.filter(~F.col("single"))
-        .join(further, "sid", "left")
+        labelled.join(mixed.select("key", F.col("most.label").alias("most")), "key")
         .join(compared.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "overlap"), ["hub", "sid"], "left")
-        .select("key", "sid", "n", F.coalesce("label", "sid").alias("label"), F.when(F.col("sid") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("common"))
+        .join(index.select("sid", *BITS), "sid")
+        .select("key", "sid", "n", "label", (F.col("label") == F.col("most")).alias("major"), F.when(F.col("sid") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("common"), *BITS)
     )
-    mixed = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = rows.join(mixed.select("key", F.col("most.label").alias("most")), "key").withColumn("major", F.col("label") == F.col("most"))
-    left = rows.filter(~F.col("major")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "label", "common")])
+    left = rows.filter(~F.col("major")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "label", "common", *BITS)])
     bound = F.least("x_common", "common") + F.least(F.col("x_n") - F.col("x_common"), F.col("n") - F.col("common"))
-    possible = F.coalesce(bound * 100 >= (F.col("x_n") + F.col("n") - bound) * percent, F.lit(True))
+    by_hub = F.coalesce(bound * 100 >= (F.col("x_n") + F.col("n") - bound) * percent, F.lit(True))
     return (
-        left.join(rows, "key")
-        .filter((F.col("x_label") != F.col("label")) & (F.col("major") | (F.col("x_sid") < F.col("sid"))) & _near(F.col("x_n"), F.col("n"), percent) & possible)
+        left.join(rows, (left["key"] == rows["key"]) & (F.col("x_label") != F.col("label")) & (F.col("major") | (F.col("x_sid") < F.col("sid"))) & _possible("x_", "", percent) & by_hub)
         .select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b"))
         .distinct()
         .join(compared.select("a", "b"), ["a", "b"], "left_anti")
@@ -201,56 +234,50 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     if not 70 <= percent < 100:
         raise ValueError("percent must be from 70 to 99")
     spark = docs.sparkSession
-    cut = once(docs.select("doc_id", "text"), "tokens", shingles(F.col("text"), words))
-    size = F.size("tokens")
-    sized = cut.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("tokens").alias("sid"), size.alias("n"), F.slice("tokens", F.lit(1), _prefix_length(size, percent)).alias("prefix"))
-    prefixes, at_prefixes = written(spark, sized, "prefixes")
+    prefixes, _ = written(spark, _described(docs, words, percent), "prefixes")
+    one = F.min(F.struct("text_hash", "doc_id"))
+    by_set = prefixes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), one.alias("d"), *[F.first(c).alias(c) for c in ("n", *BITS)])
+    index, at_index = written(spark, by_set.select("sid", "least", "d.text_hash", "d.doc_id", "n", *BITS), "index")
     keys, at_keys = written(spark, _signatures(prefixes, percent), "keys")
     shared = keys.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).filter("hub <> last").select("key", "hub")
     members, at_members = written(spark, keys.join(shared, "key").distinct(), "members")
     dropped(spark, at_keys)
 
-    named = members.groupBy("hub", "sid").agg(F.count("*").alias("keys"), F.min("single").alias("single"), F.first("n").alias("n"))
-    hub_size = members.filter("sid = hub").groupBy("hub").agg(F.first("n").alias("hub_n"))
-    stars = (
-        named.filter("sid <> hub AND (NOT single OR keys >= 2)")
-        .join(hub_size, "hub")
-        .filter(_near(F.col("n"), F.col("hub_n"), percent))
-        .select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    )
-    stars, at_stars = written(spark, stars, "stars")
-    involved = stars.select(F.col("a").alias("sid")).unionByName(stars.select(F.col("b").alias("sid"))).unionByName(members.filter(~F.col("single")).select("sid")).distinct()
-    sets, at_sets = written(spark, _sets(docs, prefixes, involved, words), "sets")
-    first, at_first = written(spark, _compared(stars, sets, percent), "compared")
-    second, at_second = written(spark, _compared(_across(members, first, percent), sets, percent), "compared")
-    dropped(spark, at_members, at_stars, at_sets)
+    bits = lambda x, y: index.select(F.col("sid").alias(x), *[F.col(c).alias(f"{y}{c}") for c in ("n", *BITS)])
+    named = members.filter("sid <> hub").groupBy("hub", "sid").agg(F.count("*").alias("keys"), F.min("single").alias("single")).filter("NOT single OR keys >= 2")
+    star = named.select("hub", "sid").join(bits("sid", "y_"), "sid").join(bits("hub", "x_"), "hub").filter(_possible("x_", "y_", percent))
+    stars, at_stars = written(spark, star.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "stars")
+    first, _ = written(spark, _compared(stars, _sets(docs, index, stars, words), percent), "compared")
+    rest, at_rest = written(spark, _across(members, first, index, percent), "rest")
+    second, _ = written(spark, _compared(rest, _sets(docs, index, rest, words), percent), "compared")
+    dropped(spark, at_members, at_stars, at_rest)
 
     found = components(first.filter("link").unionByName(second.filter("link")), "a", "b")
-    ids = prefixes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     # A component without different sets is its set alone.
-    rooted = ids.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = index.select("sid", "least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.join(least, "root").select("sid", "component_id")
+    of_set = rooted.join(least, "root").select("sid", "component_id")
+    # Empty sets have no row there, and keys of their own so that they don't meet in one task.
+    full = F.col("n") > 0
     return (
-        prefixes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"), F.coalesce(F.col("sid"), F.lit(0)).alias("_"))
-        .withColumn("sid", F.coalesce("sid", F.xxhash64("doc_id")))  # empty sets don't meet in one task; n tells them apart
-        .join(by_set.withColumn("full", F.lit(True)), ["sid"], "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        prefixes.select("doc_id", "n", F.when(full, F.col("sid")).otherwise(F.xxhash64("doc_id", "text_hash")).alias("sid"))
+        .join(of_set, "sid", "left")
+        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
-def _sets(docs: DataFrame, prefixes: DataFrame, involved: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens) of the sets named, made again from one document of each."""
-    chosen = prefixes.join(involved, "sid").groupBy("sid").agg(F.min(F.struct("text_hash", "doc_id")).alias("d")).select("sid", "d.text_hash", "d.doc_id")
+def _sets(docs: DataFrame, index: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(sid, tokens) of the sets in pairs, made again from one document of each."""
+    involved = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    chosen = index.join(involved, "sid").select("sid", F.col("text_hash").alias("h"), F.col("doc_id").alias("d"))
     # A bitmap of bounded size keeps most other texts from being shuffled.
-    at = F.col("text_hash").bitwiseAND(F.lit((1 << 22) - 1))
-    bits = chosen.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(text_hash & 63))")).alias("bits"))
+    at = lambda h: F.shiftright(h.bitwiseAND(F.lit((1 << 22) - 1)), 6)
+    bits = chosen.groupBy(at(F.col("h")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
     zeros = docs.sparkSession.range(1 << 16).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
     dense = bits.unionByName(zeros).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda y: y["bits"]).alias("b"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    passing = keyed.filter(F.getbit(F.get(dense.scalar(), F.shiftright(at, 6).cast("int")), F.col("text_hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    wanted = chosen.select("sid", F.col("text_hash").alias("h"), F.col("doc_id").alias("d"))
-    joined = passing.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["sid"])
+    passing = keyed.filter(F.getbit(F.get(dense.scalar(), at(F.col("text_hash")).cast("int")), F.col("text_hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    joined = passing.join(chosen, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["sid"])
     return joined.select("sid", shingles(F.col("text"), words).alias("tokens"))
 
 
