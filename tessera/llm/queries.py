@@ -146,4 +146,67 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_OP10_MASK = quality_rules.mask(quality_rules.POLICIES["web-2"])
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+ bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+ d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+ h AS (SELECT doc_id, dw.n, i, item FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+ p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS q FROM h) GROUP BY 1),
+ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op3_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ e AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + 19 AS made, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ f AS (SELECT *, sum(made) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars FROM f GROUP BY conv_id""",
+    "op6_warc_revisits": r"""
+WITH p AS (SELECT page_id, url, length(html) AS size, md5(html) AS h, (page_id * 7919) % 1000003 AS t0, page_id % 4 AS turn FROM pages),
+ r AS (SELECT page_id * 4 AS record_id, url, t0 AS ts, 'response' AS kind, h AS etag, 'day ' || t0 % 365 AS lm, h AS digest, size FROM p
+  UNION ALL SELECT page_id * 4 + 1, url, t0 + 3600, 'revisit', 'W/' || h, 'day ' || t0 % 365, NULL, 0 FROM p
+  UNION ALL SELECT page_id * 4 + 2, url, t0 + 7200, 'revisit', CASE turn WHEN 0 THEN h WHEN 1 THEN 'other' END, CASE turn WHEN 2 THEN 'day ' || t0 % 365 END, NULL, 0 FROM p
+  UNION ALL SELECT page_id * 4 + 3, url, t0 - 60, 'revisit', h, 'day ' || t0 % 365, h, 0 FROM p),
+ k AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.|:(80|443)$', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS page,
+  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) AS q FROM r),
+ c AS (SELECT * EXCLUDE (page, q), page || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM k),
+ b AS (SELECT *, max(CASE WHEN kind = 'response' THEN {'ts': ts, 'id': record_id, 'etag': etag, 'lm': lm, 'digest': digest, 'size': size} END) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM c),
+ v AS (SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN base IS NULL THEN 'no_base'
+  WHEN etag IS NOT NULL THEN CASE WHEN replace(etag, 'W/', '') = base.etag THEN 'resolved' ELSE 'mismatch' END
+  WHEN lm IS NOT NULL THEN CASE WHEN lm = base.lm THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS verdict FROM b)
+SELECT record_id, canonical_url, ts, kind, CASE WHEN kind = 'response' THEN record_id WHEN verdict IN ('resolved', 'unverified') THEN base.id END AS base_id, verdict, CASE WHEN verdict = 'resolved' THEN base.digest ELSE digest END AS digest,
+ 'content-length: ' || CASE WHEN verdict = 'resolved' THEN base.size ELSE size END || chr(10) || CASE WHEN verdict IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) ELSE '' END || 'date: ' || ts AS headers
+FROM v""",
+    "op7_url_filter": f"""
+WITH r(host, path, action, is_rule) AS (VALUES {", ".join(f"('{h}', '{p}', '{a}', 1)" for h, p, a in RULES)}, {", ".join(f"('{h}', '{p}', 'block', 0)" for h, p in LISTED)}),
+ p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+ m AS (SELECT p.page_id, max({{'is_rule': r.is_rule, 'n': length(r.host || r.path), 'h': length(r.host), 'action': r.action, 'key': r.host || r.path}}) AS best FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1)
+SELECT page_id, host, path, CASE WHEN best.is_rule = 1 THEN best.key END AS rule, coalesce(best.action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op8_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ c(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, c.r FROM c JOIN e ON e.x = c.doc_id WHERE c.r < e.y),
+ k AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)""",
+    "op10_quality_rules": rf"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS l FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d)),
+ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')) AS n_excl,
+  len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_excl > 50 * n_words THEN 8 ELSE 0 END
+  + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines THEN 32 ELSE 0 END)::INT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & {_OP10_MASK} = 0 AS kept, fail_bits FROM f""",
+}
