@@ -24,7 +24,8 @@ def reward(mse: Column, truncated: Column | None = None) -> Column:
 
 def filled_reward(r: Column, log_mode: bool = False) -> Column:
     if log_mode:
-        return F.coalesce(-F.ln(F.least(F.greatest(-r, F.lit(1e-3)), F.lit(2.0))), F.lit(-math.log(2)))
+        # greatest() passes over nulls, so they are told apart first
+        return F.when(r.isNotNull(), -F.ln(F.least(F.greatest(-r, F.lit(1e-3)), F.lit(2.0)))).otherwise(F.lit(-math.log(2)))
     return F.coalesce(r, F.lit(FAILED_REWARD))
 
 

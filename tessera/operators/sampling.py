@@ -9,8 +9,10 @@ ever ordered, and no single task sees the table.
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,6 @@ def sample_positions(positions: Column, k: int, seed: int, key: Column) -> Colum
 
 def sample_positions_python(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """(doc_id, positions) by Python's own generator, keyed by seed and document: the same draws as a Python loop makes."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def draw(ids: pd.Series, positions: pd.Series) -> pd.Series:
         def one(doc, found):

@@ -403,7 +403,7 @@ def _rollouts(spark, sf_dir):
     )
 
 
-@query(f"WITH {_ROLL} SELECT prompt_idx, i, round(coalesce(reward, -2e0), 6) AS plain, round(coalesce(-ln(least(greatest(-reward, 1e-3), 2e0)), -ln(2e0)), 6) AS logged, round(0.5e0 * greatest(0, n_tokens - 20), 6) AS penalty FROM r")
+@query(f"WITH {_ROLL} SELECT prompt_idx, i, round(coalesce(reward, -2e0), 6) AS plain, round(CASE WHEN reward IS NULL THEN -ln(2e0) ELSE -ln(least(greatest(-reward, 1e-3), 2e0)) END, 6) AS logged, round(0.5e0 * greatest(0, n_tokens - 20), 6) AS penalty FROM r")
 def reward_fill(spark, sf_dir):
     r = F.col("reward")
     return _rollouts(spark, sf_dir).select("prompt_idx", "i", r6(R.filled_reward(r)).alias("plain"), r6(R.filled_reward(r, True)).alias("logged"), r6(R.length_penalty(F.col("n_tokens"), 0.5, 20)).alias("penalty"))
