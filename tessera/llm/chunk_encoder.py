@@ -9,9 +9,13 @@ wherever a pre-token must begin, and equal chunks have equal ids:
   feed between two non-blanks.
 * ``word`` (blanks are dropped): at spaces and line feeds.
 
-Chunks are encoded once for each worker (up to ``KEEP`` of them, those of up to
-``LONGEST`` characters) and looked up afterwards. Ids are bytes of little-endian
-unsigned 32-bit integers. Names of special tokens in a text are ordinary text.
+Chunks are encoded once for each worker and looked up afterwards; up to twice
+``KEEP`` of them are kept (those in use move on when the older half goes), each of
+up to ``LONGEST`` characters. A new chunk that is a Latin word with or without
+punctuation behind it is two pre-tokens at most; the library's model gets these
+directly, spelled as its pre-tokenizer would spell them. Other chunks go through
+the whole of the library. Ids are bytes of little-endian unsigned 32-bit integers.
+Names of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -20,10 +24,22 @@ import os
 import re
 from array import array
 
-KEEP, LONGEST = 400_000, 48
+KEEP, LONGEST = 250_000, 48
 #: Blanks other than the space and the line feed, as Unicode has them.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD_START = re.compile(r" (?=\S)")
+#: Letters of Latin-1, then ASCII punctuation without the apostrophe (which begins contractions).
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level pre-tokenizers spell each byte: printable ones as themselves, the others from U+0100 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in own else next(others) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class ChunkEncoder:
@@ -33,8 +49,27 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.spaced = kind == "byte_level"
         self.chunks = {"byte_level": self._byte_level, "word": self._word}[kind]
-        self.kept: dict = {}
+        self.line = self._ids("\n") if self.spaced else b""
+        self.pieces: dict[str, bytes] = {}
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, pre_token: str) -> bytes:
+        """The ids of one pre-token."""
+        found = self.pieces.get(pre_token)
+        if found is None:
+            spelled = pre_token if self.spaced else pre_token.lower()
+            tokens = self.tokenizer.model.tokenize(spelled.encode().decode("latin-1").translate(_LETTERS))
+            found = array("I", [t.id for t in tokens]).tobytes()
+            if len(self.pieces) >= KEEP:
+                self.pieces.clear()
+            self.pieces[pre_token] = found
+        return found
 
     @staticmethod
     def _byte_level(text: str) -> list:
@@ -50,29 +85,41 @@ class ChunkEncoder:
     def _word(text: str) -> list:
         return text.replace("\n", " ").split(" ")
 
-    @staticmethod
-    def _said(key, spaced: bool) -> str:
+    def _said(self, key) -> str:
         if isinstance(key, tuple):
             return key[0]
-        return key if not spaced or key[:1] == "\n" else " " + key
+        return key if not self.spaced or key[:1] == "\n" else " " + key
+
+    def _encoded(self, keys: list) -> dict:
+        """Ids of chunks."""
+        found = {}
+        for k in keys:
+            said, before = self._said(k), b""
+            if self.spaced and said[:1] == "\n":  # a pre-token of its own before a non-blank
+                said, before = (said[1:], self.line) if len(said) > 1 and not said[1].isspace() else (said, b"")
+            if (m := _SIMPLE.fullmatch(said)) and len(said) <= LONGEST:
+                word, marks = m.groups()
+                found[k] = before + self._piece(word) + (self._piece(marks) if marks else b"")
+            else:
+                found[k] = before + self._ids(said)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [self.chunks(t) for t in texts]
-        missing = set().union(*chunked) - self.kept.keys()
-        if len(self.kept) + len(missing) > KEEP:
-            self.kept.clear()
-            missing = set().union(*chunked)
-        names, spaced = list(missing), self.chunks == self._byte_level
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
-            for name, e in zip(part, self.tokenizer.encode_batch([self._said(n, spaced) for n in part], add_special_tokens=False), strict=True):
-                self.kept[name] = array("I", e.ids).tobytes()
-        get = self.kept.__getitem__
-        made = [b"".join(map(get, keys)) for keys in chunked]
-        for name in names:
-            if len(name if isinstance(name, str) else name[0]) > LONGEST:
-                del self.kept[name]
-        return made
+        parts = [list(map(self.new.get, keys)) for keys in chunked]
+        open_texts = [i for i, found in enumerate(parts) if None in found]
+        places = [[j for j, x in enumerate(parts[i]) if x is None] for i in open_texts]
+        missing = {chunked[i][j] for i, at in zip(open_texts, places, strict=True) for j in at}
+        known = {k: self.old[k] for k in missing if k in self.old}
+        known |= self._encoded([k for k in missing if k not in known])
+        for i, at in zip(open_texts, places, strict=True):
+            keys, found = chunked[i], parts[i]
+            for j in at:
+                found[j] = known[keys[j]]
+        if len(self.new) + len(known) > KEEP:
+            self.old, self.new = self.new, {}
+        self.new |= {k: v for k, v in known.items() if len(k if isinstance(k, str) else k[0]) <= LONGEST}
+        return [b"".join(found) for found in parts]
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
