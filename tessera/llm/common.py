@@ -72,7 +72,13 @@ def shared_root(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df into the shared folder and reads it back, which cuts its lineage."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # nothing needs the shuffle files of a table that stands
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
