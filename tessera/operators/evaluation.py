@@ -55,6 +55,23 @@ def distractors(sources: DataFrame, k: int, seed: int, block: int = 64) -> DataF
     return ranked.filter((F.col("r") < k) & (F.col("n") >= k - 1)).select(F.col("a").alias("i"), "j", "r")
 
 
+RUBRIC = ("coherence", "specificity", "fluency", "relevance", "completeness")
+
+
+def judge_jobs(rows: DataFrame, limit: int = 6000) -> DataFrame:
+    """(i, dim, explanation, source): the rubric's tasks and the match of each row that has an explanation."""
+    dims = F.explode(F.array(*[F.lit(d) for d in (*RUBRIC, "source_match")]))
+    kept = rows.withColumn("explanation", F.nullif(F.left("explanation", F.lit(limit)), F.lit(""))).filter(F.col("explanation").isNotNull())
+    jobs = kept.select("i", dims.alias("dim"), "explanation", F.nullif(F.left("source", F.lit(limit)), F.lit("")).alias("source"))
+    return jobs.filter((F.col("dim") != "source_match") | F.col("source").isNotNull())
+
+
+def by_request(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """requests with the text of their answer by (batch, idx); null where it is missing or failed."""
+    good = answers.select("batch", "idx", F.when(F.col("status") == "succeeded", F.col("text")).alias("text"))
+    return requests.join(good, ["batch", "idx"], "left")
+
+
 def judge_summary(scores: DataFrame) -> DataFrame:
     """scores: (i, dim, score, hit): one row per task, ``source_match`` among the dims; a null score or hit failed."""
     match = F.col("dim") == "source_match"

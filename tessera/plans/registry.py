@@ -530,6 +530,26 @@ def judge_summary(spark, sf_dir):
     return s.select("n_judged", *[r6(c).alias(c) for c in s.columns if c != "n_judged"])
 
 
+_RUBRIC_SQL = str([*evaluation.RUBRIC, "source_match"])
+
+
+@query(f"""WITH {_RESPONSES}, e AS (SELECT doc_id AS i, nullif(CASE WHEN regexp_matches(response, '(?s)<explanation>(.*?)</explanation>') THEN regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') END, '') AS e, text AS source FROM r JOIN documents USING (doc_id)),
+ j AS (SELECT i, unnest({_RUBRIC_SQL}) AS dim, left(e, 6000) AS explanation, nullif(left(source, 6000), '') AS source FROM e WHERE e IS NOT NULL) SELECT i, dim, length(explanation)::INT AS n, sha256(explanation || coalesce(source, '')) AS digest FROM j WHERE dim <> 'source_match' OR source IS NOT NULL""")
+def judge_jobs(spark, sf_dir):
+    e = extract_explanation(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")), "doc_id").withColumnRenamed("doc_id", "i")
+    j = evaluation.judge_jobs(e)
+    return j.select("i", "dim", F.length("explanation").alias("n"), F.sha2(F.concat("explanation", F.coalesce("source", F.lit(""))), 256).alias("digest"))
+
+
+@query("""WITH q AS (SELECT o_orderkey, o_orderkey // 5000 AS batch, o_orderkey % 5000 AS idx FROM orders), a AS (SELECT o_orderkey // 5000 AS batch, o_orderkey % 5000 AS idx, o_orderpriority AS text, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0)
+ SELECT o_orderkey, CASE WHEN s <> 'P' THEN text END AS text FROM q LEFT JOIN a USING (batch, idx)""")
+def request_join(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumns({"batch": F.floor(k / 5000), "idx": k % 5000})
+    answers = o.filter(k % 7 != 0).select("batch", "idx", F.when(F.col("o_orderstatus") == "P", "failed").otherwise("succeeded").alias("status"), F.col("o_orderpriority").alias("text"))
+    return evaluation.by_request(o.select("o_orderkey", "batch", "idx"), answers).select("o_orderkey", "text")
+
+
 @query("SELECT s_suppkey, round(CASE WHEN s_suppkey < 10 THEN 1e-4 * s_suppkey / 10.0 ELSE 1e-4 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s_suppkey - 10) / 80.0)))) END, 9) AS lr FROM supplier")
 def lr_schedule(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(R.learning_rate(F.col("s_suppkey"), 1e-4, 10, 90, 0.1), 9).alias("lr"))
