@@ -109,7 +109,7 @@ def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
 
         def of(hashes: Column) -> Column:
             long = _picked(words, hashes, GRAM, passes)
-            short = [F.transform(_picked(words, hashes, k, passes), lambda x, k=k: x.withField("k", F.lit(-k))) for k in lengths]
+            short = [F.transform(_picked(words, hashes, k, passes), lambda x: x.withField("k", -x["k"])) for k in lengths]
             return F.concat(long, *short) if short else long
 
         return let(word_hashes(words), of)
