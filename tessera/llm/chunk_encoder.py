@@ -10,7 +10,7 @@ wherever a pre-token must begin, and equal chunks have equal ids:
 * ``word`` (blanks are dropped): at spaces and line feeds.
 
 Chunks are encoded once for each worker and looked up afterwards; up to twice
-``KEEP`` of them are kept (those in use move on when the older half goes), each of
+``KEEP`` chunks, and as many pre-tokens, are kept (those in use move on when the older half goes), each of
 up to ``LONGEST`` characters. A new chunk that is a Latin word with or without
 punctuation behind it is two pre-tokens at most; the library's model gets these
 directly, spelled as its pre-tokenizer would spell them. Other chunks go through
@@ -24,7 +24,7 @@ import os
 import re
 from array import array
 
-KEEP, LONGEST = 250_000, 48
+KEEP, LONGEST = 300_000, 48
 #: Blanks other than the space and the line feed, as Unicode has them.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD_START = re.compile(r" (?=\S)")
@@ -49,10 +49,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaced = kind == "byte_level"
         self.chunks = {"byte_level": self._byte_level, "word": self._word}[kind]
         self.line = self._ids("\n") if self.spaced else b""
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.new: dict = {}
         self.old: dict = {}
 
@@ -63,11 +65,13 @@ class ChunkEncoder:
         """The ids of one pre-token."""
         found = self.pieces.get(pre_token)
         if found is None:
-            spelled = pre_token if self.spaced else pre_token.lower()
-            tokens = self.tokenizer.model.tokenize(spelled.encode().decode("latin-1").translate(_LETTERS))
-            found = array("I", [t.id for t in tokens]).tobytes()
+            found = self.old_pieces.get(pre_token)
+            if found is None:
+                spelled = pre_token if self.spaced else pre_token.lower()
+                tokens = self.model.tokenize(spelled.encode().decode("latin-1").translate(_LETTERS))
+                found = array("I", [t.id for t in tokens]).tobytes()
             if len(self.pieces) >= KEEP:
-                self.pieces.clear()
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[pre_token] = found
         return found
 

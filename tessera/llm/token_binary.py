@@ -45,26 +45,25 @@ def pack(ids: np.ndarray) -> bytes:
     padded = padded.reshape(blocks, BLOCK)
     least = padded.min(axis=1)
     rest = padded - least[:, None]
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bit lengths, exact below 2**53
     widths = np.partition(bits, int(PERCENTILE * (BLOCK - 1)), axis=1)[:, int(PERCENTILE * (BLOCK - 1))]
     odd = bits > widths[:, None]
     bodies: list = [b""] * blocks
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         low = np.where(odd[own], 0, rest[own])
-        packed = np.packbits(((low[:, :, None] >> np.arange(width, dtype="<u4")) & 1).astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        flat = np.unpackbits(np.ascontiguousarray(low).view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, bitorder="little")[:, :, :width]
+        packed = np.packbits(flat.reshape(len(own), -1), axis=1, bitorder="little")
         for i, body in zip(own, packed, strict=True):
             bodies[i] = body.tobytes()
-    parts, starts, at = [], [0], 0
-    for i in range(blocks):
-        places = np.flatnonzero(odd[i])
-        part = struct.pack("<IBB", least[i], widths[i], len(places)) + bodies[i]
-        if len(places):
-            part += places.astype(np.uint8).tobytes() + rest[i, places].astype("<u4").tobytes()
-        parts.append(part)
-        at += len(part)
-        starts.append(at)
-    return MAGIC + struct.pack("<2I", n, blocks) + np.array(starts, dtype="<u4").tobytes() + b"".join(parts)
+    rows, places = np.nonzero(odd)
+    values, places = rest[rows, places].astype("<u4").tobytes(), places.astype(np.uint8).tobytes()
+    counts = np.bincount(rows, minlength=blocks)
+    heads = np.rec.fromarrays([least, widths, counts], dtype=[("least", "<u4"), ("width", "u1"), ("odd", "u1")]).tobytes()
+    ends = np.cumsum(counts).tolist()
+    parts = [heads[6 * i : 6 * i + 6] + bodies[i] + places[a:b] + values[4 * a : 4 * b] for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return MAGIC + struct.pack("<2I", n, blocks) + starts.astype("<u4").tobytes() + b"".join(parts)
 
 
 def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -86,14 +85,14 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         if width:
             packed = raw[at[own][:, None] + 6 + np.arange(BLOCK * width // 8)]
             flat = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, width)
-            sums = np.zeros((len(own), BLOCK), dtype="<u4")
-            for b in range(width):
-                sums |= flat[:, :, b].astype("<u4") << np.uint32(b)
-            out[own] = sums
-    for i in np.flatnonzero(odd):
-        base = at[i] + 6 + BLOCK * widths[i] // 8
-        k = odd[i]
-        out[i, raw[base : base + k]] = np.frombuffer(data, "<u4", k, base + k)
+            whole = np.zeros((len(own), BLOCK, 32), dtype=np.uint8)
+            whole[:, :, :width] = flat
+            out[own] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    own = np.repeat(np.arange(last - first), odd)
+    within = np.arange(len(own)) - np.repeat(np.cumsum(odd) - odd, odd)
+    base = (at + 6 + BLOCK * widths // 8)[own]
+    values = raw[(base + odd[own] + 4 * within)[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
+    out[own, raw[base + within]] = values
     return (out + least[:, None]).reshape(-1)[: n - first * BLOCK]
 
 
