@@ -20,18 +20,20 @@ frequent kind for all documents alike, which costs keys, but loses none.
 Verification. A set also has 256 bits, each the parity of its tokens of one hash
 value; sets whose bits differ in more places than linked sets may differ in tokens
 can't link, and go before anything large is moved. Of the sets that share a key,
-all are compared with one (the hub), not with each other. What links to the same set is one component already. Then
-only pairs across components are left, of which those go whose bound by the
-known overlaps with the hub excludes a link; the rest are compared, too. So every
-pair that shares a key is linked, known to be in one component, excluded by a
-bound, or compared: components are exact, without all pairs of a group.
+all are compared with one (the hub), not with each other. What links to the same
+set is one component already. Sets that are still apart are compared with a few
+more of their key's largest component. Then only pairs across components are left,
+of which those go whose bound by the known overlaps with the hub excludes a link;
+the rest are compared, too. So every pair that shares a key is linked, known to be
+in one component, excluded by a bound, or compared: components are exact, without
+all pairs of a group.
 
 Nothing about documents reaches the driver but the bitmaps. Hot keys meet in
 joins that split them. Tables between steps are in the shared folder.
 
 Null or empty texts have empty sets and link with nothing. Rows with one id stand
-each for itself; deduplicate() takes them for one document. Null ids are allowed and are greater than any.
-Other columns are ignored.
+each for itself; deduplicate() takes them for one document. Null ids are allowed
+and are greater than any. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from tessera.llm.common import BLANKS, ascii_lower, dropped, gram_hashes, let, o
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 80
-LEAST_BITS, MOST_BITS = 16, 24
+LEAST_BITS, MOST_BITS, HUBS = 16, 24, 4
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -206,17 +208,30 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("link", F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
 
 
-def _across(members: DataFrame, compared: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with a common key of frequent tokens, in different components so far, that no bound excludes."""
-    hops = compared.filter("link").groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("label"))
-    further = hops.join(hops.select(F.col("sid").alias("label"), F.col("label").alias("next")), "label", "left").select("sid", F.coalesce("next", "label").alias("label"))
-    labelled = members.filter(~F.col("single")).join(further, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members by keys of frequent tokens whose sets are of several components so far, and whether theirs is the key's largest."""
+    known = labels.select(F.col("node").alias("sid"), F.col("root").alias("label"))
+    labelled = members.filter(~F.col("single")).join(known, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    return labelled.join(mixed.select("key", F.col("most.label").alias("most")), "key").withColumn("major", F.col("label") == F.col("most"))
+
+
+def _more_stars(rows: DataFrame, compared: DataFrame, bits, percent: int) -> DataFrame:
+    """Pairs of the sets outside a key's largest component with ``HUBS`` of those inside it, picked by hash."""
+    picked = rows.filter("major").groupBy("key").agg(*[F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid")).alias(f"h{r}") for r in range(HUBS)])
+    hubs = picked.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"h{r}.sid") for r in range(HUBS)]))).alias("hub"))
+    pairs = rows.filter(~F.col("major")).select("key", "sid").join(hubs, "key").select("hub", "sid").distinct()
+    near = pairs.join(bits("sid", "y_"), "sid").join(bits("hub", "x_"), "hub").filter(_possible("x_", "y_", percent))
+    return near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _across(members: DataFrame, compared: DataFrame, labels: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with a common key of frequent tokens, in different components so far, that no bound excludes."""
     rows = (
-        labelled.join(mixed.select("key", F.col("most.label").alias("most")), "key")
+        _apart(members, labels)
         .join(compared.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "overlap"), ["hub", "sid"], "left")
         .join(index.select("sid", *BITS), "sid")
-        .select("key", "sid", "n", "label", (F.col("label") == F.col("most")).alias("major"), F.when(F.col("sid") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("common"), *BITS)
+        .select("key", "sid", "n", "label", "major", F.when(F.col("sid") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("common"), *BITS)
     )
     left = rows.filter(~F.col("major")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "label", "common", *BITS)])
     bound = F.least("x_common", "common") + F.least(F.col("x_n") - F.col("x_common"), F.col("n") - F.col("common"))
@@ -248,11 +263,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     star = named.select("hub", "sid").join(bits("sid", "y_"), "sid").join(bits("hub", "x_"), "hub").filter(_possible("x_", "y_", percent))
     stars, at_stars = written(spark, star.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "stars")
     first, _ = written(spark, _compared(stars, _sets(docs, index, stars, words), percent), "compared")
-    rest, at_rest = written(spark, _across(members, first, index, percent), "rest")
-    second, _ = written(spark, _compared(rest, _sets(docs, index, rest, words), percent), "compared")
-    dropped(spark, at_members, at_stars, at_rest)
-
-    found = components(first.filter("link").unionByName(second.filter("link")), "a", "b")
+    labels = components(first.filter("link"), "a", "b")
+    more, at_more = written(spark, _more_stars(_apart(members, labels), first, bits, percent), "stars")
+    second, _ = written(spark, _compared(more, _sets(docs, index, more, words), percent), "compared")
+    labels = components(_tree(labels).unionByName(second.filter("link").select("a", "b")), "a", "b")
+    rest, at_rest = written(spark, _across(members, first.unionByName(second), labels, index, percent), "rest")
+    third, _ = written(spark, _compared(rest, _sets(docs, index, rest, words), percent), "compared")
+    dropped(spark, at_members, at_stars, at_more, at_rest)
+    found = components(_tree(labels).unionByName(third.filter("link").select("a", "b")), "a", "b")
     # A component without different sets is its set alone.
     rooted = index.select("sid", "least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -266,6 +284,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
 
 
+def _tree(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _sets(docs: DataFrame, index: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(sid, tokens) of the sets in pairs, made again from one document of each."""
     involved = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
