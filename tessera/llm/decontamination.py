@@ -53,9 +53,8 @@ def _context(words: Column, i: Column, first: int, end: int) -> Column:
     return F.transform(F.sequence(F.lit(first), F.lit(end - 1)), lambda d: F.get(words, i + d))
 
 
-def _picked(words: Column, hashes: Column, k: int, passes) -> Column:
-    """(k, i, h, ctx) of the grams of k words that pass and, for GRAM, are kept by winnowing."""
-    reach = REACH if k == GRAM else 0
+def _picked(words: Column, hashes: Column, k: int, passes, reach: int = 0) -> Column:
+    """(k, i, h, ctx) of the grams of k words that pass and, with a reach, are kept by winnowing; ctx holds ``reach`` words more on each side."""
 
     def pick(h: Column, i: Column, grams: Column) -> Column:
         good = passes(h)
@@ -69,7 +68,7 @@ def _picked(words: Column, hashes: Column, k: int, passes) -> Column:
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """(item, k, h, ctx): k is GRAM, or an item's own number of words with the sign changed."""
     with_words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w"))
-    long = _picked(F.col("w"), word_hashes(F.col("w")), GRAM, lambda h: F.lit(True))
+    long = _picked(F.col("w"), word_hashes(F.col("w")), GRAM, lambda h: F.lit(True), REACH)
     short = F.array(F.struct(F.size("w").alias("k"), F.lit(0).alias("i"), _whole_hash(F.col("w")).alias("h"), F.col("w").alias("ctx")))
     picked = F.when(F.size("w") >= WINDOW, long).when(F.size("w") > 0, short)
     return with_words.select("item", (F.size("w") < WINDOW).alias("short"), F.explode(picked).alias("f")).select(
@@ -108,7 +107,7 @@ def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
             return F.getbit(F.get(bits, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
         def of(hashes: Column) -> Column:
-            long = _picked(words, hashes, GRAM, passes)
+            long = _picked(words, hashes, GRAM, passes, REACH)
             short = [F.transform(_picked(words, hashes, k, passes), lambda x: x.withField("k", -x["k"])) for k in lengths]
             return F.concat(long, *short) if short else long
 

@@ -85,6 +85,21 @@ def test_decontamination_without_broadcast(docs, spark, monkeypatch):
     assert got == {i: w[1] for i, w in brute.decontamination(TEXTS, items).items()}
 
 
+def test_decontamination_of_items_of_every_short_length(spark):
+    items = [(n, " ".join(f"k{n}w{j}" for j in range(n))) for n in range(1, 11)]
+    rows = []
+    for _, text in items:
+        for before, after in ((0, 0), (0, 9), (1, 1), (4, 12), (25, 3), (9, 0)):
+            rows.append((len(rows), " ".join([*(f"b{i}" for i in range(before)), text, *(f"a{i}" for i in range(after))])))
+        rows.append((len(rows), f"{text} x {text} {text}"))
+        rows.append((len(rows), " ".join(text.split()[:-1] + ["x"])))
+    want = brute.decontamination(rows, items)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["n_hit"] > 0) for r in decontamination.report(docs, bench).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == {i for i, w in want.items() if not w[4]}
+
+
 PII_TEXTS = [
     "a@b.c%d@e.f and x.y+z@mail-1.example.org.", "no@dot, @x.y a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (743) 555-3824, +12 345", "+" + "(" * 500, "1 2 3 4 " * 300, "é" * 30 + "a@b.co +49 30 1234567", "call phone 555-123-4567", "555-123-4567", "IBAN DE89 3704 0044 0532 0130 00.",
