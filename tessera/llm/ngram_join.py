@@ -32,8 +32,9 @@ Nothing about documents reaches the driver but the bitmaps. Hot keys meet in
 joins that split them. Tables between steps are in the shared folder.
 
 Null or empty texts have empty sets and link with nothing. Rows with one id stand
-each for itself; deduplicate() takes them for one document. Null ids are allowed
-and are greater than any. Other columns are ignored.
+each for itself. Null ids are allowed and are greater than any. Other columns are
+ignored. deduplicate() takes rows equal in id and text for one document, and rows
+with one id but different texts for different ones.
 """
 
 from __future__ import annotations
@@ -244,8 +245,8 @@ def _across(members: DataFrame, compared: DataFrame, labels: DataFrame, index: D
     )
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text); percent from 70 to 99."""
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' descriptions, the index of their sets, and (node, root) of the sets that link with a different one."""
     if not 70 <= percent < 100:
         raise ValueError("percent must be from 70 to 99")
     spark = docs.sparkSession
@@ -270,7 +271,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rest, at_rest = written(spark, _across(members, first.unionByName(second), labels, index, percent), "rest")
     third, _ = written(spark, _compared(rest, _sets(docs, index, rest, words), percent), "compared")
     dropped(spark, at_members, at_stars, at_more, at_rest)
-    found = components(_tree(labels).unionByName(third.filter("link").select("a", "b")), "a", "b")
+    return prefixes, index, components(_tree(labels).unionByName(third.filter("link").select("a", "b")), "a", "b")
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text); percent from 70 to 99."""
+    prefixes, index, found = _linked(docs, words, percent)
     # A component without different sets is its set alone.
     rooted = index.select("sid", "least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -304,6 +310,21 @@ def _sets(docs: DataFrame, index: DataFrame, pairs: DataFrame, words: int) -> Da
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that link to one of a lesser id, directly or through others; repeated ids keep one row."""
-    gone = join(docs, words, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, that of the least id (null is greater than any), then of the least hash of its text; repeated rows keep one."""
+    prefixes, _, found = _linked(docs, words, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    full = prefixes.filter("n > 0")
+    of_set = full.groupBy("sid").agg(F.min(key).alias("own"))
+    rooted = of_set.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    stays = rooted.select("root", "sid").join(rooted.groupBy("root").agg(F.min("own").alias("stays")), "root").select("sid", "stays")
+    named = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    gone = full.join(stays, "sid").filter(~key.eqNullSafe(F.col("stays"))).select(*named).distinct()
+    again = prefixes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1").select(*named)
+
+    def held(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(rows["text"]) == keys["_hash"]), how)
+
+    single = held(docs, gone.unionByName(again), "left_anti")
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    repeated = held(held(docs, again, "left_semi"), gone, "left_anti").groupBy("doc_id", "text").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -274,6 +274,29 @@ def test_ngram_join_of_chains_and_families(spark):
     assert kept == {c for _, c in brute.components(rows, 2, 80).values()}
 
 
+def test_deduplicate_repeated_and_null_ids(spark):
+    rng = random.Random(7)
+    a, b, c, d, e, f = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcdef")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [
+        (1, a, "u"), (2, b, "u"), (2, b, "v"), (2, b, "v"),  # a row repeated, with different other columns
+        (5, near(a), "u"), (5, c, "u"),  # one id, two texts: one of them a near copy of 1
+        (None, d, "u"), (None, d, "u"), (None, near(d), "u"), (None, a, "u"), (None, e, "u"),
+        (7, e, "u"), (9, f, "u"), (9, near(f), "u"), (4, near(b), "u"), (4, near(b), "u"),
+        (8, None, "u"), (8, None, "u"), (8, "", "u"), (6, "", "u"), (None, " ", "u"), (None, " ", "u"),
+    ]
+    for turn in range(2):
+        df = spark.createDataFrame(rows[:: 1 - 2 * turn], "doc_id long, text string, extra string").repartition(3)
+        made = ngram_join.deduplicate(df)
+        assert made.columns == df.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in made.collect()), key=repr)
+        of_d, of_f = [x for x in got if x[1] in (d, near(d))], [x for x in got if x[1] in (f, near(f))]
+        assert len(of_d) == len(of_f) == 1 and of_d[0][0] is None and of_f[0][0] == 9
+        rest = [(1, a), (2, b), (5, c), (7, e), (8, None), (8, ""), (6, ""), (None, " ")]
+        assert got == sorted([*rest, *of_d, *of_f], key=repr)
+    assert ngram_join.deduplicate(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long"), "a", "b").collect()}
