@@ -13,7 +13,8 @@ captures isn't one group: time is cut at quantiles into slices, the last respons
 of each url and slice is carried into the url's later slices, and within a slice
 a running window finds nearer ones. Payloads aren't moved, only record ids.
 
-Null urls are one canonical url '' and never resolve. Null times come first.
+Urls without "//" are their own canonical urls, but for the fragment. Null urls
+have the canonical url '' and never resolve. Null times come first.
 Repeated rows are captures of their own. Other columns are dropped. Empty tables
 give empty results.
 """
@@ -30,12 +31,13 @@ _TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, port 80 or 443, "www.", fragment, tracking parameters and end slashes dropped; host in lower case; parameters in order."""
+    """Scheme, port 80 or 443, "www.", fragment, tracking parameters and end slashes dropped; host in lower case; parameters in order. A url without "//" loses its fragment alone."""
     u = F.coalesce(url, F.lit(""))
     host = F.regexp_replace(F.lower(F.regexp_extract(u, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), r"^www\.|:(?:80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(u, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(_TRACKING)))
-    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    made = F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.when(u.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), made).otherwise(F.regexp_extract(u, r"(?s)^([^#]*)", 1))
 
 
 def _tag(etag: Column) -> Column:
@@ -53,8 +55,8 @@ def resolve(records: DataFrame) -> DataFrame:
     own = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     rows = records.select(
         "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers",
-        time_slice.alias("slice"),
-    ).withColumn("full", F.when((F.col("kind") == "response") & (F.col("canonical_url") != ""), own))
+        time_slice.alias("slice"), F.col("url").isNotNull().alias("named"),
+    ).withColumn("full", F.when((F.col("kind") == "response") & F.col("named"), own))
     carried = (
         rows.groupBy("canonical_url", "slice")
         .agg(F.max("full").alias("last"))
@@ -62,7 +64,7 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     within = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max("full").over(within))
-    both = near.join(carried, ["canonical_url", "slice"], "left").withColumn("base", F.coalesce("near", "carried"))
+    both = near.join(carried, ["canonical_url", "slice"], "left").withColumn("base", F.when(F.col("named"), F.coalesce("near", "carried")))
     same = (
         F.when(F.col("etag").isNotNull() & F.col("base.etag").isNotNull(), _tag(F.col("etag")) == _tag(F.col("base.etag")))
         .when(F.col("last_modified").isNotNull() & F.col("base.last_modified").isNotNull(), F.col("last_modified") == F.col("base.last_modified"))

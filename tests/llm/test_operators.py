@@ -250,6 +250,20 @@ def test_revisits(spark, monkeypatch):
     assert warc_revisits.resolve(df.limit(0)).count() == 0
 
 
+REVISITS = "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, digest string, headers array<struct<name:string,value:string>>"
+
+
+def test_revisits_of_urls_without_slashes(spark):
+    rows = [(i, u, i, "response", 200, f"e{i}", None, None, []) for i, u in enumerate(["dns:a.org", "a.org/x", "a?x=1", "b?x=1", "", None])]
+    asked = ["dns:a.org#f", "a.org/x", "a?x=1", "b?x=1#f", "", None, "dns:b.org"]
+    rows += [(10 + i, u, 10 + i, "revisit", 304, f"e{i}", None, None, []) for i, u in enumerate(asked)]
+    got = {r["record_id"]: (r["canonical_url"], r["base_id"], r["verdict"]) for r in warc_revisits.resolve(spark.createDataFrame(rows, REVISITS)).filter("kind = 'revisit'").collect()}
+    assert got == {
+        10: ("dns:a.org", 0, "resolved"), 11: ("a.org/x", 1, "resolved"), 12: ("a?x=1", 2, "resolved"), 13: ("b?x=1", 3, "resolved"),
+        14: ("", 4, "resolved"), 15: ("", None, "no_base"), 16: ("dns:b.org", None, "no_base"),
+    }
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (1, 70)])
 def test_ngram_join(spark, docs, none, words, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, words, percent).collect()}
