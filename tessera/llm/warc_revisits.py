@@ -1,7 +1,8 @@
 """Not-modified captures (WARC revisits, HTTP 304) resolved to the response that they repeat.
 
 Each revisit takes the latest earlier full response of its canonical url (by
-time, then record id; never one at or behind its own place). Validators decide:
+time, then record id; never one at or behind its own place). Responses of a status
+outside ``FULL``, such as parts (206) and errors, are none. Validators decide:
 the entity tags if both have one (weak comparison), else the Last-Modified
 dates, else the payload digests; equal gives ``resolved``, unequal ``mismatch``,
 nothing to compare ``unverified``; without an earlier response ``no_base``. A
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
+#: Statuses of responses that hold the whole resource.
+FULL = (200,)
 #: Header fields that a 304 response may update (fixed values of the HTTP standard).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 _TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
@@ -54,9 +57,9 @@ def resolve(records: DataFrame) -> DataFrame:
     time_slice = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]).cast("array<bigint>"), lambda e: e < F.col("ts")))
     own = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     rows = records.select(
-        "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers",
+        "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "status", "etag", "last_modified", "digest", "headers",
         time_slice.alias("slice"), F.col("url").isNotNull().alias("named"),
-    ).withColumn("full", F.when((F.col("kind") == "response") & F.col("named"), own))
+    ).withColumn("full", F.when((F.col("kind") == "response") & F.col("status").isin(*FULL) & F.col("named"), own))
     carried = (
         rows.groupBy("canonical_url", "slice")
         .agg(F.max("full").alias("last"))

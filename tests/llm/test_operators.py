@@ -264,6 +264,17 @@ def test_revisits_of_urls_without_slashes(spark):
     }
 
 
+def test_revisits_pass_over_partial_and_failed_responses(spark, monkeypatch):
+    states = [200, 206, 404, 503, None]
+    rows = [(i, "http://a.org/", i, "response", s, "e", None, f"p{i}", []) for i, s in enumerate(states)]
+    rows += [(5, "http://a.org/", 5, "revisit", 304, "e", None, None, []), (6, "http://b.org/", 6, "response", 206, "e", None, "p", []), (7, "http://b.org/", 7, "revisit", 304, "e", None, None, [])]
+    for slices in (64, 1):
+        monkeypatch.setattr(warc_revisits, "SLICES", slices)
+        got = {r["record_id"]: (r["base_id"], r["verdict"], r["digest"]) for r in warc_revisits.resolve(spark.createDataFrame(rows, REVISITS)).collect()}
+        assert got[5] == (0, "resolved", "p0") and got[7] == (None, "no_base", None)
+        assert all(got[i] == (i, "response", f"p{i}") for i in range(5))
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (1, 70)])
 def test_ngram_join(spark, docs, none, words, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, words, percent).collect()}
