@@ -1,35 +1,41 @@
 """Jaccard join of documents on word shingles, by token combinations of extended prefixes.
 
 A document's set holds the hashes (64 bits) of its distinct runs of ``words``
-words; equal sets have one set id (a hash of the whole set) and are linked as
-they are. Sets x, y link when percent * |x or y| <= 100 * |x and y|. Such sets
-differ by at most e(n) = n - ceil(n * percent / 100) tokens of a set of n.
-
-Signatures. Tokens are ordered by their hash. Of the first e(n) + 2 + g tokens of
-each of two linked sets, they share g + 2 or more that lie in both prefixes. Counts
-over the prefixes of all documents divide tokens into unique ones (which can't be
-shared), rare ones (in two documents) and frequent ones. A rare token is a key by
-itself; frequent tokens fall into g classes by hash, and every two of a class form
-a key. Linked sets then have a pair of frequent tokens in common, or at least two
-rare ones: g classes can't keep more than g shared tokens apart. g grows with the
-size (a power of two near e), by that of the smaller set, so that the number of
-keys stays in proportion to the prefix. Which tokens are rare or frequent is kept
-in two bitmaps of bounded size; their false positives move tokens to a more
-frequent kind for all documents alike, which costs keys, but loses none.
-
-Verification. A set also has 256 bits, each the parity of its tokens of one hash
-value; sets whose bits differ in more places than linked sets may differ in tokens
-can't link, and go before anything large is moved. Of the sets that share a key,
-all are compared with one (the hub), not with each other. What links to the same
-set is one component already. Sets that are still apart are compared with a few
-more of their key's largest component. Then only pairs across components are left,
-of which those go whose bound by the known overlaps with the hub excludes a link;
-the rest are compared, too. So every pair that shares a key is linked, known to be
-in one component, excluded by a bound, or compared: components are exact, without
-all pairs of a group.
-
-Nothing about documents reaches the driver but the bitmaps. Hot keys meet in
-joins that split them. Tables between steps are in the shared folder.
+words; equal sets have one identity (two independent hashes of the whole set, 128
+bits) and are linked as they are. Sets x, y link when percent * |x or y| <= 100 *
+|x and y|. Such sets of n tokens lack at most e(n) = n - ceil(n * percent / 100)
+of their own in the other.
+
+Step 1, prefixes. Tokens are ordered by their hash. Of the first e(n) + 1 + g of a
+set, g + 1 or more are shared with a set that it links with, and lie in that one's
+prefix, too (g is near e). Exact counts over the prefixes of all distinct sets tell
+which tokens are shared at all; sets with too few of them can't link and go. That
+leaves copies, near copies and texts made of what is common.
+
+Step 2, order. For the sets that stay, all tokens are counted. What only one set
+holds can't be shared; K tokens of a set are left, or the set goes if K < s(n) =
+n - e(n). They are ordered by count, rare ones first, so that every set's first
+K - s + 1 + g tokens hold the first g + 1 that it shares.
+
+Step 3, keys. Tokens in up to ``RARE`` sets are keys by themselves. Frequent tokens
+fall into g classes by hash, and every two of a class within a prefix extended by g
+are a key: among g + 1 shared tokens two are of one class. If the first shared
+token is rare, sets meet at its key, else at that of the first such two. g follows
+the size of the smaller set, so that keys stay in proportion to the prefix. A key
+also knows how many tokens are left from its place on, which bounds the overlap of
+sets that meet there for the first time.
+
+Step 4, verification. Of the sets that share a key, those that the bound allows are
+compared with one (the hub, with the most tokens left), not with each other. What
+links with the same set is one component already. Then only members of different
+components are left, of which those that the bound allows are compared, too. So
+every pair is linked, known to be in one component, excluded by a bound, or
+compared: components are exact, without all pairs of a group.
+
+Nothing about documents reaches the driver, and nothing is broadcast but a Bloom
+filter of the texts to be cut again, of at most 2**MOST_BITS bits; beyond that size
+more texts are shuffled than needed, at most all of them once. Tables between steps
+are in the shared folder, and are removed when they are read for the last time.
 
 Null or empty texts have empty sets and link with nothing. Rows with one id stand
 each for itself. Null ids are allowed and are greater than any. Other columns are
@@ -46,8 +52,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import BLANKS, ascii_lower, dropped, gram_hashes, let, once, split_words, word_hashes, written
 from tessera.llm.components import components
 
-WORDS, PERCENT = 5, 80
-LEAST_BITS, MOST_BITS, HUBS = 16, 24, 4
+WORDS, PERCENT, RARE = 5, 80, 32
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -62,56 +68,87 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return let(word_hashes(split_words(ascii_lower(text), BLANKS)), of)
 
 
-def _spare(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100)
+def _least_partner(n: Column, percent: int) -> Column:
+    """The size of the smallest set that one of n may link with; also the least overlap."""
+    return F.ceil(n.cast("long") * percent / F.lit(100)).cast("int")
 
 
-def _levels(n: int, percent: int) -> range:
-    """Levels of the smaller sets that a set of n may link with, itself among them."""
-    return range(_spare(-(-n * percent // 100), percent).bit_length(), _spare(n, percent).bit_length() + 1)
+def _spare(n: Column, percent: int) -> Column:
+    return F.floor(n.cast("long") * (100 - percent) / F.lit(100)).cast("int")
 
 
-def _classes(level: int) -> int:
-    return 1 << max(0, level - 1)
+def _extension(n: Column, percent: int) -> Column:
+    """The power of two at or below e(n), at least 1."""
+    return F.pow(F.lit(2), F.length(F.bin(F.greatest(_spare(n, percent), F.lit(1)))) - 1).cast("int")
+
 
+class _Tables:
+    """Tables in the shared folder, which go when they are no longer needed."""
 
-def _prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """The longest prefix that any level needs; 0 for sets too small to link with a different one."""
-    spare = sizes - -(-sizes * percent // 100)
-    classes = np.where(spare < 2, 1, 2 ** np.floor(np.log2(np.maximum(spare, 1))).astype(np.int64))
-    return np.where(sizes * (100 - percent) >= percent, np.minimum(sizes, spare + 2 + classes), 0)
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        made, self.paths[name] = written(self.spark, df, name)
+        return made
 
-BITS = ("b0", "b1", "b2", "b3")
-PREFIXES = "doc_id {}, text_hash long, sid long, n int, prefix array<bigint>, " + ", ".join(f"{b} long" for b in BITS)
+    def drop(self, *names: str) -> None:
+        dropped(self.spark, *(self.paths.pop(name) for name in names))
 
 
 def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Each document's set id, size, longest prefix and parity bits."""
+    """Each document's set identity, size and prefix."""
     cut = once(docs.select("doc_id", "text"), "tokens", shingles(F.col("text"), words))
+    n = F.size("tokens")
+    length = F.when(n * (100 - percent) >= percent, F.least(n, _spare(n, percent) + 1 + _extension(n, percent))).otherwise(0)
+    return cut.select(
+        "doc_id",
+        F.xxhash64("text").alias("text_hash"),
+        F.xxhash64("tokens").alias("s1"),
+        F.xxhash64(F.lit("second"), F.col("tokens")).alias("s2"),
+        n.alias("n"),
+        F.slice("tokens", F.lit(1), length).alias("prefix"),
+    )
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            lists = batch.column(3)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            sizes = np.diff(ends).astype(np.int64)
-            starts = (ends[:-1] - ends[0]).astype(np.int64)
-            lengths = _prefix_lengths(sizes, percent)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[np.repeat(starts, lengths) + within], pa.int64()))
-            odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + (flat & 255), minlength=len(sizes) * 256) & 1
-            bits = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view("<i8") if len(sizes) else np.empty((0, 4), "<i8")
-            columns = [*batch.columns[:3], pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(bits[:, i]), pa.int64()) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sid", "n", "prefix", *BITS])
+def _counts(sets: DataFrame, tokens: str) -> DataFrame:
+    """(t, c) of the tokens that two sets or more hold."""
+    return sets.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2")
 
-    keyed = cut.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("tokens").alias("sid"), "tokens")
-    return keyed.mapInArrow(run, PREFIXES.format(dict(docs.dtypes)["doc_id"]))
 
+def _passing(index: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Ids of the sets with as many shared tokens in their prefix as a link needs."""
+    each = index.select("id", "n", F.explode("prefix").alias("t")).join(shared.hint("shuffle_hash"), "t", "left_semi")
+    need = 1 + _extension(_least_partner(F.col("n"), percent), percent)
+    return each.groupBy("id", "n").agg(F.count("*").alias("known")).filter(F.col("known") >= need).select("id", "n")
 
-_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(id, n, tokens) of the sets in chosen (id, n, own), made again from the document that stands for each."""
+    spark = docs.sparkSession
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * chosen.count()).bit_length()))
+    at = lambda h: F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    ones = chosen.select(at(F.col("own.text_hash")).alias("at"), F.expr("shiftleft(1L, int(own.text_hash & 63))").alias("bits"))
+    zeros = spark.range(1 << (bits - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    dense = ones.unionByName(zeros).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    bloom = dense.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda y: y["bits"]).alias("b"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    passing = keyed.filter(F.getbit(F.get(bloom.scalar(), at(F.col("text_hash")).cast("int")), F.col("text_hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    named = chosen.select("id", "n", F.col("own.text_hash").alias("h"), F.col("own.doc_id").alias("d"))
+    joined = passing.join(named, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["id"])
+    return joined.select("id", "n", shingles(F.col("text"), words).alias("tokens"))
+
+
+def _ordered(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """(id, n, tokens, often): shared tokens of each set that has enough of them, rare ones first, and how many of these are rare."""
+    each = sets.select("id", "n", F.explode("tokens").alias("t")).join(counts.hint("shuffle_hash"), "t")
+    found = each.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("x"))
+    return found.filter(F.size("x") >= _least_partner(F.col("n"), percent)).select(
+        "id", "n", F.transform("x", lambda y: y["t"]).alias("tokens"), F.size(F.filter("x", lambda y: y["c"] <= RARE)).alias("rare")
+    )
+
+
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -120,206 +157,172 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _held(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = tokens & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _levels(n: int, percent: int) -> range:
+    """Levels of the smaller sets that a set of n may link with, itself among them."""
+    spare = lambda m: m * (100 - percent) // 100
+    return range(spare(-(-n * percent // 100)).bit_length(), spare(n).bit_length() + 1)
+
+
+def _classes(level: int) -> int:
+    """An eighth to a quarter of the spare tokens of a set of this level."""
+    return 1 << max(0, level - 3)
 
 
-def _keys(tokens: np.ndarray, n: int, percent: int, rare: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set of n by its prefix, and whether each is a rare token's."""
-    keys, single = [], []
+def _keys(tokens: np.ndarray, n: int, size: int, rare: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set by its first tokens (of ``size`` shared ones), and how many of its tokens may be shared with sets met there."""
+    first = size + -n * percent // 100 + 1
+    alone = min(rare, first)
+    keys, left = [_mixed(tokens[:alone] * _K1)], [size - np.arange(alone)]
     for level in _levels(n, percent):
-        classes, salt = _classes(level), np.uint64(level + 1) * _K3
-        end = _spare(n, percent) + 2 + classes
-        own, few, many = tokens[:end], rare[:end], frequent[:end]
-        keys.append(_mixed(own[few] * _K1 + salt))
-        single.append(np.ones(len(keys[-1]), dtype=bool))
-        often = own[many]
+        classes = _classes(level)
+        salt = np.uint64((level + 1) * _K3 & 2**64 - 1)
+        often = tokens[rare : first + classes]
+        if len(often) < 2:
+            continue
         kind = _mixed(often + salt) % np.uint64(classes)
         order = np.argsort(kind, kind="stable")
-        often, kind = often[order], kind[order]
+        often, kind, place = often[order], kind[order], rare + order
         for d in range(1, len(often)):
             same = kind[d:] == kind[:-d]
             if not same.any():
                 break
             keys.append(_mixed(often[:-d][same] * _K1 + _mixed(often[d:][same] * _K2) + salt))
-            single.append(np.zeros(len(keys[-1]), dtype=bool))
-    return np.concatenate(keys), np.concatenate(single)
-
-
-def _bitmaps(prefixes: DataFrame) -> tuple[bytes, bytes]:
-    """Bits of the tokens that occur in two prefixes or more, and in three or more."""
-    spark = prefixes.sparkSession
-    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (4 * total).bit_length()))
-    counts = prefixes.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c >= 2")
-    bit = F.expr("shiftleft(1L, int(t & 63))")
-    made = counts.groupBy(F.shiftright(F.col("t").bitwiseAND(F.lit((1 << bits) - 1)), 6).alias("at")).agg(
-        F.bit_or(bit).alias("two"), F.coalesce(F.bit_or(F.when(F.col("c") >= 3, bit)), F.lit(0).cast("long")).alias("three")
-    )
-    rows = made.toArrow()  # at most 2**(MOST_BITS - 6) rows
-    found = []
-    for name in ("two", "three"):
-        words = np.zeros(1 << (bits - 6), dtype="<i8")
-        words[rows["at"].to_numpy()] = rows[name].to_numpy()
-        found.append(words.tobytes())
-    return found[0], found[1]
+            left.append(np.minimum(size, size - place[d:][same] + classes))
+    return np.concatenate(keys), np.concatenate(left)
 
 
-def _signatures(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, n, single)."""
-    maps = prefixes.sparkSession.sparkContext.broadcast(_bitmaps(prefixes))
+def _signatures(ordered: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, left) of each set."""
+    size = F.size("tokens")
+    longest = F.least(size, size - _least_partner(F.col("n"), percent) + 2 + F.floor(_spare(F.col("n"), percent) / F.lit(4)).cast("int"))
+    heads = ordered.select("id", "n", size.alias("size"), "rare", F.slice("tokens", F.lit(1), longest).alias("head"))
 
     def run(batches):
         import pyarrow as pa
 
-        two, three = (np.frombuffer(x, np.uint8) for x in maps.value)
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int32()
         for batch in batches:
-            sids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            ids, ns, sizes, rares = (batch.column(i).to_numpy() for i in range(4))
+            lists = batch.column(4)
             flat = lists.flatten().to_numpy().view(np.uint64)
             ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-            known, frequent = _held(two, flat), _held(three, flat)
-            rare, frequent = known & ~frequent, known & frequent
-            made, ids, ns = [], [], []
-            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                if known[a:b].any():
-                    made.append(_keys(flat[a:b], int(sizes[i]), percent, rare[a:b], frequent[a:b]))
-                    ids.append(sids[i])
-                    ns.append(sizes[i])
+            made = [_keys(flat[a:b], int(n), int(size), int(rare), percent) for a, b, n, size, rare in zip(ends[:-1], ends[1:], ns, sizes, rares, strict=True)]
             if made:
                 count = [len(k) for k, _ in made]
-                columns = np.concatenate([k for k, _ in made]).view(np.int64), np.repeat(ids, count), np.repeat(ns, count), np.concatenate([s for _, s in made])
-                types = pa.int64(), pa.int64(), pa.int32(), pa.bool_()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "sid", "n", "single"])
+                columns = np.concatenate([k for k, _ in made]).view(np.int64), np.repeat(ids, count), np.repeat(ns, count), np.concatenate([x for _, x in made])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "id", "n", "left"])
 
-    return prefixes.filter(F.size("prefix") > 0).select("sid", "n", "prefix").mapInArrow(run, "key long, sid long, n int, single boolean")
+    return heads.mapInArrow(run, "key long, id long, n int, left int").distinct()
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether sets may link by their sizes and parity bits (columns with these prefixes)."""
-    a, b = F.col(f"{x}n"), F.col(f"{y}n")
-    differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in BITS[1:]), F.bit_count(F.col(f"{x}{BITS[0]}").bitwiseXOR(F.col(f"{y}{BITS[0]}"))))
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+def _possible(left: Column, n: Column, other_left: Column, other_n: Column, percent: int) -> Column:
+    """Whether sets that meet may link, by what is left of them from there on and by their sizes."""
+    sizes = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent
+    return sizes & (F.least(left, other_left) * (100 + percent) >= (n + other_n) * percent)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with their overlap and whether they link."""
-    of = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("overlap"))
-    return both.withColumn("link", F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
+def _members(keys: DataFrame, percent: int) -> DataFrame:
+    """Keys of two sets or more, with the hub, without sets that can't link with even the smallest of their key."""
+    hub = F.max(F.struct("left", "n", "id"))
+    groups = keys.groupBy("key").agg(F.count("*").alias("c"), hub.alias("hub"), F.min("n").alias("least")).filter("c >= 2").drop("c")
+    least = F.greatest(F.col("least"), _least_partner(F.col("n"), percent))
+    return keys.join(groups, "key").filter(F.col("left") * (100 + percent) >= (F.col("n") + least) * percent).drop("least")
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members by keys of frequent tokens whose sets are of several components so far, and whether theirs is the key's largest."""
-    known = labels.select(F.col("node").alias("sid"), F.col("root").alias("label"))
-    labelled = members.filter(~F.col("single")).join(known, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    return labelled.join(mixed.select("key", F.col("most.label").alias("most")), "key").withColumn("major", F.col("label") == F.col("most"))
+def _linked_pairs(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their tokens."""
+    of = lambda x: ordered.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    # The rows are large before hubs meet, so that Spark sees a hot hub's partition and splits it.
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
+    return both.filter(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
-def _more_stars(rows: DataFrame, compared: DataFrame, bits, percent: int) -> DataFrame:
-    """Pairs of the sets outside a key's largest component with ``HUBS`` of those inside it, picked by hash."""
-    picked = rows.filter("major").groupBy("key").agg(*[F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid")).alias(f"h{r}") for r in range(HUBS)])
-    hubs = picked.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"h{r}.sid") for r in range(HUBS)]))).alias("hub"))
-    pairs = rows.filter(~F.col("major")).select("key", "sid").join(hubs, "key").select("hub", "sid").distinct()
-    near = pairs.join(bits("sid", "y_"), "sid").join(bits("hub", "x_"), "hub").filter(_possible("x_", "y_", percent))
-    return near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the id of their component's root so far."""
+    known = labels.select(F.col("node.id").alias("id"), F.col("root.id").alias("label"))
+    return members.join(known, "id", "left").select("key", "id", "n", "left", F.coalesce("label", "id").alias("label"))
 
 
-def _across(members: DataFrame, compared: DataFrame, labels: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with a common key of frequent tokens, in different components so far, that no bound excludes."""
-    rows = (
-        _apart(members, labels)
-        .join(compared.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "overlap"), ["hub", "sid"], "left")
-        .join(index.select("sid", *BITS), "sid")
-        .select("key", "sid", "n", "label", "major", F.when(F.col("sid") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("common"), *BITS)
-    )
-    left = rows.filter(~F.col("major")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "label", "common", *BITS)])
-    bound = F.least("x_common", "common") + F.least(F.col("x_n") - F.col("x_common"), F.col("n") - F.col("common"))
-    by_hub = F.coalesce(bound * 100 >= (F.col("x_n") + F.col("n") - bound) * percent, F.lit(True))
-    return (
-        left.join(rows, (left["key"] == rows["key"]) & (F.col("x_label") != F.col("label")) & (F.col("major") | (F.col("x_sid") < F.col("sid"))) & _possible("x_", "", percent) & by_hub)
-        .select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b"))
-        .distinct()
-        .join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    )
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with a common key, in different components so far, that no bound excludes."""
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("most.label").alias("most"))
+    rows = rows.join(mixed, "key").withColumn("major", F.col("label") == F.col("most"))
+    x = rows.filter(~F.col("major")).select(*[F.col(c).alias(f"x_{c}") for c in ("key", "id", "n", "left", "label")])
+    apart = (F.col("x_key") == F.col("key")) & (F.col("x_label") != F.col("label")) & (F.col("major") | (F.col("x_id") < F.col("id")))
+    near = x.join(rows, apart & _possible(F.col("x_left"), F.col("x_n"), F.col("left"), F.col("n"), percent))
+    return near.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+
 
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, _Tables]:
+    """The documents (doc_id, text_hash, s1, s2, n), their distinct sets (s1, s2, own, stays), and the tables that hold both.
 
-def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' descriptions, the index of their sets, and (node, root) of the sets that link with a different one."""
+    ``own`` is the least document of a set (none: whether its id is null, doc_id, text_hash), ``stays`` that of its component.
+    """
     if not 70 <= percent < 100:
         raise ValueError("percent must be from 70 to 99")
-    spark = docs.sparkSession
-    prefixes, _ = written(spark, _described(docs, words, percent), "prefixes")
-    one = F.min(F.struct("text_hash", "doc_id"))
-    by_set = prefixes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), one.alias("d"), *[F.first(c).alias(c) for c in ("n", *BITS)])
-    index, at_index = written(spark, by_set.select("sid", "least", "d.text_hash", "d.doc_id", "n", *BITS), "index")
-    keys, at_keys = written(spark, _signatures(prefixes, percent), "keys")
-    shared = keys.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).filter("hub <> last").select("key", "hub")
-    members, at_members = written(spark, keys.join(shared, "key").distinct(), "members")
-    dropped(spark, at_keys)
-
-    bits = lambda x, y: index.select(F.col("sid").alias(x), *[F.col(c).alias(f"{y}{c}") for c in ("n", *BITS)])
-    named = members.filter("sid <> hub").groupBy("hub", "sid").agg(F.count("*").alias("keys"), F.min("single").alias("single")).filter("NOT single OR keys >= 2")
-    star = named.select("hub", "sid").join(bits("sid", "y_"), "sid").join(bits("hub", "x_"), "hub").filter(_possible("x_", "y_", percent))
-    stars, at_stars = written(spark, star.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "stars")
-    first, _ = written(spark, _compared(stars, _sets(docs, index, stars, words), percent), "compared")
-    labels = components(first.filter("link"), "a", "b")
-    more, at_more = written(spark, _more_stars(_apart(members, labels), first, bits, percent), "stars")
-    second, _ = written(spark, _compared(more, _sets(docs, index, more, words), percent), "compared")
-    labels = components(_tree(labels).unionByName(second.filter("link").select("a", "b")), "a", "b")
-    rest, at_rest = written(spark, _across(members, first.unionByName(second), labels, index, percent), "rest")
-    third, _ = written(spark, _compared(rest, _sets(docs, index, rest, words), percent), "compared")
-    dropped(spark, at_members, at_stars, at_more, at_rest)
-    return prefixes, index, components(_tree(labels).unionByName(third.filter("link").select("a", "b")), "a", "b")
+    tables = _Tables(docs.sparkSession)
+    described = tables.keep(_described(docs, words, percent), "described")
+    rows = tables.keep(described.drop("prefix"), "rows")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
+    of_set = described.filter("n > 0").groupBy("s1", "s2").agg(own, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    index = tables.keep(of_set.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "own", "n", "prefix"), "index")
+    distinct = tables.keep(index.select("id", "s1", "s2", "own"), "distinct")
+    tables.drop("described")
+    prefixed = index.filter(F.size("prefix") > 0)
+    shared = tables.keep(_counts(prefixed, "prefix").select("t"), "shared")
+    passing = tables.keep(_passing(prefixed, shared, percent), "passing")
+    tables.drop("index", "shared")
+    sets = tables.keep(_sets(docs, passing.join(distinct.select("id", "own"), "id"), words), "sets")
+    counts = tables.keep(_counts(sets, "tokens"), "counts")
+    ordered = tables.keep(_ordered(sets, counts, percent), "ordered")
+    tables.drop("passing", "sets", "counts")
+
+    keys = tables.keep(_signatures(ordered, percent), "keys")
+    members = tables.keep(_members(keys, percent), "members")
+    tables.drop("keys")
+    nodes = distinct.select("id", F.struct("own", "id").alias("node"))
+    stars = members.filter((F.col("id") != F.col("hub.id")) & _possible(F.col("left"), F.col("n"), F.col("hub.left"), F.col("hub.n"), percent))
+    near = tables.keep(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "near")
+    links = tables.keep(_named(_linked_pairs(near, ordered, percent), nodes), "links")
+    labels = components(links, "a", "b")
+    labelled = tables.keep(_labelled(members, labels), "labelled")
+    tables.drop("near", "members")
+    rest = tables.keep(_across(labelled, percent), "rest")
+    more = tables.keep(_named(_linked_pairs(rest, ordered, percent), nodes), "more")
+    tables.drop("ordered", "labelled", "rest")
+    found = components(links.unionByName(more), "a", "b")
+    tables.drop("links", "more")
+    roots = found.select(F.col("node.id").alias("id"), F.col("root.own").alias("root"))
+    # The root is the least of its component, so it says what stays; no join by component is needed.
+    return rows, distinct.join(roots, "id", "left").select("s1", "s2", "own", F.coalesce("root", "own").alias("stays")), tables
+
+
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of ids as pairs of nodes, which are ordered by the least document of their sets."""
+    return pairs.join(nodes.select(F.col("id").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("id").alias("b"), F.col("node").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text); percent from 70 to 99."""
-    prefixes, index, found = _linked(docs, words, percent)
-    # A component without different sets is its set alone.
-    rooted = index.select("sid", "least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = rooted.join(least, "root").select("sid", "component_id")
+    rows, sets, _ = _linked(docs, words, percent)
     # Empty sets have no row there, and keys of their own so that they don't meet in one task.
     full = F.col("n") > 0
-    return (
-        prefixes.select("doc_id", "n", F.when(full, F.col("sid")).otherwise(F.xxhash64("doc_id", "text_hash")).alias("sid"))
-        .join(of_set, "sid", "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
-
-
-def _tree(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def _sets(docs: DataFrame, index: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens) of the sets in pairs, made again from one document of each."""
-    involved = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = index.join(involved, "sid").select("sid", F.col("text_hash").alias("h"), F.col("doc_id").alias("d"))
-    # A bitmap of bounded size keeps most other texts from being shuffled.
-    at = lambda h: F.shiftright(h.bitwiseAND(F.lit((1 << 22) - 1)), 6)
-    bits = chosen.groupBy(at(F.col("h")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
-    zeros = docs.sparkSession.range(1 << 16).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
-    dense = bits.unionByName(zeros).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda y: y["bits"]).alias("b"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    passing = keyed.filter(F.getbit(F.get(dense.scalar(), at(F.col("text_hash")).cast("int")), F.col("text_hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    joined = passing.join(chosen, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["sid"])
-    return joined.select("sid", shingles(F.col("text"), words).alias("tokens"))
+    asked = rows.withColumn("s1", F.when(full, F.col("s1")).otherwise(F.xxhash64("doc_id", "text_hash")))
+    found = sets.select("s1", "s2", F.lit(True).alias("in_set"), F.col("stays.doc_id").alias("least"))
+    component = F.when(full & F.col("in_set"), F.col("least")).otherwise(F.col("doc_id"))
+    return asked.join(found, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component, that of the least id (null is greater than any), then of the least hash of its text; repeated rows keep one."""
-    prefixes, _, found = _linked(docs, words, percent)
+    rows, sets, tables = _linked(docs, words, percent)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    full = prefixes.filter("n > 0")
-    of_set = full.groupBy("sid").agg(F.min(key).alias("own"))
-    rooted = of_set.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    stays = rooted.select("root", "sid").join(rooted.groupBy("root").agg(F.min("own").alias("stays")), "root").select("sid", "stays")
     named = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    gone = full.join(stays, "sid").filter(~key.eqNullSafe(F.col("stays"))).select(*named).distinct()
-    again = prefixes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1").select(*named)
+    leaving = rows.filter("n > 0").join(sets.select("s1", "s2", "stays"), ["s1", "s2"]).filter(~key.eqNullSafe(F.col("stays")))
+    gone = tables.keep(leaving.select(*named).distinct(), "gone")
+    again = tables.keep(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1").select(*named), "again")
+    tables.drop("rows", "distinct")
 
     def held(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(rows["text"]) == keys["_hash"]), how)
