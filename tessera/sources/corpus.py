@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import slice_of
+from tessera.sources import storage
 
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, order: str = "row_idx") -> DataFrame:
     """A Parquet table; a ``@[a:b]`` suffix of the path keeps rows of that range of the order column."""
-    plain, start, end = slice_of(path)
+    plain, start, end = storage.slice_of(path)
     df = spark.read.parquet(plain)
     if columns:
         require(df, columns)
@@ -27,16 +27,18 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def numbered(df: DataFrame, *keys: str, out: str = "row_idx") -> DataFrame:
     """df with row numbers 0, 1, ... in the order of keys that fix it.
 
-    Rows are dealt to tasks by range and numbered there; the sizes of the ranges before a task's own
-    (one row for each task) are added.
+    Rows are dealt to tasks by range and sorted there. That table is written to the shared folder once, with each row's
+    range and place, since ranges are sampled anew, and merged otherwise, whenever they are computed. Then the sizes of the
+    ranges before a row's own (one row for each range) are added. Columns of df named _id or _part are refused.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
-    parts = placed.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("n"))
-    before = parts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    if taken := {"_id", "_part"} & set(df.columns):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
+    placed = storage.kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + own).drop("_id", "_part", "_before")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + own).drop("_id", "_part", "_before")
 
 
 def row_range(df: DataFrame, start: int | None, end: int | None, order: str = "row_idx") -> DataFrame:
@@ -48,6 +50,25 @@ def row_range(df: DataFrame, start: int | None, end: int | None, order: str = "r
     return df.filter(keep)
 
 
+def window(df: DataFrame, skip: int, n: int, columns: list[str], optional: list[str] = (), order: str = "row_idx") -> DataFrame:
+    """n rows behind the first ``skip`` in order, with the columns and those of the optional ones that the table has."""
+    require(df, [*columns, order])
+    return df.orderBy(order).offset(skip).limit(n).select(*columns, *[c for c in optional if c in df.columns])
+
+
+def zipped(a: DataFrame, b: DataFrame, order: str = "row_idx") -> DataFrame:
+    """The columns of two tables side by side, by their row numbers (from 0, without gaps), which must be as many."""
+    rows = a.count(), b.count()
+    if rows[0] != rows[1]:
+        raise ValueError(f"{rows[0]} rows beside {rows[1]}")
+    return a.join(b, order)
+
+
+def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(distinct_texts, rows) of the table."""
+    return df.agg(F.count_distinct(F.sha2(text, 256)).alias("distinct_texts"), F.count("*").alias("rows"))
+
+
 def first_kept(df: DataFrame, n: int, where: Column | None = None, order: str = "row_idx") -> DataFrame:
     """The first n rows that pass, in order; the cap counts kept rows."""
     return (df.filter(where) if where is not None else df).orderBy(order).limit(n)

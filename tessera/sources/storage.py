@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SLICE = re.compile(r"^(.*)@\[(\d*):(\d*)\]$")
 
@@ -29,22 +32,61 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
+    return read_bytes(spark, path).decode()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file(spark, path)
+    fs.delete(where, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one for local masters alone."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or getattr(spark, "_shared_folder", None)
+    if not named and (given := context._jsc.sc().getCheckpointDir()).isDefined():
+        named = given.get()
+    if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set, and executors don't share the driver's folders")
+        named = spark._shared_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return named
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read back, so that it is computed once, whatever reads it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ensure_parent(spark: SparkSession, path: str) -> None:
+    fs, where = _file(spark, path)
+    if where.getParent() is not None:
+        fs.mkdirs(where.getParent())
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
     fs, where = _file(spark, path)
-    jvm = spark.sparkContext._jvm
     stream = fs.open(where)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Through a file of another name that is renamed, so no reader sees a part."""
+    ensure_parent(spark, path)
     fs, where = _file(spark, path)
     _, part = _file(spark, path + ".part")
     stream = fs.create(part, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
     if fs.exists(where):
@@ -53,6 +95,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} can't be written")
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def moved(spark: SparkSession, path: str, to: str) -> None:
     fs, where = _file(spark, path)
-    fs.delete(where, True)
+    ensure_parent(spark, to)
+    if not fs.rename(where, _file(spark, to)[1]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def by_path(said: str):
+    """What ``package.module:name`` names: a provider, an extractor or an upload hook of the user's own."""
+    module, sep, name = said.partition(":")
+    if not sep:
+        raise ValueError(f"{said!r} isn't module:name")
+    return getattr(importlib.import_module(module), name)
