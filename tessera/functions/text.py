@@ -36,7 +36,7 @@ def wrap_explanation(text: Column) -> Column:
     return F.concat(F.lit(OPEN + "\n"), text, F.lit("\n" + CLOSE))
 
 
-#: List markers at the beginning of a line: bullets, numbers, letters, roman numerals, bare or in parentheses.
+# What a line may begin with, and a bold head, as explanations of this kind are cleaned everywhere.
 _MARKER = r"(?Ud)^\s*(?:[-*•+–—]|\d+[.)]|\(\d+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxIVX]+[.)])\s+"
 _BOLD = r"(?Ud)^\*\*(.+?)\*\*\s*"
 
@@ -73,6 +73,11 @@ def head(text: Column, chars: int) -> Column:
     return F.nullif(F.left(text, F.lit(chars)), F.lit(""))
 
 
+def right_truncated(ids: Column, longest: int) -> Column:
+    """The first ids; what is behind them is cut off."""
+    return F.slice(ids, F.lit(1), F.lit(longest))
+
+
 def parse_score(text: Column) -> Column:
     """The first standalone number from 1 to 10, else null."""
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(10|[1-9])\b", 1), F.lit("")).try_cast("int")

@@ -20,6 +20,16 @@ def marker(encode: Encode, kept: dict[str, str], name: str) -> tuple[str, int]:
     raise ValueError(f"{name} has no marker that is a single token")
 
 
+def kept_markers(said: str) -> dict[str, str]:
+    """The markers found for each tokenizer so far, from YAML text; an empty text has none."""
+    import yaml
+
+    found = yaml.safe_load(said) or {}
+    if not all(isinstance(c, str) and len(c) == 1 for c in found.values()):
+        raise ValueError("a kept marker isn't a single character")
+    return found
+
+
 def suffix_ids(encode: Encode, template: str, placeholder: str = "{explanation}") -> list[int]:
     """Ids of what follows the placeholder, without the first, which may join the text before it; at least two must be there."""
     if template.count(placeholder) != 1:

@@ -67,5 +67,10 @@ def default_layer(layers: Column) -> Column:
     return F.floor(layers * 2 / 3)
 
 
+def train_perplexity(mean_loss: Column) -> Column:
+    """Of a training step, whose exponent is bounded instead."""
+    return F.exp(F.least(F.lit(20.0), mean_loss))
+
+
 def perplexity(mean_loss: Column) -> Column:
     return F.when(mean_loss >= 30, F.lit(float("inf"))).otherwise(F.exp(mean_loss))

@@ -17,6 +17,15 @@ def resolve_scale(scale, d: int) -> float | None:
     return math.sqrt(d) if scale == "sqrt_d_model" else float(scale)
 
 
+#: Model types whose embedding layer multiplies by the root of the width (fixed values).
+SCALED_EMBEDDINGS = ("gemma", "gemma2", "gemma3", "gemma3_text", "t5")
+
+
+def embedding_scale(model_type: str, d: int) -> float:
+    """What a model's embedding layer multiplies its rows by."""
+    return math.sqrt(d) if model_type in SCALED_EMBEDDINGS else 1.0
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.sources import corpus, storage
 
 
 def baselines(rows: DataFrame, vector: str, scale: float) -> DataFrame:
@@ -38,32 +40,118 @@ def evaluation_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def distractors(sources: DataFrame, k: int, seed: int, block: int = 64) -> DataFrame:
-    """(i, j, r): for each source its k - 1 distractors by hash, if it has as many; none may begin with the other.
+def variance_explained_by(rows: DataFrame, mse: str, baseline: float, *by: str) -> DataFrame:
+    """(by, n_scored, mse_mean, fve_pct) of the rows with an error; the others didn't give one and don't count."""
+    mean = F.avg(mse)
+    return rows.groupBy(*by).agg(F.count(mse).alias("n_scored"), mean.alias("mse_mean"), (100 * variance_explained(mean, F.lit(baseline))).alias("fve_pct"))
 
-    sources: (i, text), an evaluation set. Each row looks at the others in blocks of the set, so no join by inequality runs;
-    what the set may not be is unbounded: it is meant for the few hundred rows of an evaluation.
-    """
-    kept = sources.filter("text <> ''")
-    blocks = kept.groupBy((F.col("i") % block).alias("b")).agg(F.collect_list(F.struct("i", "text")).alias("others"))
-    asked = kept.select(F.col("i").alias("a"), F.col("text").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("b"))
-    pairs = asked.join(blocks, "b").select("a", "t", F.explode("others").alias("o"))
-    fine = pairs.filter((F.col("a") != F.col("o.i")) & ~F.col("t").startswith(F.col("o.text")) & ~F.col("o.text").startswith(F.col("t")))
-    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("o.i").cast("string")), 256)
-    w = Window.partitionBy("a")
-    ranked = fine.select("a", F.col("o.i").alias("j"), h.alias("h")).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("h")))
-    return ranked.filter((F.col("r") < k) & (F.col("n") >= k - 1)).select(F.col("a").alias("i"), "j", "r")
+
+def baselines_of_first(rows: DataFrame, vector: str, scale: float, n: int, order: str = "row_idx") -> DataFrame:
+    """baselines() of the first n rows, as trainers take them."""
+    return baselines(rows.orderBy(order).limit(n).select(vector), vector, scale)
+
+
+#: Dimensions that a judge rates from 1 to 10 (fixed names), each with what it asks for.
+RUBRIC = {
+    "unique_info": "how much distinct, specific information it gives; repeated or general statements add nothing",
+    "coherence": "how well its parts read and fit together, whether or not they are true",
+    "writing_quality": "how clean and fluent the writing is, whatever it says",
+    "specificity": "how few texts it could be about, judged by itself",
+    "repetitiveness": "how much it repeats words, phrases or points (10: all the time)",
+}
+MATCH, OPTIONS, SNIPPET, JUDGED = "source_match", 4, 700, 6000
+_RATE = "Rate this explanation of what a language model held in mind while it read a text, from 1 to 10, for {what}.\nAnswer with the number alone.\n\nEXPLANATION:\n{text}"
+_CHOOSE = "This explanation was made while a language model read the end of one of {k} texts. Which one?\nAnswer with its letter alone.\n\nEXPLANATION:\n{text}\n\n{options}"
 
 
-RUBRIC = ("coherence", "specificity", "fluency", "relevance", "completeness")
+def _drawn(seed: int, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
 
-def judge_jobs(rows: DataFrame, limit: int = 6000) -> DataFrame:
-    """(i, dim, explanation, source): the rubric's tasks and the match of each row that has an explanation."""
-    dims = F.explode(F.array(*[F.lit(d) for d in (*RUBRIC, "source_match")]))
-    kept = rows.withColumn("explanation", F.nullif(F.left("explanation", F.lit(limit)), F.lit(""))).filter(F.col("explanation").isNotNull())
-    jobs = kept.select("i", dims.alias("dim"), "explanation", F.nullif(F.left("source", F.lit(limit)), F.lit("")).alias("source"))
-    return jobs.filter((F.col("dim") != "source_match") | F.col("source").isNotNull())
+def _apart(a: Column, b: Column) -> Column:
+    """Neither text begins with the other: prefixes of one document are the same answer twice."""
+    return ~(a.startswith(b) | b.startswith(a))
+
+
+def distractors(sources: DataFrame, k: int = OPTIONS, seed: int = 0) -> DataFrame:
+    """(i, j, r): for each source (i, text) its k - 1 distractors, r = 1, 2, ..., if the set has as many.
+
+    Sources stand on a ring in hash order. Each starts at a place drawn by hash and goes on until it has met enough sources
+    that don't begin with its text, or it with theirs. So a source meets a few others, not all; only where most don't fit
+    are more asked for, by twice as many each time. i must be unique.
+    """
+    spark = sources.sparkSession
+    fit = sources.filter("text <> ''").select("i", "text", _drawn(seed, F.lit("ring"), F.col("i")).alias("h"))
+    ring = storage.kept(corpus.numbered(fit, "h", "i", out="place").drop("h"), "ring")
+    n = ring.count()
+    if not n:
+        return spark.createDataFrame([], sources.select("i").schema.add("j", sources.schema["i"].dataType).add("r", "integer"))
+    start = F.conv(F.left(_drawn(seed, F.lit("start"), F.col("i")), F.lit(8)), 16, 10).cast("long") % n
+    other = ring.select(F.col("place").alias("at"), F.col("i").alias("j"), F.col("text").alias("other"))
+    asked, width, found = ring.select("i", "text", start.alias("start")), 2 * k, None
+    while True:
+        steps = min(width, n)
+        met = asked.select("i", "text", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("d")).withColumn("at", (F.col("start") + F.col("d")) % n)
+        good = met.join(other, "at").filter((F.col("i") != F.col("j")) & _apart(F.col("text"), F.col("other")))
+        picked = good.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "j"))), 1, k - 1).alias("x")).filter(F.size("x") == k - 1)
+        picked = storage.kept(picked, "distractors")
+        found = picked if found is None else found.unionByName(picked)
+        asked, width = asked.join(picked.select("i"), "i", "left_anti"), 4 * width
+        if steps == n or asked.isEmpty():
+            return found.select("i", F.posexplode("x").alias("r", "x")).select("i", F.col("x.j").alias("j"), (F.col("r") + 1).alias("r"))
+
+
+def match_options(sources: DataFrame, k: int = OPTIONS, seed: int = 0, snippet: int = SNIPPET) -> DataFrame:
+    """(i, true_pos, options): the ends of a source and of its distractors, in an order drawn by hash, and the true one's place."""
+    own = sources.filter("text <> ''")
+    wrong = distractors(sources, k, seed).join(own.select(F.col("i").alias("j"), "text"), "j").select("i", "j", "text")
+    right = own.select("i", F.col("i").alias("j"), "text").join(wrong.select("i").distinct(), "i", "left_semi")
+    slots = F.sort_array(F.collect_list(F.struct(_drawn(seed, F.lit("slot"), F.col("i"), F.col("j")).alias("h"), "j", T.tail_snippet(F.col("text"), snippet).alias("t"))))
+    made = wrong.unionByName(right).groupBy("i").agg(slots.alias("slots"))
+    return made.select("i", (F.array_position(F.transform("slots", lambda s: s["j"]), F.col("i")) - 1).cast("int").alias("true_pos"), F.transform("slots", lambda s: s["t"]).alias("options"))
+
+
+def match_options_python(sources: list[str], i: int, seed: int, k: int = OPTIONS, snippet: int = SNIPPET) -> tuple[list[str], int] | None:
+    """The task of one row by NumPy's generator, keyed by seed and row, for evaluation sets that fit on the driver; None without enough distractors."""
+    import numpy as np
+
+    own = sources[i]
+    fit = [j for j, s in enumerate(sources) if own and s and j != i and not s.startswith(own) and not own.startswith(s)]
+    if len(fit) < k - 1:
+        return None
+    rng = np.random.default_rng((seed, i))
+    members = [i, *rng.choice(fit, size=k - 1, replace=False).tolist()]
+    slot_of = rng.permutation(k).tolist()
+    shown = {slot: sources[j] for slot, j in zip(slot_of, members, strict=True)}
+    return [s if len(s) <= snippet else f"... {s[-snippet:]}" for _, s in sorted(shown.items())], slot_of[0]
+
+
+def judge_jobs(rows: DataFrame, k: int = OPTIONS, seed: int = 0, limit: int = JUDGED) -> DataFrame:
+    """(i, dim, true_pos, prompt): the rubric's tasks of each row (i, explanation, source) with an explanation, and its match, if it has enough distractors."""
+    kept = rows.withColumn("explanation", F.nullif(F.left(T.strip(F.col("explanation")), F.lit(limit)), F.lit(""))).filter(F.col("explanation").isNotNull())
+    asks = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(_RATE.replace("{what}", what)).alias("template")) for d, what in RUBRIC.items()]))
+    rated = kept.select("i", asks.alias("a"), "explanation").select("i", F.col("a.dim").alias("dim"), F.lit(None).cast("int").alias("true_pos"), F.replace("a.template", F.lit("{text}"), F.col("explanation")).alias("prompt"))
+    tasks = match_options(rows.select("i", F.coalesce("source", F.lit("")).alias("text")), k, seed)
+    lines = F.array_join(F.transform("options", lambda o, p: F.concat(F.lit("SOURCE "), F.substring(F.lit(T.LETTERS), p + 1, F.lit(1)), F.lit(":\n"), o)), "\n\n")
+    # The options go in first, so that an explanation that says {options} stays what it is.
+    filled = F.concat(F.lit(_CHOOSE.replace("{k}", str(k)).split("{text}")[0]), F.col("explanation"), F.lit("\n\n"), lines)
+    return rated.unionByName(kept.join(tasks, "i").select("i", F.lit(MATCH).alias("dim"), "true_pos", filled.alias("prompt")))
+
+
+def judge_scores(answers: DataFrame, k: int = OPTIONS) -> DataFrame:
+    """(i, dim, score, hit) of answered tasks (i, dim, true_pos, answer); what can't be read, or has no answer, is null."""
+    match, letter = F.col("dim") == MATCH, T.parse_letter(F.col("answer"), k)
+    return answers.select("i", "dim", F.when(~match, T.parse_score(F.col("answer"))).alias("score"), F.when(match, (letter == F.col("true_pos")).cast("int")).alias("hit"))
+
+
+def shown(records: DataFrame, at: tuple[int, ...] = (0, 7, 14), order: str = "idx") -> DataFrame:
+    """The records at fixed places, to see how outputs change between evaluations."""
+    return records.filter(F.col(order).isin(*at))
+
+
+def sample_table(records: DataFrame, step: int, chars: int = 500) -> DataFrame:
+    """Rows (step, idx, reward, fve, extracted, explanation) for the table of samples that a run keeps."""
+    return records.select(F.lit(step).cast("long").alias("step"), "idx", "reward", "fve", "extracted", F.left("explanation", F.lit(chars)).alias("explanation"))
 
 
 def by_request(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -73,14 +161,13 @@ def by_request(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def judge_summary(scores: DataFrame) -> DataFrame:
-    """scores: (i, dim, score, hit): one row per task, ``source_match`` among the dims; a null score or hit failed."""
-    match = F.col("dim") == "source_match"
-    answered = F.when(match, F.col("hit").isNotNull())
+    """scores: (i, dim, score, hit): one row per task; a null score or hit failed. Means of nothing are NaN."""
+    match = F.col("dim") == MATCH
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(float("nan")))
     return scores.agg(
-        F.avg(F.when(F.col("dim") == "coherence", F.col("score"))).alias("coherence_mean"),
-        F.avg(F.when(F.col("dim") == "specificity", F.col("score"))).alias("specificity_mean"),
-        F.avg(F.when(match, F.col("hit"))).alias("source_match_acc"),
-        F.avg(answered.cast("double")).alias("match_answer_rate"),
-        F.avg(F.when(match, F.col("hit").isNull()).otherwise(F.col("score").isNull()).cast("double")).alias("judge_fail_rate"),
+        *[mean(F.when(F.col("dim") == d, F.col("score"))).alias(f"{d}_mean") for d in RUBRIC],
+        mean(F.when(match, F.col("hit"))).alias("source_match_acc"),
+        mean(F.when(match, F.col("hit").isNotNull().cast("double"))).alias("match_answer_rate"),
+        mean(F.when(match, F.col("hit").isNull()).otherwise(F.col("score").isNull()).cast("double")).alias("judge_fail_rate"),
         F.count_distinct("i").alias("n_judged"),
     )

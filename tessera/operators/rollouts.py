@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import training as R
+
 
 def marker_well_formed(ids: Column, marker: int, left: int, right: int) -> Column:
     """Exactly one marker in all, with its neighbours."""
@@ -63,14 +65,22 @@ def full_kl(rows: DataFrame, token: list[str]) -> DataFrame:
     return rows.groupBy(*token).agg(F.sum(F.exp("lp") * (F.col("lp") - F.col("lq"))).alias("kl"), (-F.sum(F.exp("lp") * F.col("lp"))).alias("entropy"))
 
 
+def _or_nan(x: Column) -> Column:
+    return F.coalesce(x, F.lit(float("nan")))
+
+
 def step_metrics(rows: DataFrame, step: str = "step") -> DataFrame:
-    """One row per step: population deviation for rewards (those that are not null), sample deviation for all advantages."""
+    """One row per step: population deviation for rewards (those that are not null; NaN without any), sample deviation for all advantages.
+
+    Counts of failed injections (cjk), broken markers (marker_ok) and the share of responses over the length threshold come
+    with the columns cjk_fail, marker_ok and penalty.
+    """
     r = F.col("reward")
     return rows.groupBy(step).agg(
-        F.avg(r).alias("reward_mean"),
-        F.stddev_pop(r).alias("reward_std"),
-        F.min(r).alias("reward_min"),
-        F.max(r).alias("reward_max"),
+        _or_nan(F.avg(r)).alias("reward_mean"),
+        _or_nan(F.stddev_pop(r)).alias("reward_std"),
+        _or_nan(F.min(r)).alias("reward_min"),
+        _or_nan(F.max(r)).alias("reward_max"),
         F.avg("advantage").alias("advantage_mean"),
         F.stddev_samp("advantage").alias("advantage_std"),
         F.avg(r.isNotNull().cast("double")).alias("extraction_rate"),
@@ -78,8 +88,43 @@ def step_metrics(rows: DataFrame, step: str = "step") -> DataFrame:
         F.count_if(~F.col("ok")).alias("masked_count"),
         F.avg("n_tokens").alias("resp_len"),
         F.avg("penalty").alias("penalty_mean"),
+        F.avg((F.col("penalty") > 0).cast("double")).alias("overage_frac"),
+        F.count_if("cjk_fail").alias("inject_fail_count"),
+        F.count_if(~F.col("marker_ok")).alias("marker_bad_count"),
+        F.count_if("truncated").alias("truncated_count"),
     )
 
 
-def counter_deltas(rows: DataFrame, counter: str, order: str) -> DataFrame:
-    return rows.withColumn("delta", F.greatest(F.lit(0), F.col(counter) - F.lag(counter).over(Window.orderBy(order))))
+def counter_deltas(rows: DataFrame, counter: str, order: str, *by: str) -> DataFrame:
+    """rows with ``delta``, what a running counter of each source (``by``) gained since its row before; a reset gives 0, a first row null."""
+    if not by:
+        raise ValueError("name the columns that tell sources apart")
+    gained = F.col(counter) - F.lag(counter).over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("delta", F.when(gained.isNotNull(), F.greatest(F.lit(0), gained)))
+
+
+def with_activations(rows: DataFrame, prompts: DataFrame, key: str, default: dict | None = None) -> DataFrame:
+    """rollouts with the columns of their prompt; rollouts of an unknown prompt stay, with the defaults."""
+    joined = rows.join(prompts, key, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(x)) for c, x in (default or {}).items()})
+
+
+#: A response with a larger share of CJK characters is taken for a failed injection (a fixed value).
+MOST_CJK = 0.05
+
+
+def injection_ok(cjk_fraction: Column, well_formed: Column) -> Column:
+    return (cjk_fraction <= MOST_CJK) & well_formed
+
+
+def token_weighted_loss(rows: DataFrame, loss: str, tokens: str, *by: str, budget: float | None = None) -> DataFrame:
+    """(by, loss, ppl, train_ppl[, budget_loss]): the mean loss by tokens; perplexities with the bounds of evaluation and training; with a budget of tokens, the sum over it."""
+    mean = F.sum(F.col(loss) * F.col(tokens)) / F.greatest(F.sum(tokens), F.lit(1))
+    extra = [(F.sum(loss) / F.lit(float(budget))).alias("budget_loss")] if budget else []
+    return rows.groupBy(*by).agg(mean.alias("loss"), R.perplexity(mean).alias("ppl"), R.train_perplexity(mean).alias("train_ppl"), *extra)
+
+
+def throughput(rows: DataFrame, tokens: Column, rollout_seconds: Column, score_seconds: Column, *by: str) -> DataFrame:
+    """(by, tokens_per_s, rollouts_per_s, rollout_share): tokens over the rollout's time, rows over the scoring's, the rollout's share of both."""
+    r, s = F.sum(rollout_seconds), F.sum(score_seconds)
+    return rows.groupBy(*by).agg((F.sum(tokens) / r).alias("tokens_per_s"), (F.count("*") / s).alias("rollouts_per_s"), (r / (r + s)).alias("rollout_share"))

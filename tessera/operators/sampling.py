@@ -36,16 +36,17 @@ def sample_positions(positions: Column, k: int, seed: int, key: Column) -> Colum
     return F.sort_array(F.transform(F.slice(ranked, 1, k), lambda x: x["p"]))
 
 
+def keyed_random(seed: int, key: str) -> random.Random:
+    """Python's generator, seeded by the whole digest of seed and key."""
+    return random.Random(hashlib.sha256(f"{seed}|{key}".encode()).digest())
+
+
 def sample_positions_python(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(doc_id, positions) by Python's own generator, keyed by seed and document: the same draws as a Python loop makes."""
+    """(doc_id, positions) by Python's own generator, keyed by seed and document, in the order of its draws: what a Python loop gives."""
+
     @F.pandas_udf("array<int>")
     def draw(ids: pd.Series, positions: pd.Series) -> pd.Series:
-        def one(doc, found):
-            rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}|{doc}".encode()).digest()[:8], "big"))
-            found = list(found)
-            return sorted(rng.sample(found, min(k, len(found))))
-
-        return pd.Series([one(d, p) for d, p in zip(ids, positions, strict=True)])
+        return pd.Series([keyed_random(seed, d).sample(list(p), min(k, len(p))) for d, p in zip(ids, positions, strict=True)], dtype=object)
 
     return docs.select("doc_id", draw("doc_id", "positions").alias("positions"))
 
@@ -98,6 +99,60 @@ def document_split(rows: DataFrame, fractions: dict[str, float], seed: int, key:
     return rows.withColumn("split", split)
 
 
+#: The modes that repeat Python's generator draw for a whole table at once, on the driver; larger ones take the hash modes.
+MOST_DRAWN = 5_000_000
+
+
+def _bounded(n: int) -> int:
+    if n > MOST_DRAWN:
+        raise ValueError(f"{n} are too many to draw one after the other; draw by hash")
+    return n
+
+
+def document_split_python(rows: DataFrame, fractions: dict[str, float], seed: int, key: str = "doc_id") -> DataFrame:
+    """document_split() in the order that Python's generator shuffles the sorted keys into; for up to ``MOST_DRAWN`` documents."""
+    ids = rows.select(key).distinct()
+    n, names = _bounded(ids.count()), list(fractions)
+    order = sorted(r[0] for r in ids.collect())
+    random.Random(seed).shuffle(order)
+    named, at = [], 0
+    for name in names:
+        end = n if name == names[-1] else at + int(n * fractions[name])
+        named += [(doc, name) for doc in order[at:end]]
+        at = end
+    return rows.join(rows.sparkSession.createDataFrame(named, ids.schema.add("split", "string")), key)
+
+
+def permuted_python(rows: DataFrame, seed: int, dataset_id: str, order: str = "row_idx") -> DataFrame:
+    """rows (numbered from 0) with ``place``, where Python's generator shuffles them to; for up to ``MOST_DRAWN`` rows."""
+    places = list(range(_bounded(rows.count())))
+    keyed_random(seed, dataset_id).shuffle(places)
+    return rows.join(rows.sparkSession.createDataFrame(list(enumerate(places)), f"place long, `{order}` long"), order).orderBy("place")
+
+
+def without_padding(tokens: Column, pad: Column, end: Column | None = None) -> Column:
+    """tokens, or an error where the pad token is among them, as then no position can be trusted; a pad that is also the end token isn't looked for."""
+    leak = F.array_contains(tokens, pad)
+    if end is not None:
+        leak = leak & (pad != end)
+    return F.when(leak, F.raise_error(F.lit("a pad token is among the tokens"))).otherwise(tokens)
+
+
+def coverage(docs: DataFrame, positions: str, k: int) -> DataFrame:
+    """One row: documents, those without any position, those with fewer than k, and the rows that sampling gives."""
+    n = F.size(positions)
+    return docs.agg(
+        F.count("*").alias("docs"),
+        F.count_if(n == 0).alias("skipped"),
+        F.count_if((n > 0) & (n < k)).alias("short_sampled"),
+        F.sum(F.least(n, F.lit(k)).cast("long")).alias("rows"),
+    )
+
+
+def split_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(key).alias("docs"))
+
+
 def is_held_out(key: Column, permille: int | Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 1000 < permille
 
@@ -108,6 +163,23 @@ def without_seen(rows: DataFrame, first_rows: int, key: str = "doc_id", order: s
     return rows.join(seen, key, "left_anti")
 
 
+def held_out_first(rows: DataFrame, n: int, permille: int, key: str = "doc_id", order: str = "row_idx") -> DataFrame:
+    """The first n rows of held-out documents, in order."""
+    return rows.filter(is_held_out(F.col(key), permille)).orderBy(order).limit(n)
+
+
+def windows_apart(train_rows: int | None, skip: int) -> None:
+    """An error where rows for training reach into those for evaluation, which begin behind ``skip``."""
+    if train_rows is None or train_rows > skip:
+        raise ValueError(f"training takes {train_rows or 'all'} rows, evaluation begins behind {skip}")
+
+
+def batch_slots(row: Column, batch: int, ranks: int, chunk: int) -> dict[str, Column]:
+    """Where a row in training order goes: its step, its slot there, the rank with an equal share of slots, and its chunk of rows."""
+    slot = row % batch
+    return {"step": F.floor(row / batch), "slot": slot, "rank": F.floor(slot / (batch // ranks)), "chunk": F.floor(row / chunk)}
+
+
 def permutation_key(seed: int, dataset_id: str, row: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(dataset_id), row.cast("string")), 256)
 
@@ -117,8 +189,13 @@ def permuted(rows: DataFrame, seed: int, dataset_id: str, order: str = "row_idx"
     return rows.withColumn("shuffle_key", permutation_key(seed, dataset_id, F.col(order))).orderBy("shuffle_key")
 
 
-def epoch_batches(n_rows: int, batch: int, steps: int, seed: int) -> list[tuple[int, int, int]]:
-    """(step, slot, row) with reshuffling where an epoch has no whole batch left; replaying gives the same rows."""
+def epoch_batches(n_rows: int, batch: int, steps: int, seed: int, first: int = 0) -> list[tuple[int, int, int]]:
+    """(step, slot, row) of the steps from ``first`` on, with reshuffling where an epoch has no whole batch left.
+
+    A resumed run replays the draws of the steps before, so it goes on with the rows that it would have had.
+    """
+    if batch > n_rows:
+        raise ValueError("a batch is larger than the table")
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -126,6 +203,7 @@ def epoch_batches(n_rows: int, batch: int, steps: int, seed: int) -> list[tuple[
     for step in range(steps):
         if at + batch > n_rows:
             order, at = rng.permutation(n_rows), 0
-        out += [(step, slot, int(row)) for slot, row in enumerate(order[at : at + batch])]
+        if step >= first:
+            out += [(step, slot, int(row)) for slot, row in enumerate(order[at : at + batch])]
         at += batch
     return out

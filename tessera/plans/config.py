@@ -37,15 +37,20 @@ def expanded(config: dict, presets: dict[str, dict]) -> dict:
 
 
 def resolved(defaults: dict, from_file: dict, from_line: dict) -> dict:
-    """Defaults, then the file, then the command line; unknown keys are errors, strings take the type of the default."""
-    if unknown := sorted(set(from_file) - set(defaults)):
+    """Defaults, then the file, then the command line; unknown keys of either are errors, strings take the type of the default."""
+    if unknown := sorted({*from_file, *from_line} - set(defaults)):
         raise ValueError(f"unknown keys: {unknown}")
+    given = {**from_file, **from_line}
+    return {k: _like(v, given[k]) if k in given else v for k, v in defaults.items()}
 
-    def typed(k, v):
-        kind = type(defaults[k])
-        return kind(v) if isinstance(v, str) and kind in (int, float) else v
 
-    return {**defaults, **{k: typed(k, v) for k, v in from_file.items()}, **from_line}
+def _like(default: Any, value: Any) -> Any:
+    """value as the type of the default, where it is said as text or as a whole number."""
+    if isinstance(default, bool):
+        return parsed(value) if isinstance(value, str) else value
+    if isinstance(value, str) and isinstance(default, (int, float)) or isinstance(default, float) and isinstance(value, int) and not isinstance(value, bool):
+        return type(default)(value)
+    return value
 
 
 def snapshot(config: dict) -> str:

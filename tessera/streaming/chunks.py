@@ -18,11 +18,13 @@ def fingerprint(spark: SparkSession, path: str, rows: int, chunk_rows: int) -> d
 
 
 def guarded(spark: SparkSession, out: str, mark: dict) -> None:
-    """Writes the fingerprint of a first run; a later run must have the same."""
+    """Writes the fingerprint of a first run; a later run must have the same. Chunks without one may be of anything, and are refused."""
     at = f"{out}.fingerprint.json"
     if storage.exists(spark, at):
         if json.loads(storage.read_text(spark, at)) != mark:
             raise ValueError(f"{out} was begun with another input or chunk size")
+    elif storage.exists(spark, out):
+        raise ValueError(f"{out} has chunks without a fingerprint")
     else:
         storage.write_text(spark, at, json.dumps(mark))
 
@@ -45,12 +47,25 @@ def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: C
     return spark.read.option("basePath", out).parquet(*done)
 
 
-def published(spark: SparkSession, staged: DataFrame, path: str) -> DataFrame:
-    """Writes a table unless it has no rows, which is an error found before anything is replaced."""
-    if staged.isEmpty():
+#: Rows of a row group, so that readers of wide rows can take a few at a time.
+GROUP_ROWS = 65_536
+
+
+def published(spark: SparkSession, made: DataFrame, path: str, by: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Writes a table, in folders by a column if one is named. One without rows is an error, found before anything is replaced.
+
+    made is computed once: its rows are counted where they were staged, beside the path, and then moved there.
+    """
+    if storage.exists(spark, path):
+        raise FileExistsError(f"{path} exists")
+    staged = f"{path}.staged"
+    writer = made.write.mode("overwrite").option("parquet.block.row.count.limit", group_rows)
+    (writer.partitionBy(by) if by else writer).parquet(staged)
+    if spark.read.schema(made.schema).parquet(staged).isEmpty():
+        storage.delete(spark, staged)
         raise ValueError(f"every row of {path} was dropped")
-    staged.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    storage.moved(spark, staged, path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def metrics_of_stream(events: DataFrame, every: str, late: str) -> DataFrame:
