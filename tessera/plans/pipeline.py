@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import explanations, sampling
-from tessera.plans.registry import stand_in_provider
+from tessera.operators import evaluation, explanations, sampling
 from tessera.sources import corpus, sidecar, storage
 from tessera.streaming import chunks
 
@@ -33,6 +32,41 @@ def stand_in_extractor(width: int, layer: int) -> Callable[[DataFrame], DataFram
     return extract
 
 
+def stand_in_provider(rows: DataFrame) -> DataFrame:
+    """A rule in place of a completion service: a digest and the first line; no model is asked."""
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    return rows.withColumn("api_explanation", F.concat(F.left(F.sha2("text", 256), F.lit(8)), F.lit("\n\n"), first))
+
+
+def extracting(make: Callable, layer: int, text: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """An extractor that runs inside tasks, on one Arrow batch at a time.
+
+    make builds it, once for a task; extract(texts, layer) gives (tokens as strings, vectors) for each text.
+    """
+
+    def extract(docs: DataFrame) -> DataFrame:
+        names = docs.columns
+
+        def run(batches):
+            import pyarrow as pa
+
+            model = None
+            for batch in batches:
+                model = model or make()
+                texts = batch.column(names.index(text)).to_pylist()
+                found = list(model.extract(texts, layer))
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} results for {len(texts)} texts")
+                tokens = pa.array([list(t) for t, _ in found], pa.list_(pa.string()))
+                vectors = pa.array([[list(map(float, v)) for v in vs] for _, vs in found], pa.list_(pa.list_(pa.float32())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, tokens, vectors], [*names, "tokens", "vectors"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "tokens array<string>", "vectors array<array<float>>"])
+        return docs.mapInArrow(run, schema)
+
+    return extract
+
+
 @dataclass
 class Settings:
     corpus_path: str
@@ -49,16 +83,44 @@ class Settings:
     fractions: dict[str, float] = field(default_factory=lambda: {"av_sft": 0.4, "ar_sft": 0.4, "rl": 0.2})
     actor: str = "Explain <INJECT>."
     critic: str = "<text>{explanation}</text> <summary>"
-    tokens: dict = field(default_factory=lambda: {"injection_char": "㊗", "injection_token_id": 0, "critic_suffix_ids": [0, 1]})
+    tokens: sidecar.Tokens = sidecar.Tokens("㊗", 0, critic_suffix_ids=[0, 1])
     chunk_rows: int = 65536
     keep_text: bool = False
 
 
-def paths(out: str) -> dict[str, str]:
-    made = {"base": f"{out}/base.parquet"}
-    made |= {f"{s}_raw": f"{out}/splits/{s}_raw.parquet" for s in TRAIN_STAGES}
-    made |= {f"{s}_explained": f"{out}/splits/{s}_explained.parquet" for s in EXPLAINED}
-    return made | {s: f"{out}/{s}.parquet" for s in TRAIN_STAGES} | {f"{s}_shuf": f"{out}/{s}_shuf.parquet" for s in TRAIN_STAGES}
+    no_text: bool = False
+    pad: str | None = None
+
+
+#: The steps of a run, each a folder, and the tables that they make.
+STEPS = {
+    "base": ("base",),
+    "split": TRAIN_STAGES,
+    "explained": EXPLAINED,
+    "built": TRAIN_STAGES,
+    "shuffled": TRAIN_STAGES,
+}
+
+
+def place(out: str, step: str, name: str) -> str:
+    """Where a step's table is; splits are the folders of one partitioned table."""
+    if name not in STEPS[step]:
+        raise ValueError(f"{step} makes no {name}")
+    folder = {"base": step, "split": f"{step}/split={name}"}.get(step, f"{step}/{name}")
+    return f"{out}/{folder}"
+
+
+def preconditions(s: Settings) -> None:
+    """What must hold before a run begins."""
+    lacking = [mark for mark, template in (("{explanation}", s.critic), ("<INJECT>", s.actor)) if template.count(mark) != 1]
+    if lacking:
+        raise ValueError(f"templates must hold {lacking} once")
+    if set(s.fractions) != set(TRAIN_STAGES) or min(s.fractions.values()) < 0 or abs(sum(s.fractions.values()) - 1) > 1e-6:
+        raise ValueError(f"fractions must name {TRAIN_STAGES}, not be negative, and sum to 1")
+    if s.length < 1 or s.positions_per_doc < 1 or s.chunk_rows < 1:
+        raise ValueError("length, positions_per_doc and chunk_rows must be positive")
+    if s.no_text and s.fractions["rl"] < 1:
+        raise ValueError("without texts nothing can be explained")
 
 
 def run(
@@ -68,56 +130,90 @@ def run(
     provider: Callable[[DataFrame], DataFrame] = stand_in_provider,
     cache: DataFrame | None = None,
     uploaded: Callable[[str], None] | None = None,
-) -> dict[str, str]:
-    """Runs all stages and gives the paths of the tables. uploaded gets each final and explained table, and its sidecar."""
-    s, at = settings, paths(settings.output)
-    if missing := [t for t in ("{explanation}",) if t not in s.critic] + [t for t in ("<INJECT>",) if t not in s.actor]:
-        raise ValueError(f"templates lack {missing}")
+) -> dict[tuple[str, str], str]:
+    """Runs all steps and gives the paths of the tables by step and name. uploaded gets each shuffled and explained table, and its sidecar.
+
+    Extraction and answers are written by chunks, each finished once; after a break, a run with the same settings goes on
+    behind the last finished chunk, and tables that stand are read.
+    """
+    s = settings
+    preconditions(s)
+    at = {(step, name): place(s.output, step, name) for step, names in STEPS.items() for name in names}
     extractor = extractor or stand_in_extractor(s.d_model, s.layer)
     cache = cache if cache is not None else spark.createDataFrame([], "text string, api_explanation string, file_ord int, row_ord int")
-    origin = {"base_model": s.base_model, "d_model": s.d_model, "layer_index": s.layer, "norm": "none", "corpus": s.corpus, "corpus_slice": {"start": s.start, "length": s.length}, "positions_per_doc": s.positions_per_doc}
-
-    def put(df: DataFrame, name: str, meta: sidecar.DatasetMeta) -> tuple[DataFrame, sidecar.DatasetMeta]:
-        made = chunks.published(spark, df, at[name])
-        meta = sidecar.replaced(meta, row_count=made.count())
-        sidecar.write(spark, at[name], meta)
-        return made, meta
-
-    docs = corpus.row_range(corpus.numbered(spark.read.parquet(s.corpus_path), "doc_id"), s.start, s.start + s.length)
-    named = docs.select("row_idx", T.document_key(s.corpus, s.corpus_split, F.col("row_idx")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base, base_meta = put(_positions(extractor(named), s), "base", sidecar.DatasetMeta(sidecar.base_id(s.base_model, s.layer, s.corpus, origin["corpus_slice"]), "base", 0, origin, created_by=__name__))
+    rows_of = sidecar.Slice(s.start, s.length)
+    origin = sidecar.Extraction(s.base_model, s.d_model, s.layer, "none", s.corpus, rows_of, s.positions_per_doc)
+
+    def stand(path: str) -> bool:
+        return storage.exists(spark, sidecar.sidecar_path(path))
+
+    def put(df: Callable[[], DataFrame], step: str, name: str, meta: sidecar.DatasetMeta) -> tuple[DataFrame, sidecar.DatasetMeta]:
+        path = at[step, name]
+        if not stand(path):
+            if storage.exists(spark, path):  # its sidecar is missing, so nothing was told of it
+                storage.delete(spark, path)
+            made = chunks.published(spark, df(), path)
+            sidecar.write(spark, path, sidecar.replaced(meta, row_count=made.count()))
+        return spark.read.parquet(path), sidecar.read(spark, path)
+
+    def extracted() -> DataFrame:
+        docs = corpus.row_range(corpus.numbered(spark.read.parquet(s.corpus_path), "doc_id"), s.start, s.start + s.length)
+        named = docs.select("row_idx", T.document_key(s.corpus, s.corpus_split, F.col("row_idx")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        parts = f"{s.output}/parts/base"
+        chunks.guarded(spark, parts, chunks.fingerprint(spark, s.corpus_path, s.length, s.chunk_rows))
+        return chunks.run(spark, named, parts, s.chunk_rows, lambda rows: _positions(extractor(rows), s)).drop("chunk_id")
+
+    base, base_meta = put(extracted, "base", "base", sidecar.DatasetMeta(sidecar.base_id(origin), "base", 0, origin, created_by=__name__))
+
+    if not all(stand(at["split", name]) for name in TRAIN_STAGES):
+        whole = f"{s.output}/split"
+        if storage.exists(spark, whole):
+            storage.delete(spark, whole)
+        split = chunks.published(spark, sampling.document_split(base, s.fractions, s.seed), whole, by="split")
+        counts = {r["split"]: r["rows"] for r in sampling.split_counts(split).collect()}
+        if empty := set(TRAIN_STAGES) - set(counts):
+            raise ValueError(f"no documents for {sorted(empty)}")
+        for name in TRAIN_STAGES:
+            meta = sidecar.replaced(base_meta, dataset_id=sidecar.derived_id(base_meta.dataset_id, "split", name), parent_datasets=[base_meta.dataset_id], row_count=counts[name])
+            sidecar.write(spark, at["split", name], meta)
+
+    def explained(rows: DataFrame, name: str) -> DataFrame:
+        def answered(asked: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            parts, numbered = f"{s.output}/parts/explained/{name}", corpus.numbered(asked, "doc_id", "n_raw_tokens")
+            chunks.guarded(spark, parts, chunks.fingerprint(spark, at["split", name], numbered.count(), s.chunk_rows))
+            if numbered.isEmpty():
+                return answer(asked)
+            return chunks.run(spark, numbered, parts, s.chunk_rows, lambda rows: answer(rows.drop("row_idx"))).drop("chunk_id")
+
+        text = rows.withColumn("text", F.col("detokenized_text_truncated"))
+        return explanations.explain(text, cache, provider, put=answered).drop("text")
 
     for stage in TRAIN_STAGES:
-        split = sampling.document_split(base, s.fractions, s.seed).filter(F.col("split") == stage).drop("split")
-        rows, meta = put(split, f"{stage}_raw", sidecar.replaced(base_meta, dataset_id=sidecar.derived_id(base_meta.dataset_id, "split", stage), parent_datasets=[base_meta.dataset_id]))
+        rows, meta = spark.read.parquet(at["split", stage]), sidecar.read(spark, at["split", stage])
         if stage in EXPLAINED:
-            numbered = rows.withColumn("row_id", F.xxhash64("doc_id", "n_raw_tokens"))
-            asked = numbered.withColumn("text", F.col("detokenized_text_truncated")).withColumn("doc", F.col("doc_id")).withColumn("doc_id", F.col("row_id"))
-            said = explanations.explain(asked, cache, provider).withColumn("doc_id", F.col("doc")).drop("text", "doc", "row_id")
-            rows, meta = put(said, f"{stage}_explained", sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "explain"), parent_datasets=[meta.dataset_id], api_summaries={"provider": getattr(provider, "__name__", "provider")}))
-        built = explanations.build(rows, stage, s.actor, s.critic, s.keep_text)
+            known = sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "explain"), parent_datasets=[meta.dataset_id], api_summaries={"provider": getattr(provider, "__name__", "provider")})
+            rows, meta = put(lambda rows=rows, stage=stage: explained(rows, stage), "explained", stage, known)
         templates = {"actor": s.actor, "critic": s.critic}
-        done, meta = put(built, stage, sidecar.replaced(meta, stage=stage, dataset_id=sidecar.derived_id(meta.dataset_id, "build", stage), parent_datasets=[meta.dataset_id], tokens=s.tokens, prompt_templates=templates))
+        built = sidecar.replaced(meta, stage=stage, dataset_id=sidecar.derived_id(meta.dataset_id, "build", stage), parent_datasets=[meta.dataset_id], tokens=s.tokens, prompt_templates=templates)
+        done, meta = put(lambda rows=rows, stage=stage: explanations.build(rows, stage, s.actor, s.critic, s.keep_text), "built", stage, built)
         key = sampling.permutation_key(s.seed, meta.dataset_id, F.xxhash64("doc_id", "n_raw_tokens"))
-        put(done.withColumn("_k", key).orderBy("_k").drop("_k"), f"{stage}_shuf", sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "shuffle", seed=s.seed), parent_datasets=[meta.dataset_id]))
+        last = sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "shuffle", seed=s.seed), parent_datasets=[meta.dataset_id])
+        put(lambda done=done, key=key: done.withColumn("_k", key).orderBy("_k").drop("_k"), "shuffled", stage, last)
     if uploaded:
-        for name in [f"{x}_shuf" for x in TRAIN_STAGES] + [f"{x}_explained" for x in EXPLAINED]:
-            uploaded(at[name])
-            uploaded(sidecar.sidecar_path(at[name]))
+        for step in ("shuffled", "explained"):
+            for name in STEPS[step]:
+                uploaded(at[step, name])
+                uploaded(sidecar.sidecar_path(at[step, name]))
     return at
 
 
 def _positions(extracted: DataFrame, s: Settings) -> DataFrame:
-    """The base table: one row for each sampled position."""
-    positions = sampling.sample_positions(sampling.eligible_positions(F.col("tokens")), s.positions_per_doc, s.seed, F.col("doc_id"))
-    each = extracted.withColumn("pos", F.explode(positions))
-    return each.select(
-        (F.col("pos") + 1).cast("long").alias("n_raw_tokens"),
-        F.array_join(F.slice("tokens", F.lit(1), F.col("pos") + 1), " ").alias("detokenized_text_truncated"),
-        F.get("vectors", F.col("pos")).alias("activation_vector"),
-        F.lit(s.layer).cast("long").alias("activation_layer"),
-        "doc_id",
-    )
+    """The base table: one row for each sampled position, each with its own text and vector alone."""
+    tokens = F.col("tokens") if s.pad is None else sampling.without_padding(F.col("tokens"), F.lit(s.pad))
+    positions = sampling.sample_positions(sampling.eligible_positions(tokens), s.positions_per_doc, s.seed, F.col("doc_id"))
+    prefix = lambda p: F.lit("") if s.no_text else F.array_join(F.slice("tokens", F.lit(1), p + 1), " ")
+    each = F.transform(positions, lambda p: F.struct((p + 1).cast("long").alias("n_raw_tokens"), prefix(p).alias("detokenized_text_truncated"), F.get("vectors", p).alias("activation_vector")))
+    return extracted.select(F.explode(each).alias("x"), "doc_id").select("x.*", F.lit(s.layer).cast("long").alias("activation_layer"), "doc_id")
 
 
 def begun(spark: SparkSession, out: str, meta: sidecar.DatasetMeta, resume: bool) -> None:
@@ -141,3 +237,8 @@ def append_metrics(spark: SparkSession, path: str, step: int, metrics: dict[str,
     """Adds (step, metric, value) rows to a table."""
     each = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(float(v)).alias("value")) for k, v in metrics.items()])
     spark.range(1).select(F.lit(step).cast("long").alias("step"), F.inline(each)).write.mode("append").parquet(path)
+
+
+def append_samples(path: str, records: DataFrame, step: int) -> None:
+    """Adds an evaluation's records to the table of samples, which grows over a run."""
+    evaluation.sample_table(records, step).write.mode("append").parquet(path)

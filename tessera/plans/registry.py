@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -17,6 +17,7 @@ from tessera.functions import training as R
 from tessera.functions import vectors as V
 from tessera.operators import evaluation, explanations, merging, rollouts, sampling
 from tessera.sources import corpus
+from tessera.sources.sidecar import DatasetMeta, Extraction, Slice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,13 +74,39 @@ def recon_mse(spark, sf_dir):
     return p.select("vec_id", r6("m").alias("mse"), r6(R.reward(F.col("m"))).alias("reward"), r6("c").alias("cosine"))
 
 
+@query(f"""WITH e AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM (WITH {_NORMED} SELECT v FROM n WHERE vec_id < 300)),
+ m AS (SELECT dim, avg(x) AS mu FROM e GROUP BY dim), l AS (SELECT sqrt(sum(mu * mu)) AS len FROM m)
+ SELECT round(avg((x - mu) * (x - mu)), 6) AS raw_baseline, round(avg((x - mu * 8.0 / len) * (x - mu * 8.0 / len)), 6) AS meannorm_baseline FROM e JOIN m USING (dim), l""")
+def baselines_of_first(spark, sf_dir):
+    b = evaluation.baselines_of_first(table(spark, sf_dir, "embeddings"), "embedding", SCALE, 300, "vec_id")
+    return b.select(*[r6(c).alias(c) for c in b.columns])
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT * FROM s WHERE label % 2 = 0), e AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n WHERE label % 2 = 0),
+ b AS (SELECT avg(q) AS base FROM (SELECT dim, var_pop(x) AS q FROM e GROUP BY dim))
+ SELECT count(*) AS n_scored, round(avg(mse), 6) AS mse_mean, round(100 * (1 - avg(mse) / any_value(base)), 6) AS fve_pct FROM k, b""")
+def fve_of_own_rows(spark, sf_dir):
+    """Against the baseline of the evaluated rows themselves, not of the training table."""
+    own = F.col("label") % 2 == 0
+    base = evaluation.baselines(table(spark, sf_dir, "embeddings").filter(own), "embedding", SCALE).first()[0]
+    m = _pairs(spark, sf_dir).filter(own).select(V.reconstruction_mse(F.col("pred"), F.col("embedding"), SCALE).alias("m"))
+    return evaluation.variance_explained_by(m, "m", base).select("n_scored", r6("mse_mean").alias("mse_mean"), r6("fve_pct").alias("fve_pct"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 < 3 THEN 8.0::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM nation")
+def embedding_scale(spark, sf_dir):
+    kinds = ["gemma", "t5", "gemma3_text", "other", ""]
+    scale = F.element_at(F.array(*[F.lit(V.embedding_scale(k, 64)) for k in kinds]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", scale.alias("scale"))
+
+
 @query(f"""WITH {_PAIRS}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n),
  b AS (SELECT avg(q) AS base FROM (SELECT dim, var_pop(x) AS q FROM e GROUP BY dim))
  SELECT label, count(*) AS n_scored, round(avg(mse), 6) AS mse_mean, round(100 * (1 - avg(mse) / any_value(base)), 6) AS fve_pct FROM s, b GROUP BY label""")
 def fve_by_label(spark, sf_dir):
     base = evaluation.baselines(table(spark, sf_dir, "embeddings"), "embedding", SCALE).first()[0]
     m = _pairs(spark, sf_dir).select("label", V.reconstruction_mse(F.col("pred"), F.col("embedding"), SCALE).alias("m"))
-    return m.groupBy("label").agg(F.count("*").alias("n_scored"), r6(F.avg("m")).alias("mse_mean"), r6(100 * evaluation.variance_explained(F.avg("m"), F.lit(base))).alias("fve_pct"))
+    return evaluation.variance_explained_by(m, "m", base, "label").select("label", "n_scored", r6("mse_mean").alias("mse_mean"), r6("fve_pct").alias("fve_pct"))
 
 
 @query(f"WITH {_NORMED} SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(v), 6) AS total FROM n")
@@ -213,6 +240,22 @@ def slice_scan(spark, sf_dir):
     return corpus.row_range(corpus.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 100, 400).select("doc_id", "row_idx")
 
 
+@query("SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents")
+def numbered_documents(spark, sf_dir):
+    return corpus.numbered(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 400")
+def held_out_window(spark, sf_dir):
+    return corpus.window(table(spark, sf_dir, "orders"), 400, 700, ["o_orderkey", "o_custkey"], ["o_orderpriority", "no_such_column"], "o_orderkey")
+
+
+@query("SELECT s_suppkey, s_name, p_name FROM supplier JOIN part ON s_suppkey = p_partkey")
+def zipped_rows(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey")), "p_partkey", "left_semi")
+    return corpus.zipped(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), parts.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1000")
 def capped_scan(spark, sf_dir):
     return corpus.first_kept(table(spark, sf_dir, "orders"), 1000, F.col("o_orderstatus") == "O", "o_orderkey").select("o_orderkey", "o_custkey")
@@ -235,10 +278,20 @@ def eligible_positions(spark, sf_dir):
 @query(f"""WITH {_ELIGIBLE}, x AS (SELECT doc_id, unnest(p) AS pos FROM e), r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY sha256('42|' || 'documents:train:' || doc_id || '|' || pos)) AS r FROM x)
  SELECT doc_id, pos::INT AS pos, pos + 1 AS n_raw_tokens, array_to_string(w[1:pos + 1], ' ') AS prefix FROM r JOIN t USING (doc_id) WHERE r <= 10""")
 def sample_positions(spark, sf_dir):
-    key = T.document_key("documents", "train", F.col("doc_id"))
-    p = _eligible(spark, sf_dir).select("doc_id", F.explode(sampling.sample_positions(F.col("p"), 10, SEED, key)).alias("pos"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    return p.join(docs, "doc_id").select("doc_id", "pos", (F.col("pos") + 1).cast("long").alias("n_raw_tokens"), F.array_join(F.slice("w", F.lit(1), F.col("pos") + 1), " ").alias("prefix"))
+    key, w = T.document_key("documents", "train", F.col("doc_id")), F.split("text", " ")
+    positions = sampling.sample_positions(sampling.eligible_positions(w, ["the", "de"]), 10, SEED, key)
+    each = F.transform(positions, lambda p: F.struct(p.alias("pos"), (p + 1).cast("long").alias("n_raw_tokens"), F.array_join(F.slice(w, F.lit(1), p + 1), " ").alias("prefix")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+
+
+@query(f"WITH {_ELIGIBLE} SELECT count(*) AS docs, count(*) FILTER (len(p) = 0) AS skipped, count(*) FILTER (len(p) BETWEEN 1 AND 9) AS short_sampled, sum(least(len(p), 10))::BIGINT AS rows FROM e")
+def sampling_coverage(spark, sf_dir):
+    return sampling.coverage(_eligible(spark, sf_dir), "p", 10)
+
+
+@query()
+def sample_positions_parity(spark, sf_dir):
+    return sampling.sample_positions_python(_eligible(spark, sf_dir).select(T.document_key("documents", "train", F.col("doc_id")).alias("doc_id"), F.col("p").alias("positions")), 10, SEED)
 
 
 _SPLIT = """d AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('42|' || o_custkey)) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)),
@@ -253,7 +306,18 @@ def doc_split(spark, sf_dir):
 
 @query(f"WITH {_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT o_custkey) AS docs FROM orders JOIN s USING (o_custkey) GROUP BY split")
 def split_counts(spark, sf_dir):
-    return doc_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("docs"))
+    return sampling.split_counts(doc_split(spark, sf_dir), "o_custkey")
+
+
+@query()
+def doc_split_parity(spark, sf_dir):
+    return sampling.document_split_python(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _FRACTIONS, SEED, "o_custkey")
+
+
+@query()
+def permutation_parity(spark, sf_dir):
+    rows = corpus.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return sampling.permuted_python(rows, SEED, "base")
 
 
 def _crc_table() -> str:
@@ -273,6 +337,12 @@ def val_docs_crc32(spark, sf_dir):
     return d.filter(sampling.is_held_out(F.col("doc_id"), 200)).select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000).alias("bucket"))
 
 
+@query(f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+ lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]::BIGINT)), 4294967295::BIGINT) % 1000 AS bucket FROM documents) WHERE bucket < 300 ORDER BY doc_id LIMIT 50""")
+def held_out_first(spark, sf_dir):
+    return sampling.held_out_first(table(spark, sf_dir, "documents").select("doc_id", "lang"), 50, 300, "doc_id", "doc_id")
+
+
 @query("SELECT o_orderkey, greatest(1, least(500, round_even(1000.0::DOUBLE * (o_custkey % 700) / greatest(1, o_orderkey % 2000), 0)::BIGINT)) AS permille FROM orders")
 def val_permille(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", R.holdout_permille(F.col("o_custkey") % 700, F.col("o_orderkey") % 2000).alias("permille"))
@@ -292,8 +362,7 @@ def shuffle_rows(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderkey // 64 AS step, o_orderkey % 64 AS slot, (o_orderkey % 64) // 16 AS rank, o_orderkey // 4096 AS chunk FROM orders")
 def rank_slice(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor(k / 64).alias("step"), (k % 64).alias("slot"), F.floor((k % 64) / 16).alias("rank"), F.floor(k / 4096).alias("chunk"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(name) for name, c in sampling.batch_slots(F.col("o_orderkey"), 64, 4, 4096).items()])
 
 
 # Explanations and training tables
@@ -335,6 +404,14 @@ def explain_rows(spark, sf_dir):
     return _explained(spark, sf_dir).select("doc_id", "api_explanation")
 
 
+@query(f"""WITH {_RESPONSES}, x AS (SELECT doc_id, regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') AS explanation FROM r WHERE regexp_matches(response, '(?s)<explanation>(.*?)</explanation>')),
+ k AS (SELECT *, len(string_split(explanation, ' ')) AS n FROM x) SELECT doc_id, n::INT AS n FROM k WHERE n BETWEEN 1 AND 200""")
+def scored_pairs(spark, sf_dir):
+    """What a held-out scorer takes: rows with an explanation whose ids (words here) aren't too many."""
+    kept = explanations.with_explanation(_responses(spark, sf_dir), "response").withColumn("ids", F.split("explanation", " "))
+    return explanations.within_length(kept, "ids", 200).select("doc_id", F.size("ids").alias("n"))
+
+
 ACTOR, CRITIC = "Explain <INJECT> {as} text.", "<text>{explanation}</text> <summary>"
 
 
@@ -343,7 +420,7 @@ def _training(spark, sf_dir, stage):
     n = v.count()
     rows = _explained(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % n).join(v, "vec_id")
     rows = rows.select("api_explanation", "activation_vector", F.length("text").cast("long").alias("n_raw_tokens"), F.lit(24).cast("long").alias("activation_layer"), T.document_key("documents", "train", F.col("doc_id")).alias("doc_id"))
-    return explanations.build(rows, stage, ACTOR, CRITIC)
+    return explanations.build(rows, stage, ACTOR, CRITIC, encode=lambda prompt: F.split(F.right(prompt, F.lit(20)), " "), suffix=["<summary>"])
 
 
 _VEC = "JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)"
@@ -376,10 +453,19 @@ def inject_marker(spark, sf_dir):
     return m.select("conv_id", F.size("m").alias("turns"), F.sha2(said, 256).alias("digest"))
 
 
-@query("SELECT o_orderkey, o_totalprice, (o_orderkey * 7) % 3 AS shard FROM orders")
+@query("SELECT o_orderkey, o_totalprice, (SELECT max(o_orderkey) + 1 FROM orders) AS total FROM orders")
 def merge_shards(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", ((F.col("o_orderkey") * 7) % 3).alias("shard"))
-    return o.filter("shard = 2").unionByName(o.filter("shard = 0")).unionByName(o.filter("shard = 1"))
+    """Orders by ranges of keys as shards, handed over in any order; the merged table knows its whole slice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    end = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    cuts = [0, end // 5, end // 2, end]
+    shards = []
+    for a, b in ((1, 2), (2, 3), (0, 1)):
+        rows = corpus.row_range(orders, cuts[a], cuts[b], "o_orderkey")
+        origin = Extraction("stand-in", 64, 24, "none", "orders", Slice(cuts[a], cuts[b] - cuts[a]), 1)
+        shards.append((rows, DatasetMeta(f"shard{a}", "base", rows.count(), origin)))
+    merged, meta = merging.merge(shards)
+    return merged.withColumn("total", F.lit(meta.extraction.corpus_slice.end).cast("long"))
 
 
 @query("""WITH s AS (SELECT c_nationkey AS shard, min(c_custkey) AS start, max(c_custkey) - min(c_custkey) AS length FROM customer GROUP BY 1),
@@ -391,14 +477,15 @@ def shard_contiguity(spark, sf_dir):
 
 # Rollouts
 
-_ROLL = """r AS (SELECT l_orderkey AS prompt_idx, l_linenumber AS i, (l_linestatus = 'F') AS truncated, (l_returnflag <> 'R') AS ok, l_quantity::BIGINT AS n_tokens,
+_ROLL = """r AS (SELECT l_orderkey AS prompt_idx, l_linenumber AS i, (l_linestatus = 'F') AS truncated, (l_returnflag <> 'R' AND l_tax <= 0.05e0) AS ok, l_tax > 0.05e0 AS cjk_fail, l_returnflag <> 'R' AS marker_ok, l_quantity::BIGINT AS n_tokens,
  CASE WHEN l_linestatus = 'F' THEN NULL ELSE -(l_discount * 20 + 0.25) END AS reward FROM lineitem)"""
 
 
 def _rollouts(spark, sf_dir):
-    cut = F.col("l_linestatus") == "F"
+    cut, marker = F.col("l_linestatus") == "F", F.col("l_returnflag") != "R"
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("prompt_idx"), F.col("l_linenumber").alias("i"), cut.alias("truncated"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_quantity").cast("long").alias("n_tokens"),
+        F.col("l_orderkey").alias("prompt_idx"), F.col("l_linenumber").alias("i"), cut.alias("truncated"), rollouts.injection_ok(F.col("l_tax"), marker).alias("ok"),
+        (F.col("l_tax") > rollouts.MOST_CJK).alias("cjk_fail"), marker.alias("marker_ok"), F.col("l_quantity").cast("long").alias("n_tokens"),
         R.reward(F.col("l_discount") * 20 + 0.25, cut).alias("reward"),
     )
 
@@ -424,12 +511,14 @@ def group_advantage(spark, sf_dir):
 
 
 @query(f"""WITH {_ADV} SELECT prompt_idx % 50 AS step, round(avg(reward), 6) AS reward_mean, round(stddev_pop(reward), 6) AS reward_std, round(min(reward), 6) AS reward_min, round(max(reward), 6) AS reward_max, round(avg(advantage), 4) + 0e0 AS advantage_mean,
- round(stddev_samp(advantage), 4) AS advantage_std, round(avg((reward IS NOT NULL)::INT), 6) AS extraction_rate, round(avg(truncated::INT), 6) AS frac_cut_off, count(*) FILTER (NOT ok) AS masked_count, round(avg(n_tokens), 6) AS resp_len, round(avg(0.5e0 * greatest(0, n_tokens - 20)), 6) AS penalty_mean FROM a GROUP BY 1""")
+ round(stddev_samp(advantage), 4) AS advantage_std, round(avg((reward IS NOT NULL)::INT), 6) AS extraction_rate, round(avg(truncated::INT), 6) AS frac_cut_off, count(*) FILTER (NOT ok) AS masked_count, round(avg(n_tokens), 6) AS resp_len, round(avg(0.5e0 * greatest(0, n_tokens - 20)), 6) AS penalty_mean,
+ round(avg((n_tokens > 20)::INT), 6) AS overage_frac, count(*) FILTER (cjk_fail) AS inject_fail_count, count(*) FILTER (NOT marker_ok) AS marker_bad_count, count(*) FILTER (truncated) AS truncated_count FROM a GROUP BY 1""")
 def step_metrics(spark, sf_dir):
-    rows = _advantages(spark, sf_dir).select((F.col("prompt_idx") % 50).alias("step"), "reward", "advantage", "ok", "truncated", "n_tokens", R.length_penalty(F.col("n_tokens"), 0.5, 20).alias("penalty"))
+    rows = _advantages(spark, sf_dir).select((F.col("prompt_idx") % 50).alias("step"), "reward", "advantage", "ok", "truncated", "cjk_fail", "marker_ok", "n_tokens", R.length_penalty(F.col("n_tokens"), 0.5, 20).alias("penalty"))
     m = rollouts.step_metrics(rows)
     places = {"advantage_mean": 4, "advantage_std": 4}
-    return m.select("step", "masked_count", *[(F.round(c, places.get(c, 6)) + 0.0).alias(c) for c in m.columns if c not in ("step", "masked_count")])
+    whole = [c for c in m.columns if c == "step" or c.endswith("_count")]
+    return m.select(*whole, *[(F.round(c, places.get(c, 6)) + 0.0).alias(c) for c in m.columns if c not in whole])
 
 
 @query("WITH p AS (SELECT l_orderkey, l_linenumber, -l_discount * 10 AS new, -l_tax * 10 AS ref FROM lineitem), d AS (SELECT *, least(ref - new, 12.0) AS delta FROM p) SELECT l_orderkey, l_linenumber, round(exp(delta) - delta - 1, 6) AS kl, round(-(0.5 * new - 0.01 * (exp(delta) - delta - 1)), 6) AS loss FROM d")
@@ -438,11 +527,11 @@ def kl_k3(spark, sf_dir):
     return p.select("l_orderkey", "l_linenumber", r6("k").alias("kl"), r6(R.token_loss(F.lit(0.5), F.col("new"), F.col("k"), R.kl_weight(None, "k3"))).alias("loss"))
 
 
-@query("SELECT l_orderkey % 20 AS step, round(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 6) AS loss, round(exp(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1)), 6) AS ppl, round(sum(l_discount) / 100000.0, 6) AS budget_loss FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey % 20 AS step, round(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 6) AS loss, round(exp(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1)), 6) AS ppl, round(exp(least(20, sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1))), 6) AS train_ppl, round(sum(l_discount) / 100000.0, 6) AS budget_loss FROM lineitem GROUP BY 1")
 def token_weighted_loss(spark, sf_dir):
-    loss = F.sum(F.col("l_discount") * F.col("l_quantity")) / F.greatest(F.sum("l_quantity"), F.lit(1))
-    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 20).alias("step")).agg(loss.alias("m"), F.sum("l_discount").alias("s"))
-    return g.select("step", r6("m").alias("loss"), r6(R.perplexity(F.col("m"))).alias("ppl"), r6(F.col("s") / 100000.0).alias("budget_loss"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("step", F.col("l_orderkey") % 20)
+    g = rollouts.token_weighted_loss(rows, "l_discount", "l_quantity", "step", budget=100000.0)
+    return g.select("step", *[r6(c).alias(c) for c in g.columns if c != "step"])
 
 
 _LOGITS = """x AS (SELECT vec_id AS token, unnest(embedding)::DOUBLE * 8 AS logit, generate_subscripts(embedding, 1)::INT - 1 AS entry FROM embeddings), y AS (SELECT a.token, a.entry, a.logit, b.logit AS rl FROM x a JOIN x b ON b.token = a.token + 1 AND a.entry = b.entry),
@@ -487,19 +576,24 @@ def marker_check(spark, sf_dir):
 def trim_at_stop(spark, sf_dir):
     ids = F.col("ids")
     said = lambda x: F.array_join(F.transform(x, lambda t: t.cast("string")), ",")
-    return _ids(spark, sf_dir).select("l_orderkey", said(rollouts.trimmed_at_stop(ids, [5, 6])).alias("trimmed"), rollouts.is_truncated(ids, 5, [5, 6]).alias("truncated"), said(F.slice(ids, 1, 4)).alias("cut"))
+    return _ids(spark, sf_dir).select("l_orderkey", said(rollouts.trimmed_at_stop(ids, [5, 6])).alias("trimmed"), rollouts.is_truncated(ids, 5, [5, 6]).alias("truncated"), said(T.right_truncated(ids, 4)).alias("cut"))
+
+
+@query(f"WITH {_IDS} SELECT l_orderkey, len(ids) >= 2 AND ids[-2:] = [3, 4] AS ends FROM i")
+def suffix_check(spark, sf_dir):
+    return _ids(spark, sf_dir).select("l_orderkey", explanations.ends_in(F.col("ids"), [F.lit(3).cast("long"), F.lit(4).cast("long")]).alias("ends"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey, coalesce(o_orderpriority, '') AS priority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'O'")
 def rollout_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
-    return table(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "o_custkey", F.coalesce("o_orderpriority", F.lit("")).alias("priority"))
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderpriority").alias("priority"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return rollouts.with_activations(rows, o, "l_orderkey", {"priority": ""}).select("l_orderkey", "l_linenumber", "o_custkey", "priority")
 
 
-@query("SELECT event_id, greatest(0, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta FROM events")
+@query("SELECT event_id, CASE WHEN d IS NOT NULL THEN greatest(0, d) END AS delta FROM (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events)")
 def counter_delta(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.0), F.col("value") - F.lag("value").over(w)).alias("delta"))
+    return rollouts.counter_deltas(table(spark, sf_dir, "events"), "value", "event_id", "user_id").select("event_id", "delta")
 
 
 # Evaluation
@@ -511,34 +605,77 @@ def eval_summary(spark, sf_dir):
     return s.select("n", "n_valid", r6("reward_mean").alias("reward_mean"), r6("mse_valid").alias("mse_valid"))
 
 
-@query("""WITH s AS (SELECT item_id AS i, text FROM benchmark), p AS (SELECT a.i, b.i AS j FROM s a JOIN s b ON a.i <> b.i AND NOT starts_with(a.text, b.text) AND NOT starts_with(b.text, a.text)),
- q AS (SELECT *, count(*) OVER (PARTITION BY i) AS n, row_number() OVER (PARTITION BY i ORDER BY sha256('42|' || i || '|' || j)) AS r FROM p) SELECT i, j, r::INT AS r FROM q WHERE r < 4 AND n >= 3""")
+def _text(said: str) -> str:
+    """As an SQL literal."""
+    return "'" + said.replace("'", "''") + "'"
+
+
+def _options_sql(sources: str) -> str:
+    """p: the distractors of each source (i, text); o: its options in their order."""
+    return f"""s AS (SELECT i, text FROM ({sources}) WHERE text <> ''), g AS (SELECT i, text, row_number() OVER (ORDER BY sha256('42|ring|' || i), i) - 1 AS place, count(*) OVER () AS n FROM s),
+ t AS (SELECT *, ('0x' || left(sha256('42|start|' || i), 8))::BIGINT % n AS start FROM g),
+ q AS (SELECT a.i, b.i AS j, b.text, (b.place - a.start + a.n) % a.n AS d FROM t a JOIN t b ON a.i <> b.i AND NOT starts_with(a.text, b.text) AND NOT starts_with(b.text, a.text)),
+ p AS (SELECT i, j, text, r FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d) AS r, count(*) OVER (PARTITION BY i) AS c FROM q) WHERE r < 4 AND c >= 3),
+ u AS (SELECT i, j, text FROM p UNION ALL SELECT i, i, text FROM s WHERE i IN (SELECT i FROM p)),
+ v AS (SELECT i, j, sha256('42|slot|' || i || '|' || j) AS h, CASE WHEN length(text) > 700 THEN '... ' || right(text, 700) ELSE text END AS t FROM u),
+ o AS (SELECT i, list(t ORDER BY h) AS options, (list_position(list(j ORDER BY h), i) - 1)::INT AS true_pos FROM v GROUP BY i)"""
+
+
+@query(f"WITH {_options_sql('SELECT item_id AS i, text FROM benchmark')} SELECT i, j, r::INT AS r FROM p")
 def distractor_pairs(spark, sf_dir):
     return evaluation.distractors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), "text"), 4, SEED)
 
 
-@query("""WITH j AS (SELECT event_id // 3 AS i, CASE event_id % 3 WHEN 0 THEN 'coherence' WHEN 1 THEN 'specificity' ELSE 'source_match' END AS dim, CASE WHEN event_type <> 'view' THEN (event_id % 10 + 1) END AS score, CASE WHEN user_id % 5 <> 0 THEN (event_id % 2) END AS hit FROM events)
- SELECT round(avg(score) FILTER (dim = 'coherence'), 6) AS coherence_mean, round(avg(score) FILTER (dim = 'specificity'), 6) AS specificity_mean, round(avg(hit) FILTER (dim = 'source_match'), 6) AS source_match_acc,
- round(avg((hit IS NOT NULL)::INT) FILTER (dim = 'source_match'), 6) AS match_answer_rate, round(avg(CASE WHEN dim = 'source_match' THEN hit IS NULL ELSE score IS NULL END::INT), 6) AS judge_fail_rate, count(DISTINCT i) AS n_judged FROM j""")
-def judge_summary(spark, sf_dir):
+@query(f"WITH {_options_sql('SELECT item_id AS i, text FROM benchmark')} SELECT i, true_pos, sha256(array_to_string(options, '|')) AS digest FROM o")
+def match_options(spark, sf_dir):
+    made = evaluation.match_options(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), "text"), 4, SEED)
+    return made.select("i", "true_pos", F.sha2(F.array_join("options", "|"), 256).alias("digest"))
+
+
+_DIMS = [*evaluation.RUBRIC, evaluation.MATCH]
+_JUDGED = f"""j AS (SELECT event_id // 6 AS i, {_DIMS}[event_id % 6 + 1] AS dim, (event_id % 4)::INT AS true_pos, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 'Score: ' || (event_id % 10 + 1) || ' B' ELSE (event_id % 10 + 1) || ' or ' || chr((65 + event_id % 3)::INT) END AS answer FROM events),
+ x AS (SELECT *, nullif(regexp_extract(coalesce(answer, ''), '\\b(10|[1-9])\\b', 1), '')::INT AS n, nullif(regexp_extract(upper(trim(coalesce(answer, ''))), '\\b([ABCD])\\b', 1), '') AS l FROM j),
+ y AS (SELECT i, dim, CASE WHEN dim <> 'source_match' THEN n END AS score, CASE WHEN dim = 'source_match' THEN (instr('ABCD', l) - 1 = true_pos)::INT END AS hit FROM x)"""
+
+
+def _answers(spark, sf_dir):
     i = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
-        F.floor(i / 3).alias("i"), F.when(i % 3 == 0, "coherence").when(i % 3 == 1, "specificity").otherwise("source_match").alias("dim"),
-        F.when(F.col("event_type") != "view", i % 10 + 1).alias("score"), F.when(F.col("user_id") % 5 != 0, i % 2).alias("hit"),
-    )
-    s = evaluation.judge_summary(rows)
+    number, letter = (i % 10 + 1).cast("string"), F.char(65 + i % 3)
+    answer = F.when(F.col("event_type") == "view", None).when(F.col("event_type") == "click", F.concat(F.lit("Score: "), number, F.lit(" B"))).otherwise(F.concat(number, F.lit(" or "), letter))
+    dim = F.element_at(F.array(*[F.lit(d) for d in _DIMS]), (i % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.floor(i / 6).alias("i"), dim.alias("dim"), (i % 4).cast("int").alias("true_pos"), answer.alias("answer"))
+
+
+@query(f"WITH {_JUDGED} SELECT i, dim, score, hit FROM y")
+def judge_scores(spark, sf_dir):
+    return evaluation.judge_scores(_answers(spark, sf_dir))
+
+
+@query(f"""WITH {_JUDGED} SELECT {", ".join(f"round(avg(score) FILTER (dim = '{d}'), 6) AS {d}_mean" for d in evaluation.RUBRIC)}, round(avg(hit) FILTER (dim = 'source_match'), 6) AS source_match_acc,
+ round(avg((hit IS NOT NULL)::INT) FILTER (dim = 'source_match'), 6) AS match_answer_rate, round(avg(CASE WHEN dim = 'source_match' THEN hit IS NULL ELSE score IS NULL END::INT), 6) AS judge_fail_rate, count(DISTINCT i) AS n_judged FROM y""")
+def judge_summary(spark, sf_dir):
+    s = evaluation.judge_summary(evaluation.judge_scores(_answers(spark, sf_dir)))
     return s.select("n_judged", *[r6(c).alias(c) for c in s.columns if c != "n_judged"])
 
 
-_RUBRIC_SQL = str([*evaluation.RUBRIC, "source_match"])
+_ASKED = "unnest([" + ", ".join(f"{{'dim': {_text(d)}, 'said': {_text(evaluation._RATE.replace('{what}', what))}}}" for d, what in evaluation.RUBRIC.items()) + "])"
+_LETTERED = "array_to_string(list_transform(options, lambda t, p: 'SOURCE ' || substr('ABCD', p, 1) || ':' || chr(10) || t), chr(10) || chr(10))"
 
 
-@query(f"""WITH {_RESPONSES}, e AS (SELECT doc_id AS i, nullif(CASE WHEN regexp_matches(response, '(?s)<explanation>(.*?)</explanation>') THEN regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') END, '') AS e, text AS source FROM r JOIN documents USING (doc_id)),
- j AS (SELECT i, unnest({_RUBRIC_SQL}) AS dim, left(e, 6000) AS explanation, nullif(left(source, 6000), '') AS source FROM e WHERE e IS NOT NULL) SELECT i, dim, length(explanation)::INT AS n, sha256(explanation || coalesce(source, '')) AS digest FROM j WHERE dim <> 'source_match' OR source IS NOT NULL""")
+@query(f"""WITH {_RESPONSES}, e AS (SELECT doc_id AS i, nullif(left(CASE WHEN regexp_matches(response, '(?s)<explanation>(.*?)</explanation>') THEN regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') END, 6000), '') AS e FROM r),
+ k AS (SELECT * FROM e WHERE e IS NOT NULL), {_options_sql('SELECT doc_id AS i, text FROM documents')},
+ j AS (SELECT i, a.dim AS dim, NULL::INT AS true_pos, replace(a.said, '{{text}}', e) AS prompt FROM (SELECT i, e, {_ASKED} AS a FROM k)
+  UNION ALL SELECT i, 'source_match', true_pos, {_text(evaluation._CHOOSE.replace('{k}', '4').split('{text}')[0])} || e || chr(10) || chr(10) || {_LETTERED} FROM k JOIN o USING (i))
+ SELECT i, dim, true_pos, length(prompt)::INT AS n, sha256(prompt) AS digest FROM j""")
 def judge_jobs(spark, sf_dir):
     e = extract_explanation(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")), "doc_id").withColumnRenamed("doc_id", "i")
-    j = evaluation.judge_jobs(e)
-    return j.select("i", "dim", F.length("explanation").alias("n"), F.sha2(F.concat("explanation", F.coalesce("source", F.lit(""))), 256).alias("digest"))
+    return evaluation.judge_jobs(e, 4, SEED).select("i", "dim", "true_pos", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("digest"))
+
+
+@query("SELECT 3::BIGINT AS step, event_id AS idx, value AS reward, round(1 + value, 6) AS fve, event_type <> 'view' AS extracted, left(props, 500) AS explanation FROM events WHERE event_id IN (0, 7, 14)")
+def shown_samples(spark, sf_dir):
+    records = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.col("value").alias("reward"), r6(1 + F.col("value")).alias("fve"), (F.col("event_type") != "view").alias("extracted"), F.col("props").alias("explanation"))
+    return evaluation.sample_table(evaluation.shown(records), 3)
 
 
 @query("""WITH q AS (SELECT o_orderkey, o_orderkey // 5000 AS batch, o_orderkey % 5000 AS idx FROM orders), a AS (SELECT o_orderkey // 5000 AS batch, o_orderkey % 5000 AS idx, o_orderpriority AS text, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0)
@@ -562,16 +699,17 @@ def default_layer(spark, sf_dir):
 
 @query("SELECT o_custkey % 10 AS batch, round(avg((o_orderstatus = 'P')::INT), 6) AS rate, avg((o_orderstatus = 'P')::INT) > 0.2 AS broken FROM orders GROUP BY 1")
 def failure_breaker(spark, sf_dir):
-    rate = F.avg((F.col("o_orderstatus") == "P").cast("double"))
-    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 10).alias("batch")).agg(r6(rate).alias("rate"), (rate > 0.2).alias("broken"))
+    answers = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("batch"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("succeeded").alias("status"))
+    return explanations.failure_rates(answers, "batch").withColumn("rate", r6("rate"))
 
 
-@query("SELECT l_orderkey % 50 AS step, round(sum(l_quantity) / sum(l_tax + 0.01), 6) AS tokens_per_s, round(count(*) / sum(l_discount + 0.01), 6) AS rollouts_per_s FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey % 50 AS step, round(sum(l_quantity) / sum(l_tax + 0.01), 6) AS tokens_per_s, round(count(*) / sum(l_discount + 0.01), 6) AS rollouts_per_s, round(sum(l_tax + 0.01) / (sum(l_tax + 0.01) + sum(l_discount + 0.01)), 6) AS rollout_share FROM lineitem GROUP BY 1")
 def throughput(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("step"))
-    return g.agg(r6(F.sum("l_quantity") / F.sum(F.col("l_tax") + 0.01)).alias("tokens_per_s"), r6(F.count("*") / F.sum(F.col("l_discount") + 0.01)).alias("rollouts_per_s"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("step", F.col("l_orderkey") % 50)
+    g = rollouts.throughput(rows, F.col("l_quantity"), F.col("l_tax") + 0.01, F.col("l_discount") + 0.01, "step")
+    return g.select("step", *[r6(c).alias(c) for c in g.columns if c != "step"])
 
 
 @query("SELECT count(DISTINCT sha256(text)) AS distinct_texts, count(*) AS rows FROM documents")
 def distinct_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"), F.count("*").alias("rows"))
+    return corpus.distinct_texts(table(spark, sf_dir, "documents"))

@@ -1,17 +1,24 @@
 """Properties of sampling, splits, explanations, merging, sidecars, chunks and settings."""
 
-import hashlib
-import random
+import dataclasses
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import explanations, merging, sampling
-from tessera.plans import config
+from tessera.functions import tokens
+from tessera.operators import evaluation, explanations, merging, providers, rollouts, sampling
+from tessera.plans import config, pipeline
 from tessera.sources import corpus, sidecar, storage
 from tessera.streaming import chunks
 
 
+GOLDEN_POSITIONS, GOLDEN_PAIR = [51, 56, 52, 60, 74], [51, 52]
+GOLDEN_SPLIT = {"a": ["d01", "d03", "d08"], "b": ["d04", "d07"], "c": ["d00", "d02", "d05", "d06", "d09"]}
+GOLDEN_PERMUTATION = [7, 4, 5, 3, 2, 0, 9, 8, 6, 1]
+GOLDEN_MATCH = (["s5", "s1", "s0", "s1x"], 2)
+
+
 def test_split_keeps_documents_whole_and_counts_exact(spark):
     rows = spark.range(200).select((F.col("id") % 50).cast("string").alias("doc_id"), F.col("id").alias("x"))
     got = sampling.document_split(rows, {"a": 0.3, "b": 0.29, "c": 0.41}, 7)
@@ -35,9 +42,19 @@ def test_positions(spark):
     docs = spark.createDataFrame([("a", list(range(60, 90))), ("b", [51, 52]), ("c", [])], "doc_id string, positions array<int>")
     got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", sampling.sample_positions(F.col("positions"), 5, 3, F.col("doc_id")).alias("p")).collect()}
     assert len(set(got["a"])) == 5 and got["a"] == sorted(got["a"]) and got["b"] == [51, 52] and got["c"] == []
-    drawn = {r["doc_id"]: r["positions"] for r in sampling.sample_positions_python(docs, 5, 3).collect()}
-    rng = random.Random(int.from_bytes(hashlib.sha256(b"3|a").digest()[:8], "big"))
-    assert drawn["a"] == sorted(rng.sample(list(range(60, 90)), 5))
+
+
+def test_draws_of_pythons_generator(spark):
+    """Fixed values, found once with Python's own random module by hand."""
+    docs = spark.createDataFrame([("c:train:0", list(range(50, 80))), ("c:train:1", [51, 52]), ("c:train:2", [])], "doc_id string, positions array<int>")
+    drawn = {r["doc_id"]: r["positions"] for r in sampling.sample_positions_python(docs, 5, 42).collect()}
+    assert drawn == {"c:train:0": GOLDEN_POSITIONS, "c:train:1": GOLDEN_PAIR, "c:train:2": []}
+    rows = spark.range(20).select(F.concat(F.lit("d"), F.format_string("%02d", F.col("id") % 10)).alias("doc_id"), F.col("id").alias("row_idx"))
+    split = {r["doc_id"]: r["split"] for r in sampling.document_split_python(rows, {"a": 0.3, "b": 0.29, "c": 0.41}, 7).collect()}
+    assert {x: sorted(d for d in split if split[d] == x) for x in "abc"} == GOLDEN_SPLIT
+    assert [r["row_idx"] for r in sampling.permuted_python(spark.range(10).withColumnRenamed("id", "row_idx"), 0, "d1").collect()] == GOLDEN_PERMUTATION
+    assert evaluation.match_options_python(["s0", "s1", "s1x", "", "s4", "s5"], 0, 3) == GOLDEN_MATCH
+    assert evaluation.match_options_python(["s0", "s0x", "s4", "s5"], 0, 3) is None and evaluation.match_options_python(["", "a", "b", "c"], 0, 3) is None
 
 
 def test_permutation_and_batches(spark):
@@ -56,6 +73,70 @@ def test_numbering_has_no_gaps(spark):
     assert all(r["k"] == r["row_idx"] for r in got) and len(got) == 500
 
 
+def test_numbering_of_a_wide_table_loses_nothing(spark, tmp_path):
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"), F.lit(None).alias("none"))
+    corpus.numbered(rows, "k").drop("none").write.parquet(f"{tmp_path}/numbered")
+    back = spark.read.parquet(f"{tmp_path}/numbered")
+    assert back.count() == n and back.filter("k <> row_idx OR length(wide) <> 256").count() == 0
+    with pytest.raises(ValueError):
+        corpus.numbered(rows.withColumn("_id", F.lit(1)), "k")
+    assert corpus.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_windows_and_zips(spark):
+    rows = spark.range(20).select(F.col("id").alias("row_idx"), (F.col("id") * 2).alias("x"))
+    assert [r["x"] for r in corpus.window(rows, 15, 3, ["x"], ["missing"]).collect()] == [30, 32, 34]
+    assert corpus.zipped(rows, rows.withColumnRenamed("x", "y")).filter("x <> y").count() == 0
+    with pytest.raises(ValueError):
+        corpus.zipped(rows, rows.limit(19))
+    sampling.windows_apart(10, 10)
+    for bad in (None, 11):
+        with pytest.raises(ValueError):
+            sampling.windows_apart(bad, 10)
+    with pytest.raises(Exception, match="pad token"):
+        spark.range(1).select(sampling.without_padding(F.array(F.lit(1), F.lit(0)), F.lit(0))).collect()
+    assert spark.range(1).select(sampling.without_padding(F.array(F.lit(1), F.lit(0)), F.lit(0), F.lit(0))).first()[0] == [1, 0]
+
+
+def test_counters_have_sources(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 2), ("b", 1, 7)], "s string, t int, c int")
+    assert {(r["s"], r["t"]): r["delta"] for r in rollouts.counter_deltas(rows, "c", "t", "s").collect()} == {("a", 1): None, ("a", 2): 4, ("a", 3): 0, ("b", 1): None}
+    with pytest.raises(ValueError):
+        rollouts.counter_deltas(rows, "c", "t")
+
+
+def test_metrics_of_a_step_without_rewards(spark):
+    rows = spark.createDataFrame([(1, None, 0.0, True, False, False, True, 3, 0.0)], "step int, reward double, advantage double, ok boolean, truncated boolean, cjk_fail boolean, marker_ok boolean, n_tokens int, penalty double")
+    made = rollouts.step_metrics(rows).first()
+    assert all(np.isnan(made[c]) for c in ("reward_mean", "reward_std", "reward_min", "reward_max")) and made["extraction_rate"] == 0
+
+
+def test_distractors_never_share_a_document(spark):
+    texts = ["a" * n for n in range(1, 30)] + [f"b{i}" for i in range(3)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = evaluation.distractors(rows, 4, 1).collect()
+    by = {i: [r["j"] for r in got if r["i"] == i] for i in {r["i"] for r in got}}
+    assert set(by) == set(range(32)) and all(len(set(j)) == 3 for j in by.values())
+    assert all(sorted(by[i]) == [29, 30, 31] for i in range(29))
+    assert evaluation.distractors(rows.filter("i < 29"), 4, 1).count() == 0
+    assert evaluation.distractors(rows.limit(0), 4, 1).count() == 0
+    for r in evaluation.match_options(rows, 4, 1).collect():
+        assert r["options"][r["true_pos"]] == texts[r["i"]] and len(set(r["options"])) == 4
+
+
+def test_judging(spark):
+    rows = spark.createDataFrame([(0, " one ", "x" * 800), (1, None, "b"), (2, "", "c"), (3, "say {options} {text}", "d"), (4, "far", "e"), (5, "off", None)], "i long, explanation string, source string")
+    jobs = evaluation.judge_jobs(rows, 4, 1).collect()
+    assert len(jobs) == 4 * 5 + 3 and {j["i"] for j in jobs if j["dim"] == "source_match"} == {0, 3, 4}
+    assert all("say {options} {text}" in j["prompt"] for j in jobs if j["i"] == 3)
+    none = evaluation.judge_summary(spark.createDataFrame([], "i long, dim string, score int, hit int")).first()
+    assert none["n_judged"] == 0 and all(np.isnan(none[c]) for c in none.asDict() if c != "n_judged")
+    scores = [(i, d, None if d == "coherence" else 5, None) for i in range(6) for d in evaluation.RUBRIC] + [(i, "source_match", None, None) for i in range(6)]
+    got = evaluation.judge_summary(spark.createDataFrame(scores, "i long, dim string, score int, hit int")).first()
+    assert got["judge_fail_rate"] == pytest.approx(12 / 36) and np.isnan(got["coherence_mean"]) and np.isnan(got["source_match_acc"]) and got["match_answer_rate"] == 0 and got["specificity_mean"] == 5
+
+
 def test_cache_takes_the_last_row_and_is_filtered_too(spark):
     cache = spark.createDataFrame([("text A", "old\n\nx", 0, 0), ("text A", "new\n\ny", 1, 0), ("text B", "weak", 0, 1)], "text string, api_explanation string, file_ord int, row_ord int")
     rows = spark.createDataFrame([(1, "text A"), (2, "text B"), (3, "text a"), (4, "text A ")], "id int, text string")
@@ -65,6 +146,70 @@ def test_cache_takes_the_last_row_and_is_filtered_too(spark):
     assert {r["id"]: r["api_explanation"] for r in asked.collect()} == {1: "new\n\ny", 3: "p\n\nq"}
 
 
+class Counting:
+    """Answers by a rule, and writes down each prompt."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, prompts):
+        with open(self.log, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        return [None if "t3" in p else f"<analysis>\n- {p}\n- second\n</analysis>" for p in prompts]
+
+
+def test_the_provider_is_asked_once_for_each_miss(spark, tmp_path):
+    log, out = f"{tmp_path}/asked", f"file://{tmp_path}/chunks"
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "row_idx long, text string")
+    cache = spark.createDataFrame([("t1", "a\n\nb", 0, 0), ("t2", None, 0, 1)], "text string, api_explanation string, file_ord int, row_ord int")
+    provider = providers.asking(lambda: Counting(log), "Explain {text}", extract=r"<analysis>\s*(.*?)\s*</analysis>")
+    made = explanations.explain(rows, cache, provider)
+    for _ in range(2):
+        assert {r["row_idx"] for r in made.collect()} == {0, 1, 2, 4, 5, 6, 7, 8}
+    assert sorted(open(log).read().split("\n")[:-1]) == [f"Explain t{i}" for i in (0, 2, 3, 4, 5, 6, 7, 8)]
+
+    def restartable(asked, answer):
+        return chunks.run(spark, asked, out, 4, answer).drop("chunk_id")
+
+    open(log, "w").close()
+    assert explanations.explain(rows, cache, provider, put=restartable).count() == 8
+    storage.delete(spark, f"{out}/chunk_id=1/_SUCCESS")
+    assert explanations.explain(rows, cache, provider, put=restartable).count() == 8
+    said = open(log).read().split("\n")[:-1]
+    assert {s: said.count(s) for s in said} == {f"Explain t{i}": 2 if 4 <= i < 8 else 1 for i in (0, 2, 3, 4, 5, 6, 7, 8)}
+    with pytest.raises(ValueError):
+        providers.asking(lambda: None, "no place")
+
+
+def test_providers():
+    def ask(prompt):
+        if "down" in prompt:
+            raise ConnectionError
+        return {"no": ("refusal", ""), "blank": ("end", " "), "odd": ("paused", "x")}.get(prompt, ("end", f" {prompt}! "))
+
+    assert providers.checked(providers.Concurrent(ask, 3), ["a", "no", "c", "d", "e", "down"]) == ["a!", None, "c!", "d!", "e!", None]
+    for bad in (["down", "down", "c"], ["blank"], ["odd"]):
+        with pytest.raises((RuntimeError, ValueError)):
+            providers.Concurrent(ask).complete(bad)
+    sent = {}
+
+    def send(requests):
+        sent[len(sent)] = requests
+        return len(sent) - 1
+
+    def fetch(handle):
+        return [(name, "failed" if "down" in p else "refusal" if p == "no" else "succeeded", p) for name, p in reversed(sent[handle]) if p != "lost"]
+
+    batched = providers.Batched(send, fetch, 2)
+    assert batched.complete(["a", "no", "lost", "d", "down", "f"]) == ["a", None, None, "d", None, "f"] and len(sent) == 3
+    with pytest.raises(RuntimeError):
+        batched.complete(["down", "down"])
+    for bad in ([], ["a", "b"], [""], [3]):
+        with pytest.raises(ValueError):
+            providers.checked(type("P", (), {"complete": lambda self, p, bad=bad: bad})(), ["x"])
+    assert providers.checked(batched, []) == [] and storage.by_path("math:sqrt")(4) == 2
+
+
 def test_failure_rate(spark):
     answers = lambda n: spark.createDataFrame([(i, "failed" if i < n else "ok") for i in range(10)], "i int, status string")
     assert explanations.failure_rate(answers(1)) == pytest.approx(0.1)
@@ -73,15 +218,15 @@ def test_failure_rate(spark):
 
 
 def _meta(start, length, rows, **more):
-    e = {"base_model": "org/m", "d_model": 4, "layer_index": 2, "norm": "none", "corpus": "c", "corpus_slice": {"start": start, "length": length}, "positions_per_doc": 1}
-    return sidecar.DatasetMeta(f"d{start}", "base", rows, {**e, **more})
+    e = {"base_model": "org/m", "d_model": 4, "layer_index": 2, "norm": "none", "corpus": "c", "corpus_slice": sidecar.Slice(start, length), "positions_per_doc": 1}
+    return sidecar.DatasetMeta(f"d{start}", "base", rows, sidecar.Extraction(**{**e, **more}))
 
 
 def test_merge(spark):
     a, b = spark.range(3), spark.range(2)
     merged, meta = merging.merge([(b, _meta(10, 5, 2)), (a, _meta(0, 10, 3))])
     assert merged.count() == meta.row_count == 5 and meta.parent_datasets == ["d0", "d10"]
-    assert meta.extraction["corpus_slice"] == {"start": 0, "length": 15} and meta.dataset_id.startswith("base_m_L2_")
+    assert meta.extraction.corpus_slice == sidecar.Slice(0, 15) and meta.dataset_id.startswith("base_m_L2_")
     for bad in (_meta(11, 5, 2), _meta(9, 5, 2), _meta(10, 5, 3), _meta(10, 5, 2, d_model=5)):
         with pytest.raises(ValueError):
             merging.merge([(a, _meta(0, 10, 3)), (b, bad)])
@@ -96,7 +241,17 @@ def test_sidecar_round_trip(spark, tmp_path):
         sidecar.dumps(sidecar.replaced(back, stage="rl"))
     with pytest.raises(ValueError):
         sidecar.loads("kind: other\nschema_version: 1")
+    with pytest.raises(ValueError):
+        sidecar.loads(f"kind: {sidecar.KIND}\nschema_version: 1\ndataset_id: d")
     assert sidecar.derived_id("base_m", "build", "rl") == "rl_m"
+    full = sidecar.replaced(back, stage="ar_sft", tokens=sidecar.Tokens("x", 7, 1, 2, [3, 4]), prompt_templates={"actor": "a <INJECT> b", "critic": "c"})
+    again = sidecar.loads(sidecar.dumps(full) + "later: 1\n")
+    assert again.tokens == full.tokens and again.extraction == full.extraction and "api_summaries" not in sidecar.dumps(full)
+    ids = lambda s: [{"x": 7, "a": 1, "b": 2}[c] for c in s if c != " "]
+    assert sidecar.verify(again, ids, ids, {"mse_scale": 3.0})["neighbours"] == (1, 2) and sidecar.verify(again, ids)["mse_scale"] == 2.0
+    for bad in (sidecar.Tokens("x", 8), sidecar.Tokens("x", 7, 2, 1)):
+        with pytest.raises(ValueError):
+            sidecar.verify(sidecar.replaced(full, tokens=bad), ids, ids)
     assert storage.slice_of("a@[3:]") == ("a", 3, None)
 
 
@@ -108,14 +263,28 @@ def test_chunks_resume(spark, tmp_path):
         return df
 
     out = f"file://{tmp_path}/out"
+    chunks.guarded(spark, out, {"rows": 10})
     assert chunks.run(spark, rows, out, 4, work).count() == 10 and len(done) == 3
     storage.delete(spark, f"{out}/chunk_id=1/_SUCCESS")
     assert chunks.run(spark, rows, out, 4, work).count() == 10 and len(done) == 4
     chunks.guarded(spark, out, {"rows": 10})
     with pytest.raises(ValueError):
         chunks.guarded(spark, out, {"rows": 11})
+    storage.delete(spark, f"{out}.fingerprint.json")
+    with pytest.raises(ValueError, match="without a fingerprint"):
+        chunks.guarded(spark, out, {"rows": 10})
     with pytest.raises(ValueError):
         chunks.published(spark, rows.filter("row_idx < 0"), f"{out}2")
+    assert not storage.exists(spark, f"{out}2") and not storage.exists(spark, f"{out}2.staged")
+    chunks.published(spark, spark.range(0, 100, 1, 1), f"{out}3", group_rows=10)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    groups = [pq.ParquetFile(f).num_row_groups for f in glob.glob(f"{tmp_path}/out3/*.parquet")]
+    assert groups == [10]
+    with pytest.raises(FileExistsError):
+        chunks.published(spark, rows, f"{out}3")
 
 
 def test_stream_windows(spark, tmp_path):
@@ -134,6 +303,9 @@ def test_settings():
     assert config.resolved({"lr": 0.1, "n": 3}, {"lr": "1e-4"}, {"n": 7}) == {"lr": 1e-4, "n": 7}
     with pytest.raises(ValueError):
         config.resolved({"lr": 0.1}, {"other": 1}, {})
+    assert config.resolved({"lr": 0.1, "n": 3, "b": False, "s": "x"}, {"b": "true"}, {"n": "7", "lr": 1}) == {"lr": 1.0, "n": 7, "b": True, "s": "x"}
+    with pytest.raises(ValueError):
+        config.resolved({"lr": 0.1}, {}, {"other": 1})
     assert config.snapshot({"b": 1, "a": 2, "config": "x"}) == "a: 2\nb: 1\n"
 
 
@@ -144,3 +316,42 @@ def test_guards(spark):
         corpus.require(spark.range(1), ["x"])
     with pytest.raises(ValueError):
         explanations.build(spark.range(1), "rl", "a")
+    rows = spark.createDataFrame([("e", [1.0], 1, 1, "d")], "api_explanation string, activation_vector array<double>, n_raw_tokens int, activation_layer int, doc_id string")
+    words = lambda p: F.split(p, " ")
+    assert explanations.build(rows, "ar_sft", "a", "t {explanation} end of it", encode=words, suffix=["of", "it"]).count() == 1
+    with pytest.raises(Exception, match="end in the suffix"):
+        explanations.build(rows, "ar_sft", "a", "t {explanation} end of it", encode=words, suffix=["of", "that"]).collect()
+    ids = spark.createDataFrame([([],), ([1],), ([1, 2, 3],)], "ids array<int>")
+    assert explanations.within_length(ids, "ids", 2).count() == 1
+    with pytest.raises(ValueError):
+        explanations.within_length(ids.filter("size(ids) > 2"), "ids", 2, required=True)
+    good = pipeline.Settings("in", "out")
+    pipeline.preconditions(good)
+    for change in ({"actor": "none"}, {"critic": "{explanation}{explanation}"}, {"fractions": {"av_sft": 1.0}}, {"length": 0}, {"no_text": True}):
+        with pytest.raises(ValueError):
+            pipeline.preconditions(dataclasses.replace(good, **change))
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert storage.shared_folder(spark)
+    monkeypatch.setattr(spark, "_shared_folder", None, raising=False)
+
+    class Elsewhere:
+        def __init__(self, context):
+            self.context, self.master = context, "spark://host:7077"
+
+        def __getattr__(self, name):
+            return getattr(self.context, name)
+
+    class Session:
+        sparkContext = Elsewhere(spark.sparkContext)
+
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        with pytest.raises(ValueError):
+            storage.shared_folder(Session())
+
+
+def test_markers_are_kept_as_yaml():
+    assert tokens.kept_markers("") == {} and tokens.kept_markers("m: ㊗") == {"m": "㊗"}
+    with pytest.raises(ValueError):
+        tokens.kept_markers("m: two")

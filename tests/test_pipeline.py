@@ -1,11 +1,13 @@
 """All stages on the smallest corpus, and the checks around a run."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens
 from tessera.plans import pipeline
-from tessera.sources import sidecar
+from tessera.sources import sidecar, storage
 
 from .conftest import DATA
 
@@ -14,25 +16,55 @@ def test_stages(spark, tmp_path):
     sent = []
     s = pipeline.Settings(f"{DATA}/documents.parquet", f"file://{tmp_path}/run", start=10, length=60, positions_per_doc=3)
     at = pipeline.run(spark, s, uploaded=sent.append)
-    base = spark.read.parquet(at["base"])
+    base = spark.read.parquet(at["base", "base"])
     assert base.groupBy("doc_id").count().filter("count > 3").count() == 0
     assert base.filter("n_raw_tokens <= 50 OR size(activation_vector) <> 8").count() == 0
-    raw = [spark.read.parquet(at[f"{x}_raw"]) for x in pipeline.TRAIN_STAGES]
+    raw = [spark.read.parquet(at["split", x]) for x in pipeline.TRAIN_STAGES]
     assert sum(r.count() for r in raw) == base.count()
     seen = [{x[0] for x in r.select("doc_id").distinct().collect()} for r in raw]
     assert not (seen[0] & seen[1] or seen[0] & seen[2] or seen[1] & seen[2])
     for stage in pipeline.TRAIN_STAGES:
-        a, b = spark.read.parquet(at[stage]), spark.read.parquet(at[f"{stage}_shuf"])
+        a, b = spark.read.parquet(at["built", stage]), spark.read.parquet(at["shuffled", stage])
         assert a.exceptAll(b).count() == 0 and a.count() == b.count() > 0
-        assert sidecar.read(spark, at[f"{stage}_shuf"]).dataset_id.endswith("__shuf42")
-    assert spark.read.parquet(at["ar_sft"]).filter(~F.col("prompt").endswith("</text> <summary>")).count() == 0
+        assert sidecar.read(spark, at["shuffled", stage]).dataset_id.endswith("__shuf42")
+    assert spark.read.parquet(at["built", "ar_sft"]).filter(~F.col("prompt").endswith("</text> <summary>")).count() == 0
     assert len(sent) == 10
-    with pytest.raises(Exception, match="(?i)exist"):
-        pipeline.run(spark, s)
+    asked = []
+
+    def refused(rows):
+        asked.append(1)
+        return pipeline.stand_in_provider(rows)
+
+    # A second run finds everything; one that lost the end of a step goes on there.
+    assert pipeline.run(spark, s, provider=refused) == at and not asked
+    kept = sidecar.read(spark, at["built", "rl"])
+    for step, name in (("explained", "av_sft"), ("built", "av_sft"), ("shuffled", "av_sft")):
+        storage.delete(spark, sidecar.sidecar_path(at[step, name]))
+    pipeline.run(spark, s, provider=refused)
+    assert not asked and sidecar.read(spark, at["built", "rl"]) == kept
+    with pytest.raises(ValueError, match="another input"):
+        storage.delete(spark, sidecar.sidecar_path(at["base", "base"]))
+        pipeline.run(spark, dataclasses.replace(s, chunk_rows=7))
+
+
+class Letters:
+    def extract(self, texts, layer):
+        return [(list(t[:60]), [[float(ord(c)), float(layer)] for c in t[:60]]) for t in texts]
+
+
+def test_extractor_inside_tasks(spark):
+    docs = spark.createDataFrame([("a", "x" * 55), ("b", "")], "doc_id string, text string")
+    s = pipeline.Settings("", "", positions_per_doc=20, layer=3)
+    got = pipeline._positions(pipeline.extracting(Letters, 3)(docs), s).collect()
+    assert sorted(r["n_raw_tokens"] for r in got) == [51, 52, 53, 54, 55] and all(r["activation_vector"] == [120.0, 3.0] for r in got)
+    assert got[0]["detokenized_text_truncated"].split(" ") == ["x"] * got[0]["n_raw_tokens"]
+    import dataclasses as d
+
+    assert {r["detokenized_text_truncated"] for r in pipeline._positions(pipeline.extracting(Letters, 3)(docs), d.replace(s, no_text=True)).collect()} == {""}
 
 
 def test_a_run_is_not_overwritten(spark, tmp_path):
-    e = {k: 1 for k in sidecar.EXTRACTION}
+    e = sidecar.Extraction("m", 1, 1, "none", "c", sidecar.Slice(0, 1), 1)
     meta = sidecar.DatasetMeta("d", "base", 1, e)
     out = f"file://{tmp_path}/out"
     pipeline.begun(spark, out, meta, False)
@@ -40,7 +72,7 @@ def test_a_run_is_not_overwritten(spark, tmp_path):
         pipeline.begun(spark, out, meta, False)
     pipeline.begun(spark, out, meta, True)
     with pytest.raises(ValueError):
-        pipeline.begun(spark, out, sidecar.replaced(meta, extraction={**e, "d_model": 2}), True)
+        pipeline.begun(spark, out, sidecar.replaced(meta, extraction=dataclasses.replace(e, d_model=2)), True)
     pipeline.append_metrics(spark, f"{out}/metrics", 1, {"a": 1, "b": 2})
     pipeline.append_metrics(spark, f"{out}/metrics", 2, {"a": 3})
     assert spark.read.parquet(f"{out}/metrics").groupBy().sum("value").first()[0] == 6
