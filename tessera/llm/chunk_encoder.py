@@ -9,13 +9,14 @@ wherever a pre-token must begin, and equal chunks have equal ids:
   feed between two non-blanks.
 * ``word`` (blanks are dropped): at spaces and line feeds.
 
-Chunks are encoded once for each worker and looked up afterwards; up to twice
-``KEEP`` chunks, and as many pre-tokens, are kept (those in use move on when the older half goes), each of
-up to ``LONGEST`` characters. A new chunk that is a Latin word with or without
-punctuation behind it is two pre-tokens at most; the library's model gets these
-directly, spelled as its pre-tokenizer would spell them. Other chunks go through
-the whole of the library. Ids are bytes of little-endian unsigned 32-bit integers.
-Names of special tokens in a text are ordinary text.
+A batch of texts is cut by Arrow, which also finds its distinct chunks; only these are
+looked up or encoded, and all ids are then gathered at once. Two generations of chunks
+of up to ``LONGEST`` characters are kept for each worker, each of ``KEEP`` or the chunks
+of one slice of ``SLICE`` bytes (those in use move on when the older one goes). A new
+chunk that is a Latin word with or without punctuation behind it is two pre-tokens at
+most; the library's model gets these directly, spelled as its pre-tokenizer would spell
+them. Other chunks go through the whole of the library. Names of special tokens in a
+text are ordinary text.
 """
 
 from __future__ import annotations
@@ -23,23 +24,30 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
-KEEP, LONGEST = 300_000, 48
+import numpy as np
+
+KEEP, LONGEST, SLICE = 300_000, 48, 8_000_000
 #: Blanks other than the space and the line feed, as Unicode has them.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD_START = re.compile(r" (?=\S)")
-#: Letters of Latin-1, then ASCII punctuation without the apostrophe (which begins contractions).
-_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters of Latin-1 that keep their length in lower case.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII punctuation without the apostrophe, which begins contractions.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Texts whose blanks don't all stand alone between two non-blanks, as spaces or line feeds.
+_UNUSUAL = r"[ \n][ \n]|\A[ \n]|[ \n]\z|" + _ODD.pattern
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> str:
     """How byte-level pre-tokenizers spell each byte: printable ones as themselves, the others from U+0100 on, in order."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
-    return {b: b if b in own else next(others) for b in range(256)}
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
-_LETTERS = _byte_letters()
+_SPELLED = _byte_letters()
 
 
 class ChunkEncoder:
@@ -49,81 +57,109 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ids = [array("I", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.spaced = kind == "byte_level"
-        self.chunks = {"byte_level": self._byte_level, "word": self._word}[kind]
-        self.line = self._ids("\n") if self.spaced else b""
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.line = self._library("\n") if self.spaced else b""
         self.new: dict = {}
         self.old: dict = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, pre_token: str) -> bytes:
         """The ids of one pre-token."""
-        found = self.pieces.get(pre_token)
-        if found is None:
-            found = self.old_pieces.get(pre_token)
-            if found is None:
-                spelled = pre_token if self.spaced else pre_token.lower()
-                tokens = self.model.tokenize(spelled.encode().decode("latin-1").translate(_LETTERS))
-                found = array("I", [t.id for t in tokens]).tobytes()
-            if len(self.pieces) >= KEEP:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[pre_token] = found
-        return found
-
-    @staticmethod
-    def _byte_level(text: str) -> list:
-        """Keys: (text,) at the start; a chunk that begins with a line feed; any other without its leading space."""
+        spelled = charmap_decode((pre_token if self.spaced else pre_token.lower()).encode(), "strict", _SPELLED)[0]
+        tokens = self.tokenize(spelled)
+        return self.ids[tokens[0].id] if len(tokens) == 1 else b"".join([self.ids[t.id] for t in tokens])
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= KEEP:
+                self.marks.clear()
+            self.marks[marks] = self._piece(marks)
+        return self.marks[marks]
+
+    def _chunk(self, key) -> bytes:
+        """The ids of one chunk: (text,) at a text's start, one that begins with a line feed, any other without its leading space."""
+        said, before, space = key, b"", ""
+        if self.spaced:
+            if isinstance(key, tuple):
+                said = key[0]
+            elif key[:1] != "\n":
+                space = " "
+            if not space and said[:1] == "\n" and len(said) > 1 and not said[1].isspace():  # a pre-token of its own before a non-blank
+                said, before = said[1:], self.line
+        word = said.rstrip(_MARKS)
+        if word.isalpha() and len(said) <= LONGEST and (word.isascii() or _LATIN.fullmatch(word)):
+            found = before + self._piece(space + word)
+            return found if len(word) == len(said) else found + self._marks(said[len(word) :])
+        return before + self._library(space + said)
+
+    def _found(self, keys: list) -> list[bytes]:
+        """The ids of different chunks."""
+        values, old, made = list(map(self.new.get, keys)), self.old, {}
+        for i, value in enumerate(values):
+            if value is None:
+                key = keys[i]
+                value = old.get(key)
+                if value is None:
+                    value = self._chunk(key)
+                values[i] = value
+                if len(key) <= LONGEST:
+                    made[key] = value
+        if len(self.new) + len(made) > KEEP:
+            self.old, self.new = self.new, made
+        else:
+            self.new |= made
+        return values
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text with unusual blanks."""
         if not text:
-            return []
-        plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text))
-        keys = text.replace("\n", " \n").split(" ") if plain else _WORD_START.split(text)
-        keys[0] = (keys[0],)
-        return keys
-
-    @staticmethod
-    def _word(text: str) -> list:
-        return text.replace("\n", " ").split(" ")
-
-    def _said(self, key) -> str:
-        if isinstance(key, tuple):
-            return key[0]
-        return key if not self.spaced or key[:1] == "\n" else " " + key
-
-    def _encoded(self, keys: list) -> dict:
-        """Ids of chunks."""
-        found = {}
-        for k in keys:
-            said, before = self._said(k), b""
-            if self.spaced and said[:1] == "\n":  # a pre-token of its own before a non-blank
-                said, before = (said[1:], self.line) if len(said) > 1 and not said[1].isspace() else (said, b"")
-            if (m := _SIMPLE.fullmatch(said)) and len(said) <= LONGEST:
-                word, marks = m.groups()
-                found[k] = before + self._piece(word) + (self._piece(marks) if marks else b"")
-            else:
-                found[k] = before + self._ids(said)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [self.chunks(t) for t in texts]
-        parts = [list(map(self.new.get, keys)) for keys in chunked]
-        open_texts = [i for i, found in enumerate(parts) if None in found]
-        places = [[j for j, x in enumerate(parts[i]) if x is None] for i in open_texts]
-        missing = {chunked[i][j] for i, at in zip(open_texts, places, strict=True) for j in at}
-        known = {k: self.old[k] for k in missing if k in self.old}
-        known |= self._encoded([k for k in missing if k not in known])
-        for i, at in zip(open_texts, places, strict=True):
-            keys, found = chunked[i], parts[i]
-            for j in at:
-                found[j] = known[keys[j]]
-        if len(self.new) + len(known) > KEEP:
-            self.old, self.new = self.new, {}
-        self.new |= {k: v for k, v in known.items() if len(k if isinstance(k, str) else k[0]) <= LONGEST}
-        return [b"".join(found) for found in parts]
+            return b""
+        first, *rest = _WORD_START.split(text)
+        distinct = list(set(rest))
+        of = dict(zip(distinct, self._found(distinct), strict=True))
+        return b"".join([self._chunk((first,)), *map(of.__getitem__, rest)])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (an Arrow array of strings; null ones are empty), and where those of each end."""
+        import pyarrow.compute as pc
+
+        texts, unusual = pc.fill_null(texts, ""), []
+        if self.spaced:
+            odd = pc.match_substring_regex(texts, _UNUSUAL)
+            unusual = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        found = flat.dictionary_encode()
+        codes, values = found.indices.to_numpy().copy(), self._found(found.dictionary.to_pylist())
+        if self.spaced:  # what begins a text has no space before it
+            starts = flat.take(offsets[:-1]).to_pylist()
+            own = [self._chunk((x,)) for x in starts]
+            for i in unusual:
+                own[i] = self._whole(texts[int(i)].as_py())
+            codes[offsets[:-1]] = len(values) + np.arange(len(own))
+            values += own
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        del values, flat, lists, found
+        before = np.cumsum(sizes, dtype=np.int32) - sizes  # a slice has far fewer than 2**31 ids
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        at = np.repeat(before[codes] - (ends - lengths), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return ids[at], np.concatenate([np.zeros(1, np.int64), ends])[offsets[1:]]
+
+    def documents(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() with an end id behind each text."""
+        ids, ends = self.encode(texts)
+        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
@@ -136,6 +172,18 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     return _ENCODERS[path, kind]
 
 
+def text_slices(batch, limit: int = SLICE):
+    """Parts of a record batch (doc_id, text) of about so many bytes of text at most, or of one row."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def slices(batch, limit: int = 4_000_000):
     """Parts of a record batch (doc_id, text) as lists (ids, texts), of about so many characters at most; null texts are empty."""
     ids, texts, total = [], [], 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import delete, shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII blanks: the space and the controls from tab to carriage return.
 BLANKS = r"[\x09-\x0D\x20]+"
@@ -61,17 +62,36 @@ def gram_hashes(hashes: Column, k: int) -> Column:
     return let(hashes, of)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tessera_root", None)
-    if not named:  # a local session without one, as in tests
-        named = spark._tessera_root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return named
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or a longer one, that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Tables in the shared folder that still stand, in the order that they were made.
+_STANDING: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder, for one table."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STANDING.append(path)
+    return path
+
+
+def standing() -> int:
+    return len(_STANDING)
+
+
+def cleared(spark: SparkSession, since: int = 0, but: tuple = ()) -> None:
+    """Removes the tables made since then (see standing()); for callers that have read what they were given."""
+    dropped(spark, *[path for path in _STANDING[since:] if path not in but])
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df into the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")  # nothing needs the shuffle files of a table that stands
@@ -84,7 +104,6 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, s
 
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Removes tables made by written() once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
+        _STANDING.remove(path)

@@ -8,8 +8,10 @@ At the end the open windows of up to ``MERGE`` partitions are packed together in
 the same way, and what is then left is laid end to end and cut into full
 sequences and, last, into lengths that are powers of two, which need no padding.
 
-Memory: OPEN windows for a partition, MERGE times OPEN for a merging task. One
-shuffle moves a small row for each piece; ids travel with leftovers alone.
+Memory: OPEN windows for a partition, MERGE times OPEN for a merging task. What the
+first tasks make is written to the shared folder, from where finished pieces go to
+the result as they are. Only leftovers are shuffled, with their ids: up to OPEN
+windows of each partition, whatever its size.
 
 A null text is empty and has the end id alone. Repeated rows are packed each for
 itself. Other columns are ignored. An empty table gives no piece.
@@ -17,13 +19,13 @@ itself. Other columns are ignored. An empty table gives no piece.
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunk_encoder import encoder, slices
+from tessera.llm.chunk_encoder import encoder, text_slices
+from tessera.llm.common import written
 
 LENGTH, OPEN, SLACK, MERGE = 4096, 16, 32, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -107,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
     def first(batches):
         from pyspark import TaskContext
 
-        codec, end, part = encoder(tokenizer, kind), struct.pack("<I", end_id), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, kind), TaskContext.get().partitionId()
         rows, count = [], 0
 
         def emit(pieces):
@@ -117,11 +119,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
 
         packer = Packer(emit)
         for batch in batches:
-            for ids, texts in slices(batch):
-                for doc_id, made in zip(ids, codec.encode(texts), strict=True):
-                    packer.add(doc_id, 0, memoryview(made + end), len(made) // 4 + 1)
+            for piece in text_slices(batch):
+                ids, ends = codec.documents(piece.column(1), end_id)
+                data, at = memoryview(ids.tobytes()), 0
+                for doc_id, end in zip(piece.column(0).to_pylist(), ends.tolist(), strict=True):
+                    packer.add(doc_id, 0, data[4 * at : 4 * end], end - at)
+                    at = end
                 if rows:
-                    yield _batch(rows, (-1 - part,))
+                    yield _batch(rows, (-1,))
                     rows.clear()
         left = [r for i, w in enumerate(packer.windows) for r in _rows(part << 36 | count + i, w[1], True)]
         if left:
@@ -130,13 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
     def second(batches):
         from pyspark import TaskContext
 
-        part, count, left, rows = TaskContext.get().partitionId(), 0, [], []
-        for batch in batches:
-            buckets = batch.column(8).to_numpy()
-            done = batch.take(_at(buckets < 0))
-            if done.num_rows:
-                yield done.select(range(8))
-            left += batch.take(_at(buckets >= 0)).select(range(8)).to_pylist()
+        part, count, rows = TaskContext.get().partitionId(), 0, []
+        left = [r for batch in batches for r in batch.to_pylist()]
 
         def emit(pieces):
             nonlocal count
@@ -150,12 +150,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
         if rows:
             yield _batch(rows)
 
-    placed = docs.select("doc_id", "text").mapInArrow(first, PIECES + ", bucket long")
-    return placed.repartition("bucket").mapInArrow(second, PIECES)
-
-
-def _at(mask):
-    import numpy as np
-    import pyarrow as pa
-
-    return pa.array(np.flatnonzero(mask))
+    placed, _ = written(docs.sparkSession, docs.select("doc_id", "text").mapInArrow(first, PIECES + ", bucket long"), "pieces")
+    left = placed.filter("bucket >= 0").repartition("bucket").drop("bucket").mapInArrow(second, PIECES)
+    return placed.filter("bucket < 0").drop("bucket").unionByName(left)

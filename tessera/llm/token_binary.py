@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.chunk_encoder import encoder, slices
+from tessera.llm.chunk_encoder import encoder, text_slices
 
 BLOCK, PERCENTILE, SEGMENT = 128, 0.9, 1 << 16
 MAGIC = b"TPF1"
@@ -106,28 +106,31 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "byte_level
         import pyarrow as pa
         from pyspark import TaskContext
 
-        codec, end, shard = encoder(tokenizer, kind), struct.pack("<I", end_id), TaskContext.get().partitionId()
-        ids, counts, parts, held, start, segment = [], [], [], 0, 0, 0
+        codec, shard = encoder(tokenizer, kind), TaskContext.get().partitionId()
+        doc_ids, counts, parts, start, segment = [], [], [], 0, 0
 
         def flush():
-            data = pack(np.frombuffer(b"".join(parts), "<u4"))
-            row = [[shard], [segment], [start], [ids], [counts], [data]]
+            nonlocal doc_ids, counts, parts, start, segment
+            ids = np.concatenate(parts)
+            row = [[shard], [segment], [start], [doc_ids], [counts], [pack(ids)]]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            doc_ids, counts, parts, start, segment = [], [], [], start + len(ids), segment + 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["shard", "segment", "start", "doc_ids", "doc_tokens", "data"])
 
         for batch in batches:
-            for doc_ids, texts in slices(batch):
-                for doc_id, made in zip(doc_ids, codec.encode(texts), strict=True):
-                    made += end
-                    ids.append(doc_id)
-                    counts.append(len(made) // 4)
-                    parts.append(made)
-                    held += counts[-1]
-                    if held >= SEGMENT:
+            for piece in text_slices(batch):
+                ids, ends = codec.documents(piece.column(1), end_id)
+                sizes, names, at = np.diff(ends, prepend=0), piece.column(0).to_pylist(), 0
+                while at < len(ends):  # documents up to the one that fills a segment
+                    begin, held = (ends[at - 1] if at else 0), sum(counts)
+                    end = min(len(ends), int(np.searchsorted(ends, begin + SEGMENT - held)) + 1)
+                    doc_ids += names[at:end]
+                    counts += sizes[at:end].tolist()
+                    parts.append(ids[begin : ends[end - 1]])
+                    if held + ends[end - 1] - begin >= SEGMENT:
                         yield flush()
-                        start, segment = start + held, segment + 1
-                        ids, counts, parts, held = [], [], [], 0
-        if ids:
+                    at = end
+        if doc_ids:
             yield flush()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
