@@ -3,18 +3,20 @@
 Texts are lower-cased (A-Z) and cut into words. The hashes of ``GRAM`` words are
 winnowed: of every ``SPAN`` neighbouring hashes the least is kept (with its ties).
 GRAM + SPAN - 1 = WINDOW, so any WINDOW words that a document and an item share
-hold at least one fingerprint that both kept. Fingerprints of documents meet
-those of items in a join; each hit is extended word by word on both sides, by as
-much as a window can reach beyond its fingerprint, and counts if it reaches
-WINDOW words. So hashes only propose: every reported word was compared.
+hold at least one fingerprint that both kept. Fingerprints are extended on both
+sides to all windows that hold them, and those of documents meet those of items
+with the same fingerprint, place and words. So hashes only propose: every reported
+word was compared.
 
 An item of fewer words than WINDOW (but not none) is one window by itself; its
 hash over all its words is looked up at every position of the documents.
 
-Before anything is exploded, a bitmap of the items' fingerprints (of a fixed
-size, so bounded whatever the tables) drops almost all hashes inside the row.
-The items' fingerprints are broadcast only if the items' characters, counted
-beforehand, are at most ``BROADCAST_CHARS``; else both sides are shuffled.
+Before anything is exploded, a bitmap of the items' fingerprints (of a size that
+follows their number, up to 2**MOST_BITS bits; beyond it lets more pass) drops
+almost all hashes inside the row. A window that several items have is one row with
+the list of these items, so a prompt that many items share meets a document once.
+Items' windows are broadcast only if they are at most ``BROADCAST_PRINTS``, counted
+beforehand; else both sides are shuffled.
 
 Null or empty texts have no words: such documents have no hit, such items none.
 Rows of documents that are equal in id and text are one document; rows with one
@@ -27,13 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, gram_hashes, let, once, split_words, word_hashes
+from tessera.llm.common import ascii_lower, gram_hashes, let, once, split_words, word_hashes, written
 
 WINDOW, GRAM, SPAN = 10, 7, 4
 REACH = WINDOW - GRAM
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BITS = 20
-BROADCAST_CHARS = 8_000_000
+LEAST_BITS, MOST_BITS = 16, 27
+BROADCAST_PRINTS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -65,15 +67,22 @@ def _picked(words: Column, hashes: Column, k: int, passes, reach: int = 0) -> Co
     return let(gram_hashes(hashes, k), lambda g: F.filter(F.transform(g, lambda h, i: pick(h, i, g)), lambda x: x.isNotNull()))
 
 
+def _windows(k: Column, h: Column, i: Column, ctx: Column) -> Column:
+    """array of (k, h, start, window): the windows that hold a fingerprint at i, by how far it is from their beginning; a short one is a window itself."""
+    long = [F.struct(F.lit(GRAM + a).alias("k"), h.alias("h"), (i - a).alias("start"), F.slice(ctx, REACH - a + 1, WINDOW).alias("window")) for a in range(REACH + 1)]
+    short = F.struct(k.alias("k"), h.alias("h"), i.alias("start"), ctx.alias("window"))
+    # Beyond a text's ends words are null.
+    return F.when(k < 0, F.array(short)).otherwise(F.filter(F.array(*long), lambda w: F.get(w["window"], F.lit(0)).isNotNull() & F.get(w["window"], F.lit(WINDOW - 1)).isNotNull()))
+
+
 def item_fingerprints(items: DataFrame) -> DataFrame:
-    """(item, k, h, ctx): k is GRAM, or an item's own number of words with the sign changed."""
+    """(k, h, window, items): the sorted items that have a window with the fingerprint h; k tells how far that is from its beginning, or is a short item's number of words with the sign changed."""
     with_words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w"))
     long = _picked(F.col("w"), word_hashes(F.col("w")), GRAM, lambda h: F.lit(True), REACH)
-    short = F.array(F.struct(F.size("w").alias("k"), F.lit(0).alias("i"), _whole_hash(F.col("w")).alias("h"), F.col("w").alias("ctx")))
+    short = F.array(F.struct((-F.size("w")).alias("k"), F.lit(0).alias("i"), _whole_hash(F.col("w")).alias("h"), F.col("w").alias("ctx")))
     picked = F.when(F.size("w") >= WINDOW, long).when(F.size("w") > 0, short)
-    return with_words.select("item", (F.size("w") < WINDOW).alias("short"), F.explode(picked).alias("f")).select(
-        "item", F.when(F.col("short"), -F.col("f.k")).otherwise(F.col("f.k")).alias("k"), F.col("f.h").alias("h"), F.col("f.ctx").alias("ctx")
-    ).distinct()
+    each = with_words.select("item", F.explode(picked).alias("f")).select("item", F.explode(_windows(F.col("f.k"), F.col("f.h"), F.col("f.i"), F.col("f.ctx"))).alias("x"))
+    return each.groupBy("x.k", "x.h", "x.window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _whole_hash(words: Column) -> Column:
@@ -84,26 +93,27 @@ def _whole_hash(words: Column) -> Column:
     return found
 
 
-def _bitmap(fingerprints: DataFrame) -> DataFrame:
-    """One row: 2**BITS bits, as words of 64."""
+def _bitmap(fingerprints: DataFrame, size: int) -> DataFrame:
+    """One row: 2**size bits, as words of 64."""
     spark = fingerprints.sparkSession
-    bit = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
-    ones = fingerprints.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, int(h & 63))").alias("bits"))
-    zeros = spark.range(1 << (BITS - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    bit = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
+    ones = fingerprints.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, int(h & 63))").alias("bits"))
+    zeros = spark.range(1 << (size - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
     dense = ones.unionByName(zeros).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda y: y["bits"]).alias("bitmap"))
 
 
 def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
-    """(doc_id, doc_key, n_words, item, start, end) of extended hits; with how="left", a row of nulls too for each document."""
+    """(doc_id, doc_key, n_words, items, start, end) of extended hits; with how="left", a row of nulls too for each document."""
     prints = item_fingerprints(items)
-    chars, shorts = items.agg(F.sum(F.length("text")), F.collect_set(F.when(F.size(words_of(F.col("text"))) < WINDOW, F.size(words_of(F.col("text")))))).first()
-    lengths = sorted({*(shorts or ())} - {0})  # at most WINDOW - 1 numbers
-    bitmap = _bitmap(prints).scalar()
+    n_prints, shorts = prints.agg(F.count("*"), F.collect_set(F.when(F.col("k") < 0, -F.col("k")))).first()
+    lengths = sorted(shorts)  # at most WINDOW - 1 numbers
+    size = min(MOST_BITS, max(LEAST_BITS, (64 * n_prints).bit_length()))
+    bitmap = _bitmap(prints, size).scalar()
 
     def picked(words: Column, bits: Column) -> Column:
         def passes(h: Column) -> Column:
-            at = F.shiftright(h.bitwiseAND(F.lit((1 << BITS) - 1)), 6).cast("int")
+            at = F.shiftright(h.bitwiseAND(F.lit((1 << size) - 1)), 6).cast("int")
             return F.getbit(F.get(bits, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
         def of(hashes: Column) -> Column:
@@ -115,45 +125,23 @@ def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
 
     cut = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), let(F.col("_bits"), lambda b: picked(w, b)).alias("found")))
     rows = once(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text", bitmap.alias("_bits")), "c", cut)
-    each = rows.select("doc_id", "doc_key", F.col("c.n").alias("n_words"), F.explode_outer("c.found").alias("f"))
-    found = (each if how == "left" else each.filter(F.col("f").isNotNull())).select(
-        "doc_id",
-        "doc_key",
-        "n_words",
-        F.coalesce(F.col("f.k"), F.lit(0)).alias("k"),
-        F.coalesce(F.col("f.h"), F.col("doc_key")).alias("h"),  # rows without a hit don't meet in one task
-        F.col("f.i").alias("i"),
-        F.col("f.ctx").alias("ctx"),
-    )
-    other = prints.withColumnRenamed("ctx", "item_ctx")
-    if (chars or 0) <= BROADCAST_CHARS:
-        other = F.broadcast(other)
-    both = found.join(other, ["k", "h"], "left" if how == "left" else "inner")
-
-    def same(at: int) -> Column:
-        return F.get("ctx", F.lit(at)) == F.get("item_ctx", F.lit(at))
-
-    left = F.when(~F.coalesce(same(REACH - 1), F.lit(False)), 0)
-    right = F.when(~F.coalesce(same(REACH + GRAM), F.lit(False)), 0)
-    for n in range(1, REACH):
-        left = left.when(~F.coalesce(same(REACH - 1 - n), F.lit(False)), n)
-        right = right.when(~F.coalesce(same(REACH + GRAM + n), F.lit(False)), n)
-    core = F.slice("ctx", REACH + 1, GRAM) == F.slice("item_ctx", REACH + 1, GRAM)
-    long = (F.col("k") == GRAM) & core & (F.col("left") + F.col("right") + GRAM >= WINDOW)
-    short = (F.col("k") < 0) & (F.col("ctx") == F.col("item_ctx"))
-    ends = both.select("*", left.otherwise(REACH).alias("left"), right.otherwise(REACH).alias("right")).select(
+    of_hit = F.flatten(F.transform("c.found", lambda f: _windows(f["k"], f["h"], f["i"], f["ctx"])))
+    each = rows.select("doc_id", "doc_key", F.col("c.n").alias("n_words"), F.explode_outer(of_hit).alias("x"))
+    found = (each if how == "left" else each.filter(F.col("x").isNotNull())).select(
         "doc_id",
         "doc_key",
         "n_words",
-        F.when(long | short, F.col("item")).alias("item"),
-        F.when(long, F.col("i") - F.col("left")).when(short, F.col("i")).alias("start"),
-        F.when(long, F.col("i") + GRAM + F.col("right")).when(short, F.col("i") - F.col("k")).alias("end"),
+        F.coalesce(F.col("x.k"), F.lit(0)).alias("k"),
+        F.coalesce(F.col("x.h"), F.col("doc_key")).alias("h"),  # rows without a hit don't meet in one task
+        F.coalesce(F.col("x.window"), F.array().cast("array<string>")).alias("window"),
+        F.col("x.start").alias("start"),
     )
-    return ends if how == "left" else ends.filter(F.col("item").isNotNull())
+    both = found.join(F.broadcast(prints) if n_prints <= BROADCAST_PRINTS else prints, ["k", "h", "window"], "left" if how == "left" else "inner")
+    return both.select("doc_id", "doc_key", "n_words", "items", "start", (F.col("start") + F.size("window")).alias("end"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, n_words, item, start, end): runs of words that stand in an item, by word, end exclusive; one run may come in parts."""
+    """(doc_id, doc_key, n_words, items, start, end): windows that stand in all these items, by word, end exclusive; one may come more than once."""
     return _joined(docs, items, "inner")
 
 
@@ -168,12 +156,13 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return (
         _joined(docs, items, "left")
         .groupBy("doc_id", "doc_key", "n_words")
-        .agg(F.collect_set("item").alias("items"), F.collect_set(F.when(F.col("item").isNotNull(), F.struct("start", "end"))).alias("runs"))
-        .select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array("items").alias("items"), F.sort_array("runs").alias("runs"))
+        .agg(F.collect_set("items").alias("items"), F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "end"))).alias("runs"))
+        .select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), F.sort_array("runs").alias("runs"))
     )
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any hit, as they are."""
-    bad = hits(docs, items).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
+    """The documents without any hit, as they are; repeated rows stay repeated."""
+    # Written first: Spark knows the size of a table that stands, and moves no text if it is small.
+    bad, _ = written(docs.sparkSession, hits(docs, items).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == bad["_key"]), "left_anti")

@@ -3,8 +3,8 @@
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of
 their patterns that pass their check (parts of at most 255; Luhn; numbers of
 digits); they stay whatever their score. Further kinds: ``iban`` (confirmed by
-mod 97) and ``local_phone`` (digits like 555-123-4567, which need a context word
-nearby). A span's score is its pattern's, plus its validator's, plus
+mod 97), ``local_phone`` (digits like 555-123-4567, which need a context word
+nearby) and ``secret`` (a long value that is assigned to a name like token). A span's score is its pattern's, plus its validator's, plus
 ``CONTEXT_SCORE`` if a context word stands near it; further kinds need
 ``THRESHOLD``.
 
@@ -47,6 +47,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, True, "phone|tel|call|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.3, False, "iban|account|bank"),
     Kind("local_phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}", 0.4, False, "phone|tel|call|mobile|fax"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9/+_.-]{16,}+[\"']?", r"[=:] ?[\"']?[A-Za-z0-9/+_.-]{16}", 0.8, False, "key"),
 )
 #: What a confirmed value adds to the score; a kind without a validator has none to add.
 VALIDATOR_SCORE = {"ip": 0.3, "card": 0.6, "phone": 0.2, "iban": 0.6}

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gram_hashes, let, once, split_words, word_hashes
+from tessera.llm.common import fresh, gram_hashes, let, once, split_words, word_hashes
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -41,15 +41,19 @@ RULES = (
     Rule("exclamations", "100 * n_exclamations > 50 * n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),
     Rule("same_lines", "n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines"),
+    Rule("stutter", "100 * n_stutter > 30 * n_words"),
+    Rule("no_words", "n_words = 0"),
 )
 BASE = ("few_words", "repeated_windows")
 #: Versioned policies: the names of the rules that reject a document.
 POLICIES = {
     "base-1": BASE,
     "web-1": (*BASE, "symbols", "exclamations"),
-    "web-2": tuple(r.name for r in RULES),
+    "web-2": (*BASE, "symbols", "exclamations", "long_words", "same_lines"),
+    # Short texts may be clean, and words that stand twice in a row rarely are.
+    "web-3": ("repeated_windows", "symbols", "exclamations", "long_words", "same_lines", "stutter", "no_words"),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
 
 
 def mask(names) -> int:
@@ -94,6 +98,7 @@ def measures(text: Column) -> Column:
                 F.size(words).cast("long").alias("n_words"),
                 F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
                 _repeated_words(keys, WINDOW).cast("long").alias("n_repeat_words"),
+                F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_stutter"),
             ),
         )
 
@@ -118,12 +123,13 @@ def measures(text: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and ``fail_bits``; ``text`` stays as it is."""
-    kept = [c for c in docs.columns if c not in (*MEASURES, "fail_bits", "_m")]
-    m = once(docs.select(*kept), "_m", measures(F.col(f"`{text}`"))).select(
+    names = [c for c in docs.columns if c not in (*MEASURES, "fail_bits")]
+    kept, m = [f"`{c}`" for c in names], fresh("_m", names)
+    m = once(docs.select(*kept), m, measures(F.col(f"`{text}`"))).select(
         *kept,
-        *[F.col(f"_m.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")],
-        *[F.col(f"_m.l.{c}").alias(c) for c in ("n_lines", "n_dup_lines")],
-        *[F.col(f"_m.{c}").alias(c) for c in ("n_symbols", "n_exclamations")],
+        *[F.col(f"{m}.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stutter")],
+        *[F.col(f"{m}.l.{c}").alias(c) for c in ("n_lines", "n_dup_lines")],
+        *[F.col(f"{m}.{c}").alias(c) for c in ("n_symbols", "n_exclamations")],
     )
     bits = sum((F.when(F.expr(r.failed), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)), F.lit(0))
     return m.withColumn("fail_bits", bits.cast("int"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from tessera.llm import chat_format, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
-from tessera.llm.common import once, shared_root, table
+from tessera.llm.common import new_path, once, table
 
 END_ID = 2
 #: host, path, action.
@@ -49,7 +47,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_binary.write(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), END_ID)
     return token_binary.read_documents(spark, path)
 
@@ -205,8 +203,8 @@ WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(coalesce
  g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d)),
  r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
  m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')) AS n_excl,
-  len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+  len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
  f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_excl > 50 * n_words THEN 8 ELSE 0 END
-  + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines THEN 32 ELSE 0 END)::INT AS fail_bits FROM m)
+  + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines THEN 32 ELSE 0 END + CASE WHEN 100 * n_stutter > 30 * n_words THEN 64 ELSE 0 END + CASE WHEN n_words = 0 THEN 128 ELSE 0 END)::INT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & {_OP10_MASK} = 0 AS kept, fail_bits FROM f""",
 }

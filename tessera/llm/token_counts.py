@@ -9,8 +9,8 @@ The distinct pre-tokens of a group of documents are walked in sorted order, whic
 is the depth-first order of their trie: the best score and count of each node
 (a prefix) is computed once, on a stack as deep as the trie, and whatever shares
 the prefix starts from there. The count at the end of a pre-token is stored; up
-to ``KEEP`` stay for later groups. No shuffle; memory is bounded by KEEP and by
-the group.
+to ``KEEP`` of them, of up to ``LONGEST`` characters, stay for later groups. No
+shuffle; memory is bounded by KEEP and by the group.
 
 A null text has no tokens. Each input row gets one row. Other columns are ignored.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.chunk_encoder import slices
 
-MARK, UNKNOWN, KEEP = "▁", 10.0, 400_000
+MARK, UNKNOWN, KEEP, LONGEST = "▁", 10.0, 400_000, 64
 
 
 class Unigram:
@@ -90,9 +90,13 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
                 if len(known) + len(missing) > KEEP:
                     known.clear()
                     missing = set().union(*words)
-                known |= unigram.counts(missing)
+                counted = unigram.counts(missing)
+                long = [w for w in counted if len(w) > LONGEST]
+                known |= counted
                 get = known.__getitem__
                 columns = ids, [len(w) for w in words], [sum(map(get, w)) for w in words]
+                for word in long:
+                    del known[word]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

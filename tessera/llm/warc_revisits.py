@@ -10,12 +10,15 @@ resolved revisit has the headers of its response, updated by those that a 304
 may send (``PERMITTED``), and its payload digest.
 
 The as-of join goes in two steps, so that one url with a large part of all
-captures isn't one group: time is cut at quantiles into slices, the last response
-of each url and slice is carried into the url's later slices, and within a slice
-a running window finds nearer ones. Payloads aren't moved, only record ids.
+captures isn't one group: time is cut at quantiles into slices (one for every
+``SLICE_ROWS`` records, from ``SLICES`` to ``MOST_SLICES``), the last response of
+each url and slice is carried into the url's later slices, and within a slice a
+running window finds nearer ones. Payloads aren't moved, only record ids. Captures
+of one url at one time are one group.
 
 Urls without "//" are their own canonical urls, but for the fragment. Null urls
-have the canonical url '' and never resolve. Null times come first.
+have the canonical url '' and never resolve. Null times come first. Names of
+headers may come in any case and go out in lower case; null headers stay null.
 Repeated rows are captures of their own. Other columns are dropped. Empty tables
 give empty results.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES, SLICE_ROWS, MOST_SLICES = 64, 1_000_000, 4096
 #: Statuses of responses that hold the whole resource.
 FULL = (200,)
 #: Header fields that a 304 response may update (fixed values of the HTTP standard).
@@ -47,27 +50,38 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def _slice_of(ts: Column, edges: list[int]) -> Column:
+    """The number of edges below ts, by a step over every 64th and one between two of these."""
+    at = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
+    below = lambda part: F.size(F.filter(part, lambda e: e < ts))
+    coarse = below(F.array(*[F.lit(e) for e in edges[63::64]]).cast("array<bigint>")) * 64
+    return F.when(ts.isNull(), 0).otherwise(coarse + below(F.slice(at, coarse + 1, F.lit(64))))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """records: record_id long, url string, ts long, kind ('response' or 'revisit'), status int, etag,
-    last_modified, digest strings, headers array of (name, value), names in lower case.
+    last_modified, digest strings, headers array of (name, value).
 
     (record_id, canonical_url, ts, kind, base_id, verdict, digest, headers); a response is its own base.
     """
-    edges = records.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    time_slice = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]).cast("array<bigint>"), lambda e: e < F.col("ts")))
+    n, edges = records.agg(F.count("*"), F.percentile_approx("ts", [i / MOST_SLICES for i in range(1, MOST_SLICES)], 10_000)).first()
+    step = max(1, MOST_SLICES // max(SLICES, n // SLICE_ROWS))
+    time_slice = _slice_of(F.col("ts"), sorted(set((edges or [])[step - 1 :: step])))
+    lower = F.transform("headers", lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
     own = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     rows = records.select(
-        "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "status", "etag", "last_modified", "digest", "headers",
+        "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "status", "etag", "last_modified", "digest", lower.alias("headers"),
         time_slice.alias("slice"), F.col("url").isNotNull().alias("named"),
-    ).withColumn("full", F.when((F.col("kind") == "response") & F.col("status").isin(*FULL) & F.col("named"), own))
+    ).withColumn("key", F.when(F.col("named"), F.col("canonical_url")).otherwise(F.concat(F.lit("\n"), F.coalesce(F.col("record_id").cast("string"), F.lit(""))))).withColumn("full", F.when((F.col("kind") == "response") & F.col("status").isin(*FULL) & F.col("named"), own))
     carried = (
-        rows.groupBy("canonical_url", "slice")
+        rows.filter("named")
+        .groupBy("key", "slice")
         .agg(F.max("full").alias("last"))
-        .select("canonical_url", "slice", F.max("last").over(Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+        .select("key", "slice", F.max("last").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     )
-    within = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max("full").over(within))
-    both = near.join(carried, ["canonical_url", "slice"], "left").withColumn("base", F.when(F.col("named"), F.coalesce("near", "carried")))
+    both = near.join(carried, ["key", "slice"], "left").withColumn("base", F.when(F.col("named"), F.coalesce("near", "carried")))
     same = (
         F.when(F.col("etag").isNotNull() & F.col("base.etag").isNotNull(), _tag(F.col("etag")) == _tag(F.col("base.etag")))
         .when(F.col("last_modified").isNotNull() & F.col("base.last_modified").isNotNull(), F.col("last_modified") == F.col("base.last_modified"))

@@ -75,6 +75,15 @@ def quality(text):
     return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again), n < 20 or 100 * len(again) > 30 * n)
 
 
+def rejected(text):
+    """By the pipeline's policy."""
+    n, chars, symbols, same, again, _ = quality(text)
+    w = words_of(text)
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return n == 0 or 100 * again > 30 * n or 100 * symbols > 30 * n or 100 * (text or "").count("!") > 50 * n or chars > 40 * n or len(lines) >= 10 and 100 * same > 70 * len(lines) or 100 * stutter > 30 * n
+
+
 def shingle_set(text, k):
     w = words_of(low(text or ""))
     if not w:

@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,8 +56,15 @@ def test_quality(docs, none):
     for i, t in TEXTS:
         r = made[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["fail_bits"] & 3 != 0) == brute.quality(t)
-        assert r["kept"] == (r["fail_bits"] == 0) and r["extra"] == "e"
+        assert r["kept"] == (r["fail_bits"] & quality_rules.mask(quality_rules.POLICIES["web-2"]) == 0) and r["extra"] == "e"
     assert quality_rules.ledger(none).count() == 0
+    for r in quality_rules.apply_policy(quality_rules.ledger(docs), "web-3").collect():
+        assert r["kept"] == (not brute.rejected(dict(TEXTS)[r["doc_id"]]))
+    clash = docs.select("doc_id", "text", F.lit("kept").alias("_m"), F.lit("kept").alias("_m_"), F.lit(0).alias("fail_bits"))
+    for r in quality_rules.ledger(clash).collect():
+        assert (r["_m"], r["_m_"]) == ("kept", "kept") and r["n_words"] == brute.quality(dict(TEXTS)[r["doc_id"]])[0]
+    twice = docs.unionByName(docs)
+    assert quality_rules.ledger(twice).count() == 2 * len(TEXTS)
 
 
 def test_ablation(spark):
@@ -79,7 +87,7 @@ def test_decontamination(spark, docs, none):
 
 
 def test_decontamination_without_broadcast(docs, spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_CHARS", -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_PRINTS", -1)
     items = [(1, " ".join(TEXTS[9][1].split()[20:45]))]
     got = {r["doc_id"]: r["n_hit"] for r in decontamination.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {i: w[1] for i, w in brute.decontamination(TEXTS, items).items()}
@@ -100,6 +108,19 @@ def test_decontamination_of_items_of_every_short_length(spark):
     assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == {i for i, w in want.items() if not w[4]}
 
 
+def test_decontamination_of_items_with_a_common_prompt(spark):
+    prompt = " ".join(f"p{i}" for i in range(30))
+    items = [(n, f"{prompt} own{n} " + " ".join(f"i{n}x{j}" for j in range(9 + n % 5))) for n in range(300)]
+    rows = [(d, f"d{d} {prompt} e{d}") for d in range(50)] + [(60, items[7][1] + " " + items[8][1]), (61, " ".join(f"p{i}" for i in range(9)))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute.decontamination(rows, items)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["n_hit"] > 0) for r in decontamination.report(docs, bench).collect()}
+    assert got == want and want[0][2] == 300
+    # The windows of the prompt are rows, whatever the number of items: each of 21 holds 4 fingerprints at most.
+    assert decontamination.hits(docs, bench).count() < 4 * (21 * 52 + 2 * 45)
+    assert {r["doc_id"] for r in decontamination.clean(docs.unionByName(docs), bench).collect()} == {61}
+
+
 PII_TEXTS = [
     "a@b.c%d@e.f and x.y+z@mail-1.example.org.", "no@dot, @x.y a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (743) 555-3824, +12 345", "+" + "(" * 500, "1 2 3 4 " * 300, "é" * 30 + "a@b.co +49 30 1234567", "call phone 555-123-4567", "555-123-4567", "IBAN DE89 3704 0044 0532 0130 00.",
@@ -118,6 +139,11 @@ def test_pii(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert clean[7] == "é" * 30 + "[EMAIL] [PHONE]" and clean[13] is None and clean[9] == PII_TEXTS[9]
     assert clean[16] == "[PHONE]" and clean[0] == "[EMAIL][EMAIL] and [EMAIL]."
+    assert pii.find(df.limit(0)).count() == pii.redact(df.limit(0)).count() == 0
+    assert pii.find(df.unionByName(df)).count() == 2 * len(PII_TEXTS)
+    said = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'), (2, "password=61cfd3300259e4653f"), (3, "token of love"), (4, "the token: short"), (5, "api_key: AAAABBBBCCCCDDDD1")], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(said).collect()}
+    assert found == {1: [("secret", 2, 52)], 2: [("secret", 0, 27)], 3: [], 4: [], 5: [("secret", 0, 26)]}
 
 
 @settings(max_examples=60, deadline=None)
@@ -133,8 +159,10 @@ def test_blocks_round_trip(ids):
 def test_chunks_encode_as_whole_texts_do(text):
     for name, kind in (("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word")):
         codec = CODECS.setdefault(name, ChunkEncoder(tokenizer(name), kind) if name not in CODECS else None)
-        whole = codec.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == whole
+        texts = [text, None, text + "a", "", text]
+        whole = [codec.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, ends = codec.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == whole
 
 
 CODECS: dict = {}
@@ -152,6 +180,12 @@ def test_token_files(spark, docs, none, tmp_path, monkeypatch):
         at += len(own)
     token_binary.write(none, path + "0", tokenizer("byte_bpe_50k.json"), 2)
     assert token_binary.read_documents(spark, path + "0").count() == 0
+    again = [(7, "b b"), (7, "a"), (7, "a"), (None, "n"), (3, None)]
+    token_binary.write(spark.createDataFrame(again, "doc_id long, text string").repartition(2), path + "1", tokenizer("byte_bpe_50k.json"), 2)
+    back = token_binary.read_documents(spark, path + "1").orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [None, 3, 7, 7, 7] and [r["start"] for r in back] == [0, 2, 3, *(r["start"] for r in back[3:])]
+    said = sorted(brute.crc(x) for x in brute.ids_of(tokenizer("byte_bpe_50k.json"), [t for _, t in again], 2))
+    assert sorted(r["ids_crc32"] for r in back) == said
 
 
 def test_chat(spark):
@@ -189,6 +223,8 @@ def test_packing(docs, none):
     ids = brute.ids_of(tokenizer("word_bpe_49k.json"), [t for _, t in TEXTS], 2)
     assert brute.check_packing(pieces, {i: x for (i, _), x in zip(TEXTS, ids, strict=True)}) < 0.02
     assert packing.pack(none, tokenizer("word_bpe_49k.json"), 2).count() == 0
+    twice = [r.asDict() for r in packing.pack(docs.unionByName(docs), tokenizer("word_bpe_49k.json"), 2, with_ids=True).collect()]
+    assert sum(p["length"] for p in twice) == 2 * sum(map(len, ids)) and all(len(p["ids"]) == 4 * p["length"] for p in twice)
 
 
 def test_urls(spark):
@@ -203,6 +239,11 @@ def test_urls(spark):
     got = {r["page_id"]: tuple(r[c] for c in ("url", "host", "path", "rule", "verdict")) for r in url_filter.judge(pages, rules, listed).collect()}
     assert got == rows
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+    again = pages.unionByName(pages).unionByName(pages.filter("page_id IN (2, 4)")).unionByName(pages.select(F.lit(None).cast("long").alias("page_id"), "url", "host", "key"))
+    copies = {(r["page_id"], r["url"]): r["count"] for r in url_filter.judge(again, rules, listed).groupBy("page_id", "url").count().collect()}
+    assert copies == {**{(i, r[0]): 3 if i in (2, 4) else 2 for i, r in rows.items()}, **{(None, r[0]): 1 for r in rows.values()}}
+    both = rules.unionByName(spark.createDataFrame([("example.com/", "en/7", "block"), ("com", "/en/", "allow")], rules.schema))
+    assert url_filter.judge(pages, both, listed).count() == len(rows)
 
 
 def test_bloom_holds_every_key_and_few_others(spark):
@@ -275,6 +316,54 @@ def test_revisits_pass_over_partial_and_failed_responses(spark, monkeypatch):
         assert all(got[i] == (i, "response", f"p{i}") for i in range(5))
 
 
+def test_revisit_headers_in_any_case(spark):
+    url = "http://a.org/"
+    rows = [
+        (1, url, 1, "response", 200, "e", None, "p", [("ETag", "old"), ("Content-Type", "t"), ("X", "1")]), (2, url, 2, "revisit", 304, "e", None, None, [("etag", "new"), ("x", "2")]),
+        (3, url, 3, "revisit", 304, "e", None, None, None), (4, url, None, "revisit", 304, "e", None, None, []), (5, None, 9, "revisit", 304, "e", None, None, [("A", None)]), (5, None, 9, "revisit", 304, "e", None, None, [("A", None)]),
+    ]
+    got = {r["record_id"]: (r["verdict"], r["headers"] and [tuple(h) for h in r["headers"]]) for r in warc_revisits.resolve(spark.createDataFrame(rows, REVISITS)).collect()}
+    assert got[2] == ("resolved", [("content-type", "t"), ("etag", "new"), ("x", "1")])
+    assert got[3][0] == "resolved" and got[4] == ("no_base", []) and got[5] == ("no_base", [("a", None)])
+    assert warc_revisits.resolve(spark.createDataFrame(rows, REVISITS)).count() == 6
+    edges = sorted(random.Random(1).sample(range(10_000), 700))
+    asked = spark.createDataFrame([(t,) for t in [-1, 0, 9_999, None, *edges, *(e + 1 for e in edges)]], "t long")
+    for r in asked.select("t", warc_revisits._slice_of(F.col("t"), edges).alias("s")).collect():
+        assert r["s"] == sum(r["t"] is not None and e < r["t"] for e in edges)
+
+
+def long_text(words: int = 25_000) -> str:
+    rng = random.Random(11)
+    return " ".join(f"w{rng.randrange(5_000)}" + rng.choice(["", "", ",", ".\n"]) for _ in range(words))
+
+
+def test_very_long_texts(spark):
+    text = long_text()
+    rows = [(1, text), (2, text + " end"), (3, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    item = [(9, " ".join(text.split()[24_000:24_030]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.report(docs, spark.createDataFrame(item, "item_id long, text string")).collect()}
+    assert got == {i: w[:2] for i, w in brute.decontamination(rows, item).items()} and got[1][1] == 30
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    for r in quality_rules.ledger(docs).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.quality(dict(rows)[r["doc_id"]])[:5]
+    for r in pii.find(docs.withColumn("text", F.concat("text", F.lit(" a@b.co")))).collect():
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [(len(dict(rows)[r["doc_id"]]) + 1, len(dict(rows)[r["doc_id"]]) + 7)]
+    ids = brute.ids_of(tokenizer("word_bpe_49k.json"), [t for _, t in rows], 2)
+    pieces = [r.asDict() for r in packing.pack(docs, tokenizer("word_bpe_49k.json"), 2).collect()]
+    brute.check_packing(pieces, {i: x for (i, _), x in zip(rows, ids, strict=True)})
+    chat = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.examples(chat)).first()["replies"] == [text]
+    page = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000)], "page_id long, url string")
+    assert url_filter.judge(page, spark.createDataFrame([("a.com", "/xx", "block")], "host string, path string, action string")).first()["verdict"] == "block"
+
+
+def test_ngram_join_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (None, ""), (2, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 0, None), (2, 0, 2)], key=repr)
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (1, 70)])
 def test_ngram_join(spark, docs, none, words, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, words, percent).collect()}
@@ -328,9 +417,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
-def test_token_counts(docs, none):
+def test_token_counts(spark, docs, none):
     unigram = token_counts.Unigram.of_model(tokenizer("piece_bpe_32k.model"))
     for r in token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).collect():
         words = (dict(TEXTS)[r["doc_id"]] or "").split()
         assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(brute.viterbi(w, unigram.scores, unigram.unknown) for w in words))
     assert token_counts.count_tokens(none, tokenizer("piece_bpe_32k.model")).count() == 0
+    assert token_counts.count_tokens(docs.unionByName(docs), tokenizer("piece_bpe_32k.model")).count() == 2 * len(TEXTS)
+    odd = spark.createDataFrame([(1, "x" * 5_000 + " x"), (1, "x" * 5_000)], "doc_id long, text string")
+    long = brute.viterbi("x" * 300, unigram.scores, unigram.unknown)
+    assert unigram.counts(["x" * 300, "x"]) == {"x" * 300: long, "x": brute.viterbi("x", unigram.scores, unigram.unknown)}
+    made = sorted(r["n_tokens"] for r in token_counts.count_tokens(odd, tokenizer("piece_bpe_32k.model")).collect())
+    assert made[1] - made[0] == brute.viterbi("x", unigram.scores, unigram.unknown)
