@@ -240,6 +240,13 @@ def slice_scan(spark, sf_dir):
     return corpus.row_range(corpus.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 100, 400).select("doc_id", "row_idx")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 200 AND 899")
+def corpus_scan(spark, sf_dir):
+    """A pruned scan of a slice that the path names."""
+    path = corpus.located(spark, f"{sf_dir}/orders.parquet@[200:900]", "/nowhere")
+    return corpus.scan(spark, path, ["o_orderkey", "o_custkey"], "o_orderkey")
+
+
 @query("SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents")
 def numbered_documents(spark, sf_dir):
     return corpus.numbered(table(spark, sf_dir, "documents"), "doc_id")

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from tessera.sources import storage
 
 
+def located(spark: SparkSession, corpus: str, staged: str, config: str = "default", split: str = "train") -> str:
+    """The path of a corpus: itself, if it is a Parquet table that exists, else where a named one was staged beforehand.
+
+    Named corpora (hub ids) are never fetched here; their folders are staged/corpus/config/split.
+    """
+    plain, _, _ = storage.slice_of(corpus)
+    if plain.endswith(".parquet") and storage.exists(spark, plain):
+        return corpus
+    path = f"{staged}/{corpus}/{config}/{split}"
+    if not storage.exists(spark, path):
+        raise FileNotFoundError(f"{corpus} is no Parquet table, and {path} isn't staged")
+    return path
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, order: str = "row_idx") -> DataFrame:
     """A Parquet table; a ``@[a:b]`` suffix of the path keeps rows of that range of the order column."""
     plain, start, end = storage.slice_of(path)

@@ -99,6 +99,30 @@ def test_windows_and_zips(spark):
     assert spark.range(1).select(sampling.without_padding(F.array(F.lit(1), F.lit(0)), F.lit(0), F.lit(0))).first()[0] == [1, 0]
 
 
+def test_corpora_are_staged_beforehand(spark, tmp_path):
+    rows = spark.range(5).withColumnRenamed("id", "row_idx")
+    rows.write.parquet(f"{tmp_path}/a.parquet")
+    rows.write.parquet(f"{tmp_path}/staged/org/name/default/train")
+    assert corpus.located(spark, f"file://{tmp_path}/a.parquet@[1:2]", "x").endswith("a.parquet@[1:2]")
+    assert corpus.scan(spark, corpus.located(spark, "org/name", f"file://{tmp_path}/staged")).count() == 5
+    assert [r["row_idx"] for r in corpus.scan(spark, f"{tmp_path}/a.parquet@[3:]", ["row_idx"]).collect()] == [3, 4]
+    with pytest.raises(FileNotFoundError):
+        corpus.located(spark, "org/other", f"file://{tmp_path}/staged")
+    with pytest.raises(ValueError):
+        corpus.scan(spark, f"{tmp_path}/a.parquet", ["none"])
+
+
+def test_resumed_batches_and_kept_texts(spark):
+    assert sampling.epoch_batches(10, 4, 5, 1, first=3) == [x for x in sampling.epoch_batches(10, 4, 5, 1) if x[0] >= 3]
+    with pytest.raises(ValueError):
+        sampling.epoch_batches(3, 4, 1, 1)
+    rows = spark.createDataFrame([("e", "t", [1.0], 1, 1, "d")], "api_explanation string, detokenized_text_truncated string, activation_vector array<double>, n_raw_tokens int, activation_layer int, doc_id string")
+    assert "detokenized_text_truncated" in explanations.build(rows, "rl", "a", keep_text=True).columns
+    assert "detokenized_text_truncated" not in explanations.build(rows, "rl", "a").columns
+    assert rollouts.MOST_CJK == 0.05
+    assert spark.createDataFrame([(0.05, True), (0.06, True), (0.0, False)], "c double, m boolean").filter(rollouts.injection_ok(F.col("c"), F.col("m"))).count() == 1
+
+
 def test_counters_have_sources(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 2), ("b", 1, 7)], "s string, t int, c int")
     assert {(r["s"], r["t"]): r["delta"] for r in rollouts.counter_deltas(rows, "c", "t", "s").collect()} == {("a", 1): None, ("a", 2): 4, ("a", 3): 0, ("b", 1): None}
