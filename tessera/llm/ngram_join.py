@@ -28,9 +28,11 @@ sets that meet there for the first time.
 Step 4, verification. Of the sets that share a key, those that the bound allows are
 compared with one (the hub, with the most tokens left), not with each other. What
 links with the same set is one component already. Then only members of different
-components are left, of which those that the bound allows are compared, too. So
-every pair is linked, known to be in one component, excluded by a bound, or
-compared: components are exact, without all pairs of a group.
+components are left, of which those that the bounds allow are compared, too. (A
+second bound counts the tokens that only one of two sets can have: those that no
+other set holds, and at least as many as the parities of the others by 512 hash
+values differ in.) So every pair is linked, known to be in one component, excluded
+by a bound, or compared: components are exact, without all pairs of a group.
 
 Nothing about documents reaches the driver, and nothing is broadcast but a Bloom
 filter of the texts to be cut again, of at most 2**MOST_BITS bits; beyond that size
@@ -50,9 +52,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BLANKS, ascii_lower, dropped, gram_hashes, let, once, split_words, word_hashes, written
-from tessera.llm.components import components
+from tessera.llm.components import components_of_stars
 
 WORDS, PERCENT, RARE = 5, 80, 32
+PARITIES = tuple(f"b{i}" for i in range(8))
 LEAST_BITS, MOST_BITS = 16, 27
 
 
@@ -100,13 +103,13 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Each document's set identity, size and prefix."""
     cut = once(docs.select("doc_id", "text"), "tokens", shingles(F.col("text"), words))
     n = F.size("tokens")
-    length = F.when(n * (100 - percent) >= percent, F.least(n, _spare(n, percent) + 1 + _extension(n, percent))).otherwise(0)
+    length = F.when(n.cast("long") * (100 - percent) >= percent, F.least(n, _spare(n, percent) + 1 + _extension(n, percent))).otherwise(0)
     return cut.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.xxhash64("tokens").alias("s1"),
         F.xxhash64(F.lit("second"), F.col("tokens")).alias("s2"),
-        n.alias("n"),
+        n.cast("long").alias("n"),
         F.slice("tokens", F.lit(1), length).alias("prefix"),
     )
 
@@ -200,7 +203,7 @@ def _signatures(ordered: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        types = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+        types = [pa.int64()] * 4
         for batch in batches:
             ids, ns, sizes, rares = (batch.column(i).to_numpy() for i in range(4))
             lists = batch.column(4)
@@ -212,7 +215,7 @@ def _signatures(ordered: DataFrame, percent: int) -> DataFrame:
                 columns = np.concatenate([k for k, _ in made]).view(np.int64), np.repeat(ids, count), np.repeat(ns, count), np.concatenate([x for _, x in made])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "id", "n", "left"])
 
-    return heads.mapInArrow(run, "key long, id long, n int, left int").distinct()
+    return heads.mapInArrow(run, "key long, id long, n long, left long").distinct()
 
 
 def _possible(left: Column, n: Column, other_left: Column, other_n: Column, percent: int) -> Column:
@@ -221,10 +224,14 @@ def _possible(left: Column, n: Column, other_left: Column, other_n: Column, perc
     return sizes & (F.least(left, other_left) * (100 + percent) >= (n + other_n) * percent)
 
 
-def _members(keys: DataFrame, percent: int) -> DataFrame:
-    """Keys of two sets or more, with the hub, without sets that can't link with even the smallest of their key."""
+def _groups(keys: DataFrame) -> DataFrame:
+    """(key, hub, least) of the keys of two sets or more: the set with the most left, and the least size."""
     hub = F.max(F.struct("left", "n", "id"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("c"), hub.alias("hub"), F.min("n").alias("least")).filter("c >= 2").drop("c")
+    return keys.groupBy("key").agg(F.count("*").alias("c"), hub.alias("hub"), F.min("n").alias("least")).filter("c >= 2").drop("c")
+
+
+def _members(keys: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Keys with their hub, without sets that can't link with even the smallest of their key."""
     least = F.greatest(F.col("least"), _least_partner(F.col("n"), percent))
     return keys.join(groups, "key").filter(F.col("left") * (100 + percent) >= (F.col("n") + least) * percent).drop("least")
 
@@ -233,7 +240,7 @@ def _linked_pairs(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFra
     """Those of the pairs (a, b) that link, by their tokens."""
     of = lambda x: ordered.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     # The rows are large before hubs meet, so that Spark sees a hot hub's partition and splits it.
-    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return both.filter(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
@@ -243,14 +250,31 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(known, "id", "left").select("key", "id", "n", "left", F.coalesce("label", "id").alias("label"))
 
 
+def _mixed_keys(rows: DataFrame) -> DataFrame:
+    """(key, most) of the keys whose sets are of several components so far, and the label that most have."""
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    return by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("most.label").alias("most"))
+
+
+def _sketched(ids: DataFrame, ordered: DataFrame) -> DataFrame:
+    """(id, alone, b0, ...): the number of tokens that no other set holds, and the parities of the others."""
+
+    def word(w: int) -> Column:
+        own = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(len(PARITIES) - 1)) == w
+        return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(own(t), a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a))
+
+    return ordered.join(ids, "id").select("id", (F.col("n") - F.size("tokens")).alias("alone"), *[word(w).alias(b) for w, b in enumerate(PARITIES)])
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets with a common key, in different components so far, that no bound excludes."""
-    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("most.label").alias("most"))
-    rows = rows.join(mixed, "key").withColumn("major", F.col("label") == F.col("most"))
-    x = rows.filter(~F.col("major")).select(*[F.col(c).alias(f"x_{c}") for c in ("key", "id", "n", "left", "label")])
+    x = rows.filter(~F.col("major")).select(*[F.col(c).alias(f"x_{c}") for c in ("key", "id", "n", "left", "label", "alone", *PARITIES)])
     apart = (F.col("x_key") == F.col("key")) & (F.col("x_label") != F.col("label")) & (F.col("major") | (F.col("x_id") < F.col("id")))
-    near = x.join(rows, apart & _possible(F.col("x_left"), F.col("x_n"), F.col("left"), F.col("n"), percent))
+    differ = F.col("x_alone") + F.col("alone")
+    for b in PARITIES:
+        differ = differ + F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b)))
+    few = differ * (100 + percent) <= (F.col("x_n") + F.col("n")) * (100 - percent)
+    near = x.join(rows, apart & _possible(F.col("x_left"), F.col("x_n"), F.col("left"), F.col("n"), percent) & few)
     return near.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
@@ -279,20 +303,29 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     tables.drop("passing", "sets", "counts")
 
     keys = tables.keep(_signatures(ordered, percent), "keys")
-    members = tables.keep(_members(keys, percent), "members")
-    tables.drop("keys")
+    # Joins by key have tables as they stand on both sides, so that Spark can split a hot key.
+    groups = tables.keep(_groups(keys), "groups")
+    members = tables.keep(_members(keys, groups, percent), "members")
+    tables.drop("keys", "groups")
     nodes = distinct.select("id", F.struct("own", "id").alias("node"))
     stars = members.filter((F.col("id") != F.col("hub.id")) & _possible(F.col("left"), F.col("n"), F.col("hub.left"), F.col("hub.n"), percent))
     near = tables.keep(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "near")
     links = tables.keep(_named(_linked_pairs(near, ordered, percent), nodes), "links")
-    labels = components(links, "a", "b")
+    labels = components_of_stars(links, "a", "b")
     labelled = tables.keep(_labelled(members, labels), "labelled")
-    tables.drop("near", "members")
-    rest = tables.keep(_across(labelled, percent), "rest")
+    mixed = tables.keep(_mixed_keys(labelled), "mixed")
+    several = tables.keep(labelled.join(mixed, "key").withColumn("major", F.col("label") == F.col("most")).drop("most"), "several")
+    tables.drop("near", "members", "labelled", "mixed")
+    sketches = tables.keep(_sketched(several.select("id").distinct(), ordered), "sketches")
+    apart = tables.keep(several.join(sketches, "id"), "apart")
+    tables.drop("several", "sketches")
+    rest = tables.keep(_across(apart, percent), "rest")
     more = tables.keep(_named(_linked_pairs(rest, ordered, percent), nodes), "more")
-    tables.drop("ordered", "labelled", "rest")
-    found = components(links.unionByName(more), "a", "b")
-    tables.drop("links", "more")
+    tables.drop("ordered", "apart", "rest", "links")
+    # What is one component already goes in as one star.
+    tree = labels.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    found = labels if more.isEmpty() else components_of_stars(tree.unionByName(more), "a", "b")
+    tables.drop("more")
     roots = found.select(F.col("node.id").alias("id"), F.col("root.own").alias("root"))
     # The root is the least of its component, so it says what stays; no join by component is needed.
     return rows, distinct.join(roots, "id", "left").select("s1", "s2", "own", F.coalesce("root", "own").alias("stays")), tables
