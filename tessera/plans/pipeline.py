@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -90,6 +90,8 @@ class Settings:
 
     no_text: bool = False
     pad: str | None = None
+    #: The ids of a prompt, as a column; with it, critic prompts must end in the ids of the suffix.
+    encode: Callable[[Column], Column] | None = None
 
 
 #: The steps of a run, each a folder, and the tables that they make.
@@ -136,7 +138,7 @@ def run(
     Extraction and answers are written by chunks, each finished once; after a break, a run with the same settings goes on
     behind the last finished chunk, and tables that stand are read.
     """
-    s = settings
+    s, mark = settings, storage.standing()
     preconditions(s)
     at = {(step, name): place(s.output, step, name) for step, names in STEPS.items() for name in names}
     extractor = extractor or stand_in_extractor(s.d_model, s.layer)
@@ -195,7 +197,7 @@ def run(
             rows, meta = put(lambda rows=rows, stage=stage: explained(rows, stage), "explained", stage, known)
         templates = {"actor": s.actor, "critic": s.critic}
         built = sidecar.replaced(meta, stage=stage, dataset_id=sidecar.derived_id(meta.dataset_id, "build", stage), parent_datasets=[meta.dataset_id], tokens=s.tokens, prompt_templates=templates)
-        done, meta = put(lambda rows=rows, stage=stage: explanations.build(rows, stage, s.actor, s.critic, s.keep_text), "built", stage, built)
+        done, meta = put(lambda rows=rows, stage=stage: explanations.build(rows, stage, s.actor, s.critic, s.keep_text, s.encode, s.tokens.critic_suffix_ids), "built", stage, built)
         key = sampling.permutation_key(s.seed, meta.dataset_id, F.xxhash64("doc_id", "n_raw_tokens"))
         last = sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "shuffle", seed=s.seed), parent_datasets=[meta.dataset_id])
         put(lambda done=done, key=key: done.withColumn("_k", key).orderBy("_k").drop("_k"), "shuffled", stage, last)
@@ -204,6 +206,7 @@ def run(
             for name in STEPS[step]:
                 uploaded(at[step, name])
                 uploaded(sidecar.sidecar_path(at[step, name]))
+    storage.cleared(spark, mark)
     return at
 
 

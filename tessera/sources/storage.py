@@ -57,9 +57,36 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Tables in the shared folder that still stand, in the order that they were made.
+_STANDING: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder, for one table."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STANDING.append(path)
+    return path
+
+
+def standing() -> int:
+    return len(_STANDING)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes tables of the shared folder once nothing reads them any more."""
+    for path in paths:
+        delete(spark, path)
+        _STANDING.remove(path)
+
+
+def cleared(spark: SparkSession, since: int = 0, but: tuple = ()) -> None:
+    """Removes the tables made since then (see standing()); for callers that have read what they were given."""
+    dropped(spark, *[path for path in _STANDING[since:] if path not in but])
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written into the shared folder and read back, so that it is computed once, whatever reads it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -81,7 +81,11 @@ def test_numbering_of_a_wide_table_loses_nothing(spark, tmp_path):
     assert back.count() == n and back.filter("k <> row_idx OR length(wide) <> 256").count() == 0
     with pytest.raises(ValueError):
         corpus.numbered(rows.withColumn("_id", F.lit(1)), "k")
+    mark = storage.standing()
     assert corpus.numbered(rows.limit(0), "k").count() == 0
+    assert storage.standing() == mark + 1
+    storage.cleared(spark, mark)
+    assert storage.standing() == mark
 
 
 def test_windows_and_zips(spark):

@@ -42,6 +42,14 @@ def test_stages(spark, tmp_path):
         storage.delete(spark, sidecar.sidecar_path(at[step, name]))
     pipeline.run(spark, s, provider=refused)
     assert not asked and sidecar.read(spark, at["built", "rl"]) == kept
+    lengths = lambda p: F.transform(F.split(p, " "), lambda w: F.length(w))
+    ends = sidecar.Tokens("㊗", 0, critic_suffix_ids=[9])
+    for step in ("built", "shuffled"):
+        storage.delete(spark, sidecar.sidecar_path(at[step, "ar_sft"]))
+    pipeline.run(spark, dataclasses.replace(s, encode=lengths, tokens=ends))
+    storage.delete(spark, sidecar.sidecar_path(at["built", "ar_sft"]))
+    with pytest.raises(Exception, match="end in the suffix"):
+        pipeline.run(spark, dataclasses.replace(s, encode=lengths, tokens=dataclasses.replace(ends, critic_suffix_ids=[8])))
     with pytest.raises(ValueError, match="another input"):
         storage.delete(spark, sidecar.sidecar_path(at["base", "base"]))
         pipeline.run(spark, dataclasses.replace(s, chunk_rows=7))
