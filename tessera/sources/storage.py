@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and (given := context._jsc.sc().getCheckpointDir()).isDefined():
         named = given.get()
     if not named:
-        if not context.master.startswith("local["):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir isn't set, and executors don't share the driver's folders")
         named = spark._shared_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return named
