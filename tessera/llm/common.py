@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import delete, shared_folder
+from tessera.sources.storage import new_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII blanks: the space and the controls from tab to carriage return.
@@ -69,26 +67,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-#: Tables in the shared folder that still stand, in the order that they were made.
-_STANDING: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder, for one table."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _STANDING.append(path)
-    return path
-
-
-def standing() -> int:
-    return len(_STANDING)
-
-
-def cleared(spark: SparkSession, since: int = 0, but: tuple = ()) -> None:
-    """Removes the tables made since then (see standing()); for callers that have read what they were given."""
-    dropped(spark, *[path for path in _STANDING[since:] if path not in but])
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df into the shared folder and reads it back, which cuts its lineage."""
     path = new_path(spark, name)
@@ -100,10 +78,3 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, s
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Removes tables made by written() once nothing reads them any more."""
-    for path in paths:
-        delete(spark, path)
-        _STANDING.remove(path)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, written
+from tessera.llm.common import written
+from tessera.sources.storage import dropped
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

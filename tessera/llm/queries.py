@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
-from tessera.llm.common import new_path, once, table
+from tessera.llm.common import once, table
+from tessera.sources.storage import new_path
 
 END_ID = 2
 #: host, path, action.
@@ -129,6 +130,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ablation_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy does alone, and what would stay without it."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "web-2")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +148,7 @@ QUERIES = {
         op8_ngram_join,
         op9_token_counts,
         op10_quality_rules,
+        ablation_of_rules,
     )
 }
 
@@ -208,3 +215,7 @@ WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(coalesce
   + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines THEN 32 ELSE 0 END + CASE WHEN 100 * n_stutter > 30 * n_words THEN 64 ELSE 0 END + CASE WHEN n_words = 0 THEN 128 ELSE 0 END)::INT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & {_OP10_MASK} = 0 AS kept, fail_bits FROM f""",
 }
+_RULES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES) if _OP10_MASK >> i & 1)
+ORACLE_SQL["ablation_of_rules"] = f"""
+WITH o AS ({ORACLE_SQL["op10_quality_rules"]}), b AS (SELECT fail_bits & {_OP10_MASK} AS bits FROM o), r(rule, bit) AS (VALUES {_RULES})
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only, count(*) FILTER (bits & ~bit = 0) AS n_kept_without FROM b, r GROUP BY rule"""

@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import pii, queries, token_counts
-from tessera.llm.common import standing
+from tessera.sources.storage import standing
 
 from ..conftest import DATA, same_rows
 from . import brute
