@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, pii, quality_rules
-from tessera.llm.common import cleared, dropped, standing, table, written
+from tessera.llm.common import table, written
 from tessera.llm.queries import END_ID, tokenizer
+from tessera.sources.storage import cleared, dropped, standing
 
 #: Without the rule on few words, which clean documents break, too.
 POLICY = "web-3"
