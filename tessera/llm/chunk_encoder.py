@@ -10,13 +10,13 @@ wherever a pre-token must begin, and equal chunks have equal ids:
 * ``word`` (blanks are dropped): at spaces and line feeds.
 
 A batch of texts is cut by Arrow, which also finds its distinct chunks; only these are
-looked up or encoded, and all ids are then gathered at once. Two generations of chunks
-of up to ``LONGEST`` characters are kept for each worker, each of ``KEEP`` or the chunks
-of one slice of ``SLICE`` bytes (those in use move on when the older one goes). A new
-chunk that is a Latin word with or without punctuation behind it is two pre-tokens at
-most; the library's model gets these directly, spelled as its pre-tokenizer would spell
-them. Other chunks go through the whole of the library. Names of special tokens in a
-text are ordinary text.
+looked up or encoded, and ids are then gathered for about ``RUN`` chunks at once. Two
+generations of chunks of up to ``LONGEST`` characters are kept for each worker, each of
+``KEEP`` or the chunks of one slice of ``SLICE`` bytes (those in use move on when the
+older one goes). A new chunk that is a Latin word with or without punctuation behind it
+is two pre-tokens at most; the library's model gets these directly, spelled as its
+pre-tokenizer would spell them. Other chunks go through the whole of the library. Names
+of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from codecs import charmap_decode
 
 import numpy as np
 
-KEEP, LONGEST, SLICE = 300_000, 48, 8_000_000
+KEEP, LONGEST, SLICE, RUN = 100_000, 48, 16_000_000, 100_000
 #: Blanks other than the space and the line feed, as Unicode has them.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD_START = re.compile(r" (?=\S)")
@@ -124,8 +124,11 @@ class ChunkEncoder:
         of = dict(zip(distinct, self._found(distinct), strict=True))
         return b"".join([self._chunk((first,)), *map(of.__getitem__, rest)])
 
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (an Arrow array of strings; null ones are empty), and where those of each end."""
+    def encode(self, texts, end_id: int | None = None):
+        """Runs of texts (of an Arrow array of strings; null ones are empty) as (first, last, ids, ends), last exclusive.
+
+        ids are those of all texts of a run, ends where each one's end; with an end id, it stands behind each text.
+        """
         import pyarrow.compute as pc
 
         texts, unusual = pc.fill_null(texts, ""), []
@@ -137,29 +140,34 @@ class ChunkEncoder:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat, offsets = lists.flatten(), lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
+        starts = flat.take(offsets[:-1]).to_pylist() if self.spaced else []
         found = flat.dictionary_encode()
-        codes, values = found.indices.to_numpy().copy(), self._found(found.dictionary.to_pylist())
-        if self.spaced:  # what begins a text has no space before it
-            starts = flat.take(offsets[:-1]).to_pylist()
+        del lists, flat
+        codes, values = found.indices.to_numpy(), self._found(found.dictionary.to_pylist())
+        if starts:  # what begins a text has no space before it
             own = [self._chunk((x,)) for x in starts]
             for i in unusual:
                 own[i] = self._whole(texts[int(i)].as_py())
+            codes = codes.copy()
             codes[offsets[:-1]] = len(values) + np.arange(len(own))
             values += own
         sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
-        ids = np.frombuffer(b"".join(values), "<u4")
-        del values, flat, lists, found
-        before = np.cumsum(sizes, dtype=np.int32) - sizes  # a slice has far fewer than 2**31 ids
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths, dtype=np.int32)
-        at = np.repeat(before[codes] - (ends - lengths), lengths)
-        at += np.arange(len(at), dtype=np.int32)
-        return ids[at], np.concatenate([np.zeros(1, np.int64), ends])[offsets[1:]]
-
-    def documents(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """encode() with an end id behind each text."""
-        ids, ends = self.encode(texts)
-        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+        known = np.frombuffer(b"".join(values), "<u4")
+        del found, values
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN, "right")) - 1)
+            own = codes[offsets[first] : offsets[last]]
+            lengths = sizes[own]
+            ends = np.cumsum(lengths, dtype=np.int64)
+            at = np.repeat(before[own] - (ends - lengths), lengths)
+            at += np.arange(len(at))
+            ids, ends = known[at], np.concatenate([np.zeros(1, np.int64), ends])[offsets[first + 1 : last + 1] - offsets[first]]
+            if end_id is not None:
+                ids, ends = np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+            yield first, last, ids, ends
+            first = last
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
@@ -196,3 +204,16 @@ def slices(batch, limit: int = 4_000_000):
             ids, texts, total = [], [], 0
     if ids:
         yield ids, texts
+
+
+def give_back() -> None:
+    """Returns what a finished task has freed to the system, as workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has its own ways
+        return

@@ -24,10 +24,12 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunk_encoder import encoder, text_slices
+from tessera.llm.chunk_encoder import encoder, give_back, text_slices
 from tessera.llm.common import written
 
 LENGTH, OPEN, SLACK, MERGE = 4096, 16, 32, 64
+#: Bytes of text that are encoded at once; a pipeline's executors have little memory to spare.
+SLICE = 4_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -119,18 +121,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
 
         packer = Packer(emit)
         for batch in batches:
-            for piece in text_slices(batch):
-                ids, ends = codec.documents(piece.column(1), end_id)
-                data, at = memoryview(ids.tobytes()), 0
-                for doc_id, end in zip(piece.column(0).to_pylist(), ends.tolist(), strict=True):
-                    packer.add(doc_id, 0, data[4 * at : 4 * end], end - at)
-                    at = end
+            for piece in text_slices(batch, SLICE):
+                names = piece.column(0).to_pylist()
+                for a, b, ids, ends in codec.encode(piece.column(1), end_id):
+                    data, at = memoryview(ids.tobytes()), 0
+                    for doc_id, end in zip(names[a:b], ends.tolist(), strict=True):
+                        packer.add(doc_id, 0, data[4 * at : 4 * end], end - at)
+                        at = end
                 if rows:
                     yield _batch(rows, (-1,))
                     rows.clear()
         left = [r for i, w in enumerate(packer.windows) for r in _rows(part << 36 | count + i, w[1], True)]
         if left:
             yield _batch(left, (part // MERGE,))
+        give_back()
 
     def second(batches):
         from pyspark import TaskContext

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.chunk_encoder import encoder, text_slices
+from tessera.llm.chunk_encoder import encoder, give_back, text_slices
 
 BLOCK, PERCENTILE, SEGMENT = 128, 0.9, 1 << 16
 MAGIC = b"TPF1"
@@ -119,19 +119,21 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "byte_level
 
         for batch in batches:
             for piece in text_slices(batch):
-                ids, ends = codec.documents(piece.column(1), end_id)
-                sizes, names, at = np.diff(ends, prepend=0), piece.column(0).to_pylist(), 0
-                while at < len(ends):  # documents up to the one that fills a segment
-                    begin, held = (ends[at - 1] if at else 0), sum(counts)
-                    end = min(len(ends), int(np.searchsorted(ends, begin + SEGMENT - held)) + 1)
-                    doc_ids += names[at:end]
-                    counts += sizes[at:end].tolist()
-                    parts.append(ids[begin : ends[end - 1]])
-                    if held + ends[end - 1] - begin >= SEGMENT:
-                        yield flush()
-                    at = end
+                names = piece.column(0).to_pylist()
+                for first, _, ids, ends in codec.encode(piece.column(1), end_id):
+                    sizes, at = np.diff(ends, prepend=0), 0
+                    while at < len(ends):  # documents up to the one that fills a segment
+                        begin, held = (ends[at - 1] if at else 0), sum(counts)
+                        end = min(len(ends), int(np.searchsorted(ends, begin + SEGMENT - held)) + 1)
+                        doc_ids += names[first + at : first + end]
+                        counts += sizes[at:end].tolist()
+                        parts.append(ids[begin : ends[end - 1]])
+                        if held + ends[end - 1] - begin >= SEGMENT:
+                            yield flush()
+                        at = end
         if doc_ids:
             yield flush()
+        give_back()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     return ordered.select("doc_id", "text").mapInArrow(run, SEGMENTS)
@@ -164,6 +166,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 kept = rows[: 4 + with_ids]
                 types = [pa.int64()] * 4 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(kept, types, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(kept)])
+        give_back()
 
     return (
         segments.join(F.broadcast(before), "shard")

@@ -21,7 +21,7 @@ from os.path import commonprefix
 
 from pyspark.sql import DataFrame
 
-from tessera.llm.chunk_encoder import slices
+from tessera.llm.chunk_encoder import give_back, slices
 
 MARK, UNKNOWN, KEEP, LONGEST = "▁", 10.0, 400_000, 64
 
@@ -98,5 +98,6 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
                 for word in long:
                     del known[word]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_pretokens", "n_tokens"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

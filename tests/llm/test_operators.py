@@ -6,13 +6,13 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
+from tessera.llm import chat_format, chunk_encoder, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
 from tessera.llm.chunk_encoder import ChunkEncoder
-from tessera.llm.components import components
+from tessera.llm.components import components, components_of_stars
 from tessera.llm.queries import tokenizer
 
 from . import brute
@@ -154,15 +154,25 @@ def test_blocks_round_trip(ids):
     assert token_binary.unpack(data, 1, 3).tolist() == ids[128:384]
 
 
-@settings(max_examples=150, deadline=None)
+@pytest.fixture(scope="function")
+def short_runs():
+    before, chunk_encoder.RUN = chunk_encoder.RUN, 7
+    yield
+    chunk_encoder.RUN = before
+
+
+@pytest.mark.usefixtures("short_runs")
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet=st.sampled_from(list("aB é'sdt漢1.,!\n\t \u00a0\u2003\x1c\x85<|>0\u0301Σ")), max_size=40))
 def test_chunks_encode_as_whole_texts_do(text):
     for name, kind in (("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word")):
         codec = CODECS.setdefault(name, ChunkEncoder(tokenizer(name), kind) if name not in CODECS else None)
         texts = [text, None, text + "a", "", text]
         whole = [codec.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
-        ids, ends = codec.encode(pa.array(texts))
-        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == whole
+        made = [ids[a:b].tolist() for _, _, ids, ends in codec.encode(pa.array(texts)) for a, b in zip([0, *ends], ends, strict=False)]
+        assert made == whole
+        runs = [(a, b) for a, b, _, _ in codec.encode(pa.array(texts), 2)]
+        assert [x for run in runs for x in range(*run)] == list(range(len(texts)))
 
 
 CODECS: dict = {}
@@ -415,6 +425,21 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    rng = random.Random(4)
+    stars = [(h, rng.randrange(300)) for h in rng.sample(range(300), 40) for _ in range(rng.randrange(1, 12))] + [(500, m) for m in range(400, 480)] + [(600, 479), (5, 5), (700, 700)]
+    root = {x: x for pair in stars for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in stars:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    made = [(r["node"], r["root"]) for r in components_of_stars(spark.createDataFrame(stars, "a long, b long"), "a", "b").collect()]
+    assert sorted(made) == sorted((x, find(x)) for x in root)
+    assert components_of_stars(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
 def test_token_counts(spark, docs, none):
