@@ -8,16 +8,17 @@ of their own in the other.
 
 Step 1, prefixes. Tokens are ordered by their hash. Of the first e(n) + 1 + g of a
 set, g + 1 or more are shared with a set that it links with, and lie in that one's
-prefix, too (g is near e). Exact counts over the prefixes of all distinct sets tell
-which tokens are shared at all; sets with too few of them can't link and go. That
-leaves copies, near copies and texts made of what is common.
+prefix, too (g is near a tenth of n). Exact counts over the prefixes of all distinct
+sets tell which tokens are shared at all; sets with too few of them can't link and
+go. That leaves copies, near copies and texts made of what is common.
 
 Step 2, order. For the sets that stay, all tokens are counted. What only one set
 holds can't be shared; K tokens of a set are left, or the set goes if K < s(n) =
-n - e(n). They are ordered by count, rare ones first, so that every set's first
-K - s + 1 + g tokens hold the first g + 1 that it shares.
+n - e(n). They are ordered by the bits of their count, rare ones first, then by
+hash, so that every set's first K - s + 1 + g tokens hold the first g + 1 that it
+shares. Both are in one number: the hash gives 6 of its 64 bits up for the count's.
 
-Step 3, keys. Tokens in up to ``RARE`` sets are keys by themselves. Frequent tokens
+Step 3, keys. Tokens in up to 2**RARE - 1 sets are keys by themselves. Frequent tokens
 fall into g classes by hash, and every two of a class within a prefix extended by g
 are a key: among g + 1 shared tokens two are of one class. If the first shared
 token is rare, sets meet at its key, else at that of the first such two. g follows
@@ -51,10 +52,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower, dropped, gram_hashes, let, once, split_words, word_hashes, written
+from tessera.llm.common import BLANKS, ascii_lower, gram_hashes, let, once, split_words, word_hashes, written
 from tessera.llm.components import components_of_stars
+from tessera.sources.storage import dropped
 
-WORDS, PERCENT, RARE = 5, 80, 32
+WORDS, PERCENT, RARE = 5, 80, 5
+HASH_BITS = 58
 PARITIES = tuple(f"b{i}" for i in range(8))
 LEAST_BITS, MOST_BITS = 16, 27
 
@@ -80,9 +83,9 @@ def _spare(n: Column, percent: int) -> Column:
     return F.floor(n.cast("long") * (100 - percent) / F.lit(100)).cast("int")
 
 
-def _extension(n: Column, percent: int) -> Column:
-    """The power of two at or below e(n), at least 1."""
-    return F.pow(F.lit(2), F.length(F.bin(F.greatest(_spare(n, percent), F.lit(1)))) - 1).cast("int")
+def _extension(n: Column) -> Column:
+    """The power of two at or below a tenth of n, at least 1."""
+    return F.pow(F.lit(2), F.length(F.bin(F.greatest(F.floor(n / F.lit(10)), F.lit(1)))) - 1).cast("int")
 
 
 class _Tables:
@@ -103,7 +106,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Each document's set identity, size and prefix."""
     cut = once(docs.select("doc_id", "text"), "tokens", shingles(F.col("text"), words))
     n = F.size("tokens")
-    length = F.when(n.cast("long") * (100 - percent) >= percent, F.least(n, _spare(n, percent) + 1 + _extension(n, percent))).otherwise(0)
+    length = F.when(n.cast("long") * (100 - percent) >= percent, F.least(n, _spare(n, percent) + 1 + _extension(n))).otherwise(0)
     return cut.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
@@ -121,9 +124,9 @@ def _counts(sets: DataFrame, tokens: str) -> DataFrame:
 
 def _passing(index: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Ids of the sets with as many shared tokens in their prefix as a link needs."""
-    each = index.select("id", "n", F.explode("prefix").alias("t")).join(shared.hint("shuffle_hash"), "t", "left_semi")
-    need = 1 + _extension(_least_partner(F.col("n"), percent), percent)
-    return each.groupBy("id", "n").agg(F.count("*").alias("known")).filter(F.col("known") >= need).select("id", "n")
+    each = index.select("id", F.explode("prefix").alias("t")).join(shared.hint("shuffle_hash"), "t", "left_semi")
+    need = 1 + _extension(_least_partner(F.col("n"), percent))
+    return each.groupBy("id").agg(F.count("*").alias("known")).join(index.select("id", "n"), "id").filter(F.col("known") >= need).select("id", "n")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -144,11 +147,12 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 def _ordered(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """(id, n, tokens, often): shared tokens of each set that has enough of them, rare ones first, and how many of these are rare."""
-    each = sets.select("id", "n", F.explode("tokens").alias("t")).join(counts.hint("shuffle_hash"), "t")
-    found = each.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("x"))
-    return found.filter(F.size("x") >= _least_partner(F.col("n"), percent)).select(
-        "id", "n", F.transform("x", lambda y: y["t"]).alias("tokens"), F.size(F.filter("x", lambda y: y["c"] <= RARE)).alias("rare")
-    )
+    bits = F.least(F.length(F.bin("c")), F.lit(31)).cast("long")
+    token = F.call_function("shiftleft", bits, F.lit(HASH_BITS)).bitwiseOR(F.col("t").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    each = sets.select("id", F.explode("tokens").alias("t")).join(counts.hint("shuffle_hash"), "t").select("id", token.alias("x"))
+    found = each.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("tokens")).join(sets.select("id", "n"), "id")
+    rare = F.size(F.filter("tokens", lambda x: x < F.lit((RARE + 1) << HASH_BITS)))
+    return found.filter(F.size("tokens") >= _least_partner(F.col("n"), percent)).select("id", "n", "tokens", rare.alias("rare"))
 
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
