@@ -28,7 +28,7 @@ from codecs import charmap_decode
 
 import numpy as np
 
-KEEP, LONGEST, SLICE, RUN = 100_000, 48, 16_000_000, 100_000
+KEEP, LONGEST, SLICE, RUN = 150_000, 48, 16_000_000, 250_000
 #: Blanks other than the space and the line feed, as Unicode has them.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD_START = re.compile(r" (?=\S)")
@@ -51,7 +51,7 @@ _SPELLED = _byte_letters()
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,7 +59,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.ids = [array("I", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self.spaced = kind == "byte_level"
+        self.keep, self.spaced = keep, kind == "byte_level"
         self.line = self._library("\n") if self.spaced else b""
         self.new: dict = {}
         self.old: dict = {}
@@ -76,7 +76,7 @@ class ChunkEncoder:
 
     def _marks(self, marks: str) -> bytes:
         if marks not in self.marks:
-            if len(self.marks) >= KEEP:
+            if len(self.marks) >= self.keep:
                 self.marks.clear()
             self.marks[marks] = self._piece(marks)
         return self.marks[marks]
@@ -109,7 +109,7 @@ class ChunkEncoder:
                 values[i] = value
                 if len(key) <= LONGEST:
                     made[key] = value
-        if len(self.new) + len(made) > KEEP:
+        if len(self.new) + len(made) > self.keep:
             self.old, self.new = self.new, made
         else:
             self.new |= made
@@ -170,14 +170,14 @@ class ChunkEncoder:
             first = last
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
+def encoder(path: str, kind: str, keep: int = KEEP) -> ChunkEncoder:
     """One for each Python worker, kept from task to task."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
-    return _ENCODERS[path, kind]
+    if (path, kind, keep) not in _ENCODERS:
+        _ENCODERS[path, kind, keep] = ChunkEncoder(path, kind, keep)
+    return _ENCODERS[path, kind, keep]
 
 
 def text_slices(batch, limit: int = SLICE):

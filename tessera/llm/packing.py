@@ -28,8 +28,8 @@ from tessera.llm.chunk_encoder import encoder, give_back, text_slices
 from tessera.llm.common import written
 
 LENGTH, OPEN, SLACK, MERGE = 4096, 16, 32, 64
-#: Bytes of text that are encoded at once; a pipeline's executors have little memory to spare.
-SLICE = 4_000_000
+#: Bytes of text that are encoded at once, and chunks that are kept; a pipeline's executors have little memory to spare.
+SLICE, KEEP = 4_000_000, 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
     def first(batches):
         from pyspark import TaskContext
 
-        codec, part = encoder(tokenizer, kind), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, kind, KEEP), TaskContext.get().partitionId()
         rows, count = [], 0
 
         def emit(pieces):
