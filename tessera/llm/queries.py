@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
+from tessera.llm import chat_format, decontamination, filter_audit, lexical_search, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
 from tessera.llm.common import once, table
 from tessera.sources.storage import new_path
 
@@ -130,6 +130,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def ablation_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of a policy does alone, and what would stay without it."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "web-2")
@@ -148,6 +156,8 @@ QUERIES = {
         op8_ngram_join,
         op9_token_counts,
         op10_quality_rules,
+        op12_filter_audit,
+        op13_lexical_search,
         ablation_of_rules,
     )
 }
@@ -156,6 +166,7 @@ QUERIES = {
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TERMS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _OP10_MASK = quality_rules.mask(quality_rules.POLICIES["web-2"])
 
 ORACLE_SQL: dict[str, str] = {
@@ -215,6 +226,30 @@ WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(coalesce
   + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 70 * n_lines THEN 32 ELSE 0 END + CASE WHEN 100 * n_stutter > 30 * n_words THEN 64 ELSE 0 END + CASE WHEN n_words = 0 THEN 128 ELSE 0 END)::INT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & {_OP10_MASK} = 0 AS kept, fail_bits FROM f""",
 }
+ORACLE_SQL |= {
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+ o AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+ q AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask
+  FROM d JOIN o USING (t) LEFT JOIN q USING (doc_id)),
+ c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+ f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+ p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+ s AS (SELECT filter_order, step::INT AS step, f.bit AS own, (SELECT coalesce(sum(g.bit), 0)::INT FROM f g WHERE strpos(filter_order, g.f) < step) AS before FROM p, generate_series(1, 5) AS u(step), f WHERE f.f = filter_order[step]),
+ r AS (SELECT part, filter_order, step, own, (sum(n) FILTER (mask & (before | own) = 0)) AS kept, (sum(n) FILTER (mask & own <> 0 AND mask & before = 0)) AS removed, (sum(n) FILTER (mask & own <> 0 AND mask & before <> 0)) AS redundant,
+  (sum(n) FILTER (mask = own)) AS unique_fails, (sum(good) FILTER (mask & own <> 0 AND mask & before = 0)) AS good_lost, (sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0)) AS toxic_lost FROM s, c GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+ coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
+    "op13_lexical_search": rf"""
+WITH b AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark), q AS (SELECT DISTINCT item_id, t FROM b),
+ d AS (SELECT doc_id, {_TERMS} AS w FROM documents), z AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+ f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+ g AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, z GROUP BY t, n_docs),
+ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM f JOIN g USING (t) JOIN q USING (t), z GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+}
 _RULES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES) if _OP10_MASK >> i & 1)
 ORACLE_SQL["ablation_of_rules"] = f"""
 WITH o AS ({ORACLE_SQL["op10_quality_rules"]}), b AS (SELECT fail_bits & {_OP10_MASK} AS bits FROM o), r(rule, bit) AS (VALUES {_RULES})
