@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontamination, filter_audit, lexical_search, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
+from tessera.llm import chat_format, decontamination, filter_audit, lexical_search, ngram_join, nn_descent, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
 from tessera.llm.common import once, table
 from tessera.sources.storage import new_path
 
@@ -130,6 +130,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -156,6 +160,7 @@ QUERIES = {
         op8_ngram_join,
         op9_token_counts,
         op10_quality_rules,
+        op11_embedding_near_dedup,
         op12_filter_audit,
         op13_lexical_search,
         ablation_of_rules,
@@ -227,6 +232,12 @@ WITH d AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(coalesce
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & {_OP10_MASK} = 0 AS kept, fail_bits FROM f""",
 }
 ORACLE_SQL |= {
+    "op11_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ c(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, c.r FROM c JOIN l ON l.x = c.vec_id WHERE c.r < l.y),
+ k AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN k USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op12_filter_audit": rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
  o AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
