@@ -209,7 +209,8 @@ FROM v""",
     "op7_url_filter": f"""
 WITH r(host, path, action, is_rule) AS (VALUES {", ".join(f"('{h}', '{p}', '{a}', 1)" for h, p, a in RULES)}, {", ".join(f"('{h}', '{p}', 'block', 0)" for h, p in LISTED)}),
  p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
- m AS (SELECT p.page_id, max({{'is_rule': r.is_rule, 'n': length(r.host || r.path), 'h': length(r.host), 'action': r.action, 'key': r.host || r.path}}) AS best FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1)
+ c AS (SELECT page_id, host, path, 1 AS is_rule FROM p UNION ALL SELECT page_id, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.'), CASE WHEN path = '' AND host <> '' THEN '/' ELSE path END, 0 FROM p),
+ m AS (SELECT c.page_id, max({{'is_rule': r.is_rule, 'n': length(r.host || r.path), 'h': length(r.host), 'action': r.action, 'key': r.host || r.path}}) AS best FROM c JOIN r ON c.is_rule = r.is_rule AND (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path) GROUP BY 1)
 SELECT page_id, host, path, CASE WHEN best.is_rule = 1 THEN best.key END AS rule, coalesce(best.action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
     "op8_ngram_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),

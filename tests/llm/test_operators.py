@@ -256,6 +256,27 @@ def test_urls(spark):
     assert url_filter.judge(pages, both, listed).count() == len(rows)
 
 
+def test_urls_in_other_forms_of_a_listed_one(spark):
+    listed = spark.createDataFrame([("Ads.example.com", "/"), ("u@old.org:80", "/a"), ("x.y.z.net.", "")], "host string, path string")
+    rules = spark.createDataFrame([("ads.example.com", "/ok", "allow"), ("com:80", "/r", "block")], "host string, path string, action string")
+    forms = [f"http://{h}{p}" for h in ("ads.example.com:80", "u@ads.example.com", "u:p@w@ads.example.com.", "www.ads.example.com.:8080", "ADS.example.com") for p in ("", "/", "/x?u@y", "#f")]
+    others = ["http://example.com/", "http://ads.example.com.evil.org/", "http://ads.example.com@b.org/", "http://bads.example.com/", "ads.example.com/", "http://", "http://.:", "http://old.org/b"]
+    blocked = [*forms, "s://old.org/a", "s://b.old.org./abc", "s://x.y.z.net", "s://x.y.z.net:/q", "s://b.com:80/r"]
+    allowed = [*others, "s://ads.example.com/ok/1", "s://b.com/r"]
+    pages = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id long, url string")
+    got = {r["url"]: (r["verdict"], r["rule"]) for r in url_filter.judge(pages, rules, listed).collect()}
+    assert [u for u in blocked if got[u][0] != "block"] == [] and [u for u in allowed if got[u][0] != "allow"] == []
+    assert got["s://b.com:80/r"][1] == "com:80/r" and got["s://old.org/a"][1] is None and got["s://ads.example.com/ok/1"][1] == "ads.example.com/ok"
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame([("com", "/" * n, "block") for n in range(1, 12)] + [("a.com", "/x", "allow")], "host string, path string, action string")
+    long = "a." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{long}com/x"), (2, f"http://{long}com//x"), (3, f"http://{long}"), (4, f"http://{'.' * 100_000}x/"), (5, f"http://{':1' * 100_000}x/")], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filter.judge(pages, rules, rules.filter("path = '/x'").select(F.lit("org").alias("host"), "path")).collect()}
+    assert got == {1: ("allow", "a.com/x"), 2: ("block", "com//"), 3: ("allow", None), 4: ("allow", None), 5: ("allow", None)}
+
+
 def test_bloom_holds_every_key_and_few_others(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     bloom = url_filter.bloom(keys, 64)
