@@ -86,21 +86,21 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def sums_before(values: Column, block: int = 128) -> Column:
-    """The sum of all earlier values, for each; by blocks, so that the time stays far from quadratic."""
+def scanned_before(values: Column, start: int, merge, block: int = 128) -> Column:
+    """What merge(a, b) makes of ``start`` and all earlier values, for each; by blocks, so that the time stays far from quadratic."""
 
     def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+        return F.aggregate(x, F.lit(start), merge)
 
-    def of_blocks(sums: Column) -> Column:
+    def of_blocks(totals: Column) -> Column:
         return let(
-            F.transform(sums, lambda x, b: total(F.slice(sums, F.lit(1), b))),
-            lambda offsets: F.flatten(
+            F.transform(totals, lambda x, b: total(F.slice(totals, F.lit(1), b))),
+            lambda before: F.flatten(
                 F.transform(
-                    sums,
+                    totals,
                     lambda x, b: let(
                         F.slice(values, b * block + 1, F.lit(block)),
-                        lambda own: F.transform(own, lambda y, i: F.get(offsets, b) + total(F.slice(own, F.lit(1), i))),
+                        lambda own: F.transform(own, lambda y, i: merge(F.get(before, b), total(F.slice(own, F.lit(1), i)))),
                     ),
                 )
             ),
@@ -110,6 +110,25 @@ def sums_before(values: Column, block: int = 128) -> Column:
     return let(F.transform(starts, lambda b: total(F.slice(values, b * block + 1, F.lit(block)))), of_blocks)
 
 
+def sums_before(values: Column) -> Column:
+    return scanned_before(values, 0, lambda a, b: a + b)
+
+
+def _cutter(text: Column, body, block: int = 2048) -> Column:
+    """body(cut), where cut(a, b) is the text from code point a to b; by blocks, as a place in UTF-8 is found by counting from its beginning."""
+
+    def with_blocks(blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            i, j = (a / block).cast("int"), (b / block).cast("int")
+            own = F.get(blocks, i)
+            across = F.concat(F.substr(own, a % block + 1), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.left(F.get(blocks, j), b % block), F.lit("")))
+            return F.when(b <= a, "").when(i == j, F.substr(own, a % block + 1, b - a)).otherwise(across)
+
+        return body(cut)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0)), with_blocks)
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """array of (kind, start, end, score), in order of start."""
 
@@ -145,38 +164,17 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _rewritten(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the name of its first kind."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    # A span opens a run if it starts behind the end of all earlier ones.
-    ends = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda runs, s: let(
-            F.try_element_at(runs, F.lit(-1)),
-            lambda last: F.when(
-                last.isNotNull() & (s["start"] < last["end"]),
-                F.array_append(
-                    F.slice(runs, F.lit(1), F.size(runs) - 1),
-                    F.struct(last["start"].alias("start"), F.greatest(last["end"], -s["back"]).alias("end"), last["kind"].alias("kind")),
-                ),
-            ).otherwise(F.array_append(runs, F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))),
-        ),
-    )
-    return let(
-        ends,
-        lambda runs: F.concat(
-            F.array_join(
-                F.transform(
-                    runs,
-                    lambda r, i: let(
-                        F.coalesce(F.get(runs, i - 1)["end"], F.lit(0)),
-                        lambda at: F.concat(F.substr(text, at + 1, r["start"] - at), F.lit("["), F.upper(r["kind"]), F.lit("]")),
-                    ),
-                ),
-                "",
-            ),
-            F.substr(text, F.coalesce(F.try_element_at(runs, F.lit(-1))["end"], F.lit(0)) + 1),
-        ),
-    )
+
+    def of(ordered: Column, reached: Column) -> Column:
+        # A span opens a run if it starts where all earlier ones have ended; what they reach is where the text goes on.
+        opening = F.transform(ordered, lambda s, i: F.struct(F.get(reached, i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] >= F.get(reached, i)).alias("opens")))
+        last = F.aggregate(ordered, F.lit(0), lambda a, s: F.greatest(a, -s["back"]))
+        piece = lambda cut: lambda r: F.concat(cut(r["at"], r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]"))
+        return let(F.filter(opening, lambda r: r["opens"]), lambda runs: _cutter(text, lambda cut: F.concat(F.array_join(F.transform(runs, piece(cut)), ""), let(last, lambda x: cut(x, F.length(text))))))
+
+    sorted_ = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    reached = lambda o: scanned_before(F.transform(o, lambda s: -s["back"]), 0, lambda a, b: F.greatest(a, b))
+    return let(sorted_, lambda o: let(reached(o), lambda m: of(o, m)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

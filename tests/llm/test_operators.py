@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,42 @@ def test_pii(spark):
     assert found == {1: [("secret", 2, 52)], 2: [("secret", 0, 27)], 3: [], 4: [], 5: [("secret", 0, 26)]}
 
 
+def redacted(text, spans):
+    """Plain: runs of overlapping spans give way to the name of their first kind."""
+    out, at = [], 0
+    for start, back, kind in sorted((s["start"], -s["end"], s["kind"]) for s in spans):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, -back)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_by_blocks(spark):
+    """Spans at and across the ends of blocks, in texts of characters of one to four bytes."""
+    rng, texts = random.Random(3), [*PII_TEXTS]
+    for n in (2040, 2048, 4095, 6000, 9000):
+        texts.append("".join(rng.choice(["é", "a ", "𝄞", "x@y.zz ", "+1 555 123 4567 ", "10.0.0.1\n", "4111 1111 1111 1111 "]) for _ in range(n // 4)))
+        texts += ["é" * (n - 3) + " a@b.co", "𝄞" * n + " a@b.co" + "z" * 5000, "a@b.co " + " " * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        want = texts[r["doc_id"]]
+        assert r["text"] == (want and redacted(want, spans[r["doc_id"]]))
+
+
+def test_redaction_of_very_many_spans_is_linear(spark):
+    def seconds(n, of):
+        df = spark.createDataFrame([(1, " é ".join(f"user{i}@mail{i % 7}.example.com" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        found = of(df).select(F.length("text").alias("n"), F.xxhash64("*")).first()
+        return time.time() - began, found["n"]
+
+    seconds(100, pii.redact)
+    took, length = seconds(30_000, pii.redact)
+    assert length == 30_000 * 7 + 29_999 * 3
+    assert took < 5 + 4 * seconds(30_000, pii.find)[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700))
 def test_blocks_round_trip(ids):
