@@ -48,7 +48,7 @@ def variance_explained_by(rows: DataFrame, mse: str, baseline: float, *by: str)
 
 def baselines_of_first(rows: DataFrame, vector: str, scale: float, n: int, order: str = "row_idx") -> DataFrame:
     """baselines() of the first n rows, as trainers take them."""
-    return baselines(rows.orderBy(order).limit(n).select(vector), vector, scale)
+    return baselines(corpus.first_kept(rows, n, order=order).select(vector), vector, scale)
 
 
 #: Dimensions that a judge rates from 1 to 10 (fixed names), each with what it asks for.

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import corpus
+
 FIRST_POSITION = 50
 PREFIX = 4  # hex digits: 65,536 prefixes at most
 
@@ -165,7 +167,7 @@ def without_seen(rows: DataFrame, first_rows: int, key: str = "doc_id", order: s
 
 def held_out_first(rows: DataFrame, n: int, permille: int, key: str = "doc_id", order: str = "row_idx") -> DataFrame:
     """The first n rows of held-out documents, in order."""
-    return rows.filter(is_held_out(F.col(key), permille)).orderBy(order).limit(n)
+    return corpus.first_kept(rows, n, is_held_out(F.col(key), permille), order)
 
 
 def windows_apart(train_rows: int | None, skip: int) -> None:

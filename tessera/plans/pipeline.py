@@ -159,11 +159,11 @@ def run(
         return spark.read.parquet(path), sidecar.read(spark, path)
 
     def extracted() -> DataFrame:
-        docs = corpus.row_range(corpus.numbered(spark.read.parquet(s.corpus_path), "doc_id"), s.start, s.start + s.length)
-        named = docs.select("row_idx", T.document_key(s.corpus, s.corpus_split, F.col("row_idx")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        parts = f"{s.output}/parts/base"
+        docs = corpus.in_file_order(spark, s.corpus_path, s.start, s.start + s.length, ["text"])
+        named = docs.select((F.col("row_idx") - s.start).alias("place"), T.document_key(s.corpus, s.corpus_split, F.col("row_idx")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        parts, n = f"{s.output}/parts/base", max(0, min(s.length, corpus.row_count(spark, s.corpus_path) - s.start))
         chunks.guarded(spark, parts, chunks.fingerprint(spark, s.corpus_path, s.length, s.chunk_rows))
-        return chunks.run(spark, named, parts, s.chunk_rows, lambda rows: _positions(extractor(rows), s)).drop("chunk_id")
+        return chunks.run(spark, named, parts, s.chunk_rows, lambda rows: _positions(extractor(rows), s, "chunk_id"), "place", n).drop("chunk_id")
 
     base, base_meta = put(extracted, "base", "base", sidecar.DatasetMeta(sidecar.base_id(origin), "base", 0, origin, created_by=__name__))
 
@@ -182,10 +182,11 @@ def run(
     def explained(rows: DataFrame, name: str) -> DataFrame:
         def answered(asked: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
             parts, numbered = f"{s.output}/parts/explained/{name}", corpus.numbered(asked, "doc_id", "n_raw_tokens")
-            chunks.guarded(spark, parts, chunks.fingerprint(spark, at["split", name], numbered.count(), s.chunk_rows))
-            if numbered.isEmpty():
+            n = numbered.count()
+            chunks.guarded(spark, parts, chunks.fingerprint(spark, at["split", name], n, s.chunk_rows))
+            if not n:
                 return answer(asked)
-            return chunks.run(spark, numbered, parts, s.chunk_rows, lambda rows: answer(rows.drop("row_idx"))).drop("chunk_id")
+            return chunks.run(spark, numbered, parts, s.chunk_rows, lambda rows: answer(rows.drop("row_idx")), n_rows=n).drop("chunk_id")
 
         text = rows.withColumn("text", F.col("detokenized_text_truncated"))
         return explanations.explain(text, cache, provider, put=answered).drop("text")
@@ -210,13 +211,13 @@ def run(
     return at
 
 
-def _positions(extracted: DataFrame, s: Settings) -> DataFrame:
-    """The base table: one row for each sampled position, each with its own text and vector alone."""
+def _positions(extracted: DataFrame, s: Settings, *more: str) -> DataFrame:
+    """The base table (and more columns): one row for each sampled position, each with its own text and vector alone."""
     tokens = F.col("tokens") if s.pad is None else sampling.without_padding(F.col("tokens"), F.lit(s.pad))
     positions = sampling.sample_positions(sampling.eligible_positions(tokens), s.positions_per_doc, s.seed, F.col("doc_id"))
     prefix = lambda p: F.lit("") if s.no_text else F.array_join(F.slice("tokens", F.lit(1), p + 1), " ")
     each = F.transform(positions, lambda p: F.struct((p + 1).cast("long").alias("n_raw_tokens"), prefix(p).alias("detokenized_text_truncated"), F.get("vectors", p).alias("activation_vector")))
-    return extracted.select(F.explode(each).alias("x"), "doc_id").select("x.*", F.lit(s.layer).cast("long").alias("activation_layer"), "doc_id")
+    return extracted.select(F.explode(each).alias("x"), "doc_id", *more).select("x.*", F.lit(s.layer).cast("long").alias("activation_layer"), "doc_id", *more)
 
 
 def begun(spark: SparkSession, out: str, meta: sidecar.DatasetMeta, resume: bool) -> None:

@@ -247,6 +247,18 @@ def corpus_scan(spark, sf_dir):
     return corpus.scan(spark, path, ["o_orderkey", "o_custkey"], "o_orderkey")
 
 
+@query("SELECT doc_id, lang, row_idx FROM (SELECT doc_id, lang, row_number() OVER () - 1 AS row_idx FROM documents) WHERE row_idx BETWEEN 150 AND 649")
+def file_order_slice(spark, sf_dir):
+    """Rows by their places in the files, without any key."""
+    return corpus.in_file_order(spark, f"{sf_dir}/documents.parquet", 150, 650, ["doc_id", "lang"])
+
+
+@query("SELECT count(*) AS rows FROM lineitem")
+def footer_count(spark, sf_dir):
+    """How many rows a table has, from its footers."""
+    return spark.range(1).select(F.lit(corpus.row_count(spark, f"{sf_dir}/lineitem.parquet")).alias("rows"))
+
+
 @query("SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents")
 def numbered_documents(spark, sf_dir):
     return corpus.numbered(table(spark, sf_dir, "documents"), "doc_id")

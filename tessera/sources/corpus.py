@@ -1,4 +1,8 @@
-"""Corpus tables: scans with explicit row numbers, slices, caps and checks."""
+"""Corpus tables: scans with row numbers in file order or by keys, slices, caps and checks.
+
+Slices, windows and caps are filters: a few counts tell which row numbers, or which files, bound them, so they are read by
+as many tasks as the rows need, and nothing is sorted.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +26,47 @@ def located(spark: SparkSession, corpus: str, staged: str, config: str = "defaul
     return path
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, order: str = "row_idx") -> DataFrame:
-    """A Parquet table; a ``@[a:b]`` suffix of the path keeps rows of that range of the order column."""
+def file_rows(source: DataFrame) -> list[tuple[str, int]]:
+    """The files of a Parquet table in the order of their paths, and how many rows each has; from footers, as no column is read.
+
+    One row for each file comes to the driver, which lists them anyway.
+    """
+    each = source.select(source.metadataColumn("_metadata")["file_path"].alias("file")).groupBy("file").count()
+    return sorted((r["file"], r["count"]) for r in each.collect())
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    return sum(n for _, n in file_rows(spark.read.parquet(path)))
+
+
+def in_file_order(spark: SparkSession, path: str, start: int = 0, end: int | None = None, columns: list[str] | None = None, out: str = "row_idx") -> DataFrame:
+    """Rows start to end (exclusive) of a Parquet table with their numbers: by the files' paths, then as they stand in a file.
+
+    Only files that hold some of these rows are read, by all tasks that they give; a row's number is its place in the file
+    and the number of rows in the files before it. Columns of the table named _file or _before are refused.
+    """
+    source = spark.read.parquet(path)
+    if taken := {"_file", "_before", out} & set(columns or source.columns):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
+    meta = source.metadataColumn("_metadata")
+    held, before = [], 0
+    for file, n in file_rows(source):
+        if before + n > start and (end is None or before < end):
+            held.append((file, before))
+        before += n
+    names = [f"`{c}`" for c in (columns if columns is not None else source.columns)]
+    first, last = (held[0][0], held[-1][0]) if held else ("", "")
+    part = source.filter(meta["file_path"].between(first, last)).select(*names, meta["file_path"].alias("_file"), meta["row_index"].alias(out))
+    begins = spark.createDataFrame(held, "_file string, _before long")
+    numbered = part.join(begins, "_file").withColumn(out, F.col(out) + F.col("_before")).select(*names, out)
+    return row_range(numbered, start or None, end, out)
+
+
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, order: str | None = "row_idx") -> DataFrame:
+    """A Parquet table; a ``@[a:b]`` suffix of the path keeps rows of that range of the order column, or without one (None) of the file order."""
     plain, start, end = storage.slice_of(path)
+    if order is None:
+        return in_file_order(spark, plain, start or 0, end, columns).drop("row_idx")
     df = spark.read.parquet(plain)
     if columns:
         require(df, columns)
@@ -64,10 +106,43 @@ def row_range(df: DataFrame, start: int | None, end: int | None, order: str = "r
     return df.filter(keep)
 
 
+#: Rows that a step of nth_numbers() may bring to the driver.
+BUCKETS = 65_536
+
+
+def nth_numbers(rows: DataFrame, ranks: list[int], order: str = "row_idx") -> list[int | None]:
+    """For each rank r (from 0) the number that exactly r rows are less than; None if there aren't more. Numbers are unique.
+
+    Rows are counted by ranges of numbers, then by narrower ranges within the one that holds the rank: two counts do for four
+    billion numbers. Only the order column is read.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+
+    def find(a: int, b: int, rank: int) -> int | None:
+        while True:
+            width = -(-(b - a + 1) // BUCKETS)
+            bucket = F.expr(f"(`{order}` - {a}L) div {width}L").alias("bucket")
+            counts = sorted((r["bucket"], r["count"]) for r in row_range(rows, a, b + 1, order).groupBy(bucket).count().collect())
+            seen = 0
+            for at, n in counts:
+                if rank < seen + n:
+                    break
+                seen += n
+            else:
+                return None
+            if width == 1:
+                return a + at
+            a, b, rank = a + at * width, min(b, a + (at + 1) * width - 1), rank - seen
+
+    return [None if low is None else find(int(low), int(high), r) for r in ranks]
+
+
 def window(df: DataFrame, skip: int, n: int, columns: list[str], optional: list[str] = (), order: str = "row_idx") -> DataFrame:
     """n rows behind the first ``skip`` in order, with the columns and those of the optional ones that the table has."""
     require(df, [*columns, order])
-    return df.orderBy(order).offset(skip).limit(n).select(*columns, *[c for c in optional if c in df.columns])
+    first, end = nth_numbers(df, [skip, skip + n], order)
+    found = df.filter(F.lit(False)) if first is None else row_range(df, first, end, order)
+    return found.select(*columns, *[c for c in optional if c in df.columns])
 
 
 def zipped(a: DataFrame, b: DataFrame, order: str = "row_idx") -> DataFrame:
@@ -84,8 +159,9 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def first_kept(df: DataFrame, n: int, where: Column | None = None, order: str = "row_idx") -> DataFrame:
-    """The first n rows that pass, in order; the cap counts kept rows."""
-    return (df.filter(where) if where is not None else df).orderBy(order).limit(n)
+    """The first n rows that pass, by unique whole numbers; the cap counts kept rows."""
+    passing = df.filter(where) if where is not None else df
+    return row_range(passing, None, nth_numbers(passing, [n], order)[0], order)
 
 
 def not_empty(df: DataFrame, name: str) -> DataFrame:

@@ -29,22 +29,45 @@ def guarded(spark: SparkSession, out: str, mark: dict) -> None:
         storage.write_text(spark, at, json.dumps(mark))
 
 
-def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: Callable[[DataFrame], DataFrame], order: str = "row_idx") -> DataFrame:
-    """work(rows) written by chunks of row numbers; chunks whose commit stands are left alone.
+#: Chunks that are worked on as tasks of one job; more are dealt to these, several to a task.
+MOST_TASKS = 20_000
+CHUNK = "chunk_id"
 
-    Each chunk is a folder that Spark's committer finishes with _SUCCESS, so a broken one is made anew.
+
+def committed(spark: SparkSession, out: str) -> list[int]:
+    """Chunks whose file stands. A chunk is one file of one task, which is moved to its place when that task commits."""
+    fs, where = storage._file(spark, f"{out}/{CHUNK}=*/*.parquet")
+    return sorted({int(file.getPath().getParent().getName().partition("=")[2]) for file in fs.globStatus(where) or []})
+
+
+def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: Callable[[DataFrame], DataFrame], order: str = "row_idx", n_rows: int | None = None) -> DataFrame:
+    """work(rows) by chunks of row numbers (``order``, from 0), as one job; chunks that are committed are left alone.
+
+    The rows are read once, however many chunks there are, and each chunk goes to one task. A task's files are moved to
+    their chunks' folders when it ends (not when the job does), so a run that breaks keeps what its tasks have finished. The
+    next one takes the rows of open chunks alone, by an anti-join with the chunks that stand, and again in one job. A chunk
+    without any output has no file; until the whole run has ended (which is noted beside the table) it counts as open.
+
+    work gets the rows with ``chunk_id``, keeps that column, and leaves rows in their partitions. n_rows, if it is known,
+    saves a look at the numbers.
     """
-    last = rows.agg(F.max(order)).first()[0]
-    done = []
-    for chunk in range(0 if last is None else last // chunk_rows + 1):
-        path = f"{out}/chunk_id={chunk}"
-        if not storage.exists(spark, f"{path}/_SUCCESS"):
-            part = rows.filter((F.col(order) >= chunk * chunk_rows) & (F.col(order) < (chunk + 1) * chunk_rows))
-            work(part).write.mode("overwrite").parquet(path)
-        done.append(path)
-    if not done:
-        raise ValueError("nothing to do")
-    return spark.read.option("basePath", out).parquet(*done)
+    log, chunk = f"{out}.finished.json", F.expr(f"int(`{order}` div {chunk_rows})")
+    numbered = rows.withColumn(CHUNK, chunk)
+    if not storage.exists(spark, log):
+        if n_rows is None:
+            last = rows.agg(F.max(order)).first()[0]
+            n_rows = 0 if last is None else last + 1
+        if not n_rows:
+            raise ValueError("nothing to do")
+        chunks, done = -(-n_rows // chunk_rows), committed(spark, out)
+        if done:
+            numbered = numbered.join(spark.createDataFrame([(c,) for c in done], f"{CHUNK} int"), CHUNK, "left_anti").select(*rows.columns, CHUNK)
+        if len(done) < chunks:
+            tasks = min(chunks, MOST_TASKS)
+            dealt = numbered.repartitionById(tasks, F.expr(f"{CHUNK} % {tasks}"))
+            work(dealt).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(CHUNK).parquet(out)
+        storage.write_text(spark, log, json.dumps({"chunks": chunks}))
+    return spark.read.schema(work(numbered).schema).parquet(out)
 
 
 #: Rows of a row group, so that readers of wide rows can take a few at a time.

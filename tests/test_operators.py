@@ -1,6 +1,8 @@
 """Properties of sampling, splits, explanations, merging, sidecars, chunks and settings."""
 
 import dataclasses
+import os
+import time
 
 import numpy as np
 import pytest
@@ -201,7 +203,8 @@ def test_the_provider_is_asked_once_for_each_miss(spark, tmp_path):
 
     open(log, "w").close()
     assert explanations.explain(rows, cache, provider, put=restartable).count() == 8
-    storage.delete(spark, f"{out}/chunk_id=1/_SUCCESS")
+    storage.delete(spark, f"{out}/chunk_id=1")
+    storage.delete(spark, f"{out}.finished.json")
     assert explanations.explain(rows, cache, provider, put=restartable).count() == 8
     said = open(log).read().split("\n")[:-1]
     assert {s: said.count(s) for s in said} == {f"Explain t{i}": 2 if 4 <= i < 8 else 1 for i in (0, 2, 3, 4, 5, 6, 7, 8)}
@@ -292,9 +295,14 @@ def test_chunks_resume(spark, tmp_path):
 
     out = f"file://{tmp_path}/out"
     chunks.guarded(spark, out, {"rows": 10})
-    assert chunks.run(spark, rows, out, 4, work).count() == 10 and len(done) == 3
-    storage.delete(spark, f"{out}/chunk_id=1/_SUCCESS")
-    assert chunks.run(spark, rows, out, 4, work).count() == 10 and len(done) == 4
+    assert chunks.run(spark, rows, out, 4, work).count() == 10 and chunks.committed(spark, out) == [0, 1, 2]
+    storage.delete(spark, f"{out}/chunk_id=1")
+    storage.delete(spark, f"{out}.finished.json")
+    assert chunks.run(spark, rows, out, 4, work).count() == 10 and chunks.committed(spark, out) == [0, 1, 2]
+    assert chunks.run(spark, rows, out, 4, lambda df: df.filter("chunk_id < 0").drop("chunk_id").withColumn("chunk_id", F.lit(0))).count() == 10
+    with pytest.raises(ValueError, match="nothing"):
+        chunks.run(spark, rows.limit(0), f"{out}0", 4, work)
+    assert chunks.run(spark, rows, f"{out}_none", 4, lambda df: df.filter("row_idx < 0")).count() == 0
     chunks.guarded(spark, out, {"rows": 10})
     with pytest.raises(ValueError):
         chunks.guarded(spark, out, {"rows": 11})
@@ -315,6 +323,76 @@ def test_chunks_resume(spark, tmp_path):
         chunks.published(spark, rows, f"{out}3")
 
 
+def test_chunks_read_their_input_once_and_keep_what_a_broken_run_has_finished(spark, tmp_path, monkeypatch):
+    n, size = 40, 4
+    spark.range(n).withColumnRenamed("id", "row_idx").withColumn("x", F.col("row_idx") * 2).write.parquet(f"{tmp_path}/in")
+    read, worked, fails = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), f"{tmp_path}/fails"
+
+    def counting(counter, slow=False):
+        def run(batches):
+            for batch in batches:
+                counter.add(len(batch))
+                if slow and 33 in batch.column(0).to_pylist() and os.path.exists(fails):
+                    time.sleep(6)  # the tasks of the other chunks end meanwhile
+                    raise ValueError("broken")
+                yield batch
+
+        return run
+
+    def once(out):
+        rows = spark.read.parquet(f"{tmp_path}/in").mapInArrow(counting(read), "row_idx long, x long")
+        return chunks.run(spark, rows, out, size, lambda df: df.mapInArrow(counting(worked, True), "row_idx long, x long, chunk_id int"), n_rows=n)
+
+    out = f"file://{tmp_path}/a"
+    assert sorted(r["x"] for r in once(out).collect()) == [2 * i for i in range(n)] and (read.value, worked.value) == (n, n)
+    assert once(out).count() == n and read.value == n  # a finished run reads nothing
+    for tasks in (20_000, 5):  # with several chunks in a task, those of the broken one are open
+        monkeypatch.setattr(chunks, "MOST_TASKS", tasks)
+        out, read.value, worked.value = f"file://{tmp_path}/b{tasks}", 0, 0
+        open(fails, "w").close()
+        with pytest.raises(Exception, match="broken"):
+            once(out)
+        done = chunks.committed(spark, out)
+        assert 8 not in done and len(done) >= 7 - (tasks == 5)
+        os.remove(fails)
+        read.value = worked.value = 0
+        assert sorted(r["row_idx"] for r in once(out).collect()) == list(range(n))
+        assert (read.value, worked.value) == (n, n - size * len(done)) and chunks.committed(spark, out) == list(range(10))
+
+
+def test_rows_in_file_order(spark, tmp_path):
+    """Several files, empty ones among them, names with blanks, in an order that no column has."""
+    order, at = [7, 3, 9, 1, 8, 2, 6, 0, 5, 4, 11, 10], f"{tmp_path}/a table"
+    for k, part in enumerate((order[:5], [], order[5:6], order[6:])):
+        spark.createDataFrame([(x, f"t{x}") for x in part], "x long, text string").coalesce(1).write.mode("append").parquet(f"{at}/k={k}")
+    want = list(zip(order, range(12), strict=True))
+    for a, b in ((0, None), (0, 5), (3, 7), (5, 6), (6, 12), (11, 99), (12, None), (4, 4)):
+        got = sorted(((r["x"], r["row_idx"]) for r in corpus.in_file_order(spark, at, a, b, ["x"]).collect()), key=lambda r: r[1])
+        assert got == want[a:b], (a, b)
+    few = corpus.in_file_order(spark, at, 5, 6)
+    assert len(few.inputFiles()) and few.columns == ["x", "text", "k", "row_idx"] and few.first()["k"] == 2
+    assert "Exchange rangepartitioning" not in few._jdf.queryExecution().toString()
+    assert corpus.row_count(spark, at) == 12 and [n for _, n in corpus.file_rows(spark.read.parquet(at))] == [5, 1, 6]
+    assert sorted(r["x"] for r in corpus.scan(spark, f"{at}@[2:6]", ["x"], None).collect()) == sorted(order[2:6])
+    with pytest.raises(ValueError, match="in the way"):
+        corpus.in_file_order(spark, at, out="x")
+
+
+def test_caps_and_windows_are_filters(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BUCKETS", 5)
+    numbers = [x * x * 7 - 900 for x in range(60)]
+    rows = spark.createDataFrame([(x, x % 3) for x in numbers], "row_idx long, k long").repartition(7)
+    assert corpus.nth_numbers(rows, [0, 1, 31, 59, 60]) == [numbers[0], numbers[1], numbers[31], numbers[59], None]
+    assert corpus.nth_numbers(rows.limit(0), [0, 3]) == [None, None]
+    odd = [x for x in numbers if x % 3 == 1]
+    for n in (0, 1, 7, len(odd), 99):
+        got = corpus.first_kept(rows, n, F.col("k") == 1)
+        assert sorted(r["row_idx"] for r in got.collect()) == odd[:n]
+    assert corpus.first_kept(rows, 40).rdd.getNumPartitions() == 7 and corpus.first_kept(rows, 40).count() == 40
+    assert sorted(r["row_idx"] for r in corpus.window(rows, 13, 22, ["row_idx"]).collect()) == numbers[13:35]
+    assert corpus.window(rows, 60, 5, ["row_idx"]).count() == 0 and corpus.window(rows, 58, 5, ["row_idx"]).count() == 2
+
+
 def test_stream_windows(spark, tmp_path):
     df = spark.sql("SELECT timestamp'2024-01-01 00:00:01' + make_interval(0, 0, 0, 0, 0, id) AS ts, 'a' AS event_type, 1.0D AS value FROM range(90)")
     df.write.parquet(f"{tmp_path}/events")
