@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.sources import storage
 
@@ -65,9 +66,13 @@ def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: C
         if len(done) < chunks:
             tasks = min(chunks, MOST_TASKS)
             dealt = numbered.repartitionById(tasks, F.expr(f"{CHUNK} % {tasks}"))
-            work(dealt).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(CHUNK).parquet(out)
-        storage.write_text(spark, log, json.dumps({"chunks": chunks}))
-    return spark.read.schema(work(numbered).schema).parquet(out)
+            made = work(dealt)
+            made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(CHUNK).parquet(out)
+            schema = made.schema
+        else:
+            schema = spark.read.parquet(out).schema
+        storage.write_text(spark, log, json.dumps({"chunks": chunks, "schema": schema.jsonValue()}))
+    return spark.read.schema(StructType.fromJson(json.loads(storage.read_text(spark, log))["schema"])).parquet(out)
 
 
 #: Rows of a row group, so that readers of wide rows can take a few at a time.
