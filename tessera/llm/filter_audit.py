@@ -93,13 +93,18 @@ def masks(docs: DataFrame) -> DataFrame:
 
 def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): the documents of each part with the same set of failed filters."""
-    found = kept(masks(docs), "masks")
-    least = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    # Tables as they stand are on both sides, so that Spark can split the rows of a text with many copies.
-    joined = found.join(least, "digest", "left").join(known, "doc_id", "left")
-    mask = F.col("bits") + F.when(F.col("doc_id") > F.col("least"), _BIT["E"]).otherwise(0)
-    return joined.groupBy("part", mask.alias("mask")).agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
+    joined = kept(masks(docs), "masks").join(known, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    per_id = joined.groupBy("doc_id", "digest", "part", "bits", "good", "toxic").agg(F.count("*").alias("c"))
+    # Copies of a text shrink within the tasks that have them, so one with very many is no task's burden.
+    unnamed = F.sum(F.when(F.col("doc_id").isNull(), F.col("c")).otherwise(0)).alias("unnamed")
+    alike = per_id.groupBy("digest", "part", "bits", "good", "toxic").agg(F.sum("c").alias("c"), F.min("doc_id").alias("least"), F.min_by("c", "doc_id").alias("first"), unnamed)
+    texts = alike.groupBy("digest").agg(F.min("least").alias("of_all"), F.collect_list(F.struct("part", "bits", "good", "toxic", "c", "least", "first", "unnamed")).alias("x"))
+    stay = F.col("unnamed") + F.when(F.col("least") == F.col("of_all"), F.col("first")).otherwise(0)
+    split = F.inline(F.array(F.struct(F.lit(0).alias("e"), stay.alias("n")), F.struct(F.lit(_BIT["E"]).alias("e"), (F.col("c") - stay).alias("n"))))
+    each = texts.select("of_all", F.inline("x")).select("part", "bits", "good", "toxic", split).filter("n > 0")
+    of = lambda label: F.sum(F.when(F.col(label), F.col("n")).otherwise(0)).alias(label)
+    return each.groupBy("part", (F.col("bits") + F.col("e")).alias("mask")).agg(F.sum("n").alias("n"), of("good"), of("toxic"))
 
 
 def _sum(rows: Column, of: str, where) -> Column:
