@@ -14,9 +14,10 @@ hash over all its words is looked up at every position of the documents.
 Before anything is exploded, a bitmap of the items' fingerprints (of a size that
 follows their number, up to 2**MOST_BITS bits; beyond it lets more pass) drops
 almost all hashes inside the row. A window that several items have is one row with
-the list of these items, so a prompt that many items share meets a document once.
-Items' windows are broadcast only if they are at most ``BROADCAST_PRINTS``, counted
-beforehand; else both sides are shuffled.
+the digest of the list of these items, so a prompt that many items share meets a
+document once. The lists themselves are looked up once for each document and list, at
+the end. Items' windows are broadcast only if they are at most ``BROADCAST_PRINTS`` and
+``BROADCAST_BYTES``, both counted beforehand; else both sides are shuffled.
 
 Null or empty texts have no words: such documents have no hit, such items none.
 Rows of documents that are equal in id and text are one document; rows with one
@@ -30,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, gram_hashes, let, once, split_words, word_hashes, written
+from tessera.sources.storage import kept
 
 WINDOW, GRAM, SPAN = 10, 7, 4
 REACH = WINDOW - GRAM
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST_BITS, MOST_BITS = 16, 27
-BROADCAST_PRINTS = 100_000
+BROADCAST_PRINTS, BROADCAST_BYTES = 100_000, 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -103,10 +105,13 @@ def _bitmap(fingerprints: DataFrame, size: int) -> DataFrame:
     return dense.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x")).select(F.transform("x", lambda y: y["bits"]).alias("bitmap"))
 
 
-def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
-    """(doc_id, doc_key, n_words, items, start, end) of extended hits; with how="left", a row of nulls too for each document."""
-    prints = item_fingerprints(items)
-    n_prints, shorts = prints.agg(F.count("*"), F.collect_set(F.when(F.col("k") < 0, -F.col("k")))).first()
+def _joined(docs: DataFrame, items: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc_key, n_words, set, start, end) of extended hits, with how="left" a row of nulls too for each document; and (set, items) of the lists of items."""
+    with_items = kept(item_fingerprints(items).withColumn("set", F.sha2(F.to_json("items"), 256)), "fingerprints")
+    prints, sets = with_items.drop("items"), with_items.select("set", "items").dropDuplicates(["set"])
+    held = F.octet_length(F.array_join("window", " ")) + 16 * F.size("window") + 100  # with what Spark adds to each string and row
+    n_prints, shorts, n_bytes = prints.agg(F.count("*"), F.collect_set(F.when(F.col("k") < 0, -F.col("k"))), F.sum(held)).first()
+    small = n_prints <= BROADCAST_PRINTS and (n_bytes or 0) <= BROADCAST_BYTES
     lengths = sorted(shorts)  # at most WINDOW - 1 numbers
     size = min(MOST_BITS, max(LEAST_BITS, (64 * n_prints).bit_length()))
     bitmap = _bitmap(prints, size).scalar()
@@ -136,13 +141,14 @@ def _joined(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
         F.coalesce(F.col("x.window"), F.array().cast("array<string>")).alias("window"),
         F.col("x.start").alias("start"),
     )
-    both = found.join(F.broadcast(prints) if n_prints <= BROADCAST_PRINTS else prints, ["k", "h", "window"], "left" if how == "left" else "inner")
-    return both.select("doc_id", "doc_key", "n_words", "items", "start", (F.col("start") + F.size("window")).alias("end"))
+    both = found.join(F.broadcast(prints) if small else prints, ["k", "h", "window"], "left" if how == "left" else "inner")
+    return both.select("doc_id", "doc_key", "n_words", "set", "start", (F.col("start") + F.size("window")).alias("end")), sets
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, doc_key, n_words, items, start, end): windows that stand in all these items, by word, end exclusive; one may come more than once."""
-    return _joined(docs, items, "inner")
+    found, sets = _joined(docs, items, "inner")
+    return found.join(sets, "set").select("doc_id", "doc_key", "n_words", "items", "start", "end")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -153,16 +159,19 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
         lambda a, r: F.struct(F.greatest(a["end"], r["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], a["end"]))).alias("n")),
         lambda a: a["n"],
     )
-    return (
-        _joined(docs, items, "left")
-        .groupBy("doc_id", "doc_key", "n_words")
-        .agg(F.collect_set("items").alias("items"), F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "end"))).alias("runs"))
-        .select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), F.sort_array("runs").alias("runs"))
-    )
+    found, sets = _joined(docs, items, "left")
+    of_hit = F.when(F.col("set").isNotNull(), F.struct("start", "end"))
+    grouped = found.groupBy("doc_id", "doc_key", "n_words").agg(F.collect_set("set").alias("sets"), F.collect_set(of_hit).alias("runs"))
+    rows = kept(grouped.select("doc_id", "doc_key", "n_words", covered.alias("n_hit"), F.sort_array("runs").alias("runs"), "sets"), "report")
+    columns = ("doc_id", "n_words", "n_hit", "items", "runs")
+    free = rows.filter(F.size("sets") == 0).withColumn("items", F.array().cast("array<string>"))
+    named = rows.filter(F.size("sets") > 0).select("doc_id", "doc_key", "n_words", "n_hit", "runs", F.explode("sets").alias("set")).join(sets, "set")
+    of_doc = named.groupBy("doc_id", "doc_key").agg(F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.first("runs").alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return free.select(*columns).unionByName(of_doc.select(*columns))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any hit, as they are; repeated rows stay repeated."""
     # Written first: Spark knows the size of a table that stands, and moves no text if it is small.
-    bad, _ = written(docs.sparkSession, hits(docs, items).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct(), "contaminated")
+    bad, _ = written(docs.sparkSession, _joined(docs, items, "inner")[0].select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == bad["_key"]), "left_anti")

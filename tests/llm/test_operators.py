@@ -88,7 +88,7 @@ def test_decontamination(spark, docs, none):
 
 
 def test_decontamination_without_broadcast(docs, spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_PRINTS", -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     items = [(1, " ".join(TEXTS[9][1].split()[20:45]))]
     got = {r["doc_id"]: r["n_hit"] for r in decontamination.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {i: w[1] for i, w in brute.decontamination(TEXTS, items).items()}
@@ -122,6 +122,15 @@ def test_decontamination_of_items_with_a_common_prompt(spark):
     assert {r["doc_id"] for r in decontamination.clean(docs.unionByName(docs), bench).collect()} == {61}
 
 
+def test_decontamination_of_very_many_items_with_a_common_prompt(spark):
+    prompt, n = " ".join(f"p{i}" for i in range(12)), 100_000
+    bench = spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit(prompt + " own"), F.col("id").cast("string")).alias("text"))
+    docs = spark.createDataFrame([(d, f"d{d} {prompt} own{d % 7} x") for d in range(40)] + [(50, "a clean text")], "doc_id long, text string")
+    got = decontamination.report(docs, bench).select("doc_id", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("h")).collect()
+    every = brute.sha(",".join(sorted(str(i) for i in range(n))))
+    assert {r["doc_id"]: (r["n_hit"], r["n"], r["h"]) for r in got} == {**{d: (13, n, every) for d in range(40)}, 50: (0, 0, brute.sha(""))}
+
+
 PII_TEXTS = [
     "a@b.c%d@e.f and x.y+z@mail-1.example.org.", "no@dot, @x.y a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (743) 555-3824, +12 345", "+" + "(" * 500, "1 2 3 4 " * 300, "é" * 30 + "a@b.co +49 30 1234567", "call phone 555-123-4567", "555-123-4567", "IBAN DE89 3704 0044 0532 0130 00.",
