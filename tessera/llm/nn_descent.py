@@ -40,7 +40,7 @@ THRESHOLD = 0.9
 NEIGHBOURS, MEETING, BLOCK = 8, 48, 256
 CONTRACTIONS, STARTS, ROUNDS, AUDITS = 4, 3, 12, 3
 #: Rounds end when this share of the places in lists, or less, has changed.
-SETTLED = 0.005
+SETTLED = 0.05
 AUDITED, RECALL = 512, 0.95
 #: What bounds are widened by, for the rounding of cosines and angles.
 SLACK = 1e-9
