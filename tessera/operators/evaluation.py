@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,15 @@ from tessera.sources import corpus, storage
 
 
 def baselines(rows: DataFrame, vector: str, scale: float) -> DataFrame:
-    """Errors of predicting the mean (``raw_baseline``) and the mean at full norm (``meannorm_baseline``).
+    """Errors of predicting the mean (``raw_baseline``) and the mean at full norm (``meannorm_baseline``); null without rows.
 
-    One pass: sums by dimension are combined before the shuffle, which moves one row for each dimension and task.
+    Whole vectors are summed up (by MLlib's summarizer), so each task gives two vectors to one row's merge, whatever its rows.
     """
-    each = rows.select(F.posexplode(V.normalize(F.col(vector), scale)).alias("dim", "x"))
-    dims = each.groupBy("dim").agg(F.avg("x").alias("mu"), F.avg(F.col("x") * F.col("x")).alias("sq"))
-    sums = dims.agg(F.count("*").alias("d"), F.sum("sq").alias("sq"), F.sum(F.col("mu") * F.col("mu")).alias("mm"))
+    summed = Summarizer.metrics("mean", "normL2", "count").summary(array_to_vector(V.normalize(F.col(vector), scale)))
+    found = rows.filter(F.col(vector).isNotNull()).groupBy(F.lit(1).alias("all")).agg(summed.alias("s"))
+    squares = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x * x)
+    sums = found.select(F.size(vector_to_array("s.mean")).alias("d"), (squares("s.normL2") / F.col("s.count")).alias("sq"), squares("s.mean").alias("mm"))
+    sums = sums.agg(*[F.max(c).alias(c) for c in ("d", "sq", "mm")])
     length = F.greatest(F.sqrt("mm"), F.lit(V.TINY))
     return sums.select(
         ((F.col("sq") - F.col("mm")) / F.col("d")).alias("raw_baseline"),
@@ -73,12 +77,20 @@ def _apart(a: Column, b: Column) -> Column:
     return ~(a.startswith(b) | b.startswith(a))
 
 
+#: A text that this share of the sources, or more, have is common; there are at most so many times fewer of them.
+COMMON = 8
+
+
 def distractors(sources: DataFrame, k: int = OPTIONS, seed: int = 0) -> DataFrame:
     """(i, j, r): for each source (i, text) its k - 1 distractors, r = 1, 2, ..., if the set has as many.
 
-    Sources stand on a ring in hash order. Each starts at a place drawn by hash and goes on until it has met enough sources
-    that don't begin with its text, or it with theirs. So a source meets a few others, not all; only where most don't fit
-    are more asked for, by twice as many each time. i must be unique.
+    Sources stand on a ring in hash order. Each starts at a place drawn by hash and takes the next ones that don't begin with
+    its text, nor it with theirs. It looks through a stretch of the ring that should hold twice as many as it needs; those
+    that found too few look through one four times as long.
+
+    Where most sources have one text, each of these would go far round the ring for the few others. So a text that an
+    eighth of the sources or more have (there are eight at most) gets a ring of its own, of what fits it alone, and
+    stretches by the number of those; with fewer than k - 1 of them it has no distractors. i must be unique.
     """
     spark = sources.sparkSession
     fit = sources.filter("text <> ''").select("i", "text", _drawn(seed, F.lit("ring"), F.col("i")).alias("h"))
@@ -87,17 +99,31 @@ def distractors(sources: DataFrame, k: int = OPTIONS, seed: int = 0) -> DataFram
     if not n:
         return spark.createDataFrame([], sources.select("i").schema.add("j", sources.schema["i"].dataType).add("r", "integer"))
     start = F.conv(F.left(_drawn(seed, F.lit("start"), F.col("i")), F.lit(8)), 16, 10).cast("long") % n
-    other = ring.select(F.col("place").alias("at"), F.col("i").alias("j"), F.col("text").alias("other"))
-    asked, width, found = ring.select("i", "text", start.alias("start")), 2 * k, None
+    by_text = ring.groupBy("text").agg(F.count("*").alias("c"), F.min("place").alias("own")).filter(F.col("c") * COMMON >= n)
+    common = storage.kept(by_text.select("text", (F.col("own") + 1).alias("ring")), "common")
+    # Eight texts at most, as one value.
+    each = common.agg(F.collect_list(F.struct("ring", "text"))).scalar()
+    rings = F.filter("_common", lambda c: _apart(c["text"], F.col("text")))
+    other = ring.withColumn("_common", each).select(F.col("i").alias("j"), F.col("text").alias("other"), "place", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(rings, lambda c: c["ring"]))).alias("ring"))
+    other = storage.kept(other.withColumn("other", F.when(F.col("ring") == 0, F.col("other"))), "rings")
+    sizes = {r["ring"]: r["count"] for r in other.groupBy("ring").count().collect()}  # nine rows at most
+    asked = ring.join(common, "text", "left").select("i", F.coalesce("ring", F.lit(0)).alias("ring"), "text", start.alias("start")).filter(F.col("ring").isin([r for r, c in sizes.items() if r == 0 or c >= k - 1]))
+    found, factor = None, 2
     while True:
-        steps = min(width, n)
-        met = asked.select("i", "text", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("d")).withColumn("at", (F.col("start") + F.col("d")) % n)
-        good = met.join(other, "at").filter((F.col("i") != F.col("j")) & _apart(F.col("text"), F.col("other")))
+        width = {r: min(n, max(1, -(-factor * k * n // c))) for r, c in sizes.items()}
+        of_ring = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in width.items() for x in pair]), F.col("ring"))
+        stretch = F.floor(F.col("place") / of_ring)
+        last = F.floor(F.lit(n - 1) / of_ring)
+        # The stretch where a source starts, and the next two (the last may be short), cover its own length from there on.
+        nexts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda d: (F.floor(F.col("start") / of_ring) + d) % (last + 1)))
+        met = asked.withColumn("stretch", F.explode(nexts)).join(other.withColumn("stretch", stretch), ["ring", "stretch"])
+        distance = F.pmod(F.col("place") - F.col("start"), F.lit(n))
+        good = met.filter((F.col("i") != F.col("j")) & (distance < of_ring) & ((F.col("ring") != 0) | _apart(F.col("text"), F.col("other")))).withColumn("d", distance)
         picked = good.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "j"))), 1, k - 1).alias("x")).filter(F.size("x") == k - 1)
         picked = storage.kept(picked, "distractors")
         found = picked if found is None else found.unionByName(picked)
-        asked, width = asked.join(picked.select("i"), "i", "left_anti"), 4 * width
-        if steps == n or asked.isEmpty():
+        asked, factor = storage.kept(asked.join(picked.select("i"), "i", "left_anti"), "asked"), 4 * factor
+        if min(width.values()) == n or asked.isEmpty():
             return found.select("i", F.posexplode("x").alias("r", "x")).select("i", F.col("x.j").alias("j"), (F.col("r") + 1).alias("r"))
 
 

@@ -1,4 +1,4 @@
-"""Rollout analytics: masks, advantages, divergences over token tables, step metrics."""
+"""Rollout analytics: masks, advantages, divergences of whole logit arrays, step metrics and timings."""
 
 from __future__ import annotations
 
@@ -40,29 +40,79 @@ def group_advantage(rows: DataFrame, group: str, reward: str, ok: str) -> DataFr
     return rows.withColumn("advantage", F.when(F.col(ok), (F.col(reward) - F.avg(good).over(w)) / (deviation + 1e-6)).otherwise(0.0))
 
 
-def log_softmax(rows: DataFrame, token: list[str], logit: str, out: str) -> DataFrame:
-    """rows (one for each token and vocabulary entry) with log-probabilities, shifted by the maximum."""
-    w = Window.partitionBy(*token)
-    top = F.max(logit).over(w)
-    shifted = rows.withColumn("_top", top)
-    return shifted.withColumn(out, F.col(logit) - F.col("_top") - F.ln(F.sum(F.exp(F.col(logit) - F.col("_top"))).over(w))).drop("_top")
+def _pairs_of(logits, others):
+    """For each row two arrays of doubles; None for a null row, or for rows of other widths."""
+    import numpy as np
 
+    def rows(column):
+        flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), column.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        return [None if null else flat[end - size : end] for null, end, size in zip(column.is_null().to_pylist(), ends, sizes, strict=True)]
 
-def coarsened_kl(rows: DataFrame, token: list[str], k: int) -> DataFrame:
-    """Divergence over the policy's k best entries and one bucket for the tail. rows: token, entry, logit, lp, lq."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*token).orderBy(F.desc("logit"), "entry")))
-    p, q = F.exp("lp"), F.exp("lq")
-    top = F.col("_r") <= k
-    sums = ranked.groupBy(*token).agg(
-        F.sum(F.when(top, p * (F.col("lp") - F.col("lq"))).otherwise(0.0)).alias("head"),
-        F.greatest(F.lit(1e-9), 1 - F.sum(F.when(top, p).otherwise(0.0))).alias("tp"),
-        F.greatest(F.lit(1e-9), 1 - F.sum(F.when(top, q).otherwise(0.0))).alias("tq"),
-    )
-    return sums.select(*token, (F.col("head") + F.col("tp") * F.ln(F.col("tp") / F.col("tq"))).alias("kl"))
+    for a, b in zip(rows(logits), rows(others), strict=True):
+        yield (a, b) if a is not None and b is not None and len(a) == len(b) > 0 else None
+
+
+def _log_probabilities(x):
+    """x less its log-sum-exp, shifted by the greatest so that nothing overflows."""
+    import numpy as np
+
+    top = x.max()
+    return x - (top + np.log(np.exp(x - top).sum()))
+
+
+def _first_best(x, k: int):
+    """Places of the k greatest, of equal ones the first; by selection, without sorting the rest."""
+    import numpy as np
+
+    if k >= len(x):
+        return np.arange(len(x))
+    least = np.partition(x, len(x) - k)[len(x) - k]
+    over = np.flatnonzero(x > least)
+    return np.concatenate([over, np.flatnonzero(x == least)[: k - len(over)]])
+
+
+def divergence(logits: Column, others: Column) -> Column:
+    """(kl, entropy) of a token's whole array of logits: of the softmax against that of others, and of the first alone, in nats.
+
+    One row at a time in Arrow batches (of bounded bytes); null where an array is null or empty, or their widths differ.
+    """
 
+    def run(logits, others):
+        import numpy as np
+        import pyarrow as pa
 
-def full_kl(rows: DataFrame, token: list[str]) -> DataFrame:
-    return rows.groupBy(*token).agg(F.sum(F.exp("lp") * (F.col("lp") - F.col("lq"))).alias("kl"), (-F.sum(F.exp("lp") * F.col("lp"))).alias("entropy"))
+        kl, entropy = [], []
+        for pair in _pairs_of(logits, others):
+            lp, lq = (_log_probabilities(x) for x in pair) if pair else (np.full(1, np.nan),) * 2
+            p = np.exp(lp)
+            kl.append((p * (lp - lq)).sum() if pair else None)
+            entropy.append(-(p * lp).sum() if pair else None)
+        return pa.StructArray.from_arrays([pa.array(kl, pa.float64()), pa.array(entropy, pa.float64())], ["kl", "entropy"])
+
+    return F.arrow_udf(run, "kl double, entropy double")(logits, others)
+
+
+def coarsened_divergence(logits: Column, others: Column, k: int) -> Column:
+    """The divergence over the k best entries by logits (of equal ones the first) and one bucket for all others, each tail at least 1e-9."""
+
+    def run(logits, others):
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        for pair in _pairs_of(logits, others):
+            if not pair:
+                out.append(None)
+                continue
+            best = _first_best(pair[0], k)
+            lp, lq = (_log_probabilities(x)[best] for x in pair)
+            p, q = np.exp(lp), np.exp(lq)
+            rest, other_rest = max(1e-9, 1 - p.sum()), max(1e-9, 1 - q.sum())
+            out.append((p * (lp - lq)).sum() + rest * np.log(rest / other_rest))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")(logits, others)
 
 
 def _or_nan(x: Column) -> Column:
@@ -128,3 +178,19 @@ def throughput(rows: DataFrame, tokens: Column, rollout_seconds: Column, score_s
     """(by, tokens_per_s, rollouts_per_s, rollout_share): tokens over the rollout's time, rows over the scoring's, the rollout's share of both."""
     r, s = F.sum(rollout_seconds), F.sum(score_seconds)
     return rows.groupBy(*by).agg((F.sum(tokens) / r).alias("tokens_per_s"), (F.count("*") / s).alias("rollouts_per_s"), (r / (r + s)).alias("rollout_share"))
+
+
+def phase_seconds(marks: DataFrame, phase: str, at: str, *by: str) -> DataFrame:
+    """(by, phase, seconds, share): how long each phase of a step took, from marks that say when one begins (timestamps); the last mark ends the step.
+
+    A phase that is begun several times is summed up; share is of the whole step. Marks of one time keep the order of their names.
+    """
+    if not by:
+        raise ValueError("name the columns that tell steps apart")
+    w = Window.partitionBy(*by).orderBy(at, phase)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    spent = (F.lead(micros).over(w) - micros) / F.lit(1e6)
+    each = marks.select(*by, F.col(phase).alias("phase"), spent.alias("spent")).filter("spent IS NOT NULL")
+    sums = each.groupBy(*by, "phase").agg(F.sum("spent").alias("seconds"))
+    whole = F.sum("seconds").over(Window.partitionBy(*by))
+    return sums.withColumn("share", F.when(whole > 0, F.col("seconds") / whole))

@@ -10,13 +10,16 @@ ever ordered, and no single task sees the table.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import let
 from tessera.sources import corpus
+from tessera.sources.corpus import row_range
 
 FIRST_POSITION = 50
 PREFIX = 4  # hex digits: 65,536 prefixes at most
@@ -151,6 +154,21 @@ def coverage(docs: DataFrame, positions: str, k: int) -> DataFrame:
     )
 
 
+def observed(docs: DataFrame, positions: str, k: int) -> tuple[DataFrame, Observation]:
+    """docs, and the counters of coverage() as an observation: the job that writes docs fills it, so nothing is read twice.
+
+    ``observation.get`` gives them as a dictionary once such a job has run (it waits until then).
+    """
+    seen, n = Observation(), F.size(positions)
+    return docs.observe(
+        seen,
+        F.count(F.lit(1)).alias("docs"),
+        F.count_if(n == 0).alias("skipped"),
+        F.count_if((n > 0) & (n < k)).alias("short_sampled"),
+        F.coalesce(F.sum(F.least(n, F.lit(k)).cast("long")), F.lit(0)).alias("rows"),
+    ), seen
+
+
 def split_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(key).alias("docs"))
 
@@ -191,21 +209,92 @@ def permuted(rows: DataFrame, seed: int, dataset_id: str, order: str = "row_idx"
     return rows.withColumn("shuffle_key", permutation_key(seed, dataset_id, F.col(order))).orderBy("shuffle_key")
 
 
-def epoch_batches(n_rows: int, batch: int, steps: int, seed: int, first: int = 0) -> list[tuple[int, int, int]]:
-    """(step, slot, row) of the steps from ``first`` on, with reshuffling where an epoch has no whole batch left.
+class Shuffled:
+    """A keyed bijection of the numbers 0 to n - 1, another one for each epoch, as column expressions.
+
+    Numbers are pairs (left, right) below a * b, which is n or a little more. In each of ``TURNS`` turns a mix of one half
+    and a key is added to the other, modulo a or b, which can be undone. A number that leaves the range goes through again
+    until it is back; at most a - 1 numbers are outside, and of a large range so few that ``WALKS`` times never end there.
+    So neither a table of the permutation nor a replay of draws is needed: the place of a row, or the row at a place, is
+    computed from its number, in any task, for any epoch.
+    """
+
+    TURNS, WALKS = 4, 48
+
+    def __init__(self, n: int, seed: int, dataset_id: str):
+        if not 0 < n < 1 << 60:
+            raise ValueError("n must be positive and less than 2**60")
+        self.n, self.a = n, math.isqrt(n - 1) + 1
+        self.b = -(-n // self.a)
+        digest = hashlib.sha256(f"{seed}|{dataset_id}|epochs".encode()).digest()
+        #: Numbers below 2**31, two for each turn.
+        self.bases = [int.from_bytes(digest[4 * i : 4 * i + 4], "big") >> 1 for i in range(2 * self.TURNS)]
+
+    @staticmethod
+    def _mixed(x: Column) -> Column:
+        """Below 2**31, from a number below 2**32; products stay below 2**63."""
+        x = (x * 1103515245 + 12345) % 2147483647
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 1597334677) % 2147483629
+        return x.bitwiseXOR(F.shiftright(x, 15))
+
+    def _keys(self, epoch: Column) -> list[Column]:
+        """(k, l) of each turn."""
+        mixed = [self._mixed(F.lit(base).cast("long") + epoch) for base in self.bases]
+        return [F.struct(k.alias("k"), l.alias("l")) for k, l in zip(mixed[::2], mixed[1::2], strict=True)]
+
+    def _halves(self, x: Column) -> Column:
+        return F.struct(F.call_function("div", x, F.lit(self.b)).alias("left"), (x % self.b).alias("right"))
+
+    def _turned(self, x: Column, k: Column) -> Column:
+        def of(left: Column, right: Column) -> Column:
+            return let((left + self._mixed(right + k["k"])) % self.a, lambda left: left * self.b + (right + self._mixed(left + k["l"])) % self.b)
+
+        return let(self._halves(x), lambda h: of(h["left"], h["right"]))
+
+    def _turned_back(self, x: Column, k: Column) -> Column:
+        def of(left: Column, right: Column) -> Column:
+            return let((right + self.b - self._mixed(left + k["l"]) % self.b) % self.b, lambda right: (left + self.a - self._mixed(right + k["k"]) % self.a) % self.a * self.b + right)
+
+        return let(self._halves(x), lambda h: of(h["left"], h["right"]))
+
+    def _through(self, x: Column, keys: list[Column], turn) -> Column:
+        again = F.sequence(F.lit(1), F.lit(min(self.WALKS, max(1, self.a * self.b - self.n))))
+        return let(F.array(*keys), lambda k: F.aggregate(again, F.aggregate(k, x, turn), lambda y, _: F.when(y >= self.n, F.aggregate(k, y, turn)).otherwise(y)))
+
+    def place(self, row: Column, epoch: Column) -> Column:
+        """Where a row is in the order of an epoch."""
+        return self._through(row.cast("long"), self._keys(epoch.cast("long")), self._turned)
+
+    def row(self, place: Column, epoch: Column) -> Column:
+        """The row at a place."""
+        return self._through(place.cast("long"), self._keys(epoch.cast("long"))[::-1], self._turned_back)
+
+
+def _per_epoch(n: int, batch: int) -> int:
+    if not 0 < batch <= n:
+        raise ValueError("a batch must have a row, and not more than the table")
+    return n // batch
+
+
+def epoch_batches(rows: DataFrame, n: int, batch: int, steps: int, seed: int, first: int = 0, dataset_id: str = "", order: str = "row_idx") -> DataFrame:
+    """rows (numbered from 0 to n - 1) with ``step`` and ``slot`` for the steps from ``first`` on to ``steps`` (exclusive).
 
-    A resumed run replays the draws of the steps before, so it goes on with the rows that it would have had.
+    Each epoch goes through the table in an order of its own, in whole batches; what is left at its end is dropped, and the
+    next epoch begins. A resumed run needs no replay: a step's rows don't depend on where the run began.
     """
-    if batch > n_rows:
-        raise ValueError("a batch is larger than the table")
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    order, at, out = rng.permutation(n_rows), 0, []
-    for step in range(steps):
-        if at + batch > n_rows:
-            order, at = rng.permutation(n_rows), 0
-        if step >= first:
-            out += [(step, slot, int(row)) for slot, row in enumerate(order[at : at + batch])]
-        at += batch
-    return out
+    per_epoch = _per_epoch(n, batch)
+    if first >= steps:
+        return rows.filter(F.lit(False)).select("*", F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("slot"))
+    epochs = F.explode(F.sequence(F.lit(first // per_epoch), F.lit((steps - 1) // per_epoch))).alias("_epoch")
+    placed = rows.select("*", epochs).withColumn("_place", Shuffled(n, seed, dataset_id).place(F.col(order), F.col("_epoch")))
+    step = F.col("_epoch") * per_epoch + F.floor(F.col("_place") / batch)
+    found = placed.filter(F.col("_place") < per_epoch * batch).withColumn("step", step.cast("long")).withColumn("slot", (F.col("_place") % batch).cast("long"))
+    return row_range(found, first, steps, "step").drop("_epoch", "_place")
+
+
+def rows_of_steps(spark: SparkSession, n: int, batch: int, steps: int, seed: int, first: int = 0, dataset_id: str = "") -> DataFrame:
+    """(step, slot, row_idx): what epoch_batches() gives, found from the steps, without reading a table; for a few steps of a large one."""
+    per_epoch = _per_epoch(n, batch)
+    slots = spark.range(first * batch, max(first, steps) * batch).select(F.floor(F.col("id") / batch).alias("step"), (F.col("id") % batch).alias("slot"))
+    place = F.col("step") % per_epoch * batch + F.col("slot")
+    return slots.withColumn("row_idx", Shuffled(n, seed, dataset_id).row(place, F.floor(F.col("step") / per_epoch)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import training as R
 from tessera.functions import vectors as V
+from tessera.functions.columns import let
 from tessera.operators import evaluation, explanations, merging, rollouts, sampling
 from tessera.sources import corpus
 from tessera.sources.sidecar import DatasetMeta, Extraction, Slice
@@ -298,8 +299,12 @@ def eligible_positions(spark, sf_dir):
  SELECT doc_id, pos::INT AS pos, pos + 1 AS n_raw_tokens, array_to_string(w[1:pos + 1], ' ') AS prefix FROM r JOIN t USING (doc_id) WHERE r <= 10""")
 def sample_positions(spark, sf_dir):
     key, w = T.document_key("documents", "train", F.col("doc_id")), F.split("text", " ")
-    positions = sampling.sample_positions(sampling.eligible_positions(w, ["the", "de"]), 10, SEED, key)
-    each = F.transform(positions, lambda p: F.struct(p.alias("pos"), (p + 1).cast("long").alias("n_raw_tokens"), F.array_join(F.slice(w, F.lit(1), p + 1), " ").alias("prefix")))
+
+    def sampled(w):
+        positions = sampling.sample_positions(sampling.eligible_positions(w, ["the", "de"]), 10, SEED, key)
+        return F.transform(positions, lambda p: F.struct(p.alias("pos"), (p + 1).cast("long").alias("n_raw_tokens"), F.array_join(F.slice(w, F.lit(1), p + 1), " ").alias("prefix")))
+
+    each = let(w, sampled)
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
 
 
@@ -384,6 +389,43 @@ def rank_slice(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(name) for name, c in sampling.batch_slots(F.col("o_orderkey"), 64, 4, 4096).items()])
 
 
+def _mixed_sql(x: str) -> str:
+    """The mix of two halves of a number, as sampling.Shuffled has it."""
+    turn = lambda x, mul, add, mod: f"(({x} * {mul} + {add}) % {mod})"
+    fold = lambda x, k: f"list_reduce([{x}, {k}::BIGINT], lambda u, s: xor(u, u >> s::INT))"
+    return fold(turn(fold(turn(f"({x})", 1103515245, 12345, 2147483647), 16), 1597334677, 0, 2147483629), 15)
+
+
+def _epochs_sql(batch: int, first: int, steps: int) -> str:
+    bases = sampling.Shuffled(2, SEED, "base").bases
+    key = lambda i: _mixed_sql(f"{bases[i]}::BIGINT + epoch")
+    keys = "[" + ", ".join(f"{{'k': {key(2 * i)}, 'l': {key(2 * i + 1)}}}" for i in range(len(bases) // 2)) + "]"
+    left = lambda i: f"((x{i} // b + {_mixed_sql(f'x{i} % b + ks[{i + 1}].k')}) % a)"
+    ctes, turns = [], len(bases) // 2
+    for i in range(turns):  # a column for each half turn
+        ctes.append(f"l{i} AS (SELECT *, {left(i)} AS y{i} FROM {'w' if i == 0 else f't{i - 1}'})")
+        ctes.append(f"t{i} AS (SELECT *, y{i} * b + (x{i} % b + {_mixed_sql(f'y{i} + ks[{i + 1}].l')}) % b AS x{i + 1} FROM l{i})")
+    return f"""WITH z AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, (count(*) + ceil(sqrt(count(*)))::BIGINT - 1) // ceil(sqrt(count(*)))::BIGINT AS b, count(*) // {batch} AS per FROM orders),
+ e AS (SELECT n, a, b, per, epoch, {keys} AS ks FROM z, generate_series({first} // (SELECT per FROM z), {steps - 1} // (SELECT per FROM z)) AS u(epoch)),
+ w AS (SELECT *, v AS x0 FROM e, generate_series(0, (SELECT a * b - 1 FROM z)) AS u(v)), {", ".join(ctes)}"""
+
+
+_EPOCH = (1000, 5, 40)
+
+
+@query(f"""{_epochs_sql(*_EPOCH)}, m AS (SELECT n, per, epoch, v, x4 FROM t3),
+ c AS (SELECT n, per, epoch, v, CASE WHEN a.x4 < n THEN a.x4 END AS p, a.x4 AS q FROM m a),
+ d AS (SELECT n, per, epoch, v, coalesce(p, r) AS place FROM (SELECT c.*, CASE WHEN p IS NULL THEN (WITH RECURSIVE g(x, i) AS (SELECT c.q, 0 UNION ALL SELECT m.x4, i + 1 FROM g JOIN m ON m.epoch = c.epoch AND m.v = g.x WHERE g.x >= c.n) SELECT x FROM g WHERE x < c.n LIMIT 1) END AS r FROM c) WHERE v < n)
+ SELECT o_orderkey, epoch * per + place // {_EPOCH[0]} AS step, place % {_EPOCH[0]} AS slot FROM d JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) ON r = v
+ WHERE place < per * {_EPOCH[0]} AND step BETWEEN {_EPOCH[1]} AND {_EPOCH[2] - 1}""")
+def epoch_batches(spark, sf_dir):
+    """The rows of steps 5 to 39, which reach into a third epoch at least, without a replay of the steps before."""
+    rows = corpus.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    batch, first, steps = _EPOCH
+    made = sampling.epoch_batches(rows, rows.count(), batch, steps, SEED, first, "base")
+    return made.select("o_orderkey", "step", "slot")
+
+
 # Explanations and training tables
 
 _CACHE = "k AS (SELECT text, 'C' || doc_id || chr(10) || chr(10) || lang AS e, doc_id % 3 AS f, doc_id AS r FROM documents WHERE lang <> 'en'), c AS (SELECT sha256(text) AS h, arg_max(e, f * 1000000000 + r) AS e FROM k GROUP BY 1)"
@@ -558,20 +600,21 @@ _LOGITS = """x AS (SELECT vec_id AS token, unnest(embedding)::DOUBLE * 8 AS logi
 
 
 def _logits(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select(F.col("vec_id").alias("token"), F.posexplode(F.arrays_zip("embedding", "pred")).alias("entry", "z"))
-    rows = p.select("token", "entry", (F.col("z.embedding").cast("double") * 8).alias("logit"), (F.col("z.pred").cast("double") * 8).alias("rl"))
-    return rollouts.log_softmax(rollouts.log_softmax(rows, ["token"], "logit", "lp"), ["token"], "rl", "lq")
+    """Each vector as the logits of a token, and the next one as those of a reference."""
+    eight = lambda c: F.transform(c, lambda x: x.cast("double") * 8).alias(c)
+    return _pairs(spark, sf_dir).select(F.col("vec_id").alias("token"), eight("embedding"), eight("pred"))
 
 
 @query(f"WITH {_LOGITS} SELECT token, round(sum(exp(lp) * (lp - lq)), 6) AS kl, round(-sum(exp(lp) * lp), 6) AS entropy FROM z GROUP BY token")
 def kl_full_entropy(spark, sf_dir):
-    return rollouts.full_kl(_logits(spark, sf_dir), ["token"]).select("token", r6("kl").alias("kl"), r6("entropy").alias("entropy"))
+    found = _logits(spark, sf_dir).select("token", rollouts.divergence(F.col("embedding"), F.col("pred")).alias("d"))
+    return found.select("token", r6("d.kl").alias("kl"), r6("d.entropy").alias("entropy"))
 
 
 @query(f"""WITH {_LOGITS}, k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY logit DESC, entry) AS r FROM z), s AS (SELECT token, sum(exp(lp) * (lp - lq)) FILTER (r <= 8) AS head, greatest(1e-9, 1 - sum(exp(lp)) FILTER (r <= 8)) AS tp, greatest(1e-9, 1 - sum(exp(lq)) FILTER (r <= 8)) AS tq FROM k GROUP BY token)
  SELECT token, round(head + tp * ln(tp / tq), 6) AS kl FROM s""")
 def kl_topk_tail(spark, sf_dir):
-    return rollouts.coarsened_kl(_logits(spark, sf_dir), ["token"], 8).select("token", r6("kl").alias("kl"))
+    return _logits(spark, sf_dir).select("token", r6(rollouts.coarsened_divergence(F.col("embedding"), F.col("pred"), 8)).alias("kl"))
 
 
 _IDS = "i AS (SELECT l_orderkey, list(l_partkey % 7 ORDER BY l_linenumber, l_partkey % 7) AS ids FROM lineitem GROUP BY 1)"
@@ -729,6 +772,14 @@ def throughput(spark, sf_dir):
     return g.select("step", *[r6(c).alias(c) for c in g.columns if c != "step"])
 
 
+@query("""WITH m AS (SELECT user_id, event_type AS phase, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type)) - epoch_us(ts) AS us FROM events),
+ s AS (SELECT user_id, phase, sum(us) / 1e6 AS seconds FROM m WHERE us IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, sum(seconds) OVER (PARTITION BY user_id) AS whole FROM s)
+ SELECT user_id, phase, round(seconds, 6) AS seconds, round(CASE WHEN whole > 0 THEN seconds / whole END, 6) AS share FROM w""")
+def phase_timings(spark, sf_dir):
+    p = rollouts.phase_seconds(table(spark, sf_dir, "events"), "event_type", "ts", "user_id")
+    return p.select("user_id", "phase", r6("seconds").alias("seconds"), r6("share").alias("share"))
+
+
 @query("SELECT count(DISTINCT sha256(text)) AS distinct_texts, count(*) AS rows FROM documents")
 def distinct_texts(spark, sf_dir):
     return corpus.distinct_texts(table(spark, sf_dir, "documents"))

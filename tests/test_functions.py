@@ -100,17 +100,40 @@ def test_advantage_of_one_row_and_of_masked_rows(spark):
     assert got == [(1, 3.0, 0.0), (2, 1.0, -0.7071), (2, 3.0, 0.7071), (2, 9.0, 0.0)]
 
 
-def test_coarsened_divergence_lies_between_zero_and_the_full_one(spark):
+def test_divergences_of_whole_arrays(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(6, 40)) * 2, rng.normal(size=(6, 40)) * 2
-    df = spark.createDataFrame([(t, e, float(a[t, e]), float(b[t, e])) for t in range(6) for e in range(40)], "token int, entry int, logit double, rl double")
-    rows = rollouts.log_softmax(rollouts.log_softmax(df, ["token"], "logit", "lp"), ["token"], "rl", "lq").cache()
-    full = {r["token"]: r["kl"] for r in rollouts.full_kl(rows, ["token"]).collect()}
-    for k in (8, 40):
-        for r in rollouts.coarsened_kl(rows, ["token"], k).collect():
-            assert -1e-9 <= r["kl"] <= full[r["token"]] + 1e-6
-            if k == 40:
-                assert r["kl"] == pytest.approx(full[r["token"]], abs=1e-6)
+    a[5] = np.round(a[5])  # ties, of which the first count
+    a[4], b[4] = a[4] + 900, b[4] - 900  # nothing overflows
+    rows = [(t, a[t].tolist(), b[t].tolist()) for t in range(6)] + [(6, None, [1.0]), (7, [], []), (8, [1.0], [1.0, 2.0]), (9, [3.0], [-7.0]), (10, [1.0, 2.0], [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "token int, x array<double>, y array<double>").repartition(3)
+    x, y = F.col("x"), F.col("y")
+    made = df.select("token", rollouts.divergence(x, y).alias("full"), *[rollouts.coarsened_divergence(x, y, k).alias(f"k{k}") for k in (1, 8, 40, 99)])
+    got = {r["token"]: r for r in made.collect()}
+    for t in range(6):
+        p, q = (np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in (a[t], b[t]))
+        full = (p * np.log(p / q)).sum()
+        assert got[t]["full"]["kl"] == pytest.approx(full, rel=1e-9) and got[t]["full"]["entropy"] == pytest.approx(-(p * np.log(p)).sum(), rel=1e-9)
+        for k in (1, 8, 40, 99):
+            best = sorted(range(40), key=lambda i: (-a[t][i], i))[:k]
+            tp, tq = (max(1e-9, 1 - v[best].sum()) for v in (p, q))
+            assert got[t][f"k{k}"] == pytest.approx((p[best] * np.log(p[best] / q[best])).sum() + tp * np.log(tp / tq), abs=1e-6)
+            assert -1e-6 <= got[t][f"k{k}"] <= full + 1e-6
+    assert all(got[t]["k8"] is None and got[t]["full"]["kl"] is None for t in (6, 7, 8))
+    assert got[9]["full"] == (0, 0) and got[10]["k1"] == pytest.approx(0)
+    assert "Generate" not in made._jdf.queryExecution().toString() and "Window" not in made._jdf.queryExecution().toString()
+
+
+def test_baselines_of_wide_vectors(spark):
+    from tessera.operators import evaluation
+
+    x = np.random.default_rng(4).normal(size=(200, 32)) * 3 + 1
+    rows = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "v array<double>").repartition(5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True) * 4
+    mean = unit.mean(axis=0)
+    got = evaluation.baselines(rows, "v", 4.0).first()
+    assert got["raw_baseline"] == pytest.approx(((unit - mean) ** 2).mean()) and got["meannorm_baseline"] == pytest.approx(((unit - mean * 4 / np.linalg.norm(mean)) ** 2).mean())
+    assert list(evaluation.baselines(rows.limit(0), "v", 4.0).first()) == [None, None]
 
 
 def test_schedule(spark):

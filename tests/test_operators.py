@@ -1,6 +1,7 @@
 """Properties of sampling, splits, explanations, merging, sidecars, chunks and settings."""
 
 import dataclasses
+import hashlib
 import os
 import time
 
@@ -64,9 +65,66 @@ def test_permutation_and_batches(spark):
     order = [r["row_idx"] for r in sampling.permuted(rows, 0, "d1").collect()]
     assert sorted(order) == list(range(1000)) and order != sorted(order)
     assert order != [r["row_idx"] for r in sampling.permuted(rows, 0, "d2").collect()]
-    made = sampling.epoch_batches(10, 4, 5, 1)
-    assert made == sampling.epoch_batches(10, 4, 5, 1)
-    assert len({row for step, _, row in made if step < 2}) == 8 and len(made) == 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 97, 1000, 4096])
+def test_shuffled_is_a_bijection_for_each_epoch(spark, n):
+    s = sampling.Shuffled(n, 3, "d")
+    rows = spark.range(n).select("id", F.explode(F.array(*[F.lit(e) for e in (0, 1, 7)])).alias("e"))
+    got = rows.withColumn("p", s.place(F.col("id"), F.col("e"))).withColumn("back", s.row(F.col("p"), F.col("e"))).collect()
+    places = {e: [r["p"] for r in sorted(got, key=lambda r: r["id"]) if r["e"] == e] for e in (0, 1, 7)}
+    assert all(sorted(p) == list(range(n)) for p in places.values()) and all(r["back"] == r["id"] for r in got)
+    if n > 90:
+        assert len({tuple(p) for p in places.values()}) == 3
+        # Neighbours don't stay together: their distances are as wide as those of a random order.
+        assert all(np.mean(np.abs(np.diff(p))) > n / 4 for p in places.values())
+
+
+def test_shuffled_of_very_many(spark):
+    for n in (10**9 + 7, 2**59):
+        s = sampling.Shuffled(n, 3, "d")
+        rows = spark.range(0, n, n // 1000).withColumn("p", s.place(F.col("id"), F.lit(5))).withColumn("back", s.row(F.col("p"), F.lit(5))).collect()
+        assert all(r["back"] == r["id"] and 0 <= r["p"] < n for r in rows) and len({r["p"] for r in rows}) == len(rows)
+
+
+def test_epoch_batches(spark):
+    n, batch, steps = 103, 10, 25
+    rows = spark.range(n).withColumnRenamed("id", "row_idx")
+    made = sampling.epoch_batches(rows, n, batch, steps, 1)
+    got = sorted((r["step"], r["slot"], r["row_idx"]) for r in made.collect())
+    assert [x[:2] for x in got] == [(s, b) for s in range(steps) for b in range(batch)]
+    for epoch in (0, 1):
+        assert len({row for step, _, row in got if step // 10 == epoch}) == 100
+    assert [x[2] for x in got[:100]] != [x[2] for x in got[100:200]]
+    for first in (0, 7, 13, 24, 25, 30):  # resumed, nothing is replayed
+        assert sorted((r["step"], r["slot"], r["row_idx"]) for r in sampling.epoch_batches(rows, n, batch, steps, 1, first).collect()) == [x for x in got if x[0] >= first]
+        assert sorted(map(tuple, sampling.rows_of_steps(spark, n, batch, steps, 1, first).collect())) == [x for x in got if x[0] >= first]
+    for bad in (0, n + 1):
+        with pytest.raises(ValueError):
+            sampling.epoch_batches(rows, n, bad, 1, 1)
+
+
+def test_counters_come_with_the_job_that_writes(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = spark.createDataFrame([(i, list(range(i % 5))) for i in range(20)], "doc_id long, p array<int>").mapInArrow(counting, "doc_id long, p array<int>")
+    seen, counters = sampling.observed(docs, "p", 3)
+    seen.write.parquet(f"{tmp_path}/seen")
+    assert counters.get == {"docs": 20, "skipped": 4, "short_sampled": 8, "rows": 4 * (1 + 2 + 3 + 3)} and read.value == 20
+    assert counters.get == sampling.coverage(spark.read.parquet(f"{tmp_path}/seen"), "p", 3).first().asDict()
+
+
+def test_phase_seconds(spark):
+    marks = spark.sql("SELECT * FROM VALUES (1, 'gen', timestamp'2024-01-01 00:00:00'), (1, 'score', timestamp'2024-01-01 00:00:06'), (1, 'gen', timestamp'2024-01-01 00:00:08'), (1, 'end', timestamp'2024-01-01 00:00:10.5'), (2, 'end', timestamp'2024-01-01 00:00:00') AS t(step, phase, at)")
+    got = {(r["step"], r["phase"]): (r["seconds"], round(r["share"], 4)) for r in rollouts.phase_seconds(marks, "phase", "at", "step").collect()}
+    assert got == {(1, "gen"): (8.5, 0.8095), (1, "score"): (2.0, 0.1905)}
+    with pytest.raises(ValueError):
+        rollouts.phase_seconds(marks, "phase", "at")
 
 
 def test_numbering_has_no_gaps(spark):
@@ -118,10 +176,7 @@ def test_corpora_are_staged_beforehand(spark, tmp_path):
         corpus.scan(spark, f"{tmp_path}/a.parquet", ["none"])
 
 
-def test_resumed_batches_and_kept_texts(spark):
-    assert sampling.epoch_batches(10, 4, 5, 1, first=3) == [x for x in sampling.epoch_batches(10, 4, 5, 1) if x[0] >= 3]
-    with pytest.raises(ValueError):
-        sampling.epoch_batches(3, 4, 1, 1)
+def test_kept_texts(spark):
     rows = spark.createDataFrame([("e", "t", [1.0], 1, 1, "d")], "api_explanation string, detokenized_text_truncated string, activation_vector array<double>, n_raw_tokens int, activation_layer int, doc_id string")
     assert "detokenized_text_truncated" in explanations.build(rows, "rl", "a", keep_text=True).columns
     assert "detokenized_text_truncated" not in explanations.build(rows, "rl", "a").columns
@@ -151,6 +206,52 @@ def test_distractors_never_share_a_document(spark):
     assert all(sorted(by[i]) == [29, 30, 31] for i in range(29))
     assert evaluation.distractors(rows.filter("i < 29"), 4, 1).count() == 0
     assert evaluation.distractors(rows.limit(0), 4, 1).count() == 0
+
+
+def plain_distractors(rows, k, seed):
+    """The same draws, one source at a time."""
+    fit = [(i, t) for i, t in rows if t]
+    sha = lambda *parts: hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).hexdigest()
+    ring, out = sorted(fit, key=lambda r: (sha("ring", r[0]), r[0])), {}
+    for i, t in fit:
+        start = int(sha("start", i)[:8], 16) % len(fit)
+        good = [j for j, o in ring[start:] + ring[:start] if j != i and not o.startswith(t) and not t.startswith(o)]
+        if len(good) >= k - 1:
+            out[i] = good[: k - 1]
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 2, 3, 9])
+def test_distractors_where_most_texts_agree(spark, few):
+    """Rows that meet grow with the sources, not with their square, and the draws stay what they are."""
+    texts = ["same text"] * 900 + [f"other {i}" for i in range(few)] + ["same text and more", "same"][: few]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "i long, text string").repartition(3)
+    got = {}
+    for r in evaluation.distractors(df, 4, 1).orderBy("i", "r").collect():
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == plain_distractors(rows, 4, 1)
+
+
+def test_sources_of_one_text_meet_few_others(spark, monkeypatch):
+    met, keep = [], storage.kept
+
+    def counting(df, name):
+        made = keep(df, name)
+        if name == "rings":
+            met.append(made.count())
+        return made
+
+    monkeypatch.setattr(storage, "kept", counting)
+    for n in (400, 1600):
+        df = spark.createDataFrame([(i, "same" if i >= 40 else f"o{i}") for i in range(n)], "i long, text string")
+        assert evaluation.distractors(df, 4, 1).count() == 3 * n
+    assert met == [400 + 40, 1600 + 40]
+
+
+def test_match_options_hold_the_true_one(spark):
+    texts = ["a" * n for n in range(1, 30)] + [f"b{i}" for i in range(3)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     for r in evaluation.match_options(rows, 4, 1).collect():
         assert r["options"][r["true_pos"]] == texts[r["i"]] and len(set(r["options"])) == 4
 
