@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.providers import spread
 from tessera.sources import storage
 
 
@@ -42,7 +43,7 @@ def explain(
     The provider's answers are written before anything reads them, so that each miss is asked for once; put(misses, provider)
     does that (``chunks.run`` makes it restartable), by default into the shared folder. The filter applies to hits, too.
     """
-    put = put or (lambda asked, answer: storage.kept(answer(asked), "answers"))
+    put = put or (lambda asked, answer: storage.kept(answer(spread(asked, answer)), "answers"))
     flagged = cached(rows, cache, text)
     asked = put(flagged.filter("api_explanation IS NULL").drop("api_explanation"), provider)
     return flagged.filter("api_explanation IS NOT NULL").unionByName(asked).filter(enough_features("api_explanation"))

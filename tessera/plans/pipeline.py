@@ -182,11 +182,11 @@ def run(
     def explained(rows: DataFrame, name: str) -> DataFrame:
         def answered(asked: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
             parts, numbered = f"{s.output}/parts/explained/{name}", corpus.numbered(asked, "doc_id", "n_raw_tokens")
-            n = numbered.count()
+            n, bound = numbered.count(), getattr(answer, "bound", None)
             chunks.guarded(spark, parts, chunks.fingerprint(spark, at["split", name], n, s.chunk_rows))
             if not n:
                 return answer(asked)
-            return chunks.run(spark, numbered, parts, s.chunk_rows, lambda rows: answer(rows.drop("row_idx")), n_rows=n).drop("chunk_id")
+            return chunks.run(spark, numbered, parts, s.chunk_rows, lambda rows: answer(rows.drop("row_idx")), n_rows=n, at_once=bound.tasks if bound else None).drop("chunk_id")
 
         text = rows.withColumn("text", F.col("detokenized_text_truncated"))
         return explanations.explain(text, cache, provider, put=answered).drop("text")

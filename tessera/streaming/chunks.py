@@ -41,7 +41,21 @@ def committed(spark: SparkSession, out: str) -> list[int]:
     return sorted({int(file.getPath().getParent().getName().partition("=")[2]) for file in fs.globStatus(where) or []})
 
 
-def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: Callable[[DataFrame], DataFrame], order: str = "row_idx", n_rows: int | None = None) -> DataFrame:
+def append(made: DataFrame, out: str) -> None:
+    """Adds chunks; a task's files get to their place when it commits, not when the job does."""
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(CHUNK).parquet(out)
+
+
+def run(
+    spark: SparkSession,
+    rows: DataFrame,
+    out: str,
+    chunk_rows: int,
+    work: Callable[[DataFrame], DataFrame],
+    order: str = "row_idx",
+    n_rows: int | None = None,
+    at_once: int | None = None,
+) -> DataFrame:
     """work(rows) by chunks of row numbers (``order``, from 0), as one job; chunks that are committed are left alone.
 
     The rows are read once, however many chunks there are, and each chunk goes to one task. A task's files are moved to
@@ -49,11 +63,13 @@ def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: C
     next one takes the rows of open chunks alone, by an anti-join with the chunks that stand, and again in one job. A chunk
     without any output has no file; until the whole run has ended (which is noted beside the table) it counts as open.
 
+    With at_once no more than so many tasks work at a time: the rows are staged by chunks first (they are still read once),
+    and each job takes so many of the staged folders. That is for work that waits for others, such as a service's answers.
+
     work gets the rows with ``chunk_id``, keeps that column, and leaves rows in their partitions. n_rows, if it is known,
     saves a look at the numbers.
     """
-    log, chunk = f"{out}.finished.json", F.expr(f"int(`{order}` div {chunk_rows})")
-    numbered = rows.withColumn(CHUNK, chunk)
+    log, staged, chunk = f"{out}.finished.json", f"{out}.staged", F.expr(f"int(`{order}` div {chunk_rows})")
     if not storage.exists(spark, log):
         if n_rows is None:
             last = rows.agg(F.max(order)).first()[0]
@@ -61,17 +77,24 @@ def run(spark: SparkSession, rows: DataFrame, out: str, chunk_rows: int, work: C
         if not n_rows:
             raise ValueError("nothing to do")
         chunks, done = -(-n_rows // chunk_rows), committed(spark, out)
+        numbered, tasks = rows.withColumn(CHUNK, chunk), min(chunks, MOST_TASKS)
         if done:
             numbered = numbered.join(spark.createDataFrame([(c,) for c in done], f"{CHUNK} int"), CHUNK, "left_anti").select(*rows.columns, CHUNK)
-        if len(done) < chunks:
-            tasks = min(chunks, MOST_TASKS)
-            dealt = numbered.repartitionById(tasks, F.expr(f"{CHUNK} % {tasks}"))
-            made = work(dealt)
-            made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(CHUNK).parquet(out)
-            schema = made.schema
+        dealt = numbered.repartitionById(tasks, F.expr(f"{CHUNK} % {tasks}"))
+        if at_once is None:
+            if len(done) < chunks:
+                append(work(dealt), out)
         else:
-            schema = spark.read.parquet(out).schema
+            if not storage.exists(spark, f"{staged}/_SUCCESS"):
+                dealt.write.mode("overwrite").partitionBy(CHUNK).parquet(staged)
+            from_disk, open_ = spark.read.schema(numbered.schema).parquet(staged), sorted(set(range(chunks)) - set(done))
+            for first in range(0, len(open_), at_once):
+                own = open_[first : first + at_once]
+                place = F.array_position(F.array(*[F.lit(c) for c in own]), F.col(CHUNK)) - 1
+                append(work(from_disk.filter(F.col(CHUNK).isin(own)).repartitionById(len(own), place.cast("int"))), out)
+        schema = spark.read.parquet(out).schema if committed(spark, out) else work(dealt).schema
         storage.write_text(spark, log, json.dumps({"chunks": chunks, "schema": schema.jsonValue()}))
+        storage.delete(spark, staged)
     return spark.read.schema(StructType.fromJson(json.loads(storage.read_text(spark, log))["schema"])).parquet(out)
 
 

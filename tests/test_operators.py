@@ -2,15 +2,17 @@
 
 import dataclasses
 import hashlib
+import json
 import os
 import time
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens
-from tessera.operators import evaluation, explanations, merging, providers, rollouts, sampling
+from tessera.operators import batches, evaluation, explanations, judging, merging, providers, rollouts, sampling
 from tessera.plans import config, pipeline
 from tessera.sources import corpus, sidecar, storage
 from tessera.streaming import chunks
@@ -323,23 +325,181 @@ def test_providers():
     for bad in (["down", "down", "c"], ["blank"], ["odd"]):
         with pytest.raises((RuntimeError, ValueError)):
             providers.Concurrent(ask).complete(bad)
-    sent = {}
-
-    def send(requests):
-        sent[len(sent)] = requests
-        return len(sent) - 1
-
-    def fetch(handle):
-        return [(name, "failed" if "down" in p else "refusal" if p == "no" else "succeeded", p) for name, p in reversed(sent[handle]) if p != "lost"]
-
-    batched = providers.Batched(send, fetch, 2)
-    assert batched.complete(["a", "no", "lost", "d", "down", "f"]) == ["a", None, None, "d", None, "f"] and len(sent) == 3
-    with pytest.raises(RuntimeError):
-        batched.complete(["down", "down"])
     for bad in ([], ["a", "b"], [""], [3]):
         with pytest.raises(ValueError):
             providers.checked(type("P", (), {"complete": lambda self, p, bad=bad: bad})(), ["x"])
-    assert providers.checked(batched, []) == [] and storage.by_path("math:sqrt")(4) == 2
+    assert providers.checked(providers.Concurrent(ask), []) == [] and storage.by_path("math:sqrt")(4) == 2
+
+
+def test_what_is_late_has_no_answer(spark):
+    def ask(prompt):
+        time.sleep(float(prompt))
+        return "end", prompt
+
+    began = time.time()
+    assert providers.Concurrent(ask, 2).complete(["0", "30", "0.1", "0.2"], time.time() + 1.5) == ["0", None, "0.1", "0.2"]
+    assert providers.Concurrent(ask, 1).complete(["30", "0"], time.time() + 0.5) == [None, None]
+    assert providers.Concurrent(ask).complete(["0"], time.time() - 1) == [None] and time.time() - began < 10
+
+
+class InFlight:
+    """Notes how many calls are open at once, over all tasks."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, prompt):
+        own = f"{self.folder}/open/{uuid.uuid4().hex}"
+        open(own, "w").close()
+        with open(f"{self.folder}/seen", "a") as f:
+            f.write(f"{len(os.listdir(f'{self.folder}/open'))}\n")
+        time.sleep(0.05)
+        os.remove(own)
+        return "end", prompt.upper()
+
+
+@pytest.mark.parametrize("chunked", [False, True])
+def test_calls_in_flight_have_a_bound(spark, tmp_path, chunked):
+    os.mkdir(f"{tmp_path}/open")
+    ask, bound = InFlight(str(tmp_path)), providers.Bound(6, 3)
+    assert bound.width == 2
+    rows = spark.range(80).select(F.col("id").alias("row_idx"), F.concat(F.lit("t"), "id").alias("text")).repartition(16)
+    provider = providers.asking(lambda width: providers.Concurrent(ask, width), bound=bound)
+    if chunked:
+        made = chunks.run(spark, rows, f"file://{tmp_path}/out", 10, provider, at_once=bound.tasks)
+        assert chunks.committed(spark, f"file://{tmp_path}/out") == list(range(8)) and not storage.exists(spark, f"file://{tmp_path}/out.staged")
+    else:
+        made = storage.kept(provider(providers.spread(rows, provider)), "bounded")
+    assert {r["row_idx"]: r["api_explanation"] for r in made.collect()} == {i: f"T{i}" for i in range(80)}
+    seen = [int(x) for x in open(f"{tmp_path}/seen")]
+    assert len(seen) == 80 and 2 < max(seen) <= 6
+    with pytest.raises(ValueError):
+        providers.Bound(2, 3)
+
+
+class Later:
+    """A service that keeps what it gets in a folder and is done when a file says so."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def find(self, name):
+        return f"h-{name}" if os.path.exists(f"{self.folder}/h-{name}") else None
+
+    def send(self, name, requests):
+        with open(f"{self.folder}/h-{name}", "w") as f:
+            json.dump(requests, f)
+        with open(f"{self.folder}/log", "a") as f:
+            f.write(f"{name} {len(requests)}\n")
+        if os.path.exists(f"{self.folder}/lose"):
+            os.remove(f"{self.folder}/lose")
+            raise RuntimeError("lost after sending")
+        return f"h-{name}"
+
+    def ended(self, handle):
+        return os.path.exists(f"{self.folder}/all") or handle.endswith("-1")
+
+    def fetch(self, handle):
+        with open(f"{self.folder}/h-{handle[2:]}") as f:
+            for name, prompt in reversed(json.load(f)):
+                if "lost" not in prompt:
+                    yield name, "expired" if "down" in prompt else "refusal" if "no" in prompt else "succeeded", None if "no" in prompt else f" {prompt}! "
+
+
+def test_batches_are_sent_once_and_fetched_as_they_end(spark, tmp_path):
+    at, folder = f"file://{tmp_path}/state", str(tmp_path)
+    make = lambda: Later(folder)
+    prompts = [f"q{i}" for i in range(23)]
+    prompts[3], prompts[4], prompts[5], prompts[12] = "no", "down", "lost", None
+    requests = spark.createDataFrame(list(enumerate(prompts)), "idx long, prompt string").repartition(5)
+    open(f"{folder}/lose", "w").close()
+    with pytest.raises(Exception, match="lost after sending"):
+        batches.submit(spark, requests, at, make, 10)
+    for _ in range(2):  # neither what was noted nor what was only sent is sent again
+        sent = batches.submit(spark, requests, at, make, 10)
+    assert sorted((r["chunk_id"], r["n"]) for r in sent.collect()) == [(0, 10), (1, 10), (2, 3)]
+    log = [x.split() for x in open(f"{folder}/log")]
+    assert len({name for name, _ in log}) == 3 == len(log)
+    assert batches.poll(spark, at, make) == 2 and batches.poll(spark, at, make) == 2
+    assert {r["idx"] for r in batches.answers(spark, at).collect()} == set(range(10, 20))
+    open(f"{folder}/all", "w").close()
+    assert batches.poll(spark, at, make) == 0 == batches.poll(spark, at, make)
+    got = {r["idx"]: r["text"] for r in batches.answers(spark, at).collect()}
+    assert got == {i: f"{p or ''}!" for i, p in enumerate(prompts) if i not in (3, 4, 5)}
+    with pytest.raises(ValueError, match="another input"):
+        batches.submit(spark, requests.withColumn("prompt", F.upper("prompt")), at, make, 10)
+    with pytest.raises(ValueError, match="numbered"):
+        batches.submit(spark, requests.filter("idx > 0"), f"{at}2", make, 10)
+    bad = spark.createDataFrame([(0, "down"), (1, "down"), (2, "ok")], "idx long, prompt string")
+    batches.submit(spark, bad, f"{at}3", make, 2)
+    assert batches.poll(spark, f"{at}3", make) == 0
+    with pytest.raises(RuntimeError, match="sub-batch 0"):
+        batches.answers(spark, f"{at}3")
+
+
+def test_batches_as_a_provider_of_explanations(spark, tmp_path):
+    open(f"{tmp_path}/all", "w").close()
+    rows = spark.createDataFrame([(f"d{i}", i, f"<a>t{i}\n- second</a>") for i in range(7)], "doc_id string, n_raw_tokens int, text string")
+    cache = spark.createDataFrame([("<a>t1\n- second</a>", "a\n\nb", 0, 0)], "text string, api_explanation string, file_ord int, row_ord int")
+    folder = str(tmp_path)
+    provider = batches.completing(f"file://{tmp_path}/state", lambda: Later(folder), ("doc_id", "n_raw_tokens"), "Say {text}", extract=r"<a>\s*(.*?)\s*</a>", size=3, every=0.1)
+    got = {r["doc_id"]: r["api_explanation"] for r in explanations.explain(rows, cache, provider).collect()}
+    assert got["d1"] == "a\n\nb" and got["d0"].startswith("t0") and set(got) == {f"d{i}" for i in range(7)}
+    assert sorted(int(x.split()[1]) for x in open(f"{tmp_path}/log")) == [3, 3]
+
+
+class Judge:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, prompt):
+        with open(f"{self.folder}/asked", "a") as f:
+            f.write(hashlib.sha256(prompt.encode()).hexdigest() + "\n")
+        if "slow" in prompt:
+            time.sleep(60)
+        if "broken" in prompt:
+            raise KeyError("whatever")
+        if "stop" in prompt and os.path.exists(f"{self.folder}/stop"):
+            time.sleep(4)
+            os._exit(1)
+        return "end", "B" if "SOURCE" in prompt else "7" if "coherence" not in prompt and "fit together" not in prompt else "none"
+
+
+def test_a_judge_from_tasks_to_its_summary(spark, tmp_path):
+    folder = str(tmp_path)
+    said = [(i, f"explanation {i}", f"{i} source") for i in range(30)]
+    rows = spark.createDataFrame([*said, (30, None, "x source"), (31, "broken", "y source")], "i long, explanation string, source string")
+    make = judging.judge(Judge(folder))
+    made = judging.scores(spark, rows, f"file://{tmp_path}/a", make, seed=1, chunk_rows=40)
+    got = evaluation.judge_summary(made).first()
+    jobs = {(r["i"], r["dim"]): r["true_pos"] for r in evaluation.judge_jobs(rows, seed=1).collect()}
+    right = [p == 1 for (i, d), p in jobs.items() if d == evaluation.MATCH and i < 30]
+    assert len(jobs) == 31 * 6 and got["specificity_mean"] == 7 and np.isnan(got["coherence_mean"]) and got["n_judged"] == 31
+    assert got["source_match_acc"] == pytest.approx(np.mean(right)) and got["judge_fail_rate"] == pytest.approx((6 + 30) / 186)
+    asked = open(f"{folder}/asked").read().split()
+    assert len(asked) == 186 == len(set(asked))
+    # Again: nothing is asked. A run that broke asks for its open chunks.
+    assert str(evaluation.judge_summary(judging.scores(spark, rows, f"file://{tmp_path}/a", make, seed=1, chunk_rows=40)).first()) == str(got) and len(open(f"{folder}/asked").read().split()) == 186
+    stopping = rows.withColumn("explanation", F.when(F.col("i") == 29, "stop here").otherwise(F.col("explanation")))
+    open(f"{folder}/stop", "w").close()
+    with pytest.raises(Exception):  # the worker dies
+        judging.scores(spark, stopping, f"file://{tmp_path}/b", make, seed=1, chunk_rows=40)
+    done = chunks.committed(spark, f"file://{tmp_path}/b")
+    assert 0 < len(done) < 5
+    os.remove(f"{folder}/stop")
+    os.remove(f"{folder}/asked")
+    assert judging.scores(spark, stopping, f"file://{tmp_path}/b", make, seed=1, chunk_rows=40).filter("score = 7").count() == 30 * 4
+    assert len(open(f"{folder}/asked").read().split()) <= 186 - 26 * len(done)
+
+
+def test_a_judge_keeps_its_deadline(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "slow" if i == 1 else "fast", f"{i} source") for i in range(5)], "i long, explanation string, source string")
+    began = time.time()
+    made = judging.scores(spark, rows, f"file://{tmp_path}/a", judging.judge(Judge(str(tmp_path))), seed=1, seconds=15)
+    got = {(r["i"], r["dim"]): r["score"] for r in made.collect()}
+    assert time.time() - began < 45 and got[1, "specificity"] is None and got[0, "specificity"] == 7
+    none = judging.scores(spark, rows.limit(0), f"file://{tmp_path}/b", judging.judge(Judge(str(tmp_path))))
+    assert evaluation.judge_summary(none).first()["n_judged"] == 0
 
 
 def test_failure_rate(spark):
