@@ -6,10 +6,12 @@ explanations. The stand-ins here are rules, not models, and say so in what they
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -135,8 +137,9 @@ def run(
 ) -> dict[tuple[str, str], str]:
     """Runs all steps and gives the paths of the tables by step and name. uploaded gets each shuffled and explained table, and its sidecar.
 
-    Extraction and answers are written by chunks, each finished once; after a break, a run with the same settings goes on
-    behind the last finished chunk, and tables that stand are read.
+    Extraction and answers are written by chunks, each finished once; after a break, a run with the same settings works on
+    the chunks that are still open, and tables that stand are read. What extraction counted and the seconds of each table that
+    was made are added to the tables ``counters`` and ``phases``, by the time at which they were noted.
     """
     s, mark = settings, storage.standing()
     preconditions(s)
@@ -146,6 +149,14 @@ def run(
     rows_of = sidecar.Slice(s.start, s.length)
     origin = sidecar.Extraction(s.base_model, s.d_model, s.layer, "none", s.corpus, rows_of, s.positions_per_doc)
 
+    seconds: dict[str, float] = {}
+
+    @contextmanager
+    def phase(name: str):
+        began = time.time()
+        yield
+        seconds[name] = time.time() - began
+
     def stand(path: str) -> bool:
         return storage.exists(spark, sidecar.sidecar_path(path))
 
@@ -154,8 +165,9 @@ def run(
         if not stand(path):
             if storage.exists(spark, path):  # its sidecar is missing, so nothing was told of it
                 storage.delete(spark, path)
-            made = chunks.published(spark, df(), path)
-            sidecar.write(spark, path, sidecar.replaced(meta, row_count=made.count()))
+            with phase(f"{step}/{name}"):
+                made = chunks.published(spark, df(), path)
+                sidecar.write(spark, path, sidecar.replaced(meta, row_count=made.count()))
         return spark.read.parquet(path), sidecar.read(spark, path)
 
     def extracted() -> DataFrame:
@@ -163,7 +175,17 @@ def run(
         named = docs.select((F.col("row_idx") - s.start).alias("place"), T.document_key(s.corpus, s.corpus_split, F.col("row_idx")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         parts, n = f"{s.output}/parts/base", max(0, min(s.length, corpus.row_count(spark, s.corpus_path) - s.start))
         chunks.guarded(spark, parts, chunks.fingerprint(spark, s.corpus_path, s.length, s.chunk_rows))
-        return chunks.run(spark, named, parts, s.chunk_rows, lambda rows: _positions(extractor(rows), s, "chunk_id"), "place", n).drop("chunk_id")
+        counters = []
+
+        def work(rows: DataFrame) -> DataFrame:
+            made, seen = _positions(extractor(rows), s, "chunk_id")
+            counters.append(seen)
+            return made
+
+        made = chunks.run(spark, named, parts, s.chunk_rows, work, "place", n).drop("chunk_id")
+        if counters:  # of the documents of this run; one that goes on adds its own
+            append_metrics(spark, f"{s.output}/counters", int(time.time()), counters[0].get)
+        return made
 
     base, base_meta = put(extracted, "base", "base", sidecar.DatasetMeta(sidecar.base_id(origin), "base", 0, origin, created_by=__name__))
 
@@ -171,7 +193,8 @@ def run(
         whole = f"{s.output}/split"
         if storage.exists(spark, whole):
             storage.delete(spark, whole)
-        split = chunks.published(spark, sampling.document_split(base, s.fractions, s.seed), whole, by="split")
+        with phase("split"):
+            split = chunks.published(spark, sampling.document_split(base, s.fractions, s.seed), whole, by="split")
         counts = {r["split"]: r["rows"] for r in sampling.split_counts(split).collect()}
         if empty := set(TRAIN_STAGES) - set(counts):
             raise ValueError(f"no documents for {sorted(empty)}")
@@ -197,7 +220,7 @@ def run(
             known = sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "explain"), parent_datasets=[meta.dataset_id], api_summaries={"provider": getattr(provider, "__name__", "provider")})
             rows, meta = put(lambda rows=rows, stage=stage: explained(rows, stage), "explained", stage, known)
         templates = {"actor": s.actor, "critic": s.critic}
-        built = sidecar.replaced(meta, stage=stage, dataset_id=sidecar.derived_id(meta.dataset_id, "build", stage), parent_datasets=[meta.dataset_id], tokens=s.tokens, prompt_templates=templates)
+        built = sidecar.replaced(sidecar.unbuilt(meta), stage=stage, dataset_id=sidecar.derived_id(meta.dataset_id, "build", stage), parent_datasets=[meta.dataset_id], tokens=s.tokens, prompt_templates=templates)
         done, meta = put(lambda rows=rows, stage=stage: explanations.build(rows, stage, s.actor, s.critic, s.keep_text, s.encode, s.tokens.critic_suffix_ids), "built", stage, built)
         key = sampling.permutation_key(s.seed, meta.dataset_id, F.xxhash64("doc_id", "n_raw_tokens"))
         last = sidecar.replaced(meta, dataset_id=sidecar.derived_id(meta.dataset_id, "shuffle", seed=s.seed), parent_datasets=[meta.dataset_id])
@@ -207,17 +230,21 @@ def run(
             for name in STEPS[step]:
                 uploaded(at[step, name])
                 uploaded(sidecar.sidecar_path(at[step, name]))
+    if seconds:
+        append_metrics(spark, f"{s.output}/phases", int(time.time()), seconds)
     storage.cleared(spark, mark)
     return at
 
 
-def _positions(extracted: DataFrame, s: Settings, *more: str) -> DataFrame:
-    """The base table (and more columns): one row for each sampled position, each with its own text and vector alone."""
+def _positions(extracted: DataFrame, s: Settings, *more: str) -> tuple[DataFrame, Observation]:
+    """The base table (and more columns), one row for each sampled position, each with its own text and vector alone; and counters of its documents, which the job that writes it fills."""
     tokens = F.col("tokens") if s.pad is None else sampling.without_padding(F.col("tokens"), F.lit(s.pad))
-    positions = sampling.sample_positions(sampling.eligible_positions(tokens), s.positions_per_doc, s.seed, F.col("doc_id"))
+    eligible, seen = sampling.observed(extracted.withColumn("_eligible", sampling.eligible_positions(tokens)), "_eligible", s.positions_per_doc)
+    positions = sampling.sample_positions(F.col("_eligible"), s.positions_per_doc, s.seed, F.col("doc_id"))
     prefix = lambda p: F.lit("") if s.no_text else F.array_join(F.slice("tokens", F.lit(1), p + 1), " ")
     each = F.transform(positions, lambda p: F.struct((p + 1).cast("long").alias("n_raw_tokens"), prefix(p).alias("detokenized_text_truncated"), F.get("vectors", p).alias("activation_vector")))
-    return extracted.select(F.explode(each).alias("x"), "doc_id", *more).select("x.*", F.lit(s.layer).cast("long").alias("activation_layer"), "doc_id", *more)
+    rows = eligible.select(F.explode(each).alias("x"), "doc_id", *more)
+    return rows.select("x.*", F.lit(s.layer).cast("long").alias("activation_layer"), "doc_id", *more), seen
 
 
 def begun(spark: SparkSession, out: str, meta: sidecar.DatasetMeta, resume: bool) -> None:
@@ -237,12 +264,17 @@ def console_line(step: int, metrics: dict[str, float]) -> str:
     return f"step {step} | " + " | ".join(f"{k} {v:.4g}" for k, v in metrics.items())
 
 
+def _put_step(rows: DataFrame, path: str) -> None:
+    """rows in place of what the table has of their step; a resumed step doesn't stand twice."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
 def append_metrics(spark: SparkSession, path: str, step: int, metrics: dict[str, float]) -> None:
-    """Adds (step, metric, value) rows to a table."""
+    """Puts (step, metric, value) rows into a table."""
     each = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(float(v)).alias("value")) for k, v in metrics.items()])
-    spark.range(1).select(F.lit(step).cast("long").alias("step"), F.inline(each)).write.mode("append").parquet(path)
+    _put_step(spark.range(1).select(F.inline(each), F.lit(step).cast("long").alias("step")), path)
 
 
 def append_samples(path: str, records: DataFrame, step: int) -> None:
-    """Adds an evaluation's records to the table of samples, which grows over a run."""
-    evaluation.sample_table(records, step).write.mode("append").parquet(path)
+    """Puts an evaluation's records into the table of samples, which grows over a run."""
+    _put_step(evaluation.sample_table(records, step), path)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import subprocess
 import typing
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from datetime import datetime, timezone
+from pathlib import Path
 from typing import Any
 
 import yaml
@@ -132,13 +132,29 @@ def checked(meta: DatasetMeta) -> DatasetMeta:
     return meta
 
 
-def commit() -> str:
-    """The commit that the code runs from, or nothing outside a checkout."""
+def commit(checkout: Path = Path(__file__).parents[2]) -> str:
+    """The commit of the checkout that holds this library, as its files say it; nothing without one."""
+    store = checkout / ".git"
     try:
-        said = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+        said = (store / "HEAD").read_text().strip()
+        if not said.startswith("ref: "):
+            return said
+        name = said.removeprefix("ref: ")
+        if (store / name).exists():
+            return (store / name).read_text().strip()
+        packed = [line.split(" ", 1) for line in (store / "packed-refs").read_text().splitlines() if not line.startswith(("#", "^"))]
+        return {ref: found for found, ref in packed}.get(name, "")
     except OSError:
         return ""
-    return said.stdout.strip() if said.returncode == 0 else ""
+
+
+def unbuilt(meta: DatasetMeta) -> DatasetMeta:
+    """meta, if training tables may be built from it: rows as they were extracted (or explained), with vectors as the model gave them."""
+    if meta.stage != "base":
+        raise ValueError(f"{meta.dataset_id} is a table of {meta.stage}; what is built already isn't built again")
+    if meta.extraction.norm != "none":
+        raise ValueError(f"the vectors of {meta.dataset_id} are scaled ({meta.extraction.norm}); only training scales them")
+    return meta
 
 
 def dumps(meta: DatasetMeta) -> str:

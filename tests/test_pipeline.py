@@ -29,6 +29,9 @@ def test_stages(spark, tmp_path):
         assert sidecar.read(spark, at["shuffled", stage]).dataset_id.endswith("__shuf42")
     assert spark.read.parquet(at["built", "ar_sft"]).filter(~F.col("prompt").endswith("</text> <summary>")).count() == 0
     assert len(sent) == 10
+    counted = {r["metric"]: r["value"] for r in spark.read.parquet(f"{s.output}/counters").collect()}
+    assert counted["docs"] == 60 and counted["rows"] == base.count()
+    assert {r["metric"] for r in spark.read.parquet(f"{s.output}/phases").collect()} == {"split", *(f"{step}/{name}" for step, name in at if step != "split")}
     asked = []
 
     def refused(rows):
@@ -55,6 +58,29 @@ def test_stages(spark, tmp_path):
         pipeline.run(spark, dataclasses.replace(s, chunk_rows=7))
 
 
+def test_what_may_be_built():
+    e = sidecar.Extraction("m", 1, 1, "none", "c", sidecar.Slice(0, 1), 1)
+    meta = sidecar.DatasetMeta("d", "base", 1, e)
+    assert sidecar.unbuilt(meta) == meta
+    for bad in (sidecar.replaced(meta, stage="rl"), sidecar.replaced(meta, extraction=dataclasses.replace(e, norm="sqrt_d_model"))):
+        with pytest.raises(ValueError):
+            sidecar.unbuilt(bad)
+
+
+def test_commit_of_a_checkout(tmp_path):
+    git = tmp_path / ".git"
+    assert sidecar.commit(tmp_path) == ""
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    assert sidecar.commit(tmp_path) == ""
+    (git / "packed-refs").write_text("# pack-refs\nabc refs/heads/main\n^def\n")
+    assert sidecar.commit(tmp_path) == "abc"
+    (git / "refs/heads/main").write_text("123\n")
+    assert sidecar.commit(tmp_path) == "123"
+    (git / "HEAD").write_text("456\n")
+    assert sidecar.commit(tmp_path) == "456"
+
+
 class Letters:
     def extract(self, texts, layer):
         return [(list(t[:60]), [[float(ord(c)), float(layer)] for c in t[:60]]) for t in texts]
@@ -63,12 +89,14 @@ class Letters:
 def test_extractor_inside_tasks(spark):
     docs = spark.createDataFrame([("a", "x" * 55), ("b", "")], "doc_id string, text string")
     s = pipeline.Settings("", "", positions_per_doc=20, layer=3)
-    got = pipeline._positions(pipeline.extracting(Letters, 3)(docs), s).collect()
+    made, seen = pipeline._positions(pipeline.extracting(Letters, 3)(docs), s)
+    got = made.collect()
+    assert seen.get == {"docs": 2, "skipped": 1, "short_sampled": 1, "rows": 5}
     assert sorted(r["n_raw_tokens"] for r in got) == [51, 52, 53, 54, 55] and all(r["activation_vector"] == [120.0, 3.0] for r in got)
     assert got[0]["detokenized_text_truncated"].split(" ") == ["x"] * got[0]["n_raw_tokens"]
     import dataclasses as d
 
-    assert {r["detokenized_text_truncated"] for r in pipeline._positions(pipeline.extracting(Letters, 3)(docs), d.replace(s, no_text=True)).collect()} == {""}
+    assert {r["detokenized_text_truncated"] for r in pipeline._positions(pipeline.extracting(Letters, 3)(docs), d.replace(s, no_text=True))[0].collect()} == {""}
 
 
 def test_a_run_is_not_overwritten(spark, tmp_path):
@@ -82,7 +110,8 @@ def test_a_run_is_not_overwritten(spark, tmp_path):
     with pytest.raises(ValueError):
         pipeline.begun(spark, out, sidecar.replaced(meta, extraction=dataclasses.replace(e, d_model=2)), True)
     pipeline.append_metrics(spark, f"{out}/metrics", 1, {"a": 1, "b": 2})
-    pipeline.append_metrics(spark, f"{out}/metrics", 2, {"a": 3})
+    for _ in range(2):  # a resumed step stands once
+        pipeline.append_metrics(spark, f"{out}/metrics", 2, {"a": 3})
     assert spark.read.parquet(f"{out}/metrics").groupBy().sum("value").first()[0] == 6
     assert pipeline.console_line(3, {"loss": 0.5}) == "step 3 | loss 0.5"
 
