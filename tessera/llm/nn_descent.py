@@ -10,7 +10,7 @@ NN-descent then runs over the leaders. Lists of ``NEIGHBOURS`` start from such b
 neighbours, forward and backward, are joined with each other (``MEETING`` at a time; those of a popular leader are dealt into
 several meetings by hash, anew each round, and none is left out), unless both were compared in an earlier round. Who is
 nearer than the last of a list enters it. A list that is full of possible links is saturated: it is doubled, and its
-neighbours meet again. Rounds end when few lists change. Then recall is audited: up to ``AUDITED`` leaders, half of them
+neighbours meet again. Rounds end when no list grows and few change. Then recall is audited: up to ``AUDITED`` leaders, half of them
 with links, are compared with all; what they miss is added, and below ``RECALL`` all lists are doubled and the rounds go on.
 
 Balls with leaders at angle a and radii r, s have no link if a > t + r + s (t: the threshold's angle), and all if a + r + s <=
@@ -309,8 +309,10 @@ def descend(leaders: DataFrame) -> tuple[DataFrame, float]:
     recall, r = 1.0, 0
     for audit in range(AUDITS):
         for _ in range(ROUNDS):
-            places, fresh = graph.agg(F.sum(F.size("list")), F.sum(F.size(F.filter("list", lambda x: x["fresh"])))).first()
-            if not places or fresh <= SETTLED * places and audit == 0 or not fresh:
+            fresh = F.size(F.filter("list", lambda x: x["fresh"]))
+            grown = (F.col("k") > NEIGHBOURS) & (F.size("list") > 0) & (2 * F.size("list") <= F.col("k")) & (fresh == F.size("list"))
+            places, changed, growing = graph.agg(F.sum(F.size("list")), F.sum(fresh), F.count_if(grown)).first()
+            if not changed or not growing and audit == 0 and changed <= SETTLED * places:
                 break
             following, at = written(spark, _enlarged(_merged(graph, _round(graph, r)), _saturated()), "graph")
             dropped(spark, path)
