@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import let
+
 TINY = 1e-12
 
 
@@ -26,6 +28,12 @@ def embedding_scale(model_type: str, d: int) -> float:
     return math.sqrt(d) if model_type in SCALED_EMBEDDINGS else 1.0
 
 
+def scaled_embedding(v: Column, model_type: Column) -> Column:
+    """Each row's vector as the embedding layer of its model gives it."""
+    factor = F.when(model_type.isin(*SCALED_EMBEDDINGS), F.sqrt(F.size(v))).otherwise(1.0)
+    return let(factor, lambda f: F.transform(v, lambda x: x.cast("double") * f))
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -47,7 +55,7 @@ def normalize(v: Column, scale: float | None) -> Column:
     if scale is None:
         return doubles(v)
     factor = F.greatest(norm(v), F.lit(TINY)) / F.lit(float(scale))
-    return F.get(F.transform(F.array(factor), lambda f: F.transform(v, lambda x: x.cast("double") / f)), F.lit(0))
+    return let(factor, lambda f: F.transform(v, lambda x: x.cast("double") / f))
 
 
 def mse(a: Column, b: Column) -> Column:
@@ -65,7 +73,7 @@ def cosine(a: Column, b: Column) -> Column:
 def norm_matched_add(h: Column, v: Column) -> Column:
     """h + |h| * v / (|v| + 1e-9)."""
     factor = norm(h) / (norm(v) + F.lit(1e-9))
-    return F.get(F.transform(F.array(factor), lambda f: F.zip_with(h, v, lambda x, y: x.cast("double") + f * y.cast("double"))), F.lit(0))
+    return let(factor, lambda f: F.zip_with(h, v, lambda x, y: x.cast("double") + f * y.cast("double")))
 
 
 def width_checked(v: Column, d: int) -> Column:

@@ -101,6 +101,14 @@ def embedding_scale(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scale.alias("scale"))
 
 
+@query("""WITH t AS (SELECT vec_id, embedding, CASE label % 4 WHEN 0 THEN 'gemma3' WHEN 1 THEN 'llama' WHEN 2 THEN 't5' END AS kind FROM embeddings)
+ SELECT vec_id, kind, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * CASE WHEN kind IN ('gemma3', 't5') THEN sqrt(len(embedding)) ELSE 1 END)), 6) AS total FROM t""")
+def scaled_embeddings(spark, sf_dir):
+    """Vectors as the embedding layers of several kinds of models give them; the kind is a column."""
+    kind = F.when(F.col("label") % 4 == 0, "gemma3").when(F.col("label") % 4 == 1, "llama").when(F.col("label") % 4 == 2, "t5")
+    return table(spark, sf_dir, "embeddings").select("vec_id", kind.alias("kind"), r6(V.total(V.scaled_embedding(F.col("embedding"), kind))).alias("total"))
+
+
 @query(f"""WITH {_PAIRS}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n),
  b AS (SELECT avg(q) AS base FROM (SELECT dim, var_pop(x) AS q FROM e GROUP BY dim))
  SELECT label, count(*) AS n_scored, round(avg(mse), 6) AS mse_mean, round(100 * (1 - avg(mse) / any_value(base)), 6) AS fve_pct FROM s, b GROUP BY label""")
