@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import let
 from tessera.sources.storage import new_path
 
+__all__ = ["ascii_lower", "fresh", "gram_hashes", "let", "once", "split_words", "table", "word_hashes", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII blanks: the space and the controls from tab to carriage return.
 BLANKS = r"[\x09-\x0D\x20]+"
@@ -16,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """``body(x)`` with ``x`` bound to ``value``, which is computed once.
-
-    Catalyst has no let expression, and a large expression named several times
-    inside a lambda would be computed for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once, however often later columns name it.
 

@@ -435,6 +435,18 @@ def test_very_long_texts(spark):
     assert url_filter.judge(page, spark.createDataFrame([("a.com", "/xx", "block")], "host string, path string, action string")).first()["verdict"] == "block"
 
 
+def test_very_many_equal_lines_and_very_long_urls(spark):
+    rows = [(1, "same line of words\n" * 100_000), (2, "\n".join(f"line {i}" for i in range(100_000))), (3, "\n" * 200_000), (4, "a " * 200_000)]
+    made = {r["doc_id"]: r for r in quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert tuple(made[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute.quality(text)[:5]
+    url = "http://www.a.org/" + "x/" * 100_000 + "?" + "&".join(f"k{i}={i}" for i in range(20_000))
+    again = url.replace("?", "?utm_source=x&").replace("//www.", "//") + "#f"
+    captures = [(1, url, 1, "response", 200, "e", None, "p", [("etag", "e")]), (2, again, 2, "revisit", 304, "e", None, None, [("etag", "e")]), (3, url + "&z", 3, "revisit", 304, "e", None, None, [])]
+    got = {r["record_id"]: (r["base_id"], r["verdict"]) for r in warc_revisits.resolve(spark.createDataFrame(captures, REVISITS)).collect()}
+    assert got[2] == (1, "resolved") and got[3][1] == "no_base"
+
+
 def test_ngram_join_rows_of_one_id(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (None, ""), (2, None)]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
