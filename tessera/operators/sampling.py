@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import let
-from tessera.sources import corpus
+from tessera.sources import corpus, storage
 from tessera.sources.corpus import row_range
 
 FIRST_POSITION = 50
@@ -104,35 +104,60 @@ def document_split(rows: DataFrame, fractions: dict[str, float], seed: int, key:
     return rows.withColumn("split", split)
 
 
-#: The modes that repeat Python's generator draw for a whole table at once, on the driver; larger ones take the hash modes.
-MOST_DRAWN = 5_000_000
+def shuffled_by_python(spark: SparkSession, n: int, seed) -> DataFrame:
+    """(place, source): where Python's ``random.shuffle`` puts the numbers from 0 to n - 1, after ``random.Random(seed)``.
+
+    The generator's draws follow one another, so one task makes them; it holds none of them, and they are written as they
+    come: step i (from n - 1 down to 1) swaps place i with a place j. What ends at place i stood at j before that step: what
+    the next greater step that drew j brought there, or j itself. So each step has one pointer to a greater one at most, and
+    the end of its chain is found by doubling, in as many joins as the logarithm of a chain's length (some tens) has.
+    """
+
+    def draw(batches):
+        import pyarrow as pa
+
+        rng = random.Random(seed)
+        for batch in batches:
+            for last in range(n - 1 if len(batch) else 0, 0, -DRAWS):
+                steps = list(range(last, max(0, last - DRAWS), -1))
+                yield pa.RecordBatch.from_pydict({"i": steps, "j": [rng.randrange(i + 1) for i in steps]})
+
+    draws = storage.kept(spark.range(0, 1, 1, 1).mapInArrow(draw, "i long, j long"), "draws")
+    # Place 0 has no step of its own; what is there at the end was brought by the least step that drew it.
+    ends = draws.unionByName(spark.range(1 if n else 0).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j")))
+    ends = storage.kept(ends.withColumn("from", F.lead("i").over(Window.partitionBy("j").orderBy("i"))), "ends")
+    chain = storage.kept(draws.filter("i > j").groupBy(F.col("j").alias("i")).agg(F.min("i").alias("up")), "chain")
+    while True:
+        further = chain.select(F.col("i").alias("up"), F.col("up").alias("next"))
+        jumped = storage.kept(chain.join(further, "up", "left").select("i", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "chain")
+        chain = jumped.select("i", "up")
+        if jumped.filter("moved").isEmpty():
+            break
+    top = chain.select(F.col("i").alias("from"), "up")
+    return ends.join(top, "from", "left").select(F.col("i").alias("place"), F.coalesce("up", "from", "j").alias("source"))
 
 
-def _bounded(n: int) -> int:
-    if n > MOST_DRAWN:
-        raise ValueError(f"{n} are too many to draw one after the other; draw by hash")
-    return n
+#: Draws that are handed on at once.
+DRAWS = 100_000
 
 
 def document_split_python(rows: DataFrame, fractions: dict[str, float], seed: int, key: str = "doc_id") -> DataFrame:
-    """document_split() in the order that Python's generator shuffles the sorted keys into; for up to ``MOST_DRAWN`` documents."""
-    ids = rows.select(key).distinct()
-    n, names = _bounded(ids.count()), list(fractions)
-    order = sorted(r[0] for r in ids.collect())
-    random.Random(seed).shuffle(order)
-    named, at = [], 0
-    for name in names:
-        end = n if name == names[-1] else at + int(n * fractions[name])
-        named += [(doc, name) for doc in order[at:end]]
-        at = end
-    return rows.join(rows.sparkSession.createDataFrame(named, ids.schema.add("split", "string")), key)
+    """document_split() in the order that Python's generator shuffles the sorted keys into."""
+    ids = corpus.numbered(rows.select(key).distinct(), key, out="source")
+    n, names = ids.count(), list(fractions)
+    placed = ids.join(shuffled_by_python(rows.sparkSession, n, seed), "source")
+    split, end = F.lit(names[-1]), sum(int(n * fractions[name]) for name in names[:-1])
+    for name in reversed(names[:-1]):
+        split = F.when(F.col("place") < end, name).otherwise(split)
+        end -= int(n * fractions[name])
+    return rows.join(placed.select(key, split.alias("split")), key)
 
 
 def permuted_python(rows: DataFrame, seed: int, dataset_id: str, order: str = "row_idx") -> DataFrame:
-    """rows (numbered from 0) with ``place``, where Python's generator shuffles them to; for up to ``MOST_DRAWN`` rows."""
-    places = list(range(_bounded(rows.count())))
-    keyed_random(seed, dataset_id).shuffle(places)
-    return rows.join(rows.sparkSession.createDataFrame(list(enumerate(places)), f"place long, `{order}` long"), order).orderBy("place")
+    """rows (numbered from 0) with ``place``, where Python's generator shuffles them to."""
+    digest = hashlib.sha256(f"{seed}|{dataset_id}".encode()).digest()
+    places = shuffled_by_python(rows.sparkSession, rows.count(), digest)
+    return rows.join(places.withColumnRenamed("source", order), order).orderBy("place")
 
 
 def without_padding(tokens: Column, pad: Column, end: Column | None = None) -> Column:

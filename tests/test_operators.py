@@ -4,6 +4,7 @@ import dataclasses
 import hashlib
 import json
 import os
+import random
 import time
 import uuid
 
@@ -69,6 +70,14 @@ def test_permutation_and_batches(spark):
     assert order != [r["row_idx"] for r in sampling.permuted(rows, 0, "d2").collect()]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 3000])
+def test_pythons_shuffle_by_chains_of_swaps(spark, monkeypatch, n):
+    want = list(range(n))
+    random.Random(11).shuffle(want)
+    got = sampling.shuffled_by_python(spark, n, 11).orderBy("place").collect()
+    assert [tuple(r) for r in got] == list(enumerate(want))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 97, 1000, 4096])
 def test_shuffled_is_a_bijection_for_each_epoch(spark, n):
     s = sampling.Shuffled(n, 3, "d")
