@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import let
+
 OPEN, CLOSE = "<explanation>", "</explanation>"
 ANALYSIS_PATTERN = r"<analysis>\s*(.*?)\s*</analysis>"
 INJECT = "<INJECT>"
@@ -17,9 +19,13 @@ CJK_RANGES = (
 )
 
 
+#: Unicode's white space (fixed values).
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    """Unicode white space off both ends; trim() knows the space alone."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Unicode white space off both ends; trim() without a list knows the space alone."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _tagged(text: Column, pattern: str) -> Column:
@@ -27,9 +33,20 @@ def _tagged(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
+def between(text: Column, opened: str, closed: str) -> Column:
+    """What stands between the first opening tag and the next closing one, stripped; null without such a pair. Found by plain search."""
+
+    def of(behind: Column) -> Column:
+        end = F.instr(behind, F.lit(closed))
+        return F.when(end > 0, strip(F.left(behind, end - 1)))
+
+    at = F.instr(text, F.lit(opened))
+    return F.when(at > 0, let(F.substr(text, at + len(opened)), of))
+
+
 def extract_explanation(text: Column) -> Column:
     """The stripped payload of the first tag pair; null without a pair, '' for an empty one."""
-    return strip(_tagged(text, f"(?s){OPEN}(.*?){CLOSE}"))
+    return between(text, OPEN, CLOSE)
 
 
 def wrap_explanation(text: Column) -> Column:
@@ -44,11 +61,18 @@ _BOLD = r"(?Ud)^\*\*(.+?)\*\*\s*"
 def clean_explanation(text: Column, pattern: str = ANALYSIS_PATTERN) -> Column:
     """The tagged text as plain paragraphs between empty lines; null without tags."""
 
+    def may_be_marked(x: Column) -> Column:
+        """A cheap test that lets every line with a marker pass: what stands first, and second where that is a letter."""
+        first, second = F.ascii(x), F.substring(x, 2, 1)
+        return first.between(33, 64) | (first > 122) | second.isin(".", ")") | F.left(x, F.lit(1)).isin("i", "v", "x", "I", "V", "X")
+
     def line(x: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(x, _MARKER, ""), _BOLD, "$1 ")
-        return F.regexp_replace(strip(bare), r"^[*_]+|[*_]+\z", "")
+        unmarked = F.when(may_be_marked(F.ltrim(x, F.lit(WHITE_SPACE))), F.regexp_replace(x, _MARKER, "")).otherwise(x)
+        plain = let(unmarked, lambda y: F.when(F.contains(y, F.lit("**")), F.regexp_replace(y, _BOLD, "$1 ")).otherwise(y))
+        return F.btrim(strip(plain), F.lit("*_"))
 
-    lines = F.transform(F.split(_tagged(text, "(?sU)" + pattern), "\n"), line)
+    said = between(text, "<analysis>", "</analysis>") if pattern == ANALYSIS_PATTERN else _tagged(text, "(?sU)" + pattern)
+    lines = F.transform(F.split(said, "\n"), line)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n\n")
 
 

@@ -100,6 +100,19 @@ def test_advantage_of_one_row_and_of_masked_rows(spark):
     assert got == [(1, 3.0, 0.0), (2, 1.0, -0.7071), (2, 3.0, 0.7071), (2, 9.0, 0.0)]
 
 
+def test_lines_are_cleaned_as_the_patterns_alone_would(spark):
+    """The cheap tests before the patterns change nothing, and trimming by a list is what the pattern for white space does."""
+    rng = np.random.default_rng(8)
+    parts = ["-", "*", "•", "–", "1.", "12)", "(3)", "a.", "B)", "(c)", "iv.", "XI)", "x", "i", "**", "**bold**", "word", "_", " ", "\t", "\u00a0", "\u2003", "\u3000", "\u0661.", "é.", "z)", "~", "{", "\u180e", "\u200b"]
+    lines = ["".join(rng.choice(parts, size=rng.integers(0, 7))) for _ in range(4000)]
+    marked = F.regexp_replace(F.regexp_replace("x", T._MARKER, ""), T._BOLD, "$1 ")
+    plain = F.regexp_replace(F.regexp_replace(marked, r"(?U)^\s+|\s+\z", ""), r"^[*_]+|[*_]+\z", "")
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    made = df.select("x", plain.alias("want"), T.clean_explanation(F.concat(F.lit("<analysis>|\n"), "x", F.lit("\n|</analysis>"))).alias("got"), F.regexp_replace("x", r"(?U)^\s+|\s+\z", "").alias("bare"), T.strip(F.col("x")).alias("stripped"))
+    for r in made.collect():
+        assert r["got"] == "\n\n".join(["|", *([r["want"]] if r["want"] else []), "|"]) and r["bare"] == r["stripped"], r
+
+
 def test_divergences_of_whole_arrays(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(6, 40)) * 2, rng.normal(size=(6, 40)) * 2
