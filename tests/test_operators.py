@@ -630,6 +630,20 @@ def test_chunks_read_their_input_once_and_keep_what_a_broken_run_has_finished(sp
         assert (read.value, worked.value) == (n, n - size * len(done)) and chunks.committed(spark, out) == list(range(10))
 
 
+def files_read(df):
+    """How many files the scans of a table's plan have read."""
+    df._jdf.collectToPython()
+    found, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan = plan.executedPlan()
+        if plan.metrics().contains("numFiles"):
+            found += plan.metrics().apply("numFiles").value()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())] + ([plan.plan()] if "QueryStageExec" in plan.getClass().getSimpleName() else [])
+    return found
+
+
 def test_rows_in_file_order(spark, tmp_path):
     """Several files, empty ones among them, names with blanks, in an order that no column has."""
     order, at = [7, 3, 9, 1, 8, 2, 6, 0, 5, 4, 11, 10], f"{tmp_path}/a table"
@@ -640,7 +654,7 @@ def test_rows_in_file_order(spark, tmp_path):
         got = sorted(((r["x"], r["row_idx"]) for r in corpus.in_file_order(spark, at, a, b, ["x"]).collect()), key=lambda r: r[1])
         assert got == want[a:b], (a, b)
     few = corpus.in_file_order(spark, at, 5, 6)
-    assert len(few.inputFiles()) and few.columns == ["x", "text", "k", "row_idx"] and few.first()["k"] == 2
+    assert files_read(few) == 1 and files_read(corpus.in_file_order(spark, at, 3, 5)) == 1 and files_read(corpus.in_file_order(spark, at, 3, 7)) == 4 and few.columns == ["x", "text", "k", "row_idx"] and few.first()["k"] == 2
     assert "Exchange rangepartitioning" not in few._jdf.queryExecution().toString()
     assert corpus.row_count(spark, at) == 12 and [n for _, n in corpus.file_rows(spark.read.parquet(at))] == [5, 1, 6]
     assert sorted(r["x"] for r in corpus.scan(spark, f"{at}@[2:6]", ["x"], None).collect()) == sorted(order[2:6])
