@@ -10,12 +10,14 @@ NN-descent then runs over the leaders. Lists of ``NEIGHBOURS`` start from such b
 neighbours, forward and backward, are joined with each other (``MEETING`` at a time; those of a popular leader are dealt into
 several meetings by hash, anew each round, and none is left out), unless both were compared in an earlier round. Who is
 nearer than the last of a list enters it. A list that is full of possible links is saturated: it is doubled, and its
-neighbours meet again. Rounds end when no list grows and few change. Then recall is audited: up to ``AUDITED`` leaders, half of them
-with links, are compared with all; what they miss is added, and below ``RECALL`` all lists are doubled and the rounds go on.
+neighbours meet again. Rounds end when no list grows and few change. Then recall is audited: up to ``AUDITED`` leaders,
+half of them with links, are compared with all; what they miss is added, and below ``RECALL`` all lists are doubled and the
+rounds go on.
 
 Balls with leaders at angle a and radii r, s have no link if a > t + r + s (t: the threshold's angle), and all if a + r + s <=
-t; a leader's list is judged by the first bound. Between them members are measured against the other leader, and against
-single members only if that doesn't decide it. Every link was computed in double precision or follows from these bounds.
+t. The list of the wider ball must hold such a pair, so a leader's list is judged by t + 2r. Between the balls of a pair that
+these bounds leave open, members are measured against the other leader, and against single members only if that doesn't decide
+it. Every link was computed in double precision or follows from these bounds.
 
 A null, empty or zero vector, or one with a null or non-finite element, links with nothing. Vectors of different widths have
 no cosine and don't link either. Rows are vectors, repeated ones included; null ids are allowed and greater than any. Other
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.llm.common import let, once, written
+from tessera.llm.common import once, written
 from tessera.llm.components import components
 from tessera.sources.storage import dropped, kept
 
@@ -376,8 +378,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     radius = _angle(F.min("near"))
     of_ball = kept(balls.groupBy("leader").agg(F.sum("copies").alias("size"), radius.alias("radius"), F.min("own").alias("least")), "of_ball")
-    widest = of_ball.agg(F.max("radius")).first()[0] or 0.0
-    need = F.cos(F.least(F.lit(math.pi), F.lit(math.acos(threshold) + widest) + F.col("radius"))) - SLACK
+    need = F.cos(F.least(F.lit(math.pi), F.lit(math.acos(threshold)) + 2 * F.col("radius"))) - SLACK
     leaders = balls.filter("id = leader").select("id", "v").join(of_ball.select(F.col("leader").alias("id"), need.alias("need")), "id")
     graph, _ = descend(kept(leaders, "leaders"))
 
