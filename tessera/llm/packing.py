@@ -22,7 +22,6 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.chunk_encoder import encoder, give_back, text_slices
 from tessera.llm.common import written
@@ -105,8 +104,11 @@ def _batch(rows: list[tuple], extra: tuple = ()):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)] + [pa.array([x] * len(rows), pa.int64()) for x in extra], names + ["bucket"] * len(extra))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_ids: bool = False) -> DataFrame:
-    """A row for each piece of the documents (doc_id, text), as PIECES; ids (little-endian, 32 bits) are null unless asked for."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_ids: bool = False, slice_bytes: int = SLICE) -> DataFrame:
+    """A row for each piece of the documents (doc_id, text), as PIECES; ids (little-endian, 32 bits) are null unless asked for.
+
+    Larger slices have fewer distinct chunks to look up a text, and take a few times their size of a worker's memory.
+    """
 
     def first(batches):
         from pyspark import TaskContext
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", with_
 
         packer = Packer(emit)
         for batch in batches:
-            for piece in text_slices(batch, SLICE):
+            for piece in text_slices(batch, slice_bytes):
                 names = piece.column(0).to_pylist()
                 for a, b, ids, ends in codec.encode(piece.column(1), end_id):
                     data, at = memoryview(ids.tobytes()), 0

@@ -74,7 +74,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID, slice_bytes=16_000_000).drop("ids")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
