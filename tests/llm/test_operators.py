@@ -4,6 +4,7 @@ import random
 import struct
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,11 +12,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, chunk_encoder, decontamination, ngram_join, packing, pii, quality_rules, token_binary, token_counts, url_filter, warc_revisits
+from tessera.llm import chat_format, chunk_encoder, decontamination, ngram_join, packing, pii, quality_rules, queries, token_binary, token_counts, url_filter, warc_revisits
 from tessera.llm.chunk_encoder import ChunkEncoder
 from tessera.llm.components import components, components_of_stars
 from tessera.llm.queries import tokenizer
 
+from ..conftest import same_rows
 from . import brute
 
 WORD = "the of Dé año straße und que naïve A-b it's 12 x"
@@ -315,6 +317,19 @@ def test_urls_in_other_forms_of_a_listed_one(spark):
     assert got["s://b.com:80/r"][1] == "com:80/r" and got["s://old.org/a"][1] is None and got["s://ads.example.com/ok/1"][1] == "ads.example.com/ok"
 
 
+def test_urls_with_line_ends_in_their_hosts(spark, tmp_path):
+    """The query's verdicts are its SQL's on these, too."""
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x85", "\u2028", "\u2029"]
+    hosts = [h for e in ends for h in (f"{e}@ads-track.example.com", f"u{e}v:p@adult-x.example.org:80", f"u@w{e}@ads-track.example.net.", f"ads-track.example.com:80{e}", f"ads-track.example.com{e}:80", f"{e}@a.com", f"a.com:80{e}", f"x{e}.com")]
+    spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/en/"))], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = queries.op7_url_filter(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(made, con.sql(queries.ORACLE_SQL["op7_url_filter"]))
+    # A user goes in front of all of them but the line feed (alone or in a pair), which ends the search.
+    assert made.filter("verdict = 'block' AND rule IS NULL").count() == 6 * 5
+
+
 def test_hosts_of_very_many_labels(spark):
     rules = spark.createDataFrame([("com", "/" * n, "block") for n in range(1, 12)] + [("a.com", "/x", "allow")], "host string, path string, action string")
     long = "a." * 100_000
